@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["prep", "order"]
+PARTS = ["prep", "order", "scores", "rank"]
 
 
 def registry() -> dict:

@@ -29,6 +29,7 @@ def local_session(name: str = "runlens-local", cores: int | str = 8) -> SparkSes
         **{
             "spark.sql.shuffle.partitions": str(cores) if str(cores).isdigit() else "8",
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "12g",
             "spark.sql.execution.pythonUDF.arrow.enabled": "true",
         },
