@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["prep", "order", "scores", "rank", "spectra"]
+PARTS = ["prep", "order", "scores", "rank", "spectra", "projections"]
 
 
 def registry() -> dict:
