@@ -25,8 +25,9 @@ FILES = {
 SCALING_MODES = ("global_mean", "scaler")
 FEATURE_SETS = ("minimal", "efficient", "comprehensive")
 
-# Samples of one run that may meet in one task. Longer runs are cut into blocks of this size.
-BLOCK = 4096
+# Samples of one run that may meet in one task. Longer runs are cut into blocks of this size
+# (a multiple of 50, so that chunk features never straddle a border).
+BLOCK = 4000
 
 
 def sample_schema(channels=CHANNELS) -> T.StructType:
