@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["prep", "order", "scores", "rank", "spectra", "projections"]
+PARTS = ["prep", "order", "scores", "rank", "spectra", "projections", "features"]
 
 
 def registry() -> dict:

@@ -95,6 +95,17 @@ def cwt_coefficients(x, wanted):
     return out
 
 
+def nearest(places, targets):
+    """Index of the closest place for every target."""
+    if not len(places):
+        return np.empty(0, dtype=int)
+    order = np.argsort(places, kind="stable")
+    ranked = places[order]
+    right = np.searchsorted(ranked, targets).clip(1, max(1, len(ranked) - 1)) if len(ranked) > 1 else np.zeros(len(targets), int)
+    left = np.maximum(right - 1, 0)
+    return order[np.where(np.abs(ranked[left] - targets) <= np.abs(ranked[right] - targets), left, right)]
+
+
 def ridge_peaks(x, n: int) -> int:
     """Peaks that persist as ridge lines over the wavelet widths 1..n with signal-to-noise of at least 1."""
     widths = np.arange(1, n + 1)
@@ -113,27 +124,29 @@ def ridge_peaks(x, n: int) -> int:
         for line in live:
             line[2] += 1
         ends = np.array([line[1][-1] for line in live])
-        for p in levels[row]:
-            j = int(np.argmin(np.abs(ends - p))) if len(ends) else -1
+        near = nearest(ends, levels[row])
+        for i, p in enumerate(levels[row]):
+            j = int(near[i]) if len(ends) else -1
             if j >= 0 and abs(ends[j] - p) <= widths[row] / 4.0:
                 live[j][0].append(row)
                 live[j][1].append(p)
                 live[j][2] = 0
             else:
                 live.append([[row], [p], 0])
-        for line in [ln for ln in live if ln[2] > 1]:
-            ended.append(line)
-            live.remove(line)
-    lines = ended + live
+        ended += [ln for ln in live if ln[2] > 1]
+        live = [ln for ln in live if ln[2] <= 1]
+    kept = [(rows, cols) for rows, cols, _ in ended + live if len(rows) >= math.ceil(c.shape[0] / 4)]
+    if not kept:
+        return 0
     half, odd = divmod(math.ceil(c.shape[1] / 20), 2)
-    count = 0
-    for rows, cols, _ in lines:
-        order = np.argsort(rows)
-        r, p = rows[order[0]], cols[order[0]]
-        area = c[0, max(p - half, 0):min(p + half + odd, c.shape[1])]
-        floor = np.percentile(area, 10) if len(area) else 0.0
-        if len(rows) >= math.ceil(c.shape[0] / 4) and floor != 0 and abs(c[r, p] / floor) >= 1:
-            count += 1
+    size, count = 2 * half + odd, 0
+    inside = np.percentile(np.lib.stride_tricks.sliding_window_view(c[0], size), 10, axis=1) if size <= c.shape[1] else []
+    for rows, cols in kept:
+        r = min(rows)
+        p = cols[rows.index(r)]
+        lo, hi = p - half, p + half + odd
+        floor = inside[lo] if lo >= 0 and hi <= c.shape[1] else np.percentile(c[0, max(lo, 0):hi], 10)
+        count += bool(floor != 0 and abs(c[r, p] / floor) >= 1)
     return count
 
 
@@ -232,14 +245,18 @@ def augmented_dickey_fuller(x, wanted):
         cols += [dx[skip - j:len(dx) - j] for j in range(1, lags + 1)]
         return dx[skip:], np.column_stack(cols)
 
-    best = None
     y, full = design(most, most)
+    q, r = np.linalg.qr(full)
+    if (np.abs(np.diag(r)) < 1e-12 * np.abs(r).max()).any():
+        return [NAN] * len(wanted)
+    # Column by column, the orthogonal part explained so far gives the residual sum of every lag count.
+    rss_all = y @ y - np.cumsum((q.T @ y) ** 2)
+    best = None
     for lags in range(most + 1):
-        _, rss, _ = ols(y, full[:, :lags + 2])
+        rss = rss_all[lags + 1]
         if rss <= 0:
             return [NAN] * len(wanted)
-        obs = len(y)
-        aic = obs * (math.log(2 * math.pi * rss / obs) + 1.0) + 2.0 * (lags + 2)
+        aic = len(y) * (math.log(2 * math.pi * rss / len(y)) + 1.0) + 2.0 * (lags + 2)
         if best is None or aic < best[0]:
             best = (aic, lags)
     y, d = design(best[1], best[1])

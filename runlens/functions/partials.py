@@ -39,8 +39,9 @@ def _peaks(a, o, m):
     out = []
     for n in PEAKS:
         p = p[(p >= n) & (p + n < len(a))]
-        keep = [i for i in p if a[i] > a[i - n:i].max() and a[i] > a[i + 1:i + n + 1].max()]
-        p = np.array(keep, dtype=int)
+        if len(p):
+            top = np.lib.stride_tricks.sliding_window_view(a, n).max(axis=1)
+            p = p[(a[p] > top[p - n]) & (a[p] > top[p + 1])]
         out.append(len(p))
     return out
 

@@ -23,7 +23,7 @@ def _matrix(rows) -> Column:
 
 def class_moments(train: DataFrame) -> list:
     """Per class: rows, means and population variances (one list entry per class)."""
-    long = train.select("label", F.posexplode("x").alias("pos", "v"))
+    long = train.select("label", F.posexplode_outer("x").alias("pos", "v"))
     cells = long.groupBy("label", "pos").agg(F.count("v").alias("n"), F.avg("v").alias("m"),
                                              F.var_pop("v").alias("s"))
     classes = cells.groupBy("label").agg(F.first("n").alias("n"),
@@ -89,9 +89,9 @@ def k_nearest(train: DataFrame, test: DataFrame, k: int = 5, tile: int = 4096) -
     n_train = max(1, -(-train.count() // tile))
     n_test = max(1, -(-test.count() // tile))
     own_r, own_t = F.expr(f"pmod(xxhash64(run_id), {n_train})"), F.expr(f"pmod(xxhash64(run_id), {n_test})")
-    left = test.select("run_id", "x", own_t.alias("tt"), F.explode(F.sequence(F.lit(0), F.lit(n_train - 1))).alias("tr"))
+    left = test.select("run_id", "x", own_t.alias("tt"), F.explode_outer(F.sequence(F.lit(0), F.lit(n_train - 1))).alias("tr"))
     right = train.select("run_id", "label", "x", own_r.alias("tr"),
-                         F.explode(F.sequence(F.lit(0), F.lit(n_test - 1))).alias("tt"))
+                         F.explode_outer(F.sequence(F.lit(0), F.lit(n_test - 1))).alias("tt"))
     left = left.withColumns({"tt": F.col("tt").cast("int"), "tr": F.col("tr").cast("int")})
     right = right.withColumns({"tt": F.col("tt").cast("int"), "tr": F.col("tr").cast("int")})
 
@@ -116,7 +116,7 @@ def k_nearest(train: DataFrame, test: DataFrame, k: int = 5, tile: int = 4096) -
         best, "run_id bigint, near bigint, dist double, label int")
     chosen = near.groupBy("run_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "near", "label"))), 1, k)
                                         .alias("c"))
-    votes = chosen.select("run_id", F.explode("c.label").alias("label")).groupBy("run_id", "label").count()
+    votes = chosen.select("run_id", F.explode_outer("c.label").alias("label")).groupBy("run_id", "label").count()
     winner = votes.groupBy("run_id").agg(F.min(F.struct(-F.col("count"), "label")).alias("w")).select(
         "run_id", F.col("w.label").alias("y_pred"))
     return test.select("run_id", F.col("label").alias("y_true")).join(winner, "run_id")

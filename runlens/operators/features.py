@@ -96,14 +96,14 @@ def block_rows(rows: DataFrame, stats: DataFrame, plan: Plan, width: int, keys,
     got = halo.groupBy(*keys, BLK).agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("arr"))
     per_run = stats.groupBy(*keys).agg(
         F.max("last_t").alias("_last"), F.sort_array(F.collect_list(F.struct("channel", *plan.plain))).alias("st"))
-    side = per_run.withColumn(BLK, F.explode(F.expr(f"sequence(0L, _last div {block})"))).drop("_last")
+    side = per_run.withColumn(BLK, F.explode_outer(F.expr(f"sequence(0L, _last div {block})"))).drop("_last")
     both = got.join(side, [*keys, BLK]).withColumns({
         "t0": F.col(BLK) * block,
         "o": F.expr(f"size(filter(arr, e -> e.t < {BLK} * {block}))"),
         "m": F.expr(f"size(filter(arr, e -> e.t div {block} = {BLK}))")})
     split = F.expr(f"zip_with(transform(sequence(0, {width - 1}), c -> transform(arr, e -> e.x[c])), st, "
                    "(v, q) -> named_struct('a', v, 'q', q))")
-    flat = both.select(*keys, BLK, "t0", "o", "m", F.explode(split).alias("z")).select(
+    flat = both.select(*keys, BLK, "t0", "o", "m", F.explode_outer(split).alias("z")).select(
         *keys, BLK, "t0", "o", "m", "z.a", "z.q.*")
     return flat.withColumn("w", F.slice("a", F.col("o") + 1, F.col("m")) if plan.halo else F.col("a"))
 
@@ -111,7 +111,7 @@ def block_rows(rows: DataFrame, stats: DataFrame, plan: Plan, width: int, keys,
 def long_values(rows: DataFrame, keys) -> DataFrame:
     """Quantiles and repeated values of series with several blocks, from value counts."""
     group = [*keys, "channel"]
-    ordered = ordered_counts(value_counts(rows.select(*group, F.explode("w").alias("value")), group), group)
+    ordered = ordered_counts(value_counts(rows.select(*group, F.explode_outer("w").alias("value")), group), group)
     repeated = F.col("n") > 1
     more = ordered.groupBy(*group).agg(
         F.count(F.lit(1)).alias("ndist"), F.sum(repeated.cast("bigint")).alias("nreval"),
@@ -158,7 +158,7 @@ def merge_blocks(rows: DataFrame, plan: Plan, keys, sums: bool) -> DataFrame:
     first = level(rows.withColumn("_g", F.expr(f"{BLK} div {GROUP_OF_BLOCKS}")), [*group, "_g"], BLK)
     done = level(first, group, "_ord").drop("_ord")
     if sums:
-        cells = rows.select(*group, F.posexplode("sums").alias("pos", "v")).groupBy(*group, "pos").agg(F.sum("v").alias("v"))
+        cells = rows.select(*group, F.posexplode_outer("sums").alias("pos", "v")).groupBy(*group, "pos").agg(F.sum("v").alias("v"))
         totals = cells.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))),
                                                        lambda e: e["v"]).alias("sums"))
         done = done.join(totals, group)
@@ -244,7 +244,7 @@ def extract_wide(rows: DataFrame, channels: list, features, keys=KEYS, block: in
     plan = Plan(features)
     keys, group = list(keys), [*keys, "channel"]
     rows = rows.select(*keys, "t", "x")
-    stats = plain_stats(rows.select(*keys, "t", F.posexplode("x").alias("channel", "v")), plan.plain, keys)
+    stats = plain_stats(rows.select(*keys, "t", F.posexplode_outer("x").alias("channel", "v")), plan.plain, keys)
     native = F.array(*[F.expr(plan.finals[f]).cast("double") for f in plan.native])
     if not plan.blocks:
         return stats.select(*group, native.alias("values")), plan.order
@@ -295,7 +295,7 @@ def extract_features(rows: DataFrame, channels: list, features="efficient", keys
     wide, order = extract_wide(rows, channels, wanted, keys, block, long_runs)
     suffix = F.lit([f.suffix for f in order])
     label = F.lit(list(channels))
-    cells = wide.select(*keys, "channel", F.posexplode("values").alias("i", "value"))
+    cells = wide.select(*keys, "channel", F.posexplode_outer("values").alias("i", "value"))
     name = F.concat_ws("__", label[F.col("channel")], suffix[F.col("i")])
     value = F.when(F.isnan("value"), F.lit(None)).otherwise(F.col("value"))
     return cells.select(*keys, name.alias("feature"), value.alias("value"))

@@ -115,7 +115,7 @@ def _distributed(rows: DataFrame, table: DataFrame, k: int, max_iter: int, tol:
         """Sum the partial vectors position by position (map-side combined), then one array per run."""
         joined = attach_per_run(rows, current.select(*KEYS, "last_t", "kmat", "kcen", "w"), KEYS, block)
         parts = joined.select(*KEYS, "x", "kmat", "kcen", "w").mapInPandas(pieces, f"{key_types}, v array<double>")
-        total = parts.select(*KEYS, F.posexplode("v").alias("pos", "v")).groupBy(*KEYS, "pos").agg(F.sum("v").alias("v"))
+        total = parts.select(*KEYS, F.posexplode_outer("v").alias("pos", "v")).groupBy(*KEYS, "pos").agg(F.sum("v").alias("v"))
         return total.groupBy(*KEYS).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))),
                                                     lambda e: e["v"]).alias("v"))
 

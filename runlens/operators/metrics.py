@@ -19,8 +19,8 @@ def confusion_counts(pred: DataFrame, labels, by: str = "config") -> DataFrame:
     """Counts for every pair of the fixed label list, zero where nothing was predicted."""
     counts = pred.groupBy(by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
     spine = (counts.select(by).distinct()
-             .select(by, F.explode(label_array(labels)).alias("y_true"))
-             .select(by, "y_true", F.explode(label_array(labels)).alias("y_pred")))
+             .select(by, F.explode_outer(label_array(labels)).alias("y_true"))
+             .select(by, "y_true", F.explode_outer(label_array(labels)).alias("y_pred")))
     return spine.join(counts, [by, "y_true", "y_pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
 
 

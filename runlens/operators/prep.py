@@ -22,8 +22,11 @@ def as_columns(df: DataFrame, channels) -> DataFrame:
 
 
 def to_long(df: DataFrame, channels=None, keep=(*KEYS, "t")) -> DataFrame:
-    """One row per sample and channel (narrow, no shuffle)."""
-    long = df.select(*keep, F.posexplode("x").alias("channel", "v"))
+    """One row per sample and channel (narrow, no shuffle).
+
+    The outer generator keeps the optimizer from adding a non-empty filter that would compute the array twice.
+    """
+    long = df.select(*keep, F.posexplode_outer("x").alias("channel", "v"))
     if channels is None:
         return long
     names = F.array(*[F.lit(c) for c in channels])
@@ -70,7 +73,7 @@ class Scaler:
 def channel_stats(df: DataFrame) -> DataFrame:
     """Per channel: mean and population deviation over all given samples, 0 replaced by 1."""
     std = F.stddev_pop("v")
-    return df.select(F.posexplode("x").alias("channel", "v")).groupBy("channel").agg(
+    return df.select(F.posexplode_outer("x").alias("channel", "v")).groupBy("channel").agg(
         F.avg("v").alias("mean"), F.when(std == 0, F.lit(1.0)).otherwise(std).alias("std"))
 
 

@@ -65,7 +65,7 @@ def rank_sums(long: DataFrame, labels) -> DataFrame:
     per = ordered.groupBy("feature").agg(
         F.first("total").alias("n"), F.sum(n * n * n - n).alias("ties"), F.count(F.lit(1)).alias("values"),
         F.sum(F.when(F.col("before") == 0, F.col("n")).otherwise(0)).alias("low"), F.array(*sums).alias("c"))
-    return per.select("feature", "n", "ties", "values", "low", F.explode("c").alias("c")).select(
+    return per.select("feature", "n", "ties", "values", "low", F.explode_outer("c").alias("c")).select(
         "feature", "n", "ties", "values", "low", "c.*").where("n1 > 0 and n1 < n")
 
 

@@ -57,7 +57,7 @@ def cv_gap(summary: DataFrame) -> DataFrame:
 
 def aggregate_spectra(spectra: DataFrame, group: str = "faultNumber") -> DataFrame:
     """Mean and sample deviation of every spectrum value per class, long: (class, pos, mean, std)."""
-    long = spectra.select(group, F.posexplode("values").alias("pos", "v"))
+    long = spectra.select(group, F.posexplode_outer("values").alias("pos", "v"))
     return long.groupBy(group, (F.col("pos") + 1).alias("pos")).agg(
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
 

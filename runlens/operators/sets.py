@@ -47,7 +47,7 @@ def align_features(long: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted_list = F.lit(names)
     per_run = long.withColumn("_keep", F.col("feature").isin(names)).groupBy("run_id").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("_keep"), F.struct("feature", "value")))).alias("m"))
-    return per_run.select("run_id", F.posexplode(wanted_list).alias("place", "feature"), "m").select(
+    return per_run.select("run_id", F.posexplode_outer(wanted_list).alias("place", "feature"), "m").select(
         "run_id", "place", "feature", F.coalesce(F.try_element_at("m", "feature"), F.lit(0.0)).alias("value"))
 
 

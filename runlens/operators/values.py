@@ -18,7 +18,7 @@ SALTS = 16
 def salted_join(rows: DataFrame, side: DataFrame, keys: list, spread: Column, how: str = "inner") -> DataFrame:
     """Join a small table to many rows of few keys; rows of one key are spread over SALTS partitions."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    right = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = side.withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -55,7 +55,7 @@ def attach_per_run(rows: DataFrame, per_run: DataFrame, keys=KEYS, block: int =
     The run-level side is repeated once per block of its run (``last_t`` tells how many), and both
     sides meet on (run, block).
     """
-    side = (per_run.withColumn(BLK, F.explode(F.expr(f"sequence(0L, cast({last} as bigint) div {block})")))
+    side = (per_run.withColumn(BLK, F.explode_outer(F.expr(f"sequence(0L, cast({last} as bigint) div {block})")))
             .drop(last))
     return rows.withColumn(BLK, F.expr(f"t div {block}")).join(side, [*keys, BLK]).drop(BLK)
 
@@ -70,7 +70,7 @@ def with_halo(df: DataFrame, before: int = 0, after: int = 0, block: int = BLOCK
         own,
         F.when(inside >= block - before, own + 1) if before else F.lit(None).cast("bigint"),
         F.when((inside < after) & (own > 0), own - 1) if after else F.lit(None).cast("bigint"))
-    return df.withColumn(BLK, F.explode(F.array_compact(targets)))
+    return df.withColumn(BLK, F.explode_outer(F.array_compact(targets)))
 
 
 def with_neighbours(df: DataFrame, wanted: dict, keys=KEYS, block: int = BLOCK) -> DataFrame:

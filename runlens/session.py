@@ -15,6 +15,8 @@ def build_session(name: str = "runlens", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Feature batches are small in bytes and heavy in work: keep them spread over the cores.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for key, value in {**defaults, **conf}.items():
