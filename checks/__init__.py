@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["prep", "order", "scores", "rank", "spectra", "projections", "features"]
+PARTS = ["prep", "order", "scores", "rank", "spectra", "projections", "features", "study"]
 
 
 def registry() -> dict:
