@@ -31,21 +31,16 @@ def betainc(a: float, b: float, x: float) -> float:
     if x > (a + 1.0) / (a + b + 2.0):
         return 1.0 - betainc(b, a, 1.0 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            num = 1.0
-        elif i % 2 == 0:
-            num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+    # Continued fraction 1/(1+ e1/(1+ e2/(1+ ..))), evaluated from the far end.
+    value = 1.0
+    for k in range(200, 0, -1):
+        m = k // 2
+        if k % 2:
+            e = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         else:
-            num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / (1.0 + num * d if abs(1.0 + num * d) > tiny else tiny)
-        c = 1.0 + num / c if abs(1.0 + num / c) > tiny else tiny
-        f *= c * d
-        if abs(1.0 - c * d) < 1e-15:
-            break
-    return front * f
+            e = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        value = 1.0 + e / value
+    return front / value
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:

@@ -15,7 +15,7 @@ PLAIN = {
     "n": "count(v)", "mu": "avg(v)", "var": "var_pop(v)", "mn": "min(v)", "mx": "max(v)", "s": "sum(v)",
     "ss": "sum(v*v)", "sa": "sum(abs(v))", "sk": "skewness(v)", "ku": "kurtosis(v)",
     "v_first": "min_by(v, t)", "v_last": "max_by(v, t)",
-    "slope": "regr_slope(v, t)", "icept": "regr_intercept(v, t)", "rv": "corr(v, t)",
+    "slope": "regr_slope(v, t)", "icept": "regr_intercept(v, t)", "rv": "try_divide(covar_pop(v, t), stddev_pop(v) * stddev_pop(t))",
     "ca0": "count_if(v >= 0)", "cb0": "count_if(v <= 0)",
     "vc0": "count_if(v = 0)", "vc1": "count_if(v = 1)", "vcm1": "count_if(v = -1)",
     "rc1": "count_if(v >= -1 and v < 1)", "rcneg": "count_if(v >= -1e12D and v < 0)",

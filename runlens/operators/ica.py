@@ -62,7 +62,7 @@ def _local(rows: DataFrame, table: DataFrame, k: int, max_iter: int, tol: float,
     small = table.where(F.col("n") <= LOCAL_SAMPLES)
     joined = attach_per_run(rows, small.select(*KEYS, "last_t", "kmat", "kcen"), KEYS, block)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.sort_values("t")["x"].to_numpy())
         base = np.stack(pdf["kmat"].iloc[0])
         white = (x - np.asarray(pdf["kcen"].iloc[0])) @ base.T
