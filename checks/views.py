@@ -26,9 +26,8 @@ def runs(spark, sf, two=False) -> DataFrame:
     rows = li.select(fault.cast("int").alias("faultNumber"), F.col("l_suppkey").cast("int").alias("simulationRun"),
                      "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
                      F.array(*x).alias("x"))
-    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
     rows = with_position(rows, order=["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
-                         block=month)
+                         block=F.datediff("l_shipdate", F.lit("1990-01-01")))
     return rows.select("faultNumber", "simulationRun", (F.col("t") + 1).cast("int").alias("sample"), "t", "x")
 
 
@@ -37,7 +36,7 @@ def user_series(spark, sf) -> DataFrame:
     ev = table(spark, sf, "events").select(
         F.lit(0).alias("faultNumber"), F.col("user_id").cast("int").alias("simulationRun"), "ts", "event_id",
         F.array("value").alias("x"))
-    rows = with_position(ev, order=["ts", "event_id"], block=F.datediff("ts", F.lit("2020-01-01")))
+    rows = with_position(ev, order=["ts", "event_id"], block=F.expr("unix_timestamp(ts) div 3600"))
     return rows.select("faultNumber", "simulationRun", (F.col("t") + 1).cast("int").alias("sample"), "t", "x")
 
 
@@ -50,7 +49,7 @@ def typed_series(spark, sf) -> DataFrame:
     ev = table(spark, sf, "events").select(
         code.cast("int").alias("faultNumber"), F.col("user_id").cast("int").alias("simulationRun"), "ts", "event_id",
         F.array("value").alias("x"))
-    rows = with_position(ev, order=["ts", "event_id"], block=F.datediff("ts", F.lit("2020-01-01")))
+    rows = with_position(ev, order=["ts", "event_id"], block=F.expr("unix_timestamp(ts) div 3600"))
     return rows.select("faultNumber", "simulationRun", (F.col("t") + 1).cast("int").alias("sample"), "t", "x")
 
 

@@ -25,11 +25,12 @@ from ..functions.kernels import KERNELS, series_features
 from ..schema import BLOCK, KEYS
 from . import feature_sql as fs
 from .values import ordered_counts, quantiles, value_counts
-from .windows import BLK, with_halo
+from .windows import block_column, with_halo
 
 # A series that must be whole for a kernel (spectrum, complexity, unit root) may have this many samples.
 WHOLE_LIMIT = 1 << 24
 HALO = max(fn.PEAKS)
+BLK = "blk"
 TOKEN = re.compile(r"[a-z_][a-z_0-9]*", re.IGNORECASE)
 SUM_STATS = ("n", "mu", "var", "mn", "mx", "sa", "ss", "rv")
 
@@ -92,7 +93,7 @@ def plain_stats(long: DataFrame, wanted, keys) -> DataFrame:
 
 def block_rows(rows: DataFrame, stats: DataFrame, plan: Plan, width: int, keys, block: int) -> DataFrame:
     """One row per (run, block, channel): value arrays next to the series statistics."""
-    halo = with_halo(rows, plan.halo, plan.halo, block)
+    halo = with_halo(rows, plan.halo, plan.halo, block).withColumnRenamed(block_column(block), BLK)
     got = halo.groupBy(*keys, BLK).agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("arr"))
     per_run = stats.groupBy(*keys).agg(
         F.max("last_t").alias("_last"), F.sort_array(F.collect_list(F.struct("channel", *plan.plain))).alias("st"))

@@ -27,25 +27,37 @@ def finite(column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def _bin(value: str, lo: str, hi: str, bins: Column) -> Column:
+    """Equal-width bin of a value between two ends; grows with the value."""
+    share = (F.col(value) - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0))
+    place = F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) * bins).cast("double")
+    return F.least(bins - 1, place).cast("bigint")
+
+
 def ordered_counts(counts: DataFrame, group: list, value: str = "value", per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Adds to (group, value, n, ..): ``before`` = rows of the group with a smaller value, ``total``.
 
     ``counts`` holds one row per (group, value). Bin borders come from minimum and maximum, so a
-    recomputed partition gets the same bins.
+    recomputed partition gets the same bins. A bin that an outlier or a dense region left too full is
+    cut once more between its own ends.
     """
     spans = counts.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
                                        F.sum("n").alias("total"), F.count(F.lit(1)).alias("_d"))
     rows = salted_join(counts, spans, group, F.col(value))
     bins = F.ceil(F.col("_d") / F.lit(float(per_bin))).cast("double")
-    share = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    bin_no = F.least(bins - 1, F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) * bins).cast("double"))
-    rows = rows.withColumn("_b", bin_no.cast("bigint")).drop("_lo", "_hi", "_d")
-    totals = rows.groupBy(*group, "_b").agg(F.sum("n").alias("_s"))
-    earlier = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"))
-    inside = W.partitionBy(*group, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_b", _bin(value, "_lo", "_hi", bins)).drop("_lo", "_hi", "_d")
+    full = rows.groupBy(*group, "_b").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                                          F.count(F.lit(1)).alias("_d")).where(F.col("_d") > 4 * per_bin)
+    rows = salted_join(rows, full, [*group, "_b"], F.col(value), "left")
+    rows = rows.withColumn("_c", F.when(F.col("_d").isNull(), F.lit(0).cast("bigint")).otherwise(
+        _bin(value, "_lo", "_hi", bins))).drop("_lo", "_hi", "_d")
+    cell = [*group, "_b", "_c"]
+    totals = rows.groupBy(*cell).agg(F.sum("n").alias("_s"))
+    earlier = W.partitionBy(*group).orderBy("_b", "_c").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*cell, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"))
+    inside = W.partitionBy(*cell).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_i", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return rows.join(offsets, [*group, "_b"]).withColumn("before", F.col("_o") + F.col("_i")).drop("_b", "_o", "_i")
+    return rows.join(offsets, cell).withColumn("before", F.col("_o") + F.col("_i")).drop("_b", "_c", "_o", "_i")
 
 
 def quantiles(ordered: DataFrame, group: list, qs: list, value: str = "value", name: str = "q") -> DataFrame:

@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 
 from ..schema import BLOCK, FAULT, KEYS, SAMPLE
 
-BLK = "blk"
+
+
+def block_column(block: int) -> str:
+    """Name of the block number column; rows that carry it are already placed by (run, block)."""
+    return f"blk_{block}"
+
+
+def unplaced(df: DataFrame) -> DataFrame:
+    """Without block numbers, which no longer hold once positions change."""
+    return df.drop(*[c for c in df.columns if c.startswith("blk_")])
 
 
 def with_position(df: DataFrame, keys=KEYS, order=(SAMPLE,), block: Column | None = None,
@@ -25,7 +34,7 @@ def with_position(df: DataFrame, keys=KEYS, order=(SAMPLE,), block: Column | Non
     """
     keys, order = list(keys), list(order)
     block = F.expr(f"{SAMPLE} div {BLOCK}") if block is None else block
-    rows = df.withColumn("_pb", block)
+    rows = unplaced(df).withColumn("_pb", block)
     counts = rows.groupBy(*keys, "_pb").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_pb").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_pb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -37,7 +46,7 @@ def with_position(df: DataFrame, keys=KEYS, order=(SAMPLE,), block: Column | Non
 
 def dense_position(df: DataFrame, first: Column, name: str = "t") -> DataFrame:
     """Position by arithmetic where sample numbers have no gaps (see ``run_table`` for the check)."""
-    return df.withColumn(name, (F.col(SAMPLE) - first).cast("bigint"))
+    return unplaced(df).withColumn(name, (F.col(SAMPLE) - first).cast("bigint"))
 
 
 def run_table(df: DataFrame, keys=KEYS) -> DataFrame:
@@ -53,11 +62,14 @@ def attach_per_run(rows: DataFrame, per_run: DataFrame, keys=KEYS, block: int =
     """Join run-level values to samples without gathering a long run in one partition.
 
     The run-level side is repeated once per block of its run (``last_t`` tells how many), and both
-    sides meet on (run, block).
+    sides meet on (run, block). The block column stays on the rows: samples that a window or an
+    earlier join has placed by (run, block) are not shuffled again.
     """
-    side = (per_run.withColumn(BLK, F.explode_outer(F.expr(f"sequence(0L, cast({last} as bigint) div {block})")))
+    blk = block_column(block)
+    side = (per_run.withColumn(blk, F.explode_outer(F.expr(f"sequence(0L, cast({last} as bigint) div {block})")))
             .drop(last))
-    return rows.withColumn(BLK, F.expr(f"t div {block}")).join(side, [*keys, BLK]).drop(BLK)
+    placed = rows if blk in rows.columns else rows.withColumn(blk, F.expr(f"t div {block}"))
+    return placed.join(side, [*keys, blk])
 
 
 def with_halo(df: DataFrame, before: int = 0, after: int = 0, block: int = BLOCK) -> DataFrame:
@@ -70,7 +82,7 @@ def with_halo(df: DataFrame, before: int = 0, after: int = 0, block: int = BLOCK
         own,
         F.when(inside >= block - before, own + 1) if before else F.lit(None).cast("bigint"),
         F.when((inside < after) & (own > 0), own - 1) if after else F.lit(None).cast("bigint"))
-    return df.withColumn(BLK, F.explode_outer(F.array_compact(targets)))
+    return df.withColumn(block_column(block), F.explode_outer(F.array_compact(targets)))
 
 
 def with_neighbours(df: DataFrame, wanted: dict, keys=KEYS, block: int = BLOCK) -> DataFrame:
@@ -80,10 +92,11 @@ def with_neighbours(df: DataFrame, wanted: dict, keys=KEYS, block: int = BLOCK)
     """
     before = max([0] + [-o for _, o in wanted.values()])
     after = max([0] + [o for _, o in wanted.values()])
-    w = W.partitionBy(*keys, BLK).orderBy("t")
+    blk = block_column(block)
+    w = W.partitionBy(*keys, blk).orderBy("t")
     rows = with_halo(df, before, after, block)
     rows = rows.withColumns({name: F.lag(c, -o).over(w) for name, (c, o) in wanted.items()})
-    return rows.where(F.col(BLK) == F.expr(f"t div {block}")).drop(BLK)
+    return rows.where(F.col(blk) == F.expr(f"t div {block}"))
 
 
 def head_per_run(df: DataFrame, fault0: int | None, faulty: int | None) -> DataFrame:

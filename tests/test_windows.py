@@ -48,7 +48,7 @@ def test_position_with_gaps_and_any_block(spark):
 
 def test_no_window_holds_more_than_a_block_and_its_halo(spark):
     df, _ = make_runs(spark, LENGTHS)
-    sizes = windows.with_halo(df, 3, 2, 16).groupBy("faultNumber", "simulationRun", "blk").count()
+    sizes = windows.with_halo(df, 3, 2, 16).groupBy("faultNumber", "simulationRun", "blk_16").count()
     assert sizes.agg(F.max("count")).first()[0] <= 16 + 3 + 2
 
 
