@@ -22,7 +22,8 @@ def family(*calculators) -> list:
 def run(features, digits=4, block=4000):
     def query(spark, sf):
         long = ft.extract_features(user_series(spark, sf), ["value"], features, block=block, long_runs=block < 1000)
-        return long.select("simulationRun", "feature", rnd("value", digits).alias("value"))
+        finite = F.when(F.abs("value") < float("inf"), F.col("value"))
+        return long.select("simulationRun", "feature", rnd(finite, digits).alias("value"))
     return query
 
 
@@ -207,3 +208,38 @@ def f27(spark, sf):
 
 QUERIES["f27_p18_extract_selected"] = (f27, sql({fn.parse(n)[1]: e for n, e in zip(
     SELECTED, ["avg(v)", "regr_slope(v,t)", "avg(v*l1*l2)", "quantile_cont(v,0.1)"])}, LAGGED, "lg"))
+
+DFT = (f"kk AS (SELECT {K}, k, any_value(n) AS n, sqrt(pow(sum(v*cos(2*pi()*k*t/n)),2)+pow(sum(v*sin(2*pi()*k*t/n)),2)) AS amp "
+       f"FROM x, (SELECT unnest(range(0, 64)) AS k) WHERE k <= n//2 GROUP BY 1,2), "
+       f"mo AS (SELECT {K}, sum(amp*k)/sum(amp) AS m1, sum(amp*k*k)/sum(amp) AS m2, sum(amp*k*k*k)/sum(amp) AS m3, "
+       f"sum(amp*k*k*k*k)/sum(amp) AS m4 FROM kk GROUP BY 1), "
+       "mv AS (SELECT *, m2-m1*m1 AS vv FROM mo)")
+add("f21_fft_aggregated", {feature("fft_aggregated", aggtype="centroid"): first("m1"), feature("fft_aggregated", aggtype="variance"): first("vv"),
+                           feature("fft_aggregated", aggtype="skew"): "any_value((m3-3*m1*vv-m1*m1*m1)/pow(vv,1.5))",
+                           feature("fft_aggregated", aggtype="kurtosis"): "any_value((m4-4*m1*m3+6*m2*m1*m1-3*m1)/(vv*vv))"}, DFT, "mv")
+# Every user series is shorter than 256, so the density has one segment of the whole series.
+WELCH = (f"hw AS (SELECT {K}, t, n, v-mu AS u, 0.5-0.5*cos(2*pi()*t/n) AS h FROM x), "
+         f"wd AS (SELECT {K}, k, any_value(n) AS n, (pow(sum(u*h*cos(2*pi()*k*t/n)),2)+pow(sum(u*h*sin(2*pi()*k*t/n)),2))/sum(h*h) AS p "
+         "FROM hw, (SELECT unnest([2,5,8]) AS k) GROUP BY 1,2)")
+add("f22_welch_density", {feature("spkt_welch_density", coeff=k): f"sum(CASE WHEN k={k} THEN 2*p END)" for k in (2, 5, 8)}, WELCH, "wd", digits=3)
+
+
+def wavelet(c: int, w: int) -> str:
+    """Coefficient c of the convolution with 10*w Mexican-hat taps (series longer than the taps)."""
+    size = 10 * w
+    at = f"({c + (size - 1) // 2} - t)"
+    s = f"pow(({at} - {(size - 1) / 2})/{w}.0, 2)"
+    return (f"sum(CASE WHEN {at} BETWEEN 0 AND {size - 1} THEN v * 2/(sqrt(3.0*{w})*pow(pi(),0.25)) * (1-{s})*exp(-{s}/2) ELSE 0 END)")
+
+
+add("f22_wavelet_small", {feature("cwt_coefficients", widths=fn.WIDTHS, coeff=c, w=2): wavelet(c, 2) for c in range(15)}, digits=3)
+SAMPEN = f"""tm AS (SELECT {K}, t, sd, v AS a, lead(v) OVER (PARTITION BY {K} ORDER BY t) AS b, lead(v,2) OVER (PARTITION BY {K} ORDER BY t) AS c FROM x),
+prs AS (SELECT p."simulationRun", CASE WHEN p.c IS NOT NULL AND r.c IS NOT NULL AND abs(p.c-r.c) <= 0.2*p.sd THEN 1 ELSE 0 END AS three
+ FROM tm p JOIN tm r ON p."simulationRun"=r."simulationRun" AND p.t<>r.t AND abs(p.a-r.a) <= 0.2*p.sd AND abs(p.b-r.b) <= 0.2*p.sd)"""
+add("f26_sample_entropy", {feature("sample_entropy"): "-ln(nullif(sum(three),0)/count(*))"}, SAMPEN, "prs")
+FOUR = (f"hf AS (SELECT {K}, t, n, v-mu AS u, 0.5-0.5*cos(2*pi()*t/n) AS h FROM x), "
+        f"pw AS (SELECT {K}, k, any_value(n) AS n, (CASE WHEN k=0 OR 2*k=any_value(n) THEN 1 ELSE 2 END)*(pow(sum(u*h*cos(2*pi()*k*t/n)),2)+pow(sum(u*h*sin(2*pi()*k*t/n)),2))/sum(h*h) AS p "
+        f"FROM hf, (SELECT unnest(range(0, 64)) AS k) WHERE k <= n//2 GROUP BY 1,2), "
+        f"pr AS (SELECT {K}, p/max(p) OVER (PARTITION BY {K}) AS p FROM pw), pm AS (SELECT {K}, min(p) AS lo, count(*) AS c FROM pr GROUP BY 1), "
+        f"ph AS (SELECT {K}, least(1, floor((p-lo)/(1-lo)*2)) AS b, any_value(c) AS c, count(*) AS m FROM pr JOIN pm USING ({K}) GROUP BY 1,2)")
+add("f20_fourier_entropy_2", {feature("fourier_entropy", bins=2): "-sum(m/c*ln(m/c))"}, FOUR, "ph")

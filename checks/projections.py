@@ -89,6 +89,20 @@ def v9(spark, sf):
         *KEYS, "t", *[rnd(F.col("x")[i]).alias(f"h{i + 1}") for i in range(2)])
 
 
+def v3_total(spark, sf):
+    """All components of the lag stack together keep its total variance."""
+    y = run(spark, sf, ("dpca", 6), two=True, scaling="global_mean").select(*KEYS, "t", F.posexplode("x").alias("c", "v"))
+    per = y.groupBy(*KEYS, "c").agg(F.var_samp("v").alias("s"), F.count("*").alias("n"))
+    return per.groupBy(*KEYS).agg(F.max("n").alias("n"), rnd(F.sum("s")).alias("total"))
+
+
+def v5_one(spark, sf):
+    """One channel: the amplitude is the scaled signal, turned so that its peak is positive."""
+    df = rows(spark, sf, True).withColumn("x", F.array(F.round(F.col("x")[0], 6)))
+    ctx = projections.Context(PipelineConfig((("dyca", 1, 1),)), 1)
+    return projections.project(df, ("dyca", 1, 1), ctx).select(*KEYS, "t", rnd(F.abs(F.col("x")[0])).alias("y"))
+
+
 CUT = "cut AS (SELECT *, CAST(sample - 21 AS BIGINT) AS t FROM runs2 WHERE sample BETWEEN 21 AND 120)"
 
 
@@ -103,12 +117,15 @@ e AS (SELECT *, (p+s)/2 + sqrt((p-s)*(p-s)/4+o*o) AS l FROM m), u AS (SELECT *,
 w AS (SELECT {K}, ma, mb, va/sqrt(va*va+vb*vb) AS c, vb/sqrt(va*va+vb*vb) AS d FROM u)
 SELECT {K}, t, {q('abs((a-ma)*c+(b-mb)*d)')} AS y0, {q('abs((a-ma)*d-(b-mb)*c)')} AS y1 FROM cut JOIN w USING ({K})""")),
     "v3_project_dpca": (v3, None),
+    "v3_dpca_total_variance": (v3_total, R2(f"""WITH {CUT}, l AS (SELECT {K}, a, b, lag(a) {OVER} AS a1, lag(b) {OVER} AS b1, lag(a,2) {OVER} AS a2, lag(b,2) {OVER} AS b2 FROM cut)
+SELECT {K}, count(*) AS n, {q('var_samp(a)+var_samp(b)+var_samp(a1)+var_samp(b1)+var_samp(a2)+var_samp(b2)')} AS total FROM l WHERE a2 IS NOT NULL GROUP BY 1,2""")),
+    "v5_dyca_one_channel": (v5_one, R2(f"WITH {CUT}, m AS (SELECT {K}, avg(round(a,6)) AS m FROM cut GROUP BY 1,2) SELECT {K}, t, {q('abs(round(a,6)-m)')} AS y FROM cut JOIN m USING ({K})")),
     "v4_project_cva": (v4_one, R2(f"""WITH {CUT}, l AS (SELECT {K}, t, lag(a) {OVER} AS p FROM cut), m AS (SELECT {K}, avg(p) AS m, stddev_samp(p) AS s FROM l GROUP BY 1,2)
 SELECT {K}, t - 1 AS t, {q('abs((p-m)/s)')} AS y FROM l JOIN m USING ({K}) WHERE p IS NOT NULL""")),
     "v4_cva_unit_variance": (v4_unit, R2(f"WITH {CUT} SELECT DISTINCT {K}, c AS channel, CAST(99 AS BIGINT) AS n, 1.0::DOUBLE AS variance, true AS positive_peak, CAST(98 AS BIGINT) AS last_t FROM cut, (VALUES (0),(1)) v(c)")),
     "v5_project_dyca": (v5, None),
     "v6_project_ica": (v6_unit, R2(f"WITH {CUT} SELECT DISTINCT {K}, c AS channel, CAST(100 AS BIGINT) AS n, {q('100.0/99', 4)} AS variance, true AS positive_peak, CAST(99 AS BIGINT) AS last_t FROM cut, (VALUES (0),(1)) v(c)")),
     "v7_project_dycvda": (v7, None),
-    "v8_project_status": (v8_status, None),
+    "v8_project_status": (v8_status, R2(f"WITH {CUT} SELECT 'ok' AS status, count(*) AS count FROM (SELECT DISTINCT {K} FROM cut)")),
     "v9_registered_projection": (v9, R2(f"WITH {CUT} SELECT {K}, t, {q('a-b')} AS h1, {q('a+b')} AS h2 FROM cut")),
 }

@@ -50,6 +50,11 @@ def a15_relevance(spark, sf):
     return t.select("feature", "n_significant", rnd("p_min").alias("p_min"))
 
 
+def a15_plain(spark, sf):
+    t = ranking.relevance_table(feature_long(spark, sf), LABELS)
+    return t.select("feature", "n_significant", rnd("p_min").alias("p_min"))
+
+
 def pseudo_p(spark, sf):
     """A p-like number in (0, 1) per (feature, class), from class means."""
     f = feature_long(spark, sf).groupBy("feature", "label").agg(F.avg("value").alias("m"))
@@ -116,6 +121,7 @@ SELECT run_id, feature, {q("CASE WHEN value IS NULL OR isnan(value) THEN med WHE
 SELECT feature, value, count(*) AS n, min(k)::DOUBLE + (count(*)-1)/2 AS rank FROM r GROUP BY 1,2""")),
     "a15_mann_whitney": (a15_u, with_views("feat", f"WITH {COARSE}, {RANKS.format(src='coarse')} SELECT feature, label, n1, u, {q('z')} AS z FROM zz")),
     "a15_relevance_table": (a15_relevance, None),
+    "a15_relevance_values": (a15_plain, with_views("feat", f"WITH {RANKS.format(src='feat')}, {TAIL}, {FDR.format(src='p', b='', c=BY)} SELECT feature, CAST(sum(CAST(relevant AS INTEGER)) AS BIGINT) AS n_significant, {q('min(p)')} AS p_min FROM fdr GROUP BY 1")),
     "a16_fdr_dependent": (a16_by, with_views("feat", f"WITH {PSEUDO}, {FDR.format(src='ps', b='', c=BY)} SELECT feature, label, relevant FROM fdr")),
     "a16_fdr_blocks": (a16_bh, with_views("feat", f"WITH {PSEUDO}, pb AS (SELECT *, CAST((dense_rank() OVER (ORDER BY feature)-1)//20 AS INTEGER) AS block FROM ps), {FDR.format(src='pb', b=', block', c='1.0')} SELECT feature, label, block, relevant FROM fdr")),
     "t1_rank_features": (t1, with_views("feat", f"{RANKED} SELECT feature, n_significant, {q('f_value', 5)} AS f_value FROM rt")),

@@ -22,11 +22,14 @@ class Study:
     """One study over ``cfg.configs``.
 
     ``read`` maps "train"/"test" to samples (keys, sample, x); it is called only for what is not stored.
+    Extraction runs in waves of ``per_wave`` out of ``buckets`` run buckets and resumes after an interruption.
     """
 
     def __init__(self, spark: SparkSession, cfg: PipelineConfig, read: Callable[[str], DataFrame], base: str,
-                 channels=tuple(CHANNELS), cutoff: dict | None = None, dense: bool = True):
+                 channels=tuple(CHANNELS), cutoff: dict | None = None, dense: bool = True, buckets: int = 16,
+                 per_wave: int = 16):
         self.spark, self.cfg, self.read, self.base = spark, cfg, read, base
+        self.buckets, self.per_wave = buckets, per_wave
         self.channels, self.cutoff, self.dense = list(channels), cutoff, dense
         self.names = projections.validate(cfg.configs)
         self.scaler = prep.fit_scaler(read("train")) if cfg.scaling_mode == "scaler" else None
@@ -48,14 +51,20 @@ class Study:
         return long.select(prep.run_id().cast("bigint").alias("run_id"), F.col(KEYS[0]).alias("label"),
                            F.lit(split).alias("split"), "feature", "value")
 
+    def _extract(self, spec, name, split: str, how: Callable, **extra) -> DataFrame:
+        channels = projections.channel_names(spec, self.channels)
+
+        def build(rows):
+            return how(projections.project(rows, spec, self.context), channels)
+
+        path = f"{self.base}/features/{store.fingerprint(self.cfg, config=name, split=split, **extra)}"
+        return self._tag(store.extract_resumable(self.spark, lambda: self._rows(split), path, build, self.buckets,
+                                                 self.per_wave), split)
+
     def train_features(self, spec, name) -> DataFrame:
         """All features of the training runs, stored."""
-        def build():
-            rows = projections.project(self._rows("train"), spec, self.context)
-            names = projections.channel_names(spec, self.channels)
-            return self._tag(features.extract_features(rows, names, self.cfg.feature_set, block=self.cfg.block,
-                                                       long_runs=self._long_runs()), "train")
-        return store.materialise(self.spark, self.base, "features", self.cfg, build, config=name, split="train")
+        return self._extract(spec, name, "train", lambda rows, channels: features.extract_features(
+            rows, channels, self.cfg.feature_set, block=self.cfg.block, long_runs=self._long_runs()))
 
     def rank(self, spec, name) -> DataFrame:
         def build():
@@ -69,13 +78,8 @@ class Study:
 
     def test_features(self, spec, name, wanted) -> DataFrame:
         """Only the selected features, on the test runs, stored."""
-        def build():
-            rows = projections.project(self._rows("test"), spec, self.context)
-            names = projections.channel_names(spec, self.channels)
-            return self._tag(features.extract_selected(rows, names, wanted, block=self.cfg.block,
-                                                       long_runs=self._long_runs()), "test")
-        return store.materialise(self.spark, self.base, "features", self.cfg, build, config=name, split="test",
-                                 names=sorted(wanted))
+        return self._extract(spec, name, "test", lambda rows, channels: features.extract_selected(
+            rows, channels, wanted, block=self.cfg.block, long_runs=self._long_runs()), names=sorted(wanted))
 
     def matrices(self) -> dict:
         """{config: (train, test)} as feature arrays over the runs common to all configs."""

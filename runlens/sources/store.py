@@ -72,16 +72,18 @@ def run_bucket(buckets: int, keys=KEYS):
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def extract_resumable(spark: SparkSession, rows: DataFrame, path: str, build: Callable[[DataFrame], DataFrame],
+def extract_resumable(spark: SparkSession, rows: DataFrame | Callable[[], DataFrame], path: str, build: Callable[[DataFrame], DataFrame],
                       buckets: int = 64, per_wave: int = 16, keys=KEYS) -> DataFrame:
     """Run ``build`` over waves of run buckets; finished buckets are skipped after an interruption.
 
-    Each bucket is a folder of its own with a success mark. ``build`` keeps the run keys.
+    Each bucket is a folder of its own with a success mark. ``build`` keeps the run keys. ``rows`` may be
+    a function; it is called only when a bucket is missing.
     """
     todo = [b for b in range(buckets) if not stored(spark, f"{path}/run_bucket={b}")]
+    source = (rows() if callable(rows) else rows) if todo else None
     for lo in range(0, len(todo), per_wave):
         wave = todo[lo:lo + per_wave]
-        part = build(rows.where(run_bucket(buckets, keys).isin(wave)))
+        part = build(source.where(run_bucket(buckets, keys).isin(wave)))
         marked = part.withColumn("run_bucket", run_bucket(buckets, keys))
         staging = f"{path}/_wave_{wave[0]}"
         marked.write.mode("overwrite").partitionBy("run_bucket").parquet(staging)
@@ -89,8 +91,10 @@ def extract_resumable(spark: SparkSession, rows: DataFrame, path: str, build: Ca
             _publish(spark, f"{staging}/run_bucket={b}", f"{path}/run_bucket={b}")
         p, fs = _path(spark, staging)
         fs.delete(p, True)
-    return spark.read.option("basePath", path).parquet(*[f"{path}/run_bucket={b}" for b in range(buckets)
-                                                         if _has_rows(spark, f"{path}/run_bucket={b}")])
+    filled = [f"{path}/run_bucket={b}" for b in range(buckets) if _has_rows(spark, f"{path}/run_bucket={b}")]
+    if not filled:
+        raise RuntimeError(f"no run produced a result under {path}")
+    return spark.read.option("basePath", path).parquet(*filled)
 
 
 def _publish(spark, source: str, target: str) -> None:
