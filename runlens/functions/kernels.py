@@ -6,6 +6,7 @@ and the list of wanted parameter sets and returns one number per set (NaN where
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -139,15 +140,27 @@ def ridge_peaks(x, n: int) -> int:
     if not kept:
         return 0
     half, odd = divmod(math.ceil(c.shape[1] / 20), 2)
-    size, count = 2 * half + odd, 0
-    inside = np.percentile(np.lib.stride_tricks.sliding_window_view(c[0], size), 10, axis=1) if size <= c.shape[1] else []
-    for rows, cols in kept:
-        r = min(rows)
-        p = cols[rows.index(r)]
-        lo, hi = p - half, p + half + odd
-        floor = inside[lo] if lo >= 0 and hi <= c.shape[1] else np.percentile(c[0, max(lo, 0):hi], 10)
-        count += bool(floor != 0 and abs(c[r, p] / floor) >= 1)
-    return count
+    places = [(min(rows), cols[rows.index(min(rows))]) for rows, cols in kept]
+    floors = noise_floor(c[0], half, half + odd, [p for _, p in places])
+    return sum(bool(floors[p] != 0 and abs(c[r, p] / floors[p]) >= 1) for r, p in places)
+
+
+def noise_floor(row, before: int, after: int, wanted) -> dict:
+    """Tenth percentile of row[p-before:p+after] for the wanted places, by one sorted window that moves along."""
+    n = len(row)
+    values, window, lo, hi, out = row.tolist(), [], 0, 0, {}
+    for p in sorted(set(wanted)):
+        while hi < min(p + after, n):
+            bisect.insort(window, values[hi])
+            hi += 1
+        while lo < p - before:
+            del window[bisect.bisect_left(window, values[lo])]
+            lo += 1
+        place = 0.1 * (len(window) - 1)
+        k = int(place)
+        top = window[min(k + 1, len(window) - 1)]
+        out[p] = window[k] + (top - window[k]) * (place - k)
+    return out
 
 
 def number_cwt_peaks(x, wanted):
