@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from runlens.session import checkpoint_dir
 
@@ -15,6 +16,10 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Rows handled at once inside Python tasks, and the text they may hold; both only bound memory.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
+#: Everything but lower-case letters, digits and bytes of non-ASCII characters separates words; A-Z are lowered.
+FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
+             for b in range(256))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +46,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: StructType, columns) -> StructType:
+    """`schema` and further (name, type) columns, for operators that add columns to every row."""
+    return StructType([*schema.fields, *DataType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in columns)).fields])
+
+
 def slices(batch, column: str = "text"):
     """Cut an Arrow batch into pieces of bounded rows and bytes, so that Python objects stay small."""
     at, sizes = 0, batch.column(batch.schema.get_field_index(column))

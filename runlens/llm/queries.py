@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["exact_dedup", "mixing"]
+PARTS = ["quality", "html_text", "licenses", "mixing", "exact_dedup", "toxicity", "warc"]
 
 
 def registry() -> dict:
