@@ -3,13 +3,15 @@
 P(grade <= k) = sigmoid(theta_k - w x): one weight per word shared by all ordered thresholds theta_1 < theta_2 < .. The output is
 the expected grade, sum of P(grade > k).
 
-Training data. Labels say toxic or not; toxic rows are graded 1..3 by terciles of how many marker words they hold (markers:
-words whose share among toxic rows exceeds that among clean rows by `z_least` standard errors). The fit uses a bounded sample:
+Training data. Labels say toxic or not; toxic rows are graded 1..3 by terciles of how many markers they hold (markers:
+features whose share among toxic rows exceeds that among clean rows by `z_least` standard errors). The fit uses a bounded sample:
 at most `per_class` labelled documents of either kind, those with the smallest MD5 of seed and id. Word statistics are
-Spark aggregations over the sample; the driver receives at most `vocabulary` words and the sample's sparse vectors over
+Spark aggregations over the sample; the driver receives at most `vocabulary` features and the sample's sparse vectors over
 them. Scoring covers every document and its whole text.
 
-Features: 1 + log(count) of each vocabulary word in the lower-cased text; words are runs of letters, digits and characters outside ASCII.
+Features: how often each word and each word beginning of 3, 4 and 6 characters of the vocabulary occurs in the lower-cased
+text, divided by sqrt(1 + words / 200), so that a stray word in a long text weighs little; words are runs of letters,
+digits and characters outside ASCII. Beginnings stand for inflected forms.
 
 Defined cases: null text has no words and gets the grade of the empty text; null labels are not used; rows repeated with one
 id count once as label (toxic wins) and are scored alike; null ids match no label; without rows of both kinds no word has a
@@ -40,8 +42,27 @@ class Ordinal:
     thresholds: list[float]
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.lower().encode().translate(FOLD).split()
+#: Lengths of the word beginnings that are features.
+STARTS = (3, 4, 6)
+
+
+def tokens(text: str) -> list[str]:
+    return text.lower().encode().translate(FOLD).decode().split()
+
+
+def features(words: Counter) -> Counter:
+    """Counts of whole words ("word$") and of their beginnings."""
+    out: Counter = Counter()
+    for word, n in words.items():
+        out[word + "$"] += n
+        for k in STARTS:
+            if len(word) >= k:
+                out[word[:k]] += n
+    return out
+
+
+def damping(n_words: int) -> float:
+    return 1 / math.sqrt(1 + n_words / 200)
 
 
 def fit_ordinal(x: np.ndarray, y: np.ndarray, levels: int, l2: float = 1e-3, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +102,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text
     return rows.join(F.broadcast(ids), "__id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: int = 512, z_least: float = 4.0,
-        least_docs: int = 3, levels: int = 4, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> Ordinal:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: int = 512, z_least: float = 6.0,
+        least_docs: int = 5, levels: int = 4, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> Ordinal:
     import pyarrow as pa
 
     chosen = sample(docs, labels, per_class, id_col, text_col, seed).select("toxic", "text")
@@ -90,12 +111,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: i
     def bags(batches):
         for batch in batches:
             for part in slices(batch):
-                found = [sorted(Counter(tokens(t or "")).items()) for t in part.column(1).to_pylist()]
+                words = [tokens(t or "") for t in part.column(1).to_pylist()]
+                found = [sorted(features(Counter(w)).items()) for w in words]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int32()), pa.array([[w.decode() for w, _ in b] for b in found], pa.list_(pa.string())),
-                     pa.array([[c for _, c in b] for b in found], pa.list_(pa.int64()))], names=["toxic", "words", "counts"])
+                    [part.column(0).cast(pa.int32()), pa.array([[w for w, _ in b] for b in found], pa.list_(pa.string())),
+                     pa.array([[c * damping(len(w)) for _, c in b] for b, w in zip(found, words)], pa.list_(pa.float64())),
+                     pa.array([[c for _, c in b] for b in found], pa.list_(pa.int64()))],
+                    names=["toxic", "words", "values", "counts"])
 
-    rows = chosen.mapInArrow(bags, "toxic int, words array<string>, counts array<long>")
+    rows = chosen.mapInArrow(bags, "toxic int, words array<string>, values array<double>, counts array<long>")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
@@ -114,18 +138,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: i
 
     def vectors(batches):
         for batch in batches:
-            for toxic, ws, cs in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                hits = [(at[w], c) for w, c in zip(ws, cs) if w in at]
-                yield pa.RecordBatch.from_pylist([{"toxic": toxic, "i": [h[0] for h in hits], "c": [h[1] for h in hits],
-                                                   "m": sum(w in markers for w in ws)}],
-                                                 schema=pa.schema([("toxic", pa.int32()), ("i", pa.list_(pa.int32())),
-                                                                   ("c", pa.list_(pa.int64())), ("m", pa.int32())]))
-
-    data = rows.mapInArrow(vectors, "toxic int, i array<int>, c array<long>, m int").collect()
-    data.sort(key=lambda r: (r["toxic"], r["m"], r["i"], r["c"]))
-    x = np.zeros((len(data), len(words)), dtype=np.float32)
+            kept = []
+            for toxic, ws, vs, cs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                hits = [(at[w], v) for w, v in zip(ws, vs) if w in at]
+                kept.append({"toxic": toxic, "i": [i for i, _ in hits], "v": [v for _, v in hits],
+                             "m": sum(c for w, c in zip(ws, cs) if w in markers)})
+            yield pa.RecordBatch.from_pylist(kept, schema=pa.schema([
+                ("toxic", pa.int32()), ("i", pa.list_(pa.int32())), ("v", pa.list_(pa.float64())), ("m", pa.int64())]))
+
+    data = rows.mapInArrow(vectors, "toxic int, i array<int>, v array<double>, m long").collect()
+    data.sort(key=lambda r: (r["toxic"], r["m"], r["i"], r["v"]))
+    x = np.zeros((len(data), len(words)))
     for row, r in zip(x, data):
-        row[r["i"]] = [1 + math.log(c) for c in r["c"]]
+        row[r["i"]] = r["v"]
     graded = np.array([r["m"] for r in data if r["toxic"] == 1])
     cuts = np.unique(np.quantile(graded, [i / (levels - 1) for i in range(1, levels - 1)], method="lower"))
     y = np.array([0 if r["toxic"] == 0 else 1 + int((r["m"] > cuts).sum()) for r in data])
@@ -143,7 +168,8 @@ def grade_texts(docs: DataFrame, model: Ordinal, text_col: str = "text", prefix:
     """`docs` with expected severity, most probable grade and P(grade > 0)."""
     import pyarrow as pa
 
-    weight = {w.encode(): v for w, v in zip(model.words, model.weights)}
+    weight = dict(zip(model.words, model.weights))
+    gate = {w.rstrip("$")[:STARTS[0]] for w in weight}
     theta = np.array(model.thresholds)
     at = docs.columns.index(text_col)
 
@@ -152,8 +178,9 @@ def grade_texts(docs: DataFrame, model: Ordinal, text_col: str = "text", prefix:
             for part in slices(batch, batch.schema.names[at]):
                 z = []
                 for text in part.column(at).to_pylist():
-                    hits = Counter(filter(weight.__contains__, tokens(text or ""))) if weight else {}
-                    z.append(sum(weight[w] * (1 + math.log(c)) for w, c in sorted(hits.items())))
+                    words = tokens(text or "") if weight else []
+                    hits = features(Counter(w for w in words if w[:STARTS[0]] in gate))
+                    z.append(damping(len(words)) * sum(weight[w] * c for w, c in sorted(hits.items()) if w in weight))
                 above = 1 / (1 + np.exp(np.clip(theta[None, :] - np.array(z)[:, None], -500, 500))) if len(theta) else np.zeros((len(z), 1))
                 mass = np.diff(np.concatenate([np.ones((len(z), 1)), above, np.zeros((len(z), 1))], axis=1) * -1, axis=1)
                 new = [pa.array(above.sum(axis=1), pa.float64()), pa.array(mass.argmax(axis=1), pa.int32()),
