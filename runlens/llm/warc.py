@@ -1,7 +1,8 @@
 """WARC archives: Spark writes them, a salvage reader reads them back and logs what it had to skip.
 
 Writing: one record per row. Rows with equal payloads (SHA-1, a second hash and the length) of at least `revisit_from` bytes
-share one response, that of the largest id; the others become revisits that refer to it. Records are text, and Spark's
+share one response, that of the largest id; the others become revisits that refer to it. The shared payloads are a stored
+table of digests: Spark broadcasts it if its file size allows, and else shuffles the pages by digest. Records are text, and Spark's
 text sink with the record terminator as line separator writes them, so archives appear through Spark's commit protocol in
 any file system it knows; `records` bounds the records of one archive.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.common import stored_path, table
+from runlens.llm.common import stored, stored_path, table
 
 END = "\r\n\r\n"
 SCHEMA = ("archive string, start long, stop long, kind string, reason string, record_type string, record_id string, "
@@ -42,8 +43,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
             .withColumn("digest", F.sha1(F.col("payload").cast("binary")))
             .withColumn("second", F.xxhash64("payload")))
     key = ["digest", "second", "bytes"]
-    shared = (rows.where(F.col("bytes") >= revisit_from).groupBy(key)
-              .agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    shared = stored(rows.where(F.col("bytes") >= revisit_from).groupBy(key)
+                    .agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-shared")
     rows = rows.join(shared, key, "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
