@@ -44,8 +44,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def windows(rows: DataFrame, min_words: int) -> DataFrame:
-    """(__id, __key, first, last, mark, k1, k2): complete windows forward from and backward to each line; `mark` is the
-    fingerprint of the window that starts at `first`."""
+    """(__id, __key, first, last, mark, fresh, k1, k2): complete windows forward from and backward to each line; `mark` is the
+    fingerprint of the window that starts at `first`, `fresh` is 1 where the place of a fingerprint is first selected."""
     place = W.partitionBy(DOC).orderBy("pos")
     rows = (rows.withColumn("upto", F.sum("words").over(place.rowsBetween(W.unboundedPreceding, 0)))
             .withColumn("ahead", F.col("upto") - F.col("words"))
@@ -54,19 +54,22 @@ def windows(rows: DataFrame, min_words: int) -> DataFrame:
     backward = W.partitionBy(DOC).orderBy("upto").rangeBetween(-(min_words - 1), 0)
     pair = F.struct("h1", "h2")
     rows = (rows.withColumn("f_last", F.max("pos").over(forward))
-            .withColumn("f_mark", F.min("h1").over(forward))
+            .withColumn("f_least", F.min(F.struct("h1", "pos")).over(forward))
+            .withColumn("f_mark", F.col("f_least.h1"))
+            # Windows that share one place of their minimum are neighbours: the fingerprint is counted at the first.
+            .withColumn("f_fresh", F.coalesce(F.lag("f_least.pos").over(place) != F.col("f_least.pos"), F.lit(True)))
             .withColumn("f_hashes", F.collect_list(pair).over(forward))
             .withColumn("b_first", F.min("pos").over(backward))
             .withColumn("b_mark", F.first("f_mark").over(backward))
             .withColumn("b_reach", F.first("f_last").over(backward))
             .withColumn("b_hashes", F.collect_list(pair).over(backward)))
-    shape = lambda first, last, mark, hashes: F.struct(
-        F.col(first).alias("first"), F.col(last).alias("last"), F.col(mark).alias("mark"),
+    shape = lambda first, last, mark, fresh, hashes: F.struct(
+        F.col(first).alias("first"), F.col(last).alias("last"), F.col(mark).alias("mark"), fresh.cast("int").alias("fresh"),
         F.xxhash64(hashes).alias("k1"), F.xxhash64(F.lit(1), hashes).alias("k2"))
-    ahead = F.when(F.col("total") - F.col("ahead") >= min_words, shape("pos", "f_last", "f_mark", "f_hashes"))
+    ahead = F.when(F.col("total") - F.col("ahead") >= min_words, shape("pos", "f_last", "f_mark", F.col("f_fresh"), "f_hashes"))
     # A backward window that is also the forward window of its first line is there already.
     back = F.when((F.col("upto") >= min_words) & (F.col("b_reach") < F.col("pos")),
-                  shape("b_first", "pos", "b_mark", "b_hashes"))
+                  shape("b_first", "pos", "b_mark", F.lit(False), "b_hashes"))
     return (rows.select(*DOC, F.explode(F.filter(F.array(ahead, back), lambda w: w.isNotNull())).alias("w"))
             .select(*DOC, "w.*"))
 
@@ -74,8 +77,7 @@ def windows(rows: DataFrame, min_words: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(__id, __key, runs): per document the line ranges [first, last] to delete, apart and in order."""
     found = windows(lines(docs), min_words)
-    # Windows with one minimum are neighbours, so a fingerprint counts once per document and first window.
-    marks = found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    marks = found.groupBy("mark").agg(F.sum("fresh").alias("n")).where("n > 1").select("mark")
     candidates = found.join(marks, "mark", "left_semi")
     earliest = (candidates.groupBy("k1", "k2")
                 .agg(F.min(F.struct(*DOC, "first")).alias("origin"), F.count(F.lit(1)).alias("n"))
