@@ -46,6 +46,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast (some 30 MB as a hash table); beyond it the join shuffles.
+BROADCAST_ROWS = 1 << 19
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a stored, narrow table after counting it; a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def extended(schema: StructType, columns) -> StructType:
     """`schema` and further (name, type) columns, for operators that add columns to every row."""
     return StructType([*schema.fields, *DataType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in columns)).fields])

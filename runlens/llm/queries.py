@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["line_dedup", "quality", "html_text", "licenses", "mixing", "exact_dedup", "pieces", "toxicity", "warc"]
+PARTS = ["near_dedup", "line_dedup", "quality", "html_text", "licenses", "mixing", "exact_dedup", "pieces", "toxicity", "warc"]
 
 
 def registry() -> dict:
