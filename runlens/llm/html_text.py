@@ -4,7 +4,8 @@ A page becomes a sequence of items: runs of words and tags. A word scores positi
 contiguous region with the largest sum. How much each kind counts is learned: pages that mark their own article (exactly one
 <article>, or one <main> and no <article>) are labels, and the weight of an item kind is the log-odds of standing inside
 rather than outside the marked element (counts over all such pages; one row per kind, and kinds are a fixed list of
-tag names). Words are clipped to +0.2 .. +2 and tags to -3 .. -0.01, as the method wants.
+tag names), drawn towards a prior weight where a kind is rare. Words are clipped to +0.2 .. +2 and tags to -3 .. -0.01, as
+the method wants.
 
 Parts that are never main text (menus, adverts, forms, reader comments ..., known by tag, role, class or id) and, on pages that
 mark an article, everything outside the largest one give no words, neither to the score nor to the text; their tags cost
@@ -58,7 +59,9 @@ ITEM = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=?\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']*))", re.I)
 KINDS = tuple(sorted(BLOCK | INLINE)) + ("other",)
 KNOWN = frozenset(KINDS)
-PRIOR = {"word": 1.0, "tag": -0.5, "dropped": -0.05}
+#: Weights before any label, and how many counted items they are worth.
+PRIOR = {"word": 1.0, "tag": -0.1, "dropped": -0.05}
+BELIEF = 50
 #: Names like "has-sidebar" or "no-comments" speak of the page, not of the element.
 ABOUT = re.compile(r"\b(?:has|with|without|no|hide|show|is)[-_]+[a-z]+")
 
@@ -225,6 +228,8 @@ def learn(pages: DataFrame, html_col: str = "html", smoothing: float = 1.0) -> d
     for kind in {k for k, _ in seen}:
         inside, outside = seen.get((kind, True), 0) + smoothing, seen.get((kind, False), 0) + smoothing
         odds = math.log(inside / (all_in + smoothing)) - math.log(outside / (all_out + smoothing))
+        n = inside + outside
+        odds = (n * odds + BELIEF * PRIOR["word" if kind == "word" else "tag"]) / (n + BELIEF)
         weights[kind] = min(2.0, max(0.2, odds)) if kind == "word" else max(-3.0, min(-0.01, odds))
     return {"word": PRIOR["word"], **weights}
 

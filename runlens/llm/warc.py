@@ -80,6 +80,7 @@ def write_archives(pages: DataFrame, path: str, records_per_archive: int = 2000,
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 MAX_HEAD = 1 << 16
+ONCE = frozenset((b"warc-type", b"warc-record-id", b"content-length", b"warc-payload-digest"))
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
@@ -93,9 +94,12 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     head: dict[bytes, bytes] = {}
     for row in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = row.partition(b":")
-        if not colon or not name.strip():
+        name = name.strip().lower()
+        if not colon or not name or b"WARC/1." in value:
             return None, at, "bad header line"
-        head[name.strip().lower()] = value.strip()
+        if name in ONCE and name in head:  # the headers of two records run together
+            return None, at, "repeated header"
+        head[name] = value.strip()
     length = head.get(b"content-length", b"")
     if not length.isdigit():
         return None, at, "bad content length"
