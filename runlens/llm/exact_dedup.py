@@ -78,13 +78,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of `docs` that stay, with all their columns."""
     columns = docs.columns
     keep = winners(docs, id_col, text_col, salts).select(
-        F.col("__sha").alias("__ksha"), F.col("__check").alias("__kcheck"), "keep_id", "group_size")
+        F.col("__sha").alias("__ksha"), F.col("__check").alias("__kcheck"),
+        F.col("keep_id").alias("__keep"), F.col("group_size").alias("__rows"))
     rows = normalised(docs, text_col)
     stay = rows.join(keep, (F.col("__sha") == F.col("__ksha")) & (F.col("__check") == F.col("__kcheck"))
-                     & F.col(id_col).eqNullSafe(F.col("keep_id")))
+                     & F.col(id_col).eqNullSafe(F.col("__keep")))
     # Only groups of several rows can hold one id twice; of such rows the longest, then any one of equals, stays.
-    single = stay.where("group_size = 1").select(columns)
-    several = stay.where("group_size > 1")
+    single = stay.where("__rows = 1").select(columns)
+    several = stay.where("__rows > 1")
     best = (several.groupBy("__sha", "__check").agg(F.max(F.struct("__n", *_sortable(several, columns))).alias("__row"))
             .select(*[F.col(f"__row.{_tick(c)}").alias(c) for c in _sortable(several, columns)]))
     missing = [c for c in columns if c not in best.columns]

@@ -172,8 +172,10 @@ def line_truth(rows, least):
         cut = set()
         for _, body, first, last in sorted(runs, key=lambda r: r[0]):
             if body in seen:
-                cut.update(range(first, last + 1))
+                cut.update(k for k, _, _ in real if first <= k <= last)
             seen.add(body)
+        for (a, _, _), (b, _, _) in zip(real, real[1:]):
+            cut.update(range(a, b) if a in cut and b in cut else ())
         out[i, t] = (i, len(parts), len(cut), None if t is None else "\n".join(x for k, x in enumerate(parts) if k not in cut))
     return sorted((out[i, t] for i, t, _ in rows), key=str)
 
