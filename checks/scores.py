@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators import baselines, metrics, reports, sets
+from runlens.operators import baselines, metrics, models, prep, reports, sets
+from runlens.session import checkpoint_dir
 
-from .views import feature_long, q, rnd, typed_series, vectors, with_views
+from .views import feature_long, q, rnd, table, typed_series, vectors, with_views
 
 LABELS = list(range(10))
 # Configs of the fixture: which of the 64 values a config uses.
@@ -36,15 +38,33 @@ def cm(spark, sf):
     return metrics.confusion_counts(preds(spark, sf), LABELS)
 
 
-def boards(spark, sf) -> DataFrame:
-    """Leaderboard of configs x models; the cv columns are filled from the test score of a sister set."""
-    parts = []
+FOLDS = 3
+BOARDS: dict = {}
+
+
+def board(spark, sf) -> DataFrame:
+    """Leaderboard of configs x models by ``summary_rows``; cross-validation over the training rows for all but the majority."""
+    preds_, cv = [], []
     for c in CONFIGS:
-        for m in MODELS:
-            s = metrics.scores(metrics.confusion_counts(predict(spark, sf, c, m), LABELS))
-            cv = F.lit(None).cast("double") if m == "majority" else F.round(F.lit(1.0) - F.col("balanced_acc"), 9)
-            parts.append(s.withColumn("model", F.lit(m)).withColumn("cv_mean", cv))
-    return reduce(DataFrame.unionByName, parts).select("config", "model", "balanced_acc", "macro_f1", "cv_mean")
+        folded = models.fold_column(matrix(spark, sf, c).where("split = 'train'"), FOLDS).cache()
+        for m, fit in MODELS.items():
+            preds_.append(predict(spark, sf, c, m).withColumn("model", F.lit(m)))
+            scores = models.fold_scores(folded, fit, FOLDS, LABELS) if m != "majority" else None
+            row = scores.agg(F.avg("balanced_acc"), F.stddev_pop("balanced_acc")).first() if scores is not None else (None, None)
+            cv.append((c, m, row[0], row[1]))
+        folded.unpersist()
+    table_ = spark.createDataFrame(cv, "config string, model string, cv_mean double, cv_std double")
+    return models.summary_rows(reduce(DataFrame.unionByName, preds_), table_, LABELS)
+
+
+def boards(spark, sf) -> DataFrame:
+    """The leaderboard, stored once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in BOARDS:
+        path = f"{checkpoint_dir(spark)}/runlens-board-{uuid.uuid4().hex}"
+        board(spark, sf).write.parquet(path)
+        BOARDS[key] = path
+    return spark.read.parquet(BOARDS[key]).select("config", "model", "balanced_acc", "macro_f1", "cv_mean")
 
 
 def rounded(df, *cols, digits=6):
@@ -76,6 +96,21 @@ bay_{config} AS (SELECT '{config}' AS config, run_id, y_true, y_pred FROM (SELEC
  row_number() OVER (PARTITION BY run_id ORDER BY d, cand) AS r FROM nbd_{config}) WHERE r = 1)"""
 
 
+def _cv_sql(config):
+    """Mean balanced accuracy over the folds: every fold is predicted from the other ones."""
+    best = "row_number() OVER (PARTITION BY run_id ORDER BY d, cand)"
+    score = lambda name, m: f"""SELECT '{config}' AS config, '{m}' AS model, avg(b) AS cv_mean, stddev_pop(b) AS cv_std FROM (SELECT f, avg(r) AS b FROM (
+ SELECT f, label, avg(CASE WHEN cand=label THEN 1.0 ELSE 0.0 END) AS r FROM (SELECT *, {best} AS w FROM {name}_{config}) WHERE w=1 GROUP BY 1,2) GROUP BY 1)"""
+    return f"""fs_{config} AS (SELECT s.run_id, s.label, i, v, fold FROM sel_{config} s JOIN fold USING (run_id)),
+fm_{config} AS (SELECT f, label, i, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM fs_{config}, fno WHERE fold<>f GROUP BY 1,2,3),
+fe_{config} AS (SELECT f, max(s)*1e-9 AS e FROM (SELECT f, i, var_pop(v) AS s FROM fs_{config}, fno WHERE fold<>f GROUP BY 1,2) GROUP BY 1),
+ft_{config} AS (SELECT f, sum(n) AS t FROM fm_{config} WHERE i={CONFIGS[config].start} GROUP BY 1),
+fc_{config} AS (SELECT c.f, x.run_id, x.label, c.label AS cand, sum((v-m)*(v-m)) AS d FROM fs_{config} x JOIN fm_{config} c ON c.f=x.fold AND c.i=x.i GROUP BY 1,2,3,4),
+fb_{config} AS (SELECT c.f, x.run_id, x.label, c.label AS cand, sum(ln(2*pi()*(s+e)) + (v-m)*(v-m)/(s+e)) - 2*ln(max(n)/max(t)) AS d
+ FROM fs_{config} x JOIN fm_{config} c ON c.f=x.fold AND c.i=x.i JOIN fe_{config} g ON g.f=c.f JOIN ft_{config} h ON h.f=c.f GROUP BY 1,2,3,4),
+cv_{config} AS ({score('fc', 'centroid')} UNION ALL {score('fb', 'bayes')})"""
+
+
 def _majority_sql(config):
     return f"""maj_{config} AS (SELECT '{config}' AS config, run_id, label AS y_true, (SELECT label FROM vec WHERE split='train'
  GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) AS y_pred FROM vec WHERE split='test')"""
@@ -97,6 +132,9 @@ sc AS (SELECT config, label, support, tp, predicted, CASE WHEN predicted>0 THEN
 
 def _board_sql():
     ctes = [_centroid_sql(c) for c in CONFIGS] + [_bayes_sql(c) for c in CONFIGS] + [_majority_sql(c) for c in CONFIGS]
+    ctes += [f"fno AS (SELECT unnest(range({FOLDS})) AS f)", f"""fold AS (SELECT run_id, (row_number() OVER (PARTITION BY label ORDER BY run_id) - 1) % {FOLDS} AS fold
+ FROM vec WHERE split='train')"""] + [_cv_sql(c) for c in CONFIGS]
+    cv = " UNION ALL ".join(f"SELECT * FROM cv_{c}" for c in CONFIGS)
     names = {"centroid": "pred", "bayes": "bay", "majority": "maj"}
     union = " UNION ALL ".join(f"SELECT '{m}' AS model, config, y_true, y_pred FROM {names[m]}_{c}"
                                for c in CONFIGS for m in MODELS)
@@ -105,8 +143,8 @@ pc AS (SELECT config, model, y_true, y_pred, count(*) AS n FROM p GROUP BY 1,2,3
 pa AS (SELECT config, model, y_true AS l, sum(n) AS sup, sum(CASE WHEN y_true=y_pred THEN n ELSE 0 END) AS tp FROM pc GROUP BY 1,2,3),
 pg AS (SELECT config, model, y_pred AS l, sum(n) AS gu FROM pc GROUP BY 1,2,3),
 ps AS (SELECT config, model, l, coalesce(sup,0) AS sup, coalesce(tp,0) AS tp, coalesce(gu,0) AS gu FROM pa FULL JOIN pg USING (config, model, l)),
-board AS (SELECT config, model, avg(CASE WHEN sup>0 THEN tp/sup END) AS balanced_acc, avg(2.0*tp/(sup+gu)) AS macro_f1,
- CASE WHEN model<>'majority' THEN round(1.0-avg(CASE WHEN sup>0 THEN tp/sup END), 9) END AS cv_mean FROM ps GROUP BY 1,2)"""
+board AS (SELECT config, model, balanced_acc, macro_f1, cv_mean FROM (SELECT config, model, avg(CASE WHEN sup>0 THEN tp/sup END) AS balanced_acc,
+ avg(2.0*tp/(sup+gu)) AS macro_f1 FROM ps GROUP BY 1,2) LEFT JOIN ({cv}) USING (config, model))"""
 
 
 BOARD_SQL = _board_sql()
@@ -186,7 +224,7 @@ def run_sets(spark, sf):
     n = typed_series(spark, sf).groupBy("faultNumber", "simulationRun").agg(
         F.count("*").alias("n"), F.round(F.sum(F.col("x")[0]), 4).alias("s"), F.max(F.col("x")[0]).alias("m"))
     split = F.when(F.col("simulationRun") % 5 == 0, "test").otherwise("train")
-    n = n.withColumn("split", split).withColumn("run_id", F.col("faultNumber") * 100000 + F.col("simulationRun"))
+    n = n.withColumn("split", split).withColumn("run_id", prep.run_key())
     a = n.where("n >= 6").withColumn("config", F.lit("A")).withColumn("values", F.array("s"))
     b = n.where("n >= 12").withColumn("config", F.lit("B")).withColumn("values", F.array("m"))
     return a, b
@@ -231,6 +269,21 @@ def u4(spark, sf):
     return sets.same_sets(a, b)
 
 
+def order_sets(spark, sf):
+    """Customers' orders as runs of a status class: run numbers far beyond 1000."""
+    o = table(spark, sf, "orders")
+    n = o.groupBy(F.expr("CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END").alias("faultNumber"),
+                  F.col("o_custkey").cast("int").alias("simulationRun")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("m"))
+    n = n.withColumn("split", F.lit("train")).withColumn("run_id", prep.run_key())
+    return n.where("n >= 2").withColumn("config", F.lit("A")), n.where("m > 1000").withColumn("config", F.lit("B"))
+
+
+def j2_many(spark, sf):
+    a, b = order_sets(spark, sf)
+    kept = sets.common_runs(a.unionByName(b), 2)
+    return prep.key_columns(kept).select("faultNumber", "simulationRun", "split")
+
+
 def u2(spark, sf):
     a, b = run_sets(spark, sf)
     return a.select("split", "run_id").intersect(b.select("split", "run_id"))
@@ -243,7 +296,7 @@ def j9(spark, sf):
 
 
 SETS_SQL = """WITH n AS (SELECT "faultNumber", "simulationRun", count(*) AS n, sum(v) AS s, max(v) AS m,
- CASE WHEN "simulationRun" % 5 = 0 THEN 'test' ELSE 'train' END AS split, "faultNumber"*100000+"simulationRun" AS run_id
+ CASE WHEN "simulationRun" % 5 = 0 THEN 'test' ELSE 'train' END AS split, "faultNumber"*4294967296+"simulationRun" AS run_id
  FROM series1c GROUP BY 1,2),
 ab AS (SELECT 'A' AS config, * FROM n WHERE n >= 6 UNION ALL SELECT 'B', * FROM n WHERE n >= 12)"""
 
@@ -283,7 +336,7 @@ UNION ALL SELECT config, 'weighted avg', {q('sum(precision*support)/sum(support)
     "t5_cv_best_per_config": (board_view(reports.cv_best_per_config), V(BOARD_SQL + f" SELECT config, model, {q('balanced_acc')} AS balanced_acc, {q('macro_f1')} AS macro_f1, {q('cv_mean')} AS cv_mean FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY cv_mean DESC, model) AS r FROM board WHERE cv_mean IS NOT NULL) WHERE r=1")),
     "t6_fixed_model_view": (board_view(lambda b: reports.fixed_model_view(b, ["odd", "all", "first"], "bayes")),
                             V(BOARD_SQL + f" SELECT config, model, {q('balanced_acc')} AS balanced_acc, {q('macro_f1')} AS macro_f1, {q('cv_mean')} AS cv_mean, CASE config WHEN 'odd' THEN 1 WHEN 'all' THEN 2 ELSE 3 END AS place FROM board WHERE model='bayes'")),
-    "t7_sort_leaderboard": (board_view(lambda b: reports.sort_leaderboard(b).limit(4)), V(BOARD_SQL + f" SELECT config, model, {q('balanced_acc')} AS balanced_acc, {q('macro_f1')} AS macro_f1, {q('cv_mean')} AS cv_mean FROM (SELECT * FROM board ORDER BY cv_mean DESC NULLS LAST, config, model LIMIT 4)")),
+    "t7_sort_leaderboard": (board_view(lambda b: reports.sort_leaderboard(b)), V(BOARD_SQL + f" SELECT config, model, {q('balanced_acc')} AS balanced_acc, {q('macro_f1')} AS macro_f1, {q('cv_mean')} AS cv_mean FROM (SELECT * FROM board)")),
     "t7_strongest_without_cv": (board_view(reports.strongest_without_cv), V(BOARD_SQL + f" SELECT config, model, {q('balanced_acc')} AS balanced_acc, {q('macro_f1')} AS macro_f1, {q('cv_mean')} AS cv_mean FROM (SELECT * FROM board WHERE cv_mean IS NULL ORDER BY balanced_acc DESC, config, model LIMIT 3)")),
     "t9_best_config": (board_view(lambda b: reports.best_config(b.where("model = 'centroid'"))), V(BOARD_SQL + f" SELECT config, {q('macro_f1')} AS macro_f1 FROM board WHERE model='centroid' ORDER BY macro_f1 DESC, config DESC LIMIT 1")),
     "t10_cv_gap": (board_view(reports.cv_gap), V(BOARD_SQL + f""", b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY macro_f1 DESC, model) AS r FROM board) WHERE r=1),
@@ -297,6 +350,9 @@ SELECT config, {q('macro_f1')} AS macro_f1, {q('stored')} AS stored, {q('diff')}
         + ", " + ", ".join(f"CAST(sum(CASE WHEN split='{s}' THEN CASE config WHEN 'A' THEN 1 ELSE -1 END ELSE 0 END) AS BIGINT) AS loss_B_{s}" for s in ("train", "test")) + " FROM ab GROUP BY 1")),
     "j1_combine_feature_sets": (j1, S(f""" SELECT "faultNumber", "simulationRun", {q('s', 3)} AS s, m FROM n WHERE n >= 12""")),
     "j2_common_runs": (j2, S(" SELECT config, split, run_id FROM ab WHERE n >= 12")),
+    "j2_common_runs_many": (j2_many, """SELECT "faultNumber", "simulationRun", 'train' AS split FROM (
+SELECT CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS "faultNumber", CAST(o_custkey AS INTEGER) AS "simulationRun",
+ count(*) AS n, max(o_totalprice) AS m FROM orders GROUP BY 1, 2) WHERE n >= 2 AND m > 1000"""),
     "p11_align_features": (p11, with_views("feat", f"""SELECT r.run_id, CAST(w.place AS INTEGER) AS place, w.feature, {q('coalesce(f.value, 0.0)')} AS value
 FROM (SELECT DISTINCT run_id FROM feat) r CROSS JOIN (VALUES ('f03',0),('f61',1),('f00',2),('f20',3)) w(feature, place)
 LEFT JOIN (SELECT * FROM feat WHERE feature <= 'f20') f ON f.run_id=r.run_id AND f.feature=w.feature""")),

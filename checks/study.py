@@ -70,25 +70,25 @@ def io8(spark, sf):
 
 
 def matrix(spark, sf):
-    m = models.feature_matrix(feature_long(spark, sf), [f"f{i:02d}" for i in range(0, 64, 4)])
+    m = models.feature_matrix(feature_long(spark, sf), [f"f{i:02d}" for i in range(64)])
     return m.where("split = 'train'"), m.where("split = 'test'")
 
 
 def m1(spark, sf):
     tr, te = matrix(spark, sf)
     both = tr.unionByName(te)
-    return both.select("run_id", "label", "split", *[rnd(F.col("x")[i]).alias(f"x{i}") for i in (0, 7, 15)])
+    return both.select("run_id", "label", "split", *[rnd(F.col("x")[i]).alias(f"x{i}") for i in range(64)])
 
 
 def m2(spark, sf):
     tr, te = matrix(spark, sf)
-    return models.random_forest(tr, te, trees=20, depth=8)
+    return models.random_forest(tr, te, trees=20)
 
 
 def m3(spark, sf):
     tr, te = matrix(spark, sf)
     names = ["DecisionTreeClassifier", "LogisticRegression", "GaussianNB", "NearestCentroid", "MajorityClassifier"]
-    return models.compare_models(tr, te, LABELS, "every4", names, cv_folds=0)[1]
+    return models.compare_models(tr, te, LABELS, "all", names, cv_folds=0)[1]
 
 
 def m7_fold(spark, sf):
@@ -154,7 +154,7 @@ QUERIES = {
     "io8_resumable": (io8, with_views("runs4", f"SELECT {K}, count(*) AS n, round(sum(x0),2) AS total FROM runs4 GROUP BY 1,2")),
     "io9_write_summary": (io9, None),
     "m1_feature_matrix": (m1, with_views("feat", f"SELECT run_id, label, split, " + ", ".join(
-        f"{q(f'''sum(CASE WHEN feature='f{4 * i:02d}' THEN value END)''')} AS x{i}" for i in (0, 7, 15)) + " FROM feat GROUP BY 1,2,3")),
+        f"{q(f'''sum(CASE WHEN feature='f{i:02d}' THEN value END)''')} AS x{i}" for i in range(64)) + " FROM feat GROUP BY 1,2,3")),
     "m2_random_forest": (m2, None),
     "m3_compare_models": (m3, None),
     "m7_fold_column": (m7_fold, with_views("vec", "SELECT run_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY run_id) - 1) % 5 AS INTEGER) AS fold FROM vec WHERE split='train'")),

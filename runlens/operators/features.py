@@ -240,7 +240,7 @@ def extract_wide(rows: DataFrame, channels: list, features, keys=KEYS, block: in
     """(frame with keys, channel and array ``values``; feature list in array order).
 
     ``rows`` has keys, t and x (one entry per channel). ``long_runs=False`` states that no run exceeds
-    one block (a fixed length does that); None looks at the longest run first.
+    one block (a fixed length does that; a longer run stops the job); None looks at the longest run first.
     """
     plan = Plan(features)
     keys, group = list(keys), [*keys, "channel"]
@@ -252,7 +252,8 @@ def extract_wide(rows: DataFrame, channels: list, features, keys=KEYS, block: in
     if long_runs is None:
         long_runs = rows.agg(F.max("t")).first()[0] >= block
     base = block_rows(rows, stats, plan, len(channels), keys, block)
-    short = base.where(F.col("n") == F.col("m")) if long_runs else base
+    fits = F.col("n") == F.col("m")
+    short = base.where(fits if long_runs else fits | F.raise_error(F.lit("a run exceeds one block")).cast("boolean"))
     table = short.withColumn("sw", F.expr("array_sort(w)")) if plan.whole else short
     for k in plan.whole:
         table = table.withColumn(k, F.expr(fs.WHOLE[k]))

@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import baselines, metrics
 from .prep import nan_to_zero
 from .windows import with_position
@@ -32,7 +33,7 @@ def with_vector(df: DataFrame) -> DataFrame:
     return df.withColumn("raw", array_to_vector(F.col("x"))).withColumn("target", F.col("label").cast("double"))
 
 
-def zoo(width: int, classes: int, seed: int = 42, trees: int = 100, depth: int = 14) -> dict:
+def zoo(width: int, classes: int, seed: int = 42, trees: int = 100, depth: int = 30) -> dict:
     """Estimators by name. Binary learners are wrapped one-vs-rest."""
     io = {"featuresCol": "features", "labelCol": "target"}
 
@@ -68,7 +69,7 @@ def fit_predict(train: DataFrame, test: DataFrame, estimator) -> DataFrame:
         "run_id", F.col("label").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
 
 
-def random_forest(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 100, depth: int = 14) -> DataFrame:
+def random_forest(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 100, depth: int = 30) -> DataFrame:
     """The fixed model of the main comparison."""
     return fit_predict(train, test, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed,
                                                            featuresCol="features", labelCol="target"))
@@ -84,34 +85,43 @@ def cross_validate(train: DataFrame, estimator, k: int, labels) -> tuple:
     """Mean and population deviation of balanced accuracy over k folds of the training rows."""
     if not k:
         return None, None
-    folded = fold_column(train, k)
+    folded = fold_column(train, k).cache()
+    try:
+        row = fold_scores(folded, estimator, k, labels).agg(F.avg("balanced_acc").alias("m"),
+                                                            F.stddev_pop("balanced_acc").alias("s")).first()
+    finally:
+        folded.unpersist()
+    return row["m"], row["s"]
+
+
+def fold_scores(folded: DataFrame, estimator, k: int, labels) -> DataFrame:
+    """Balanced accuracy of every fold (config fold0..), each predicted by a model of the other folds."""
     parts = []
     for i in range(k):
         got = fit_predict(folded.where(F.col("fold") != i), folded.where(F.col("fold") == i), estimator)
         parts.append(got.withColumn("config", F.lit(f"fold{i}")))
-    cm = metrics.confusion_counts(reduce(DataFrame.unionByName, parts), labels)
-    row = metrics.balanced_accuracy(cm).agg(F.avg("balanced_acc").alias("m"), F.stddev_pop("balanced_acc").alias("s")).first()
-    return row["m"], row["s"]
+    return metrics.balanced_accuracy(metrics.confusion_counts(reduce(DataFrame.unionByName, parts), labels))
 
 
 def compare_models(train: DataFrame, test: DataFrame, labels, config: str, models=None, cv_folds: int = 5,
-                   seed: int = 42, trees: int = 100) -> tuple:
+                   seed: int = 42, trees: int = 100, depth: int = 30) -> tuple:
     """(predictions, summary) of several models on one feature set.
 
-    ``models`` lists names of the zoo and of PLAIN_MODELS. A model whose fit fails is left out, as is one
-    with missing predictions. Folds only ever see training rows.
+    ``models`` lists names of the zoo and of PLAIN_MODELS. A model whose fit fails, or that leaves predictions out, has a
+    summary row with its status, the error text and no scores. Folds only ever see training rows. Predictions are
+    stored before the cached inputs go, so the summary does not fit or pivot anything again.
     """
     width = len(train.select("x").first()["x"])
-    table = {**zoo(width, max(labels) + 1, seed, trees), **PLAIN_MODELS}
+    table = {**zoo(width, max(labels) + 1, seed, trees, depth), **PLAIN_MODELS}
     train, test = train.cache(), test.cache()
-    preds, cv_rows = [], []
+    preds, cv_rows, failed = [], [], []
     try:
         for name in models or list(table):
             try:
-                got = fit_predict(train, test, table[name])
+                got = cut_lineage(fit_predict(train, test, table[name]))
                 scores = cross_validate(train, table[name], cv_folds if name in WITH_PROBABILITY else 0, labels)
-            except Exception as exc:  # a model that cannot be fitted is reported and skipped
-                print(f"[{config}] {name} skipped: {type(exc).__name__}")
+            except Exception as exc:  # a model that cannot be fitted is a row of the summary
+                failed.append((config, name, "failed", f"{type(exc).__name__}: {str(exc)[:500]}"))
                 continue
             preds.append(got.withColumns({"config": F.lit(config), "model": F.lit(name)}))
             cv_rows.append((name, *scores))
@@ -122,18 +132,27 @@ def compare_models(train: DataFrame, test: DataFrame, labels, config: str, model
         raise RuntimeError(f"no model could be fitted for {config!r}")
     pred = reduce(DataFrame.unionByName, preds)
     cv = train.sparkSession.createDataFrame(cv_rows, "model string, cv_mean double, cv_std double")
-    return pred, summary_rows(pred, cv, labels)
+    board = summary_rows(pred, cv, labels)
+    lost = train.sparkSession.createDataFrame(failed, "config string, model string, status string, error string")
+    return pred, board.unionByName(lost, allowMissingColumns=True)
 
 
 def summary_rows(pred: DataFrame, cv: DataFrame, labels) -> DataFrame:
-    """One leaderboard row per config and model; models with a missing prediction are left out."""
-    complete = pred.groupBy("config", "model").agg(F.count_if(F.col("y_pred").isNull()).alias("gaps")).where("gaps = 0")
+    """One leaderboard row per config and model: scores, cross-validation, status and error. A model with a missing
+    prediction has the status ``incomplete`` and no scores."""
+    gaps = pred.groupBy("config", "model").agg(F.count_if(F.col("y_pred").isNull()).alias("gaps"))
+    complete, rest = gaps.where("gaps = 0"), gaps.where("gaps > 0")
     tagged = pred.join(F.broadcast(complete.select("config", "model")), ["config", "model"], "left_semi") \
         .withColumn("key", F.concat_ws("\t", "config", "model"))
     scored = metrics.scores(metrics.confusion_counts(tagged, labels, by="key"), by="key")
     parts = F.split("key", "\t")
-    return scored.select(parts[0].alias("config"), parts[1].alias("model"), "balanced_acc", "macro_f1").join(cv, "model") \
-        .select("config", "model", "balanced_acc", "macro_f1", "cv_mean", "cv_std")
+    by = [c for c in ("config", "model") if c in cv.columns]
+    good = scored.select(parts[0].alias("config"), parts[1].alias("model"), "balanced_acc", "macro_f1").join(cv, by) \
+        .select("config", "model", "balanced_acc", "macro_f1", "cv_mean", "cv_std", F.lit("ok").alias("status"),
+                F.lit(None).cast("string").alias("error"))
+    bad = rest.select("config", "model", F.lit("incomplete").alias("status"),
+                      F.concat(F.col("gaps").cast("string"), F.lit(" predictions are missing")).alias("error"))
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 __all__ = ["feature_matrix", "zoo", "fit_predict", "random_forest", "fold_column", "cross_validate", "compare_models",

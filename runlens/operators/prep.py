@@ -34,7 +34,7 @@ def to_long(df: DataFrame, channels=None, keep=(*KEYS, "t")) -> DataFrame:
 
 
 def run_id(fault=FAULT, run=RUN) -> Column:
-    """fault*1000 + run; collision-free while run numbers stay below 1000."""
+    """fault*1000 + run, the number people read; unique only below run 1000 (see ``run_key``)."""
     return (F.col(fault) * 1000 + F.col(run)).cast("int")
 
 
@@ -42,6 +42,20 @@ def label_of(run_id_column: str) -> Column:
     return F.expr(f"cast({run_id_column} div 1000 as int)")
 
 
+def run_key(fault=FAULT, run=RUN) -> Column:
+    """Both key columns in one BIGINT, the class in the upper and the run in the lower 32 bits: unique for all INT pairs.
+
+    Tables that go by one run column (matrices, common runs, predictions) use this; ``run_id`` is for display.
+    """
+    return F.shiftleft(F.col(fault).cast("bigint"), 32).bitwiseOR(F.col(run).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def key_columns(df: DataFrame, key: str = "run_id") -> DataFrame:
+    """The two key columns back from a ``run_key``."""
+    return df.withColumns({FAULT: F.shiftright(F.col(key), 32).cast("int"),
+                           RUN: F.shiftright(F.shiftleft(F.col(key), 32), 32).cast("int")})
+
+
 def first_runs(df: DataFrame, k: int | None) -> DataFrame:
     return df if k is None else df.where(F.col(RUN) <= k)
 

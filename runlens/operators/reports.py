@@ -39,7 +39,7 @@ def sort_leaderboard(summary: DataFrame) -> DataFrame:
 
 
 def strongest_without_cv(summary: DataFrame, n: int = 3) -> DataFrame:
-    return summary.where("cv_mean is null").orderBy(F.desc("balanced_acc"), "config", "model").limit(n)
+    return summary.where("cv_mean is null and balanced_acc is not null").orderBy(F.desc("balanced_acc"), "config", "model").limit(n)
 
 
 def best_config(results: DataFrame) -> DataFrame:

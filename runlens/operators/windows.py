@@ -106,18 +106,27 @@ def head_per_run(df: DataFrame, fault0: int | None, faulty: int | None) -> DataF
 
 
 def fixed_length(df: DataFrame, length: int, keys=KEYS, block: int = BLOCK) -> DataFrame:
-    """Cut every run to ``length`` samples; a shorter run stops the job."""
-    lengths = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    """Cut every run to ``length`` samples; a run that lacks any of the positions 0..length-1 stops the job."""
+    lengths = df.groupBy(*keys).agg(F.count_if(F.col("t").between(0, length - 1)).alias("_n"))
     checked = lengths.select(
         *keys,
-        F.when(F.col("_n") >= length, F.lit(length - 1)).otherwise(
-            F.raise_error(F.concat(F.lit("run shorter than the fixed length: "),
+        F.when(F.col("_n") == length, F.lit(length - 1)).otherwise(
+            F.raise_error(F.concat(F.lit("run shorter than the fixed length or with gaps: "),
                                    F.concat_ws("/", *[F.col(k).cast("string") for k in keys])))
             .cast("int")).alias("_last"))
     kept = df.where(F.col("t") < length)
     return (attach_per_run(kept, checked, keys, block, last="_last"))
 
 
+def require_gap_free(df: DataFrame, keys=KEYS, block: int = BLOCK) -> DataFrame:
+    """The same rows; a run whose positions are not 0..n-1, each once, stops the job."""
+    runs = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("t").alias("_f"), F.max("t").alias("_m"))
+    good = (F.col("_f") == 0) & (F.col("_m") == F.col("_n") - 1)
+    last = F.when(good, F.col("_m")).otherwise(F.raise_error(F.concat(
+        F.lit("run with gaps: "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))).cast("bigint"))
+    return attach_per_run(df, runs.select(*keys, last.alias("_last")), keys, block, last="_last")
+
+
 def min_samples(df: DataFrame, minimum: int, keys=KEYS, block: int = BLOCK):
     """Split into (rows of long enough runs, run table with status)."""
     runs = run_table(df, keys).withColumn(

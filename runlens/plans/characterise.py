@@ -21,8 +21,7 @@ def characterise(df: DataFrame, cfg: SpectrumConfig, width: int, scaler=None, de
     if scaler is None and needs_scaler([cfg]):
         scaler = prep.fit_scaler(df)
     per_run = spectra.run_spectra(df, cfg, width, scaler, dense)
-    if cfg.strict:
-        spectra.require_success(per_run, strict=True)
+    spectra.require_success(per_run, strict=cfg.strict)
     return per_run, reports.aggregate_spectra(per_run.where("status = 'ok'"))
 
 
@@ -52,7 +51,7 @@ def combine(pairs: dict) -> dict:
 
 def as_matrix(spectrum: DataFrame) -> DataFrame:
     """Spectrum rows as model input."""
-    return spectrum.select(prep.run_id().cast("bigint").alias("run_id"), F.col(KEYS[0]).alias("label"),
+    return spectrum.select(prep.run_key().alias("run_id"), F.col(KEYS[0]).alias("label"),
                            F.transform("values", lambda v: prep.nan_to_zero(v)).alias("x"))
 
 

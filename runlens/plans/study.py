@@ -26,8 +26,8 @@ class Study:
     """
 
     def __init__(self, spark: SparkSession, cfg: PipelineConfig, read: Callable[[str], DataFrame], base: str,
-                 channels=tuple(CHANNELS), cutoff: dict | None = None, dense: bool = True, buckets: int = 16,
-                 per_wave: int = 16):
+                 channels=tuple(CHANNELS), cutoff: dict | None = None, dense: bool = False, buckets: int = 16,
+                 per_wave: int = 4):
         self.spark, self.cfg, self.read, self.base = spark, cfg, read, base
         self.buckets, self.per_wave = buckets, per_wave
         self.channels, self.cutoff, self.dense = list(channels), cutoff, dense
@@ -48,7 +48,7 @@ class Study:
         return False if length is not None and length <= self.cfg.block else None
 
     def _tag(self, long: DataFrame, split: str) -> DataFrame:
-        return long.select(prep.run_id().cast("bigint").alias("run_id"), F.col(KEYS[0]).alias("label"),
+        return long.select(prep.run_key().alias("run_id"), F.col(KEYS[0]).alias("label"),
                            F.lit(split).alias("split"), "feature", "value")
 
     def _extract(self, spec, name, split: str, how: Callable, **extra) -> DataFrame:
@@ -68,7 +68,8 @@ class Study:
 
     def rank(self, spec, name) -> DataFrame:
         def build():
-            return ranking.rank_features(self.train_features(spec, name), self.cfg.labels)
+            return ranking.rank_features(self.train_features(spec, name), self.cfg.labels, self.cfg.fdr_alpha,
+                                         self.cfg.fdr_dependent, self.cfg.fdr_block)
         return store.materialise(self.spark, self.base, "rank", self.cfg, build, config=name)
 
     def top_names(self, spec, name) -> list:
@@ -101,7 +102,7 @@ class Study:
         """Leaderboard of configs and models, stored."""
         def build():
             boards = [models.compare_models(tr, te, self.cfg.labels, n, names, self.cfg.cv_folds,
-                                            self.cfg.random_state, trees)[1] for n, (tr, te) in self.matrices().items()]
+                                            self.cfg.random_state, trees, self.cfg.tree_depth)[1] for n, (tr, te) in self.matrices().items()]
             return reduce(DataFrame.unionByName, boards)
         return store.materialise(self.spark, self.base, "summary", self.cfg, build, models=names, trees=trees)
 
@@ -118,7 +119,7 @@ class Study:
         def build():
             parts = []
             for n, (tr, te) in self.matrices().items():
-                got = (models.random_forest(tr, te, self.cfg.random_state, trees) if estimator is None
+                got = (models.random_forest(tr, te, self.cfg.random_state, trees, self.cfg.tree_depth) if estimator is None
                        else models.fit_predict(tr, te, estimator))
                 parts.append(got.withColumn("config", F.lit(n)))
             return reduce(DataFrame.unionByName, parts)

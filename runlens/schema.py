@@ -82,15 +82,20 @@ class PipelineConfig:
     """One feature-classification study."""
 
     configs: tuple
-    label: str = ""
     scaling_mode: str = "global_mean"
     runs_per_fault: int | None = None
     uniform_length: bool = True
     run_length: int | None = 480
     feature_set: str = "efficient"
     top_k: int = 100
+    # False-discovery control of the ranking: level, dependent form, features per corrected block (None: all at once).
+    fdr_alpha: float = 0.05
+    fdr_dependent: bool = True
+    fdr_block: int | None = 4000
     restrict_to_common_runs: bool = True
     cv_folds: int = 5
+    # Deepest trees that pyspark.ml grows.
+    tree_depth: int = 30
     random_state: int = 42
     fix_signs: bool = True
     dpca_lags: int = 2

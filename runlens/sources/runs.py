@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import prep, windows
-from ..schema import BLOCK, CHANNELS, CUTOFF, FILES, KEYS, SAMPLE, sample_schema
+from ..schema import BLOCK, CHANNELS, CUTOFF, FILES, KEYS, sample_schema
 
 
 def read_runs(spark: SparkSession, path, channels=CHANNELS, runs_per_fault: int | None = None,
@@ -40,22 +40,16 @@ def read_split(spark: SparkSession, folder: str, split: str, channels=CHANNELS,
 
 
 def prepare_runs(df: DataFrame, split: str = "train", cutoff: int | None = None, uniform: bool = True,
-                 length: int | None = 480, dense: bool = True, block: int = BLOCK) -> DataFrame:
+                 length: int | None = 480, dense: bool = False, block: int = BLOCK) -> DataFrame:
     """Cut the pre-fault part, number the samples from 0 and cut to one length.
 
-    ``dense`` states that sample numbers of a run have no gaps (then no shuffle is needed to number
-    them); ``dense=False`` numbers them by position.
+    Samples are numbered by position. ``dense`` takes the sample numbers themselves, which saves the numbering shuffle;
+    a run that turns out to have gaps then stops the job.
     """
     cutoff = CUTOFF[split] if cutoff is None else cutoff
     kept = prep.drop_pre_fault(df, cutoff, uniform)
     rows = (windows.dense_position(kept, prep.first_sample(cutoff, uniform)) if dense
             else windows.with_position(kept))
-    return rows if length is None else windows.fixed_length(rows, length, KEYS, block)
-
-
-def length_report(df: DataFrame) -> DataFrame:
-    """Distinct run lengths with the number of runs; more than one row calls for a warning."""
-    return windows.run_table(df).groupBy("n").count()
-
-
-__all__ = ["read_runs", "read_split", "prepare_runs", "length_report", "SAMPLE"]
+    if length is not None:
+        return windows.fixed_length(rows, length, KEYS, block)
+    return windows.require_gap_free(rows, KEYS, block) if dense else rows
