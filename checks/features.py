@@ -8,7 +8,7 @@ from runlens.functions import names as fn
 from runlens.functions.names import EDGES, PEAKS, QUANTILES, SIGMAS, feature
 from runlens.operators import features as ft
 
-from .views import q, rnd, user_series, with_views
+from .views import SQL, long_series, q, rnd, user_series, with_views
 
 E = fn.efficient()
 K = '"simulationRun"'
@@ -182,6 +182,27 @@ pc AS (SELECT {K}, r1, r2, r3, any_value(k) AS k, count(*) AS m FROM pp GROUP BY
 add("f23_permutation_entropy", {feature("permutation_entropy", tau=1, dimension=3): "-sum(m/k*ln(m/k))"}, PERM, "pc")
 
 
+def add_long(name, pairs, ctes="", source="x", digits=4):
+    """The same check on three series of many blocks."""
+    features = list(pairs)
+
+    def query(spark, sf):
+        long = ft.extract_features(long_series(spark, sf), ["value"], features)
+        return long.select("simulationRun", "feature", rnd(F.when(F.abs("value") < float("inf"), F.col("value")), digits).alias("value"))
+    QUERIES[name] = (query, sql(pairs, ctes, source, digits).replace(SQL["series1"], SQL["serieslong"]).replace("FROM series1 ", "FROM serieslong "))
+
+
+FFT_FEW = {**{feature("fft_coefficient", coeff=k, attr="abs"): f"sqrt(pow({RE.format(k=k)},2)+pow({IM.format(k=k)},2))" for k in (1, 2, 40, 99)},
+           feature("fft_coefficient", coeff=3, attr="real"): RE.format(k=3), feature("fft_coefficient", coeff=3, attr="imag"): IM.format(k=3)}
+add_long("f21_fft_long", FFT_FEW, digits=1)
+add_long("f23_permutation_entropy_long", {feature("permutation_entropy", tau=1, dimension=3): "-sum(m/k*ln(m/k))"}, PERM, "pc")
+SEGMENTS = (f"sg AS (SELECT {K}, s, t-s AS i, v FROM x JOIN (SELECT unnest(range(0, 10000000, 128)) AS s) ON s BETWEEN t-255 AND t WHERE s+256<=n), "
+            f"sm AS (SELECT *, v - avg(v) OVER (PARTITION BY {K}, s) AS u, 0.5-0.5*cos(2*pi()*i/256) AS h FROM sg), "
+            f"sp AS (SELECT {K}, s, k, 2*(pow(sum(u*h*cos(2*pi()*k*i/256)),2)+pow(sum(u*h*sin(2*pi()*k*i/256)),2))/sum(h*h) AS p "
+            "FROM sm, (SELECT unnest([2,5,8]) AS k) GROUP BY 1,2,3)")
+add_long("f22_welch_density_long", {feature("spkt_welch_density", coeff=k): f"avg(CASE WHEN k={k} THEN p END)" for k in (2, 5, 8)}, SEGMENTS, "sp", digits=3)
+
+
 def rows_only(name, features, block=4000):
     QUERIES[name] = (run(features, 4, block), None)
 
@@ -196,6 +217,7 @@ rows_only("f24_drift_polynomial", family("friedrich_coefficients", "max_langevin
 rows_only("f25_unit_root", family("augmented_dickey_fuller"))
 rows_only("f26_quadratic_entropies", family("sample_entropy", "approximate_entropy"))
 rows_only("f_efficient_set", E)
+rows_only("f_additive_set", fn.additive())
 
 
 SELECTED = ["value__mean", 'value__linear_trend__attr_"slope"', "value__c3__lag_1", "value__quantile__q_0.1"]
@@ -232,6 +254,7 @@ def wavelet(c: int, w: int) -> str:
     return (f"sum(CASE WHEN {at} BETWEEN 0 AND {size - 1} THEN v * 2/(sqrt(3.0*{w})*pow(pi(),0.25)) * (1-{s})*exp(-{s}/2) ELSE 0 END)")
 
 
+add_long("f22_wavelet_long", {feature("cwt_coefficients", widths=fn.WIDTHS, coeff=c, w=w): wavelet(c, w) for c in (0, 7, 14) for w in fn.WIDTHS}, digits=3)
 add("f22_wavelet_small", {feature("cwt_coefficients", widths=fn.WIDTHS, coeff=c, w=2): wavelet(c, 2) for c in range(15)}, digits=3)
 SAMPEN = f"""tm AS (SELECT {K}, t, sd, v AS a, lead(v) OVER (PARTITION BY {K} ORDER BY t) AS b, lead(v,2) OVER (PARTITION BY {K} ORDER BY t) AS c FROM x),
 prs AS (SELECT p."simulationRun", CASE WHEN p.c IS NOT NULL AND r.c IS NOT NULL AND abs(p.c-r.c) <= 0.2*p.sd THEN 1 ELSE 0 END AS three

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from runlens.operators import prep, windows
 from runlens.operators.prep import KEYS
+from runlens.sources.runs import prepare_runs
 
-from .views import RUN_CHANNELS, feature_long, q, rnd, runs, rnd, table, typed_series, with_views
+from .views import RUN_CHANNELS, feature_long, q, rnd, runs, rnd, table, typed_series, user_series, with_views
 
 KEY_SQL = '"faultNumber", "simulationRun"'
 
@@ -22,6 +23,13 @@ def p1_p2_run_id(spark, sf):
     return df.withColumn("label", prep.label_of("run_id"))
 
 
+def io2_gapped(spark, sf):
+    """Runs with every third event missing, cut to their first 25 samples by position."""
+    df = user_series(spark, sf).where("sample % 3 <> 0")
+    rows = prepare_runs(df.drop("t"), cutoff=1, length=25)
+    return rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.max("t").alias("last_t"), F.round(F.sum(F.col("x")[0]), 4).alias("total"))
+
+
 def p3_first_runs(spark, sf):
     return prep.first_runs(runs(spark, sf), 7).groupBy("faultNumber").agg(
         F.countDistinct("simulationRun").alias("runs"), F.count("*").alias("n"))
@@ -100,7 +108,6 @@ def io1_io3_u1_read_union(spark, sf):
 
 
 def io2_read_split(spark, sf):
-    from runlens.sources.runs import prepare_runs
     df = prepare_runs(runs(spark, sf).drop("t"), cutoff=21, uniform=True, length=100, dense=False)
     return df.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("sample").alias("first"), F.max("t").alias("last_t"))
 
@@ -116,6 +123,8 @@ _scaled = ", ".join(f"(x{i} - m{i}) / s{i} AS x{i}" for i in range(4))
 _round = ", ".join(f"round(x{i}, 6) AS x{i}" for i in range(4))
 
 QUERIES = {
+    "io2_gapped_runs": (io2_gapped, with_views("series1", f"""SELECT {KEY_SQL}, count(*) AS n, max(t) AS last_t, round(sum(v), 4) AS total FROM (
+SELECT {KEY_SQL}, v, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY sample) - 1 AS t FROM series1 WHERE sample % 3 <> 0) WHERE t < 25 GROUP BY 1, 2""")),
     "p1_p2_run_id": (p1_p2_run_id, with_views("runs4", f"""
 SELECT DISTINCT {KEY_SQL}, "faultNumber"*1000+"simulationRun" AS run_id,
  CAST(("faultNumber"*1000+"simulationRun")//1000 AS INTEGER) AS label FROM runs4""")),

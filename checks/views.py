@@ -40,6 +40,17 @@ def user_series(spark, sf) -> DataFrame:
     return rows.select("faultNumber", "simulationRun", (F.col("t") + 1).cast("int").alias("sample"), "t", "x")
 
 
+def long_series(spark, sf) -> DataFrame:
+    """lineitem as three long one-channel runs, one per return flag: many blocks each."""
+    li = table(spark, sf, "lineitem")
+    code = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = li.select(F.lit(0).alias("faultNumber"), code.cast("int").alias("simulationRun"), *order,
+                     F.array(F.col("l_extendedprice") / 1000).alias("x"))
+    rows = with_position(rows, order=order, block=F.datediff("l_shipdate", F.lit("1990-01-01")))
+    return rows.select("faultNumber", "simulationRun", (F.col("t") + 1).cast("int").alias("sample"), "t", "x")
+
+
 EVENT_CLASS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -89,6 +100,9 @@ SQL = {
   UNION ALL SELECT "faultNumber","simulationRun",sample,3,x3 FROM runs4)""",
     "series1": """series1 AS (SELECT 0 AS "faultNumber", CAST(user_id AS INTEGER) AS "simulationRun",
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS sample, value AS v FROM events)""",
+    "serieslong": """serieslong AS (SELECT 0 AS "faultNumber", CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS "simulationRun",
+  CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS sample,
+  l_extendedprice/1000 AS v FROM lineitem)""",
     "series1c": """series1c AS (SELECT CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2
   WHEN 'signup' THEN 3 ELSE 4 END AS "faultNumber", CAST(user_id AS INTEGER) AS "simulationRun",
   CAST(row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS INTEGER) AS sample,

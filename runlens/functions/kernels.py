@@ -1,7 +1,5 @@
-"""Whole-series calculators that SQL cannot express; each works on one NumPy vector.
-
-They run inside Arrow batches of series that Spark has partitioned. A calculator receives the vector
-and the list of wanted parameter sets and returns one number per set (NaN where undefined).
+"""The five calculators that need a series in one piece: moments of the whole spectrum, ridge lines, the Lempel-Ziv parse and
+two entropies over all template pairs. They work on series of one block; a longer one stops the job.
 """
 
 from __future__ import annotations
@@ -11,17 +9,13 @@ import math
 
 import numpy as np
 
+from .spectral_sums import hat
+
 NAN = float("nan")
 
 
 # ---- spectrum -------------------------------------------------------------------------------
 
-def fft_coefficient(x, wanted):
-    spec = np.fft.rfft(x)
-    read = {"real": np.real, "imag": np.imag, "abs": np.abs, "angle": lambda z: np.angle(z, deg=True)}
-    return [float(read[p["attr"]](spec[p["coeff"]])) if p["coeff"] < len(spec) else NAN for p in wanted]
-
-
 def fft_aggregated(x, wanted):
     """Moments of the amplitude spectrum over the bin number.
 
@@ -42,58 +36,10 @@ def fft_aggregated(x, wanted):
     return [out[p["aggtype"]] for p in wanted]
 
 
-def welch(x):
-    """One-sided power density: Hann segments of up to 256 samples, half overlapping, mean removed."""
-    size = min(len(x), 256)
-    if size < 2:
-        return np.zeros(1)
-    win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-    seg = np.lib.stride_tricks.sliding_window_view(x, size)[::max(1, size - size // 2)]
-    seg = (seg - seg.mean(axis=1, keepdims=True)) * win
-    power = np.abs(np.fft.rfft(seg, axis=1)) ** 2 / (win ** 2).sum()
-    power[:, 1:(None if size % 2 else -1)] *= 2.0
-    return power.mean(axis=0)
-
-
-def spkt_welch_density(x, wanted):
-    p = welch(x)
-    return [float(p[w["coeff"]]) if w["coeff"] < len(p) else NAN for w in wanted]
-
-
-def histogram_entropy(x, bins: int) -> float:
-    share = np.histogram(x, bins=bins)[0] / len(x)
-    share = share[share > 0]
-    return float(-(share * np.log(share)).sum())
-
-
-def fourier_entropy(x, wanted):
-    p = welch(x)
-    top = p.max()
-    return [histogram_entropy(p / top, w["bins"]) if top > 0 else NAN for w in wanted]
-
-
 # ---- wavelets -------------------------------------------------------------------------------
 
-def ricker(points: int, a: float):
-    t = np.arange(points) - (points - 1) / 2.0
-    s = (t / a) ** 2
-    return 2.0 / (math.sqrt(3.0 * a) * math.pi ** 0.25) * (1.0 - s) * np.exp(-s / 2.0)
-
-
 def wavelet_rows(x, widths):
-    return np.array([np.convolve(x, ricker(min(10 * w, len(x)), w)[::-1], mode="same")[:len(x)] for w in widths])
-
-
-def cwt_coefficients(x, wanted):
-    rows = {}
-    out = []
-    for p in wanted:
-        w = p["w"]
-        if w not in rows:
-            # 10*w taps centred on the sample: the first coefficients depend on the head of the series only.
-            rows[w] = wavelet_rows(x, [w])[0]
-        out.append(float(rows[w][p["coeff"]]) if p["coeff"] < len(x) else NAN)
-    return out
+    return np.array([np.convolve(x, hat(min(10 * w, len(x)), w)[::-1], mode="same")[:len(x)] for w in widths])
 
 
 def nearest(places, targets):
@@ -169,22 +115,6 @@ def number_cwt_peaks(x, wanted):
 
 # ---- order patterns and complexity ----------------------------------------------------------
 
-def permutation_entropy(x, wanted):
-    out = []
-    for p in wanted:
-        d, tau = p["dimension"], p["tau"]
-        span = (d - 1) * tau + 1
-        if len(x) < span:
-            out.append(NAN)
-            continue
-        win = np.lib.stride_tricks.sliding_window_view(x, span)[:, ::tau]
-        ranks = np.argsort(np.argsort(win, axis=1, kind="stable"), axis=1, kind="stable")
-        _, counts = np.unique(ranks @ (d ** np.arange(d)), return_counts=True)
-        share = counts / counts.sum()
-        out.append(float(-(share * np.log(share)).sum()))
-    return out
-
-
 def lempel_ziv_complexity(x, wanted):
     out = []
     for p in wanted:
@@ -202,124 +132,6 @@ def lempel_ziv_complexity(x, wanted):
     return out
 
 
-# ---- regressions ----------------------------------------------------------------------------
-
-def ols(y, design):
-    """Coefficients, residual sum of squares and inverse normal matrix."""
-    inv = np.linalg.pinv(design.T @ design)
-    beta, *_ = np.linalg.lstsq(design, y, rcond=None)
-    return beta, float(((y - design @ beta) ** 2).sum()), inv
-
-
-def lagged(x, k: int):
-    """Columns x_(t-1)..x_(t-k) for t = k..n-1."""
-    return np.column_stack([x[k - j:len(x) - j] for j in range(1, k + 1)]) if k else np.empty((len(x), 0))
-
-
-def ar_coefficient(x, wanted):
-    got = {}
-    out = []
-    for p in wanted:
-        k = p["k"]
-        if k not in got:
-            got[k] = None
-            if len(x) > 2 * k + 1:
-                y = x[k:]
-                got[k] = ols(y, np.column_stack([np.ones(len(y)), lagged(x, k)]))[0]
-        out.append(float(got[k][p["coeff"]]) if got[k] is not None and p["coeff"] <= k else NAN)
-    return out
-
-
-# MacKinnon's (1994) response surface of the unit-root test with a constant.
-TAU_MAX, TAU_MIN, TAU_SPLIT = 2.74, -18.83, -1.61
-TAU_SMALL = (2.1659, 1.4412, 0.038269)
-TAU_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
-
-
-def unit_root_p(stat: float) -> float:
-    if stat > TAU_MAX:
-        return 1.0
-    if stat < TAU_MIN:
-        return 0.0
-    z = sum(c * stat ** i for i, c in enumerate(TAU_SMALL if stat <= TAU_SPLIT else TAU_LARGE))
-    return 0.5 * math.erfc(-z / math.sqrt(2.0))
-
-
-def augmented_dickey_fuller(x, wanted):
-    """Unit-root regression with constant; the number of lags minimises AIC on a common sample."""
-    n = len(x)
-    most = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2)
-    if most < 0 or x.max() == x.min():
-        return [NAN] * len(wanted)
-    dx = np.diff(x)
-
-    def design(lags, skip):
-        cols = [np.ones(len(dx) - skip), x[skip:-1]]
-        cols += [dx[skip - j:len(dx) - j] for j in range(1, lags + 1)]
-        return dx[skip:], np.column_stack(cols)
-
-    y, full = design(most, most)
-    q, r = np.linalg.qr(full)
-    if (np.abs(np.diag(r)) < 1e-12 * np.abs(r).max()).any():
-        return [NAN] * len(wanted)
-    # Column by column, the orthogonal part explained so far gives the residual sum of every lag count.
-    rss_all = y @ y - np.cumsum((q.T @ y) ** 2)
-    best = None
-    for lags in range(most + 1):
-        rss = rss_all[lags + 1]
-        if rss <= 0:
-            return [NAN] * len(wanted)
-        aic = len(y) * (math.log(2 * math.pi * rss / len(y)) + 1.0) + 2.0 * (lags + 2)
-        if best is None or aic < best[0]:
-            best = (aic, lags)
-    y, d = design(best[1], best[1])
-    beta, rss, inv = ols(y, d)
-    dof = len(y) - d.shape[1]
-    if dof <= 0 or rss <= 0:
-        return [NAN] * len(wanted)
-    stat = float(beta[1] / math.sqrt(rss / dof * inv[1, 1]))
-    out = {"teststat": stat, "pvalue": unit_root_p(stat), "usedlag": float(best[1])}
-    return [out[p["attr"]] for p in wanted]
-
-
-def drift_polynomial(x, m: int, r: int):
-    """Polynomial of degree m through the mean step over r quantile bins of the value, or None."""
-    signal, step = x[:-1], np.diff(x)
-    if len(signal) < r:
-        return None
-    edges = np.quantile(signal, np.linspace(0.0, 1.0, r + 1))
-    if (np.diff(edges) <= 0).any():
-        return None
-    cell = np.clip(np.searchsorted(edges, signal, side="left") - 1, 0, r - 1)
-    n = np.bincount(cell, minlength=r)
-    ok = n > 0
-    if ok.sum() <= m:
-        return None
-    mx = np.bincount(cell, signal, r)[ok] / n[ok]
-    my = np.bincount(cell, step, r)[ok] / n[ok]
-    return np.polyfit(mx, my, m)
-
-
-def friedrich_coefficients(x, wanted):
-    got = {}
-    out = []
-    for p in wanted:
-        key = (p["m"], p["r"])
-        if key not in got:
-            got[key] = drift_polynomial(x, *key)
-        out.append(float(got[key][p["coeff"]]) if got[key] is not None and p["coeff"] <= p["m"] else NAN)
-    return out
-
-
-def max_langevin_fixed_point(x, wanted):
-    out = []
-    for p in wanted:
-        poly = drift_polynomial(x, p["m"], p["r"])
-        roots = np.roots(poly) if poly is not None else []
-        out.append(float(np.max(np.real(roots))) if len(roots) else NAN)
-    return out
-
-
 # ---- quadratic entropies --------------------------------------------------------------------
 
 def near_counts(x, m: int, tol: float):
@@ -354,10 +166,7 @@ def approximate_entropy(x, wanted):
     return out
 
 
-KERNELS = {f.__name__: f for f in (
-    fft_coefficient, fft_aggregated, spkt_welch_density, fourier_entropy, cwt_coefficients, number_cwt_peaks,
-    permutation_entropy, lempel_ziv_complexity, ar_coefficient, augmented_dickey_fuller, friedrich_coefficients,
-    max_langevin_fixed_point, sample_entropy, approximate_entropy)}
+KERNELS = {f.__name__: f for f in (fft_aggregated, number_cwt_peaks, lempel_ziv_complexity, sample_entropy, approximate_entropy)}
 
 
 def series_features(x, groups) -> list:
@@ -370,19 +179,3 @@ def series_features(x, groups) -> list:
         except (np.linalg.LinAlgError, ValueError, ZeroDivisionError, IndexError):
             out.extend([NAN] * len(wanted))
     return out
-
-
-def durbin_levinson(acov, lags: int) -> list:
-    """Partial autocorrelations 0..lags from autocovariances."""
-    out = [1.0]
-    phi: list = []
-    err = acov[0]
-    for k in range(1, lags + 1):
-        if k >= len(acov) or not err or not np.isfinite(acov[k]):
-            out.append(NAN)
-            continue
-        a = (acov[k] - sum(p * acov[k - 1 - j] for j, p in enumerate(phi))) / err
-        phi = [p - a * q for p, q in zip(phi, phi[::-1])] + [a]
-        err *= 1.0 - a * a
-        out.append(float(a))
-    return out

@@ -120,4 +120,13 @@ def comprehensive() -> list:
         feature("approximate_entropy", m=2, r=r) for r in (0.1, 0.3, 0.5, 0.7, 0.9)]
 
 
-SETS = {"minimal": minimal, "efficient": efficient, "comprehensive": comprehensive}
+# Calculators that need a series in one piece; they are defined for series of one block.
+ONE_PIECE = ("fft_aggregated", "number_cwt_peaks", "lempel_ziv_complexity", "sample_entropy", "approximate_entropy")
+
+
+def additive() -> list:
+    """The efficient set without the calculators that need a series in one piece: for series of any length."""
+    return [f for f in efficient() if f.calculator not in ONE_PIECE]
+
+
+SETS = {"additive": additive, "minimal": minimal, "efficient": efficient, "comprehensive": comprehensive}

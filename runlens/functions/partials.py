@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .kernels import durbin_levinson
+from . import spectral_sums as ss
 from .names import EDGES, PEAKS, QUANTILES, SIGMAS
 from .special import student_two_sided
 
@@ -30,7 +30,27 @@ FAMILY = {"absolute_sum_of_changes": "change", "mean_abs_change": "change", "cid
           "number_crossing_m": "cross", "number_peaks": "peaks", "index_mass_quantile": "mass",
           "energy_ratio_by_chunks": "energy", "agg_linear_trend": "chunks", "ratio_beyond_r_sigma": "sigma",
           "binned_entropy": "bins", "change_quantiles": "corridor", "count_above_mean": "counts",
-          "count_below_mean": "counts", "has_duplicate_max": "counts", "has_duplicate_min": "counts"}
+          "count_below_mean": "counts", "has_duplicate_max": "counts", "has_duplicate_min": "counts",
+          "fft_coefficient": "fft", "spkt_welch_density": "welch", "fourier_entropy": "welch", "cwt_coefficients": "cwt",
+          "permutation_entropy": "perm", "ar_coefficient": "ar", "augmented_dickey_fuller": "adf",
+          "friedrich_coefficients": "drift", "max_langevin_fixed_point": "drift"}
+# Samples before and after a block that a family needs (default: the widest peak); the unit root needs its lags.
+REACH = {"welch": (0, ss.SEGMENT), "cwt": (0, ss.HEAD_REACH), "ar": (ss.ORDER, 0), "perm": (0, max(ss.DIMENSIONS))}
+
+
+def halo(families, lags: int) -> tuple:
+    """(before, after) in samples for a list of families."""
+    reach = [REACH.get(f, (lags + 1, 2) if f == "adf" else (max(PEAKS), max(PEAKS))) for f in families]
+    return max((r[0] for r in reach), default=0), max((r[1] for r in reach), default=0)
+
+
+def supported(f) -> bool:
+    """Parameter values with their own sums."""
+    p = dict(f.params)
+    return {"fft_coefficient": lambda: p["coeff"] < ss.FFT, "permutation_entropy": lambda: p["tau"] == 1 and p["dimension"] in ss.DIMENSIONS,
+            "cwt_coefficients": lambda: p["coeff"] < ss.HEAD and p["w"] in ss.WIDTHS, "ar_coefficient": lambda: p["k"] == ss.ORDER,
+            "friedrich_coefficients": lambda: (p["m"], p["r"]) == (ss.DEGREE, ss.CELLS),
+            "max_langevin_fixed_point": lambda: (p["m"], p["r"]) == (ss.DEGREE, ss.CELLS)}.get(f.calculator, lambda: True)()
 
 
 def _peaks(a, o, m):
@@ -78,7 +98,7 @@ def _corridor(x, y, qs):
     return out
 
 
-def block_sums(families, a, o, m, t0, n, mu, var, mn, mx, sa, base, qs) -> np.ndarray:
+def block_sums(families, a, o, m, t0, n, mu, var, mn, mx, sa, base, qs, edges=(), lags: int = 0) -> np.ndarray:
     """Additive values of the own samples a[o:o+m]; the halo serves pairs that reach beyond them."""
     w = a[o:o + m]
     c = a - mu
@@ -126,15 +146,34 @@ def block_sums(families, a, o, m, t0, n, mu, var, mn, mx, sa, base, qs) -> np.nd
             out += _corridor(x, y, qs)
         elif family == "counts":
             out += [(w > mu).sum(), (w < mu).sum(), (w == mx).sum(), (w == mn).sum()]
+        else:
+            out += ss.block_values(family, a, c, o, m, t0, n, np.asarray(edges, dtype=float), lags).tolist()
     return np.asarray(out, dtype=float)
 
 
-def places(families) -> dict:
+def places(families, lags: int = 0) -> dict:
     """family -> slice of its values in the concatenated vector."""
+    size = {**SIZES, **ss.sizes(lags)}
     out, at = {}, 0
     for f in families:
-        out[f] = slice(at, at + SIZES[f])
-        at += SIZES[f]
+        out[f] = slice(at, at + size[f])
+        at += size[f]
+    return out
+
+
+def durbin_levinson(acov, lags: int) -> list:
+    """Partial autocorrelations 0..lags from autocovariances."""
+    out = [1.0]
+    phi: list = []
+    err = acov[0]
+    for k in range(1, lags + 1):
+        if k >= len(acov) or not err or not np.isfinite(acov[k]):
+            out.append(np.nan)
+            continue
+        a = (acov[k] - sum(p * acov[k - 1 - j] for j, p in enumerate(phi))) / err
+        phi = [p - a * q for p, q in zip(phi, phi[::-1])] + [a]
+        err *= 1.0 - a * a
+        out.append(float(a))
     return out
 
 
@@ -155,18 +194,21 @@ def _trend(n, size, name, y, yy, iy, mu):
     return {"slope": slope, "intercept": shift + y / k - slope * (k - 1) / 2.0, "rvalue": r, "stderr": err}
 
 
-def finish(features, families, v: np.ndarray, st: dict) -> np.ndarray:
+def finish(features, families, v: np.ndarray, st: dict, lags: int = 0) -> np.ndarray:
     """Feature matrix (series x features) from summed block values and series statistics."""
-    at = places(families)
+    at = places(families, lags)
     n, mu, var = st["n"], st["mu"], st["var"]
     sd = np.sqrt(var)
     acs = None
     if "acorr" in at:
-        lags = np.arange(1, LAGS + 1)
-        acov = np.where(n[:, None] > lags, _div(v[:, at["acorr"]], np.maximum(n[:, None] - lags, 1)), np.nan)
+        steps = np.arange(1, LAGS + 1)
+        acov = np.where(n[:, None] > steps, _div(v[:, at["acorr"]], np.maximum(n[:, None] - steps, 1)), np.nan)
         acs = _div(acov, var[:, None])
         pacf_lag = max([f["lag"] for f in features if f.calculator == "partial_autocorrelation"], default=0)
         pacf = np.array([durbin_levinson([var[i], *acov[i, :pacf_lag]], pacf_lag) for i in range(len(n))]) if pacf_lag else None
+    if "adf" in at:
+        roots = ss.finish_unit_root(v[:, at["adf"]], n, lags)
+        flat = st["mn"] == st["mx"]
     out = []
     for f in features:
         c, p = f.calculator, dict(f.params)
@@ -218,6 +260,22 @@ def finish(features, families, v: np.ndarray, st: dict) -> np.ndarray:
             got = part[:, 0 if c == "count_above_mean" else 1]
         elif c in ("has_duplicate_max", "has_duplicate_min"):
             got = (part[:, 2 if c == "has_duplicate_max" else 3] >= 2).astype(float)
+        elif c == "fft_coefficient":
+            got = ss.finish_fft(part, n, p["attr"], p["coeff"])
+        elif c == "spkt_welch_density":
+            got = ss.finish_welch(part, n, p["coeff"])
+        elif c == "fourier_entropy":
+            got = ss.finish_fourier_entropy(part, n, p["bins"])
+        elif c == "cwt_coefficients":
+            got = ss.finish_wavelet(part, n, p["w"], p["coeff"])
+        elif c == "permutation_entropy":
+            got = ss.finish_patterns(part, p["dimension"])
+        elif c == "ar_coefficient":
+            got = ss.finish_ar(part, n, mu, p["coeff"])
+        elif c in ("friedrich_coefficients", "max_langevin_fixed_point"):
+            got = ss.finish_drift(part, p.get("coeff"))
+        elif c == "augmented_dickey_fuller":
+            got = np.where(flat, np.nan, roots[:, ("teststat", "pvalue", "usedlag").index(p["attr"])])
         elif c == "linear_trend":
             got = np.array([_slope_p(r, k) for r, k in zip(np.nan_to_num(st["rv"]), n)])
         out.append(got)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from ..functions.names import Feature
 from ..functions.partials import PROBS
+from ..functions.spectral_sums import CELL_EDGES
 
 PLAIN = {
     "n": "count(v)", "mu": "avg(v)", "var": "var_pop(v)", "mn": "min(v)", "mx": "max(v)", "s": "sum(v)",
@@ -38,6 +39,9 @@ def quantile_list(probs) -> str:
 
 WHOLE = {
     "qs": quantile_list(PROBS),
+    # Borders of the drift cells: quantiles of all values but the last one.
+    "sp": "array_sort(slice(w, 1, greatest(size(w) - 1, 1)))",
+    "dq": quantile_list(CELL_EDGES).replace("sw", "sp"),
     "ndist": "cast(size(array_distinct(w)) as bigint)",
     "revals": "filter(sw, (e, i) -> i + 1 < size(sw) and e = get(sw, i + 1) and (i = 0 or get(sw, i - 1) <> e))",
     "repoints": "filter(sw, (e, i) -> (i > 0 and get(sw, i - 1) = e) or (i + 1 < size(sw) and get(sw, i + 1) = e))",

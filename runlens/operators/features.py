@@ -3,14 +3,15 @@
 Samples move once: rows are grouped by (run, block) and turned into one value array per channel.
 Statistics that need no order come from a map-side aggregation and are joined to the blocks on
 (run, block), where the arrays already are. Order-dependent families are additive sums per block
-(Arrow batches); whole-series calculators get one vector per series. For runs of one block everything
-after that shuffle is a row expression; longer runs sum their block results, and take quantiles and
-repeated values from value counts. Only what the requested features need is computed.
+(Arrow batches). For runs of one block everything after that shuffle is a row expression; longer runs sum their
+block results, and take quantiles and repeated values from value counts. The few calculators that need a series in one
+piece are defined for series of one block. Only what the requested features need is computed.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,14 +23,14 @@ from pyspark.sql import types as T
 from ..functions import names as fn
 from ..functions import partials as pt
 from ..functions.kernels import KERNELS, series_features
+from ..functions.spectral_sums import CELL_EDGES, most_lags
 from ..schema import BLOCK, KEYS
 from . import feature_sql as fs
 from .values import ordered_counts, quantiles, value_counts
 from .windows import block_column, with_halo
 
-# A series that must be whole for a kernel (spectrum, complexity, unit root) may have this many samples.
-WHOLE_LIMIT = 1 << 24
-HALO = max(fn.PEAKS)
+# Series whose block sums are held at once: the widest families have thousands of values.
+SLICE = 256
 BLK = "blk"
 TOKEN = re.compile(r"[a-z_][a-z_0-9]*", re.IGNORECASE)
 SUM_STATS = ("n", "mu", "var", "mn", "mx", "sa", "ss", "rv")
@@ -49,14 +50,16 @@ def _needed(texts, table: dict) -> list:
 
 
 class Plan:
-    """What a list of features needs: native formulas, additive families, whole-series kernels."""
+    """What a list of features needs: native formulas, additive families, calculators of one piece.
 
-    def __init__(self, features):
+    ``longest`` bounds the length of the series; the lags of the unit-root regression grow with it."""
+
+    def __init__(self, features, longest: int = BLOCK):
         features = list(dict.fromkeys(features))
         finals = {f: fs.final(f) for f in features}
         self.native = [f for f in features if finals[f] is not None]
         rest = [f for f in features if finals[f] is None]
-        self.summed = [f for f in rest if f.calculator in pt.FAMILY or f.calculator == "linear_trend"]
+        self.summed = [f for f in rest if f.calculator in pt.FAMILY and pt.supported(f) or f.calculator == "linear_trend"]
         self.kernel = [f for f in rest if f.calculator in KERNELS]
         unknown = [f.suffix for f in rest if f not in self.summed and f not in self.kernel]
         if unknown:
@@ -65,14 +68,16 @@ class Plan:
         self.families = list(dict.fromkeys(pt.FAMILY[f.calculator] for f in self.summed if f.calculator in pt.FAMILY))
         texts = [finals[f] for f in self.native]
         self.partial = {k: fs.NATIVE[k] for k in _needed(texts, fs.NATIVE)}
-        inner = texts + [sql for sql, _ in self.partial.values()] + (["qs"] if "corridor" in self.families else [])
+        inner = texts + [sql for sql, _ in self.partial.values()] + (["qs"] if "corridor" in self.families else []) + (
+            ["dq"] if "drift" in self.families else [])
         self.whole = _needed(inner, fs.WHOLE)
         used = _tokens(inner + [fs.WHOLE[k] for k in self.whole])
         if self.summed:
             used |= set(SUM_STATS)
         self.plain = [k for k in fs.PLAIN if k in used or k in ("n", "mu", "var", "mn", "mx")]
         self.blocks = bool(self.partial or self.whole or self.kernel or self.families or self.summed)
-        self.halo = HALO if self.families else 0
+        self.lags = max(0, most_lags(longest)) if "adf" in self.families else 0
+        self.halo = pt.halo(self.families, self.lags)
         self.finals = finals
         self.groups: list = []
         for f in self.kernel:
@@ -82,7 +87,7 @@ class Plan:
 
     @property
     def public(self) -> list:
-        return [k for k in self.whole if k not in ("revals", "repoints")]
+        return [k for k in self.whole if k not in ("revals", "repoints", "sp")]
 
 
 def plain_stats(long: DataFrame, wanted, keys) -> DataFrame:
@@ -93,7 +98,7 @@ def plain_stats(long: DataFrame, wanted, keys) -> DataFrame:
 
 def block_rows(rows: DataFrame, stats: DataFrame, plan: Plan, width: int, keys, block: int) -> DataFrame:
     """One row per (run, block, channel): value arrays next to the series statistics."""
-    halo = with_halo(rows, plan.halo, plan.halo, block).withColumnRenamed(block_column(block), BLK)
+    halo = with_halo(rows, *plan.halo, block).withColumnRenamed(block_column(block), BLK)
     got = halo.groupBy(*keys, BLK).agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("arr"))
     per_run = stats.groupBy(*keys).agg(
         F.max("last_t").alias("_last"), F.sort_array(F.collect_list(F.struct("channel", *plan.plain))).alias("st"))
@@ -106,11 +111,12 @@ def block_rows(rows: DataFrame, stats: DataFrame, plan: Plan, width: int, keys,
                    "(v, q) -> named_struct('a', v, 'q', q))")
     flat = both.select(*keys, BLK, "t0", "o", "m", F.explode_outer(split).alias("z")).select(
         *keys, BLK, "t0", "o", "m", "z.a", "z.q.*")
-    return flat.withColumn("w", F.slice("a", F.col("o") + 1, F.col("m")) if plan.halo else F.col("a"))
+    return flat.withColumn("w", F.slice("a", F.col("o") + 1, F.col("m")) if any(plan.halo) else F.col("a"))
 
 
-def long_values(rows: DataFrame, keys) -> DataFrame:
-    """Quantiles and repeated values of series with several blocks, from value counts."""
+def long_values(rows: DataFrame, keys, drift: bool = False) -> DataFrame:
+    """Quantiles and repeated values of series with several blocks, from value counts; with ``drift`` also the borders of
+    the drift cells, quantiles of all values but the last one."""
     group = [*keys, "channel"]
     ordered = ordered_counts(value_counts(rows.select(*group, F.explode_outer("w").alias("value")), group), group)
     repeated = F.col("n") > 1
@@ -119,7 +125,12 @@ def long_values(rows: DataFrame, keys) -> DataFrame:
         F.sum(F.when(repeated, F.col("n")).otherwise(0)).alias("nrepoint"),
         F.sum(F.when(repeated, F.col("value")).otherwise(0.0)).alias("sreval"),
         F.sum(F.when(repeated, F.col("value") * F.col("n")).otherwise(0.0)).alias("srepoint"))
-    return quantiles(ordered, group, list(pt.PROBS), name="qs").join(more, group)
+    out = quantiles(ordered, group, list(pt.PROBS), name="qs").join(more, group)
+    if drift:
+        kept = F.when(F.col("t0") + F.col("m") == F.col("n"), F.slice("w", F.lit(1), F.col("m") - 1)).otherwise(F.col("w"))
+        counts = value_counts(rows.select(*group, F.explode(kept).alias("value")), group)
+        out = out.join(quantiles(ordered_counts(counts, group), group, list(CELL_EDGES), name="dq"), group)
+    return out
 
 
 def mass_before(rows: DataFrame, keys) -> DataFrame:
@@ -174,65 +185,58 @@ def _stats_frame(s: pd.DataFrame) -> dict:
     return {k: s[k].to_numpy(dtype=float) for k in SUM_STATS}
 
 
-def _sums_of(s: pd.DataFrame, families) -> np.ndarray:
+def _sums_of(s: pd.DataFrame, families, lags: int) -> np.ndarray:
     return np.array([pt.block_sums(families, _vector(r.a), int(r.o), int(r.m), int(r.t0), int(r.n), r.mu, r.var, r.mn,
-                                   r.mx, r.sa, r.base, r.qs) for r in s.itertuples(index=False)]).reshape(len(s), -1)
+                                   r.mx, r.sa, r.base, r.qs, r.dq, lags) for r in s.itertuples(index=False)]).reshape(len(s), -1)
+
+
+def _slices(n: int):
+    return [slice(at, at + SLICE) for at in range(0, n, SLICE)]
 
 
-def sums_udf(families):
+def sums_udf(families, lags: int):
     """Additive values of each block row."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(s: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(_sums_of(s, families)))
+        return pd.Series([row for at in _slices(len(s)) for row in _sums_of(s.iloc[at], families, lags)])
     return run
 
 
-def finish_udf(features, families):
+def finish_udf(features, families, lags: int):
     """Features from summed values."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(sums: pd.Series, s: pd.DataFrame) -> pd.Series:
-        v = np.array([_vector(x) for x in sums]).reshape(len(s), -1)
-        return pd.Series(list(pt.finish(features, families, v, _stats_frame(s))))
+        out = []
+        for at in _slices(len(s)):
+            part = s.iloc[at]
+            v = np.array([_vector(x) for x in sums.iloc[at]]).reshape(len(part), -1)
+            out += list(pt.finish(features, families, v, _stats_frame(part), lags))
+        return pd.Series(out)
     return run
 
 
-def one_block_udf(features, families, groups):
-    """Summed features and whole-series kernels of series that fit one block, in one pass."""
+def one_block_udf(features, families, groups, lags: int):
+    """Summed features and calculators of one piece for series that fit one block, in one pass."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(s: pd.DataFrame) -> pd.Series:
-        got = pt.finish(features, families, _sums_of(s, families), _stats_frame(s)) if features else \
-            np.empty((len(s), 0))
-        if not groups:
-            return pd.Series(list(got))
-        return pd.Series([np.concatenate([g, series_features(_vector(a)[o:o + m], groups)])
-                          for g, a, o, m in zip(got, s["a"], s["o"], s["m"])])
-    return run
-
-
-def kernel_udf(groups):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(w: pd.Series) -> pd.Series:
-        return pd.Series([series_features(_vector(v), groups) for v in w])
+        out = []
+        for at in _slices(len(s)):
+            part = s.iloc[at]
+            got = pt.finish(features, families, _sums_of(part, families, lags), _stats_frame(part), lags) if features else \
+                np.empty((len(part), 0))
+            out += list(got) if not groups else [np.concatenate([g, series_features(_vector(a)[o:o + m], groups)])
+                                                 for g, a, o, m in zip(got, part["a"], part["o"], part["m"])]
+        return pd.Series(out)
     return run
 
 
-def whole_series(rows: DataFrame, keys) -> DataFrame:
-    """Series of several blocks put together for the kernels, up to WHOLE_LIMIT samples."""
-    group = [*keys, "channel"]
-    guard = F.when(F.col("n") > WHOLE_LIMIT, F.raise_error(F.lit("series too long for whole-series calculators"))
-                   .cast("bigint")).otherwise(F.col(BLK))
-    parts = rows.withColumn(BLK, guard)
-    return parts.groupBy(*group).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(BLK, "w"))),
-                                                           lambda e: e["w"])).alias("w"))
-
-
 def _input(df: DataFrame, plan: Plan) -> Column:
     """Struct handed to the block kernels."""
     have = set(df.columns)
-    extra = {"base": F.lit(0.0), "qs": F.array(), **{k: F.lit(0.0) for k in SUM_STATS}}
-    names = ["a", "o", "m", "t0", *SUM_STATS, "base", "qs"]
+    extra = {"base": F.lit(0.0), "qs": F.array(), "dq": F.array(), **{k: F.lit(0.0) for k in SUM_STATS}}
+    names = ["a", "o", "m", "t0", *SUM_STATS, "base", "qs", "dq"]
     return F.struct(*[F.col(c).alias(c) if c in have else extra[c].cast(
-        "array<double>" if c == "qs" else "double").alias(c) for c in names])
+        "array<double>" if c in ("qs", "dq") else "double").alias(c) for c in names])
 
 
 def extract_wide(rows: DataFrame, channels: list, features, keys=KEYS, block: int = BLOCK,
@@ -242,15 +246,18 @@ def extract_wide(rows: DataFrame, channels: list, features, keys=KEYS, block: in
     ``rows`` has keys, t and x (one entry per channel). ``long_runs=False`` states that no run exceeds
     one block (a fixed length does that; a longer run stops the job); None looks at the longest run first.
     """
-    plan = Plan(features)
     keys, group = list(keys), [*keys, "channel"]
     rows = rows.select(*keys, "t", "x")
+    longest = block
+    if long_runs is not False and Plan(features).blocks:
+        longest = max(block, (rows.agg(F.max("t")).first()[0] or 0) + 1)
+    plan = Plan(features, longest)
     stats = plain_stats(rows.select(*keys, "t", F.posexplode_outer("x").alias("channel", "v")), plan.plain, keys)
     native = F.array(*[F.expr(plan.finals[f]).cast("double") for f in plan.native])
     if not plan.blocks:
         return stats.select(*group, native.alias("values")), plan.order
     if long_runs is None:
-        long_runs = rows.agg(F.max("t")).first()[0] >= block
+        long_runs = longest > block
     base = block_rows(rows, stats, plan, len(channels), keys, block)
     fits = F.col("n") == F.col("m")
     short = base.where(fits if long_runs else fits | F.raise_error(F.lit("a run exceeds one block")).cast("boolean"))
@@ -260,7 +267,7 @@ def extract_wide(rows: DataFrame, channels: list, features, keys=KEYS, block: in
     table = table.withColumns({k: F.expr(sql) for k, (sql, _) in plan.partial.items()}) if plan.partial else table
     parts = [native] if plan.native else []
     if plan.summed or plan.kernel:
-        parts.append(one_block_udf(plan.summed, plan.families, plan.groups)(_input(table, plan)))
+        parts.append(one_block_udf(plan.summed, plan.families, plan.groups, plan.lags)(_input(table, plan)))
     values = F.concat(*parts) if len(parts) > 1 else parts[0]
     out = table.select(*group, values.alias("values"))
     if long_runs:
@@ -271,21 +278,21 @@ def extract_wide(rows: DataFrame, channels: list, features, keys=KEYS, block: in
 def _long_part(far: DataFrame, plan: Plan, native: Column, keys) -> DataFrame:
     """The same values for series of several blocks: merged block results and value counts."""
     group = [*keys, "channel"]
-    table = far.join(long_values(far, keys).select(*group, *plan.public), group) if plan.whole else far
+    table = far.join(long_values(far, keys, "dq" in plan.whole).select(*group, *plan.public), group) if plan.whole else far
     if "mass" in plan.families:
         table = table.join(mass_before(far, keys), [*group, BLK])
     if plan.partial:
         table = table.withColumns({k: F.expr(sql) for k, (sql, _) in plan.partial.items()})
     if plan.families:
-        table = table.withColumn("sums", sums_udf(plan.families)(_input(table, plan)))
+        table = table.withColumn("sums", sums_udf(plan.families, plan.lags)(_input(table, plan)))
     done = merge_blocks(table, plan, keys, bool(plan.families))
     parts = [native] if plan.native else []
     if plan.summed:
         sums = F.col("sums") if plan.families else F.array().cast("array<double>")
-        parts.append(finish_udf(plan.summed, plan.families)(sums, F.struct(*[F.col(k) for k in SUM_STATS])))
+        parts.append(finish_udf(plan.summed, plan.families, plan.lags)(sums, F.struct(*[F.col(k) for k in SUM_STATS])))
     if plan.kernel:
-        done = done.join(whole_series(far, keys).select(*group, kernel_udf(plan.groups)("w").alias("kern")), group)
-        parts.append(F.col("kern"))
+        names = sorted({f.calculator for f in plan.kernel})
+        parts.append(F.array(F.raise_error(F.lit(f"a series is longer than one block; not defined for it: {names}")).cast("double")))
     values = F.concat(*parts) if len(parts) > 1 else parts[0]
     return done.select(*group, values.alias("values"))
 
@@ -305,12 +312,19 @@ def extract_features(rows: DataFrame, channels: list, features="efficient", keys
 
 def extract_selected(rows: DataFrame, channels: list, selected, keys=KEYS, block: int = BLOCK,
                      long_runs: bool | None = None) -> DataFrame:
-    """Only the named features: channels and calculators nobody asked for are never computed."""
+    """Only the named features: channels and calculators nobody asked for are never computed.
+
+    Channels that want the same calculators are extracted together; a channel with a list of its own gets its own pass.
+    """
     wanted = fn.by_channel(selected)
     keep = [c for c in channels if c in wanted]
     if not keep:
         raise ValueError("none of the selected features belongs to a channel of these runs")
-    x = F.array(*[F.col("x")[list(channels).index(c)] for c in keep])
-    union = list(dict.fromkeys(f for c in keep for f in wanted[c]))
-    long = extract_features(rows.withColumn("x", x), keep, union, keys, block, long_runs)
-    return long.where(F.col("feature").isin(list(selected)))
+    alike: dict = {}
+    for c in keep:
+        alike.setdefault(tuple(sorted(wanted[c], key=lambda f: f.suffix)), []).append(c)
+    parts = []
+    for features, names in alike.items():
+        x = F.array(*[F.col("x")[list(channels).index(c)] for c in names])
+        parts.append(extract_features(rows.withColumn("x", x), names, list(features), keys, block, long_runs))
+    return reduce(DataFrame.unionByName, parts)

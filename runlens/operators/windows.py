@@ -74,15 +74,8 @@ def attach_per_run(rows: DataFrame, per_run: DataFrame, keys=KEYS, block: int =
 
 def with_halo(df: DataFrame, before: int = 0, after: int = 0, block: int = BLOCK) -> DataFrame:
     """Assign every row to its block and copy rows near a border to the neighbouring block."""
-    if max(before, after) > block:
-        raise ValueError("halo wider than a block")
-    own = F.expr(f"t div {block}")
-    inside = F.expr(f"t % {block}")
-    targets = F.array(
-        own,
-        F.when(inside >= block - before, own + 1) if before else F.lit(None).cast("bigint"),
-        F.when((inside < after) & (own > 0), own - 1) if after else F.lit(None).cast("bigint"))
-    return df.withColumn(block_column(block), F.explode_outer(F.array_compact(targets)))
+    first, last = F.expr(f"greatest(t - {after}, 0L) div {block}"), F.expr(f"(t + {before}) div {block}")
+    return df.withColumn(block_column(block), F.explode_outer(F.sequence(first, last)))
 
 
 def with_neighbours(df: DataFrame, wanted: dict, keys=KEYS, block: int = BLOCK) -> DataFrame:

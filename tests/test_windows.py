@@ -102,3 +102,31 @@ def test_spectrum_transform_edges(spark):
     assert log[0][0] == -12.0
     rel = [r[0] for r in df.select(prep.spectrum_transform("v", "relative")).collect()]
     assert rel == [[0.0, 2.0], [1.0, 0.5]]
+
+
+def test_run_keys_never_collide(spark):
+    from runlens.operators import prep, sets
+
+    pairs = [(0, 1001), (1, 1), (2, 1), (1, 1001), (0, 2001), (20, 2**31 - 1), (0, 0), (3, -5)]
+    df = spark.createDataFrame(pairs, "faultNumber int, simulationRun int").withColumn("run_id", prep.run_key())
+    assert df.select("run_id").distinct().count() == len(pairs)
+    back = prep.key_columns(df.select("run_id"))
+    assert {(r["faultNumber"], r["simulationRun"]) for r in back.collect()} == set(pairs)
+    both = df.withColumn("split", F.lit("train"))
+    a, b = both.where("simulationRun = 1001 and faultNumber = 0"), both.where("simulationRun = 1 and faultNumber = 1")
+    seen = a.withColumn("config", F.lit("A")).unionByName(b.withColumn("config", F.lit("B")))
+    assert sets.common_runs(seen, 2).count() == 0
+
+
+def test_gaps_never_drop_samples(spark):
+    from runlens.sources.runs import prepare_runs
+
+    rows = [(0, 1, s, [float(s)]) for s in range(1, 151) if s % 3]
+    df = spark.createDataFrame(rows, "faultNumber int, simulationRun int, sample int, x array<double>")
+    kept = prepare_runs(df, cutoff=1, length=100)
+    assert kept.count() == 100 and kept.agg(F.max("t")).first()[0] == 99
+    for length in (100, None):
+        with pytest.raises(Exception, match="gaps"):
+            prepare_runs(df, cutoff=1, length=length, dense=True).collect()
+    whole = spark.createDataFrame([(0, 1, s, [1.0]) for s in range(1, 101)], df.schema)
+    assert prepare_runs(whole, cutoff=1, length=None, dense=True).count() == 100
