@@ -12,9 +12,9 @@ A model file is compiled into three machines:
   an arc weighs minus the piece's score instead and every pair is accepted.
 
 Encoding composes the machines with the text and takes the shortest path in the tropical semiring (min, +), by one pass from left
-to right: per position and last piece the least weight so far. No piece holds U+2581 behind another character, so the
-composition falls apart where such a character follows another one, and the shortest path of a text is the
-concatenation of those of its parts. Parts that repeat are looked up in a bounded table per task.
+to right: per position the least weight so far and the last piece. No piece spans certain borders (U+2581 behind another
+character; two characters that stand side by side in no piece), so there the composition falls apart, and the shortest
+path of a text is the concatenation of those of its parts. Parts that repeat are looked up in a bounded table per task.
 
 Decoding is the inverse: pieces to text, byte pieces to bytes, U+2581 to spaces, without the dummy prefix.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 import struct
 from dataclasses import dataclass, field
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,16 +125,20 @@ class Transducer:
         for b, i in self.bytes.items():
             self.texts[i] = chr(b)
         self.least = min(self.scores.values(), default=0.0) - 10.0  # of a character that no piece covers
-        self.trie: dict = {}
+        # A node is [arcs by character, id of the piece that ends here or None].
+        self.trie: list = [{}, None]
         for piece in self.scores:
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = self.ids[piece]
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = self.ids[piece]
+        # Characters that some piece holds next to each other; between others the composition falls apart as well.
+        self.joined = {a + b for piece in self.scores for a, b in zip(piece, piece[1:])}
         # Where the composition falls apart: before a mark that follows another character, unless a piece spans that.
         spans = any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in self.scores)
         self.parts = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]*" if not spans else r"(?s:.+)", re.S)
         self.accepted: dict[int, bool] = {}
+        self.steps: dict[int, tuple | None] = {}
         self.known: dict[str, list[int]] = {}
 
     def normalise(self, text: str) -> str:
@@ -146,9 +151,11 @@ class Transducer:
             text = " " + text
         return text.replace(" ", SPACE_MARK) if m.mark else text
 
-    def merged(self, text: str) -> list[str]:
-        """What merging makes of a text: always the neighbours whose union scores highest, leftmost first."""
+    def merging_of(self, text: str) -> tuple[list[float], list[str], list[str]] | None:
+        """How merging a text by itself goes: the score of each step (highest first, leftmost of equals), and the first and last
+        symbol before and after each. None if it does not end in the text as one piece."""
         symbols = list(text)
+        scores, firsts, lasts = [], [symbols[0]], [symbols[-1]]
         while len(symbols) > 1:
             best, at = -INFINITY, -1
             for i in range(len(symbols) - 1):
@@ -156,18 +163,49 @@ class Transducer:
                 if score is not None and score > best:
                     best, at = score, i
             if at < 0:
-                break
+                return None
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+            scores.append(best)
+            firsts.append(symbols[0])
+            lasts.append(symbols[-1])
+        return [*scores, -INFINITY], firsts, lasts
+
+    def alone(self, arc: int):
+        """merging_of an arc's text, computed once per arc."""
+        if arc not in self.steps:
+            self.steps[arc] = self.merging_of(self.name(arc))
+        return self.steps[arc]
+
+    def undisturbed(self, left: int, right: int) -> bool:
+        """Whether merging the texts of two arcs together leaves both whole: their own steps are taken in the order of scores, and
+        no step may join what touches at the border before both are done."""
+        theirs = self.alone(right)
+        if left == START or theirs is None:
+            return theirs is not None
+        mine = self.alone(left)
+        if mine is None:
+            return False
+        (steps, _, lasts), (other, firsts, _) = mine, theirs
+        i = j = 0
+        while True:
+            ahead, behind = steps[i], other[j]
+            across = self.scores.get(lasts[i] + firsts[j])
+            if across is not None and across > ahead and across >= behind:
+                return False
+            if ahead == behind == -INFINITY:
+                return True
+            if ahead >= behind:
+                i += 1
+            else:
+                j += 1
 
     def name(self, ident: int) -> str:
-        """Text of an arc: a piece, or the one character that no piece covers; START has none."""
-        return "" if ident == START else chr(ident - LOOSE) if ident >= LOOSE else self.model.pieces[ident][0]
+        """Text of an arc: a piece, or the one character that no piece covers."""
+        return chr(ident - LOOSE) if ident >= LOOSE else self.model.pieces[ident][0]
 
     def accept(self, left: int, right: int) -> bool:
         """The pair acceptor of merge models: whether merging leaves these neighbours alone."""
-        pair = [self.name(left), self.name(right)]
-        good = self.merged("".join(pair)) == [p for p in pair if p]
+        good = self.undisturbed(left, right)
         if len(self.accepted) >= MEMORY:
             self.accepted.clear()
         self.accepted[left * PAIR + right] = good
@@ -177,12 +215,12 @@ class Transducer:
         """(end, id) of the arc paths of the trie from `start`; a character without a piece is an arc of its own."""
         node, single = self.trie, False
         for at in range(start, len(text)):
-            node = node.get(text[at])
+            node = node[0].get(text[at])
             if node is None:
                 break
-            if "" in node:
+            if node[1] is not None:
                 single = single or at == start
-                yield at + 1, node[""]
+                yield at + 1, node[1]
         if not single:
             yield start + 1, LOOSE + ord(text[start])
 
@@ -192,9 +230,10 @@ class Transducer:
         position with weight 0 is it, and the last arc is all the acceptor has to remember."""
         n = len(text)
         reached: list[int | None] = [None] * (n + 1)
-        came, weight = [0] * (n + 1), [0.0] + [INFINITY] * n
+        came = [0] * (n + 1)
         reached[0] = START
         accepted, merging = self.accepted, self.merging
+        weight = [] if merging else [0.0] + [INFINITY] * n
         for at in range(n):
             last = reached[at]
             if last is None:
@@ -203,11 +242,11 @@ class Transducer:
                 base, node, end = last * PAIR, self.trie, at
                 single = False
                 while end < n:
-                    node = node.get(text[end])
+                    node = node[0].get(text[end])
                     if node is None:
                         break
                     end += 1
-                    arc = node.get("")
+                    arc = node[1]
                     if arc is not None:
                         single = single or end == at + 1
                         if reached[end] is None:
@@ -232,20 +271,31 @@ class Transducer:
             return [arc]
         return [self.bytes[b] for b in chr(arc - LOOSE).encode()] if self.model.byte_fallback else [self.model.unknown]
 
+    def part_ids(self, part: str) -> list[int]:
+        """Ids of a part, cut where no piece joins two neighbours; parts and cuts are remembered."""
+        known = self.known
+        cuts = [i for i, pair in enumerate(map(add, part, part[1:]), 1) if pair not in self.joined]
+        if cuts:
+            ids, start = [], 0
+            for end in [*cuts, len(part)]:
+                ids += known.get(part[start:end]) or self.part_ids(part[start:end])
+                start = end
+        else:
+            ids = [i for arc in self.shortest(part) for i in self.emit(arc)]
+        if len(part) <= 64:
+            if len(known) >= MEMORY:
+                known.clear()
+            known[part] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known = self.known
         for part in self.parts.findall(self.normalise(text)):
-            ids = known.get(part)
-            if ids is None:
-                ids = [i for arc in self.shortest(part) for i in self.emit(arc)]
-                if not self.model.byte_fallback:  # neighbouring unknown characters share one id
-                    ids = [i for n, i in enumerate(ids) if i != self.model.unknown or n == 0 or ids[n - 1] != i]
-                if len(part) <= 64:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[part] = ids
-            out += ids
+            if part:
+                out += known.get(part) or self.part_ids(part)
+        if not self.model.byte_fallback:  # neighbouring unknown characters share one id
+            out = [i for n, i in enumerate(out) if i != self.model.unknown or n == 0 or out[n - 1] != i]
         return out
 
     def decode(self, ids: list[int]) -> str:
