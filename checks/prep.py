@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from runlens.operators import prep, windows
 from runlens.operators.prep import KEYS
-from runlens.sources.runs import prepare_runs
+from runlens.schema import FILES
+from runlens.session import checkpoint_dir
+from runlens.sources.runs import prepare_runs, read_runs, read_split
 
 from .views import RUN_CHANNELS, feature_long, q, rnd, runs, rnd, table, typed_series, user_series, with_views
 
@@ -98,23 +102,39 @@ def p17_test_window(spark, sf):
                                  F.max("sample").alias("last"))
 
 
+def written(spark, sf, split, fmt="csv") -> str:
+    """Folder with the fault-free and the faulty file of a split, written from the table."""
+    folder = f"{checkpoint_dir(spark)}/runlens-files-{uuid.uuid4().hex}"
+    wide = runs(spark, sf, two=True).select(*KEYS, "sample", F.col("x")[0].alias("q"), F.col("x")[1].alias("d"), F.lit("extra").alias("note"))
+    for name, part in zip(FILES[split], (wide.where("faultNumber = 0"), wide.where("faultNumber <> 0"))):
+        part.write.option("header", True).format(fmt).save(f"{folder}/{name}")
+    return folder
+
+
 def io1_io3_u1_read_union(spark, sf):
-    li = table(spark, sf, "lineitem")
-    normal = li.where("l_returnflag = 'N'")
-    faulty = li.where("l_returnflag <> 'N'")
-    both = prep.merge_faults(normal, faulty)
-    return both.groupBy("l_returnflag").agg(F.count("*").alias("n"),
-                                            F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    """Both files of the training split read one by one and put together."""
+    folder = written(spark, sf, "train")
+    normal, faulty = (read_runs(spark, f"{folder}/{name}", ("q", "d")) for name in FILES["train"])
+    return prep.merge_faults(normal, faulty).groupBy("faultNumber").agg(
+        F.count("*").alias("n"), F.countDistinct("simulationRun").alias("runs"), rnd(F.sum(F.col("x")[0]), 4).alias("quantity"))
 
 
 def io2_read_split(spark, sf):
-    df = prepare_runs(runs(spark, sf).drop("t"), cutoff=21, uniform=True, length=100, dense=False)
+    df = read_split(spark, written(spark, sf, "train"), "train", ("q", "d"))
+    df = prepare_runs(df, cutoff=21, uniform=True, length=100)
+    return df.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("sample").alias("first"), F.max("t").alias("last_t"),
+                                 rnd(F.sum(F.col("x")[1]), 4).alias("discount"))
+
+
+def io4_read_test(spark, sf):
+    """The test split: later cutoff, and from the training window on the same length for every run."""
+    df = read_split(spark, written(spark, sf, "test"), "test", ("q", "d"))
+    df = prepare_runs(df, "test", cutoff=61, length=90)
     return df.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("sample").alias("first"), F.max("t").alias("last_t"))
 
 
 def io4_typed_runs(spark, sf):
-    df = prep.first_runs(typed_series(spark, sf), 40)
-    return df.select(*KEYS, "sample", F.col("x")[0].alias("v"))
+    return typed_series(spark, sf).select(*KEYS, "sample", F.col("x")[0].alias("v"))
 
 
 _stats = """stats AS (SELECT avg(x0) m0, stddev_pop(x0) s0, avg(x1) m1, stddev_pop(x1) s1, avg(x2) m2, stddev_pop(x2) s2,
@@ -157,10 +177,13 @@ SELECT {KEY_SQL}, sample, {", ".join(f"{q(f'y{i}')} AS linear_{i}, {q(f'log10(gr
 WITH k AS (SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY sample) AS rn FROM runs4 WHERE "faultNumber"=0 OR sample>=61)
 SELECT {KEY_SQL}, count(*) AS n, min(sample) AS first, max(sample) AS last FROM k
 WHERE rn <= CASE WHEN "faultNumber"=0 THEN 120 ELSE 100 END GROUP BY 1,2""")),
-    "io1_io3_u1_read_union": (io1_io3_u1_read_union, """
-SELECT l_returnflag, count(*) AS n, round(sum(l_quantity),2) AS quantity FROM lineitem GROUP BY 1"""),
-    "io2_read_split": (io2_read_split, with_views("runs4", f"""
-SELECT {KEY_SQL}, count(*) AS n, min(sample) AS first, CAST(99 AS BIGINT) AS last_t FROM runs4 WHERE sample BETWEEN 21 AND 120 GROUP BY 1,2""")),
+    "io1_io3_u1_read_union": (io1_io3_u1_read_union, with_views("runs2", f"""
+SELECT "faultNumber", count(*) AS n, count(DISTINCT "simulationRun") AS runs, {q('sum(a)', 4)} AS quantity FROM runs2 GROUP BY 1""")),
+    "io2_read_split": (io2_read_split, with_views("runs2", f"""
+SELECT {KEY_SQL}, count(*) AS n, min(sample) AS first, CAST(99 AS BIGINT) AS last_t, {q('sum(b)', 4)} AS discount
+FROM runs2 WHERE sample BETWEEN 21 AND 120 GROUP BY 1,2""")),
+    "io4_read_test": (io4_read_test, with_views("runs2", f"""
+SELECT {KEY_SQL}, count(*) AS n, min(sample) AS first, CAST(89 AS BIGINT) AS last_t FROM runs2 WHERE sample BETWEEN 61 AND 150 GROUP BY 1,2""")),
     "io4_typed_runs": (io4_typed_runs, with_views("series1c", f"""
-SELECT {KEY_SQL}, sample, v FROM series1c WHERE "simulationRun" <= 40""")),
+SELECT {KEY_SQL}, sample, v FROM series1c""")),
 }

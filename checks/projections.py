@@ -16,7 +16,7 @@ OVER = f"OVER (PARTITION BY {K} ORDER BY sample)"
 
 
 def rows(spark, sf, two=False):
-    return prepare_runs(runs(spark, sf, two=two).drop("t"), cutoff=21, length=100, dense=True)
+    return prepare_runs(runs(spark, sf, two=two).drop("t"), cutoff=21, length=None, dense=True)
 
 
 def run(spark, sf, spec, two=False, scaling="scaler", **kw):
@@ -103,7 +103,7 @@ def v5_one(spark, sf):
     return projections.project(df, ("dyca", 1, 1), ctx).select(*KEYS, "t", rnd(F.abs(F.col("x")[0])).alias("y"))
 
 
-CUT = "cut AS (SELECT *, CAST(sample - 21 AS BIGINT) AS t FROM runs2 WHERE sample BETWEEN 21 AND 120)"
+CUT = "cut AS (SELECT *, CAST(sample - 21 AS BIGINT) AS t FROM runs2 WHERE sample >= 21)"
 
 
 def R2(body):
@@ -122,9 +122,9 @@ SELECT {K}, count(*) AS n, {q('var_samp(a)+var_samp(b)+var_samp(a1)+var_samp(b1)
     "v5_dyca_one_channel": (v5_one, R2(f"WITH {CUT}, m AS (SELECT {K}, avg(round(a,6)) AS m FROM cut GROUP BY 1,2) SELECT {K}, t, {q('abs(round(a,6)-m)')} AS y FROM cut JOIN m USING ({K})")),
     "v4_project_cva": (v4_one, R2(f"""WITH {CUT}, l AS (SELECT {K}, t, lag(a) {OVER} AS p FROM cut), m AS (SELECT {K}, avg(p) AS m, stddev_samp(p) AS s FROM l GROUP BY 1,2)
 SELECT {K}, t - 1 AS t, {q('abs((p-m)/s)')} AS y FROM l JOIN m USING ({K}) WHERE p IS NOT NULL""")),
-    "v4_cva_unit_variance": (v4_unit, R2(f"WITH {CUT} SELECT DISTINCT {K}, c AS channel, CAST(99 AS BIGINT) AS n, 1.0::DOUBLE AS variance, true AS positive_peak, CAST(98 AS BIGINT) AS last_t FROM cut, (VALUES (0),(1)) v(c)")),
+    "v4_cva_unit_variance": (v4_unit, R2(f"WITH {CUT} SELECT {K}, c AS channel, count(*) - 1 AS n, 1.0::DOUBLE AS variance, true AS positive_peak, count(*) - 2 AS last_t FROM cut, (VALUES (0),(1)) v(c) GROUP BY {K}, c")),
     "v5_project_dyca": (v5, None),
-    "v6_project_ica": (v6_unit, R2(f"WITH {CUT} SELECT DISTINCT {K}, c AS channel, CAST(100 AS BIGINT) AS n, {q('100.0/99', 4)} AS variance, true AS positive_peak, CAST(99 AS BIGINT) AS last_t FROM cut, (VALUES (0),(1)) v(c)")),
+    "v6_project_ica": (v6_unit, R2(f"WITH {CUT} SELECT {K}, c AS channel, count(*) AS n, {q('count(*)/(count(*)-1.0)', 4)} AS variance, true AS positive_peak, count(*) - 1 AS last_t FROM cut, (VALUES (0),(1)) v(c) GROUP BY {K}, c")),
     "v7_project_dycvda": (v7, None),
     "v8_project_status": (v8_status, R2(f"WITH {CUT} SELECT 'ok' AS status, count(*) AS count FROM (SELECT DISTINCT {K} FROM cut)")),
     "v9_registered_projection": (v9, R2(f"WITH {CUT} SELECT {K}, t, {q('a-b')} AS h1, {q('a+b')} AS h2 FROM cut")),

@@ -127,7 +127,7 @@ def classify_spectra(spark, sf):
 def study(spark, sf, configs=(("raw",), ("pca", 2))):
     df = runs(spark, sf).drop("t")
     parts = {"train": df.where("simulationRun % 5 <> 0"), "test": df.where("simulationRun % 5 = 0")}
-    cfg = PipelineConfig(configs, run_length=100, feature_set="minimal", top_k=6, cv_folds=0, labels=(0, 1, 2))
+    cfg = PipelineConfig(configs, run_length=None, feature_set="minimal", top_k=6, cv_folds=0, labels=(0, 1, 2))
     return Study(spark, cfg, lambda s: parts[s], fresh(spark), ["q", "p", "d", "x"], {"train": 21, "test": 21})
 
 

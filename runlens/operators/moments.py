@@ -16,6 +16,8 @@ from ..functions.linalg import unpack
 from ..schema import KEYS
 
 NATIVE_WIDTH = 8
+# Map tasks whose partial matrices of one run meet in one task of the first merge level.
+TASKS_PER_GROUP = 128
 PARTIAL_BYTES = 64 << 20
 
 
@@ -91,8 +93,9 @@ def _partial_merge(df, width, z, keys):
         if held:
             yield to_batch(list(held.items()))
 
-    def combine(batches):
+    def combine(batches, last=True):
         key, acc, ready = None, None, []
+        done = (lambda a: (a[0], a[1], a[2], a[3] / a[0])) if last else (lambda a: a)
         for batch in batches:
             for r in batch.to_pylist():
                 k = tuple(r[c] for c in keys)
@@ -101,18 +104,22 @@ def _partial_merge(df, width, z, keys):
                     acc = merge(acc, piece)
                     continue
                 if key is not None:
-                    ready.append((key, (acc[0], acc[1], acc[2], acc[3] / acc[0])))
+                    ready.append((key, done(acc)))
                 key, acc = k, piece
                 if len(ready) >= limit:
                     yield to_batch(ready)
                     ready = []
         if key is not None:
-            ready.append((key, (acc[0], acc[1], acc[2], acc[3] / acc[0])))
+            ready.append((key, done(acc)))
         if ready:
             yield to_batch(ready)
 
     pieces = df.select(*keys, F.col("t").cast("bigint").alias("t"), F.col(z).alias("z")).mapInArrow(partial, schema)
-    return pieces.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(combine, schema)
+    # Two levels: the matrices of a run that many tasks have read meet by groups of tasks first.
+    near = (pieces.withColumn("_g", F.expr(f"spark_partition_id() div {TASKS_PER_GROUP}")).repartition(*keys, "_g")
+            .sortWithinPartitions(*keys, "_g").drop("_g"))
+    near = near.mapInArrow(lambda batches: combine(batches, False), schema)
+    return near.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(combine, schema)
 
 
 def scaled(mean: np.ndarray, cov: np.ndarray, d: int, mode: str, scaler, copies, derived=()):
