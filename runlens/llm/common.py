@@ -38,10 +38,14 @@ def stored_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
+def stored(df: DataFrame, label: str, rows: int | None = None, per_file: int = 1 << 18) -> DataFrame:
+    """Write `df` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
+
+    `rows`, an upper bound of its rows, gives small tables few files; the work before keeps its own partitions."""
     spark = df.sparkSession
     path = stored_path(spark, label)
+    if rows is not None:
+        df = df.repartition(max(1, -(-rows // per_file)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

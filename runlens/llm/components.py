@@ -31,7 +31,7 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of `edges` (u, v: long) that is not the smallest of its component."""
-    now = stored(edges.where("u <> v").select("u", "v").distinct(), "edges")
+    now = stored(edges.where("u <> v").select("u", "v").distinct(), "edges", edges.count())
     seen = None
     while True:
         rows = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -39,4 +39,4 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not rows["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = state
-        now = stored(small_star(large_star(now).distinct()).distinct(), "edges")
+        now = stored(small_star(large_star(now).distinct()).distinct(), "edges", state[0])

@@ -12,8 +12,9 @@ Texts are sets of five-word shingles; two are linked when 100 * intersection >=
    exactly on both full texts.
 4. *Rest*: a bucket is done when its members form one component, as for most groups of near copies. In the others the pairs
    of different components that no star has compared go through the same Bayesian batches inside the task that holds the
-   bucket; only survivors leave it, each from the first band its pair shares. A bucket is cut into tiles, so that no
-   task holds more than two tiles of it, however large it is. Survivors are verified exactly, as above.
+   bucket, survivors through a comparison of their full sets of shingle hashes right there, each in the first band its
+   pair shares. Only links leave the task, and are verified on both full texts as above. A bucket is cut into tiles, so
+   that no task holds more than two tiles of it, however large it is.
 5. *Components* of the verified links by alternating star steps over stored edge tables.
 
 No partner is dropped by a cap: the only losses are the two probabilities above. Small id tables are broadcast after their
@@ -43,8 +44,8 @@ SIGNATURE, BATCH = 512, 32
 BINS = BANDS * ROWS + SIGNATURE
 PART = 75  # per cent
 MISS = 1e-6
-#: Members of a bucket that one task compares with another tile of it.
-TILE = 1024
+#: Members of a bucket, and their shingles, that one task compares with another tile of it; both only bound memory.
+TILE, TILE_SHINGLES = 256, 1 << 20
 SKETCH = "id long, n_shingles long, fp1 long, fp2 long, bands array<long>, signature binary"
 
 
@@ -152,8 +153,8 @@ def survivors(left: np.ndarray, right: np.ndarray, bounds: list[int]) -> np.ndar
     return at
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """(id, n_shingles, fp1, fp2, bands, signature) of (id, text)."""
+def sketch(docs: DataFrame, sets: bool = False) -> DataFrame:
+    """(id, n_shingles, fp1, fp2, bands, signature) of (id, text), with `sets` also the sorted shingle hashes."""
     import pyarrow as pa
 
     def run(batches):
@@ -161,19 +162,20 @@ def sketch(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_hashes(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
-                prints = [xxh3_128_intdigest(s.tobytes()) for s in sets]
-                made = sketches(sets)
+                hashes = [shingle_hashes(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
+                prints = [xxh3_128_intdigest(s.tobytes()) for s in hashes]
+                made = sketches(hashes)
                 signed = lambda shift: np.array([(p >> shift) & 0xFFFFFFFFFFFFFFFF for p in prints], np.uint64).view(np.int64)
                 keys, bytes_ = band_keys(made), made[:, BANDS * ROWS:].astype(np.uint8)
-                full = [len(s) > 0 for s in sets]
+                full = [len(s) > 0 for s in hashes]
+                more = [pa.array([s.tobytes() for s in hashes], pa.binary())] if sets else []
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(64)), pa.array(signed(0)),
+                    [part.column(0), pa.array([len(s) for s in hashes], pa.int64()), pa.array(signed(64)), pa.array(signed(0)),
                      pa.array([k if f else None for k, f in zip(keys, full)], pa.list_(pa.int64())),
-                     pa.array([b.tobytes() if f else None for b, f in zip(bytes_, full)], pa.binary())],
-                    names=["id", "n_shingles", "fp1", "fp2", "bands", "signature"])
+                     pa.array([b.tobytes() if f else None for b, f in zip(bytes_, full)], pa.binary()), *more],
+                    names=["id", "n_shingles", "fp1", "fp2", "bands", "signature", *["shingles"] * sets])
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.mapInArrow(run, SKETCH + ", shingles binary" * sets)
 
 
 def prune(pairs: DataFrame) -> DataFrame:
@@ -216,34 +218,45 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def compare_rest(rows: DataFrame) -> DataFrame:
-    """Untested pairs (a, b) of different components inside each (bucket, tile, other tile) that survive the batches.
+    """Untested pairs (a, b) of different components inside each (bucket, tile, other tile) that survive the batches and whose
+    full sets of shingle hashes are similar enough; nothing else leaves the task.
 
-    rows: bucket, band, i, j, side, id, component, is_hub, bands, signature; side 0 is compared with side 1, and with itself
-    where i = j. Rows of one group follow each other."""
+    rows: bucket, i, j, side, id, component, is_hub, band, bands, signature, shingles; side 0 is compared with side 1, and
+    with itself where i = j. Rows of one group follow each other."""
     import pyarrow as pa
 
     bounds = least_matches()
-    columns = ["bucket", "i", "j", "side", "id", "component", "is_hub", "band", "bands", "signature"]
-
-    def pairs_of(group):
-        ids, comp, hub, side, keys, sig, band, same = group
+    columns = ["bucket", "i", "j", "side", "id", "component", "is_hub", "band", "bands", "signature", "shingles"]
+
+    def similar(mine, sets):
+        """Which of `sets` (sorted hashes) reach the threshold with `mine`."""
+        sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        return 100 * both >= PART * (len(mine) + sizes - both)
+
+    def links_of(group):
+        ids, comp = (np.array([r[k] for r in group], np.int64) for k in (4, 5))
+        hub, side = np.array([r[6] for r in group], bool), np.array([r[3] for r in group])
+        sig = np.frombuffer(b"".join(r[9] for r in group), np.uint8).reshape(-1, SIGNATURE)
+        keys = np.array([r[8] for r in group], np.int64)
+        sets = [np.frombuffer(r[10], np.uint64) for r in group]
+        band, same = group[0][7], group[0][1] == group[0][2]
         for x in range(len(ids)):
-            others = np.arange(x + 1, len(ids)) if same else (np.flatnonzero(side == 1) if side[x] == 0 else np.zeros(0, np.int64))
-            others = others[(comp[others] != comp[x]) & ~hub[others]] if not hub[x] else others[:0]
-            if not len(others):
+            if hub[x] or not same and side[x]:
                 continue
-            near = survivors(np.broadcast_to(sig[x], (len(others), SIGNATURE)), sig[others], bounds)
-            others = others[near]
+            others = np.arange(x + 1, len(ids)) if same else np.flatnonzero(side == 1)
+            others = others[(comp[others] != comp[x]) & ~hub[others]]
+            if len(others):
+                others = others[survivors(np.broadcast_to(sig[x], (len(others), SIGNATURE)), sig[others], bounds)]
             others = others[~(keys[others, :band] == keys[x, :band]).any(axis=1)]  # an earlier band has this pair
-            for y in others:
-                yield (int(ids[x]), int(ids[y])) if ids[x] < ids[y] else (int(ids[y]), int(ids[x]))
-
-    def flush(rows_):
-        ids, comp = (np.array([r[k] for r in rows_], np.int64) for k in (4, 5))
-        sig = np.frombuffer(b"".join(r[9] for r in rows_), np.uint8).reshape(-1, SIGNATURE)
-        keys = np.array([r[8] for r in rows_], np.int64)
-        found = list(pairs_of((ids, comp, np.array([r[6] for r in rows_], bool), np.array([r[3] for r in rows_]), keys, sig,
-                               rows_[0][7], rows_[0][1] == rows_[0][2])))
+            if len(others):
+                for y in others[similar(sets[x], [sets[y] for y in others])]:
+                    yield min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))
+
+    def flush(group):
+        found = list(links_of(group))
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
@@ -262,33 +275,38 @@ def compare_rest(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
-def rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFrame:
-    """Survivors among the pairs that the stars left open. members: bucket, band, id, is_hub, n; labels: node, component."""
+def rest(members: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, tile: int = TILE,
+         tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """Links among the pairs that the stars left open. members: bucket, band, id, is_hub, n; labels: node, component;
+    sizes: id, n_shingles; texts: id, text."""
     named = (members.where("n > 2").join(if_small(labels), F.col("id") == F.col("node"), "left")
              .withColumn("component", F.coalesce("component", "id")).drop("node"))
     mixed = named.groupBy("bucket").agg(
         F.min("component").alias("least"), F.max("component").alias("most"),
         F.max(F.when(F.col("is_hub"), F.col("component"))).alias("main")).where("least < most")
-    rows = named.join(mixed.select("bucket", "main"), "bucket")
-    # Side 0: the hub's component, each row in one tile; side 1: all others. Members of the main component need no comparison
+    rows = stored(named.join(mixed.select("bucket", "main"), "bucket").join(if_small(sizes), "id"), "rest", members.count())
+    # The hub's component against all others, and these among themselves. Members of the main component need no comparison
     # among themselves, so the copies of a row grow with the others' tiles, not with the bucket.
     rows = rows.withColumn("other", (F.col("component") != F.col("main")).cast("int"))
-    sizes = rows.groupBy("bucket").agg(F.sum("other").alias("n_other"), F.sum(1 - F.col("other")).alias("n_main"))
-    rows = rows.join(sizes, "bucket")
-    tiles = lambda c: F.greatest(F.ceil(F.col(c) / tile), F.lit(1)).cast("int")
-    rows = rows.withColumn("g_other", tiles("n_other")).withColumn("g_main", tiles("n_main"))
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("other") == 1, F.col("g_other")).otherwise(F.col("g_main"))).cast("int")
-    rows = rows.withColumn("own", own)
+    tiles = lambda side: F.greatest(
+        F.ceil(F.sum(side) / tile), F.ceil(F.sum(side * F.col("n_shingles")) / tile_shingles), F.lit(1)).cast("int")
+    counts = rows.groupBy("bucket").agg(tiles(F.col("other")).alias("g_other"), tiles(1 - F.col("other")).alias("g_main"))
+    ids = stored(rows.select("id").distinct(), "rest-ids", sizes.count())
+    full = stored(sketch(texts.join(if_small(ids), "id", "left_semi"), sets=True)
+                  .select("id", "bands", "signature", "shingles"), "rest-sets", ids.count(), 1 << 13)
+    rows = rows.join(counts, "bucket")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("other") == 1, F.col("g_other")).otherwise(F.col("g_main"))).cast("int")
+    rows = rows.withColumn("own", mine)
     place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
-    mine = F.col("own")
+    own = F.col("own")
     # Groups (-1 - main tile, other tile) compare main with others; groups (i, j), i <= j compare other tiles.
-    main_side = F.transform(F.sequence(F.lit(0), F.col("g_other") - 1), lambda j: place(-1 - mine, j, 0))
-    to_main = F.transform(F.sequence(F.lit(0), F.col("g_main") - 1), lambda i: place(-1 - i, mine, 1))
+    main_side = F.transform(F.sequence(F.lit(0), F.col("g_other") - 1), lambda j: place(-1 - own, j, 0))
+    to_main = F.transform(F.sequence(F.lit(0), F.col("g_main") - 1), lambda i: place(-1 - i, own, 1))
     among = F.transform(F.sequence(F.lit(0), F.col("g_other") - 1), lambda k: F.when(
-        mine <= k, place(mine, k, 0)).otherwise(place(k, mine, 1)))
+        own <= k, place(own, k, 0)).otherwise(place(k, own, 1)))
     copies = F.when(F.col("other") == 0, main_side).otherwise(F.concat(to_main, among))
     rows = rows.withColumn("at", F.explode(copies)).select("bucket", "band", "id", "component", "is_hub", "at.*")
-    return compare_rest(rows.join(nodes.select("id", "bands", "signature"), "id"))
+    return compare_rest(rows.join(full, "id"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,20 +324,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = stored(banded.join(if_small(buckets), "bucket")
                      .select("bucket", "band", "id", "n", (rank == F.col("best")).alias("is_hub")), "members")
     # What the pairs need: sketches and texts of the nodes that share a bucket with another one.
-    ids = stored(members.select("id").distinct(), "ids")
+    ids = stored(members.select("id").distinct(), "ids", members.count())
+    n_ids = ids.count()
     chosen = if_small(ids)
     nodes = stored(made.join(chosen, "id", "left_semi").join(classes.withColumnRenamed("rep", "id"), [*group, "id"], "left_semi")
-                   .select("id", "bands", "signature").dropDuplicates(["id", "bands"]), "nodes")
+                   .select("id", "n_shingles", "bands", "signature").dropDuplicates(["id", "bands"]), "nodes", n_ids, 1 << 15)
     needed = stored(texts.where("text is not null").join(chosen, "id", "left_semi")
-                    .withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "texts")
+                    .withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "texts", n_ids, 1 << 13)
     hubs = members.where("is_hub").select("bucket", F.col("id").alias("a"))
     stars = members.where("not is_hub").select("bucket", F.col("id").alias("b")).join(if_small(hubs), "bucket")
     stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda name: nodes.select(F.col("id").alias(name), F.col("signature").alias(f"s{name}"))
     near = prune(stars.join(side("b"), "b").join(side("a"), "a")).distinct()
-    links = stored(verify(near, needed), "links")
+    n_pairs = members.where("not is_hub").count()
+    links = stored(verify(near, needed), "links", n_pairs)
     labels = components(links)
-    more = stored(verify(rest(members, labels, nodes).distinct(), needed), "links")
+    sizes = stored(nodes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "sizes", n_ids)
+    more = stored(verify(rest(members, labels, sizes, needed).distinct(), needed), "links", n_pairs)
     labels = components(links.unionByName(more)) if more.head(1) else labels
     # A node's component, then each document's through its class.
     final = classes.join(if_small(labels), F.col("rep") == F.col("node"), "left").select(

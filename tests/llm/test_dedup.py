@@ -120,9 +120,16 @@ def test_near_rest_in_tiles_finds_what_one_tile_finds(spark, monkeypatch):
     hub = members.groupBy("bucket").agg(F.min("id").alias("hub"))
     members = members.join(hub, "bucket").withColumn("is_hub", F.col("id") == F.col("hub")).drop("hub")
     labels = spark.createDataFrame([(1, 1)], "node long, component long")
-    nodes = made.select("id", "bands", "signature")
-    found = [sorted(map(tuple, near_dedup.rest(members, labels, nodes, tile).distinct().collect())) for tile in (7, 1000)]
-    assert found[0] == found[1] and len(found[0]) > 100
+    sizes = made.select("id", "n_shingles")
+    found = [set(map(tuple, near_dedup.rest(members, labels, sizes, texts, *tile).distinct().collect()))
+             for tile in ((7, 1 << 20), (1000, 1 << 20), (1000, 700))]
+    assert found[0] == found[1] == found[2]
+    sets = {i: shingles(t) for i, t, _ in rows}
+    hubs = {r["bucket"]: r["hub"] for r in hub.collect()}
+    tested = {(min(r["id"], hubs[r["bucket"]]), max(r["id"], hubs[r["bucket"]])) for r in members.collect()}
+    similar = {(a, b) for a in sets for b in sets if a < b
+               and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert found[0] <= similar and similar - tested <= found[0] and len(found[0]) > 100
 
 
 def test_near_empty_and_kept_rows(spark):
