@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import prep, windows
 from runlens.operators.prep import KEYS
-from runlens.schema import FILES
+from runlens.schema import FILES, SpectrumConfig, Window
 from runlens.session import checkpoint_dir
 from runlens.sources.runs import prepare_runs, read_runs, read_split
 
@@ -93,11 +93,10 @@ def p14_spectrum_transform(spark, sf):
 
 
 def p17_test_window(spark, sf):
-    from runlens.schema import SpectrumConfig
-    cfg = SpectrumConfig("pca", test_pre_fault_cutoff=61, test_head_fault0=120, test_head_faulty=100).test_config()
-    df = prep.drop_pre_fault(runs(spark, sf).drop("t"), cfg.pre_fault_cutoff)
-    df = windows.dense_position(df, prep.first_sample(cfg.pre_fault_cutoff))
-    df = windows.head_per_run(df, cfg.head_fault0, cfg.head_faulty)
+    cfg = SpectrumConfig("pca").over(Window(61, 120, 100))
+    df = prep.drop_pre_fault(runs(spark, sf).drop("t"), cfg.window.start)
+    df = windows.dense_position(df, prep.first_sample(cfg.window.start))
+    df = windows.head_per_run(df, cfg.window.normal, cfg.window.faulty)
     return df.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("sample").alias("first"),
                                  F.max("sample").alias("last"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlens.operators import prep, projections
-from runlens.schema import PipelineConfig
+from runlens.schema import Numerics, PipelineConfig
 from runlens.sources.runs import prepare_runs
 
 from .views import q, rnd, runs, with_views
@@ -50,13 +50,13 @@ def stats(spark, sf, spec, **kw):
 
 
 def v4_unit(spark, sf):
-    return stats(spark, sf, ("cva", 2), two=True, ridge_rel=0.0)
+    return stats(spark, sf, ("cva", 2), two=True, numerics=Numerics(ridge=0.0))
 
 
 def v4_one(spark, sf):
     """One channel: the variate is the standardised past value."""
     df = rows(spark, sf, True).withColumn("x", F.array(F.col("x")[0]))
-    ctx = projections.Context(PipelineConfig((("cva", 1),), fix_signs=False, ridge_rel=0.0), 1)
+    ctx = projections.Context(PipelineConfig((("cva", 1),), fix_signs=False, numerics=Numerics(ridge=0.0)), 1)
     y = projections.project(df, ("cva", 1), ctx)
     return y.select(*KEYS, "t", rnd(F.abs(F.col("x")[0])).alias("y"))
 
@@ -84,7 +84,7 @@ def v9(spark, sf):
     def halves(df, spec, ctx):
         return df.select(*KEYS, "t", F.array(F.col("x")[0] - F.col("x")[1], F.col("x")[0] + F.col("x")[1]).alias("x")), None
 
-    projections.register("halves", projections.Projector(lambda s: "halves", lambda s: ["h1", "h2"], halves, flip=False))
+    projections.add_kind("halves", projections.Projection(lambda s, p: projections.Layout("halves", ["h1", "h2"]), halves, signs=False))
     return run(spark, sf, ("halves",), two=True, scaling="global_mean").select(
         *KEYS, "t", *[rnd(F.col("x")[i]).alias(f"h{i + 1}") for i in range(2)])
 

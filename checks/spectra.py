@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import moments as mo
 from runlens.operators import prep, reports, spectra
-from runlens.schema import SpectrumConfig
+from runlens.schema import Numerics, SpectrumConfig, Window
 
 from .views import q, rnd, runs, user_series, vectors, with_views
 
@@ -23,7 +23,7 @@ def one(spark, sf):
 def spec(spark, sf, method, two=True, cutoff=21, **kw):
     df = runs(spark, sf, two=two)
     scaler = prep.fit_scaler(df) if kw.get("scaling_mode") == "scaler" or method == "lda" else None
-    cfg = SpectrumConfig(method, pre_fault_cutoff=cutoff, **kw)
+    cfg = SpectrumConfig(method, window=Window(cutoff), **kw)
     return spectra.run_spectra(df, cfg, 2 if two else 4, scaler, dense=True)
 
 
@@ -73,7 +73,7 @@ def j6(spark, sf):
 
 
 def d2(spark, sf):
-    cfg = SpectrumConfig("dpca", dpca_lags=1, pre_fault_cutoff=21)
+    cfg = SpectrumConfig("dpca", numerics=Numerics(lags=1), window=Window(21))
     s = spectra.run_spectra(one(spark, sf), cfg, 1, dense=True)
     return s.select(*KEYS, "n", rnd(F.col("values")[0]).alias("v1"), rnd(F.col("values")[1]).alias("v2"))
 
@@ -85,13 +85,13 @@ def d2_wide(spark, sf):
 
 
 def d3(spark, sf):
-    cfg = SpectrumConfig("cva", pre_fault_cutoff=21)
+    cfg = SpectrumConfig("cva", window=Window(21))
     s = spectra.run_spectra(one(spark, sf), cfg, 1, dense=True)
     return s.select(*KEYS, "n", rnd(F.col("values")[0]).alias("v1"))
 
 
 def d4(spark, sf):
-    cfg = SpectrumConfig("dyca", pre_fault_cutoff=21, dyca_m=1, dyca_n=1, scaling_mode="scaler")
+    cfg = SpectrumConfig("dyca", window=Window(21), numerics=Numerics(linear=1, total=1), scaling_mode="scaler")
     df = one(spark, sf)
     s = spectra.run_spectra(df, cfg, 1, prep.fit_scaler(df), dense=True)
     return s.select(*KEYS, "n", "status", rnd(F.col("values")[0], 5).alias("v1"))
@@ -100,19 +100,19 @@ def d4(spark, sf):
 def d4_failed(spark, sf):
     """Skipped and failed runs: short one-channel series, global-mean scaling."""
     df = user_series(spark, sf).drop("t")
-    cfg = SpectrumConfig("dyca", drop_pre_fault=False, dyca_m=30, dyca_n=60)
+    cfg = SpectrumConfig("dyca", window=Window(1), numerics=Numerics(linear=30, total=60))
     s = spectra.run_spectra(df, cfg, 1, dense=True)
     return s.select(*KEYS, "n", "status", rnd(F.col("values")[0], 5).alias("v1"))
 
 
 def d5_one(spark, sf):
-    cfg = SpectrumConfig("ica", pre_fault_cutoff=21, ica_n=1)
+    cfg = SpectrumConfig("ica", window=Window(21), numerics=Numerics(components=1))
     s = spectra.run_spectra(one(spark, sf), cfg, 1, dense=True)
     return s.select(*KEYS, "n", "converged", rnd(F.col("values")[0], 5).alias("v1"))
 
 
 def d5_wide(spark, sf):
-    return spec(spark, sf, "ica", two=False, ica_n=3, scaling_mode="scaler")
+    return spec(spark, sf, "ica", two=False, numerics=Numerics(components=3), scaling_mode="scaler")
 
 
 def d7(spark, sf):
@@ -125,7 +125,7 @@ def j4(spark, sf):
 
 
 def d9(spark, sf):
-    cfg = SpectrumConfig("dyca", dyca_m=2, scaling_mode="scaler")
+    cfg = SpectrumConfig("dyca", numerics=Numerics(linear=2), scaling_mode="scaler")
     df = runs(spark, sf)
     return spectra.estimate_dyca_mn(df, cfg, 4, prep.fit_scaler(df), dense=True)
 
@@ -133,16 +133,16 @@ def d9(spark, sf):
 def d10(spark, sf):
     """A user-defined spectrum: share of the strongest channel's variance."""
     import numpy as np
-    spectra.register("strongest", spectra.Spectrum(
-        "top_", "Top", "top", lambda df, c: df.withColumn("z", F.col("x")), lambda c: 1,
-        lambda n, mean, cov, d, c: np.array([np.diag(cov).max() / np.trace(cov)]), min_samples=lambda c, d: 150))
+    spectra.add_method("strongest", spectra.Method(
+        spectra.Request(lambda df, c: df.withColumn("z", F.col("x")), least=lambda c, d: 150),
+        lambda n, mean, cov, d, c: np.array([np.diag(cov).max() / np.trace(cov)]), spectra.Export("top_", "Top", "top")))
     s = spec(spark, sf, "strongest")
     return s.select(*KEYS, "n", "status", rnd(F.col("values")[0]).alias("v1"))
 
 
 def a13(spark, sf):
     df = user_series(spark, sf).drop("t")
-    s = spectra.run_spectra(df, SpectrumConfig("dyca", drop_pre_fault=False, dyca_m=30, dyca_n=60), 1, dense=True)
+    s = spectra.run_spectra(df, SpectrumConfig("dyca", window=Window(1), numerics=Numerics(linear=30, total=60)), 1, dense=True)
     return spectra.success_counters(s).select("status", "runs")
 
 

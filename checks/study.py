@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from runlens.operators import metrics, models, prep, reports
 from runlens.plans import characterise as ch
 from runlens.plans.study import Study
-from runlens.schema import PipelineConfig, SpectrumConfig
+from runlens.schema import Learning, PipelineConfig, Ranking, SpectrumConfig, Window
 from runlens.session import checkpoint_dir
 from runlens.sources import store
 
@@ -25,7 +25,7 @@ def fresh(spark) -> str:
 
 
 def pca_cfg(**kw):
-    return SpectrumConfig("pca", pre_fault_cutoff=21, **kw)
+    return SpectrumConfig("pca", window=Window(21), **kw)
 
 
 def two(spark, sf):
@@ -105,7 +105,7 @@ def m7_cv(spark, sf):
 
 
 def characterise_cva(spark, sf):
-    cfg = SpectrumConfig("cva", pre_fault_cutoff=21, scaling_mode="scaler")
+    cfg = SpectrumConfig("cva", window=Window(21), scaling_mode="scaler")
     _, agg = ch.characterise(runs(spark, sf).drop("t"), cfg, 4, dense=True)
     return agg
 
@@ -113,13 +113,12 @@ def characterise_cva(spark, sf):
 def classify_spectra(spark, sf):
     """Train spectra stored, test spectra computed on demand, both sets combined, forest confusion counts."""
     base = fresh(spark)
-    cfgs = [pca_cfg(), SpectrumConfig("cva", pre_fault_cutoff=21)]
+    cfgs = [pca_cfg(), SpectrumConfig("cva", window=Window(21))]
     df = runs(spark, sf).drop("t")
     train, test = df.where("simulationRun % 5 <> 0"), df.where("simulationRun % 5 = 0")
     for c in cfgs:
         store.write_spectra(ch.characterise(train, c, 4, dense=True)[0], base, c, "train")
-    small = [SpectrumConfig(c.method, pre_fault_cutoff=21, test_pre_fault_cutoff=21) for c in cfgs]
-    pairs = ch.combine(ch.spectra_sets(spark, base, small, lambda: test, 4, dense=True))
+    pairs = ch.combine(ch.spectra_sets(spark, base, cfgs, lambda: test, 4, Window(21), dense=True))
     board, cm = ch.classify_spectra(pairs, [0, 1, 2], ["NearestCentroid", "LogisticRegression"], cv_folds=0, trees=10)
     return metrics.scores(cm).join(board.groupBy("config").agg(F.max("macro_f1").alias("best_macro_f1")), "config")
 
@@ -127,8 +126,8 @@ def classify_spectra(spark, sf):
 def study(spark, sf, configs=(("raw",), ("pca", 2))):
     df = runs(spark, sf).drop("t")
     parts = {"train": df.where("simulationRun % 5 <> 0"), "test": df.where("simulationRun % 5 = 0")}
-    cfg = PipelineConfig(configs, run_length=None, feature_set="minimal", top_k=6, cv_folds=0, labels=(0, 1, 2))
-    return Study(spark, cfg, lambda s: parts[s], fresh(spark), ["q", "p", "d", "x"], {"train": 21, "test": 21})
+    cfg = PipelineConfig(configs, run_length=None, feature_set="minimal", ranking=Ranking(top_k=6), learning=Learning(folds=0), labels=(0, 1, 2))
+    return Study(spark, cfg, lambda s: parts[s], fresh(spark), ["q", "p", "d", "x"], {"train": 21, "test": 21}, buckets=4, per_wave=2)
 
 
 def m9(spark, sf):

@@ -194,6 +194,6 @@ def unmix(rows: DataFrame, width: int, k: int, mode: str, scaler, max_iter: int
 
 
 def ica_spectrum(rows: DataFrame, cfg, width: int, mode: str, scaler) -> DataFrame:
-    out = unmix(rows, width, min(cfg.ica_n, width), mode, scaler, cfg.ica_max_iter, cfg.ica_tol,
-                cfg.ica_random_state, cfg.block)
+    out = unmix(rows, width, min(cfg.numerics.components, width), mode, scaler, cfg.numerics.steps, cfg.numerics.tolerance,
+                cfg.numerics.seed, cfg.block)
     return out.select(*KEYS, "n", "values", "converged", "status", "error")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics, models, prep, reports, sets, spectra
-from ..schema import KEYS, LABELS, SpectrumConfig
+from ..schema import KEYS, LABELS, TEST_WINDOW, SpectrumConfig, Window
 from ..sources import store
 
 
 def needs_scaler(cfgs) -> bool:
-    return any(c.scaling_mode == "scaler" or spectra.get(c.method).forced_scaling == "scaler" for c in cfgs)
+    return any(c.scaling_mode == "scaler" or spectra.method(c.method).scaling == "scaler" for c in cfgs)
 
 
 def characterise(df: DataFrame, cfg: SpectrumConfig, width: int, scaler=None, dense: bool = False) -> tuple:
@@ -25,18 +25,20 @@ def characterise(df: DataFrame, cfg: SpectrumConfig, width: int, scaler=None, de
     return per_run, reports.aggregate_spectra(per_run.where("status = 'ok'"))
 
 
-def spectra_sets(spark, base: str, cfgs: list, test_df, width: int, scaler=None, dense: bool = False) -> dict:
+def spectra_sets(spark, base: str, cfgs: list, test_df, width: int, window: Window = TEST_WINDOW, scaler=None,
+                 dense: bool = False) -> dict:
     """{label: (train, test)}: stored training spectra, and test spectra computed unless stored.
 
-    ``test_df`` is a function, so the test samples are only read when something has to be computed.
+    ``test_df`` is a function, so the test samples are only read when something has to be computed; ``window`` says
+    which of them take part.
     """
     out = {}
     for cfg in cfgs:
         def build(cfg=cfg):
-            return spectra.run_spectra(test_df(), cfg.test_config(), width, scaler, dense)
+            return spectra.run_spectra(test_df(), cfg.over(window), width, scaler, dense)
         train = store.read_spectra(spark, base, cfg, "train").where("status = 'ok'")
-        test = store.spectra_or_build(spark, base, cfg.test_config(), "test", build).where("status = 'ok'")
-        out[spectra.get(cfg.method).label] = (train, test)
+        test = store.spectra_or_build(spark, base, cfg.over(window), "test", build).where("status = 'ok'")
+        out[spectra.method(cfg.method).export.label] = (train, test)
     return out
 
 

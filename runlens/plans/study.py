@@ -39,8 +39,8 @@ class Study:
         return list(zip(self.cfg.configs, self.names))
 
     def _rows(self, split: str) -> DataFrame:
-        df = prep.first_runs(self.read(split), self.cfg.runs_per_fault)
-        return prepare_runs(df, split, self.cutoff[split] if self.cutoff else None, self.cfg.uniform_length,
+        df = prep.first_runs(self.read(split), self.cfg.runs)
+        return prepare_runs(df, split, self.cutoff[split] if self.cutoff else None, self.cfg.uniform,
                             self.cfg.run_length, self.dense, self.cfg.block)
 
     def _long_runs(self):
@@ -68,13 +68,13 @@ class Study:
 
     def rank(self, spec, name) -> DataFrame:
         def build():
-            return ranking.rank_features(self.train_features(spec, name), self.cfg.labels, self.cfg.fdr_alpha,
-                                         self.cfg.fdr_dependent, self.cfg.fdr_block)
+            return ranking.rank_features(self.train_features(spec, name), self.cfg.labels, self.cfg.ranking.alpha,
+                                         self.cfg.ranking.dependent, self.cfg.ranking.block)
         return store.materialise(self.spark, self.base, "rank", self.cfg, build, config=name)
 
     def top_names(self, spec, name) -> list:
         """The K best feature names of a config, best first."""
-        rows = ranking.top_k_features(self.rank(spec, name), self.cfg.top_k).orderBy("place").select("feature").collect()
+        rows = ranking.top_k_features(self.rank(spec, name), self.cfg.ranking.top_k).orderBy("place").select("feature").collect()
         return [r["feature"] for r in rows]
 
     def test_features(self, spec, name, wanted) -> DataFrame:
@@ -91,7 +91,7 @@ class Study:
                 raise RuntimeError(f"no feature of {name!r} separates any classes")
             parts[name] = tuple(models.feature_matrix(df, wanted) for df in (
                 self.train_features(spec, name), self.test_features(spec, name, wanted)))
-        if not self.cfg.restrict_to_common_runs:
+        if not self.cfg.learning.common_runs:
             return parts
         seen = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("config"), "split", "run_id")
                                               for n, both in parts.items() for df in both])
@@ -101,8 +101,8 @@ class Study:
     def summary(self, names=None, trees: int = 100) -> DataFrame:
         """Leaderboard of configs and models, stored."""
         def build():
-            boards = [models.compare_models(tr, te, self.cfg.labels, n, names, self.cfg.cv_folds,
-                                            self.cfg.random_state, trees, self.cfg.tree_depth)[1] for n, (tr, te) in self.matrices().items()]
+            boards = [models.compare_models(tr, te, self.cfg.labels, n, names, self.cfg.learning.folds,
+                                            self.cfg.learning.seed, trees, self.cfg.learning.depth)[1] for n, (tr, te) in self.matrices().items()]
             return reduce(DataFrame.unionByName, boards)
         return store.materialise(self.spark, self.base, "summary", self.cfg, build, models=names, trees=trees)
 
@@ -119,7 +119,7 @@ class Study:
         def build():
             parts = []
             for n, (tr, te) in self.matrices().items():
-                got = (models.random_forest(tr, te, self.cfg.random_state, trees, self.cfg.tree_depth) if estimator is None
+                got = (models.random_forest(tr, te, self.cfg.learning.seed, trees, self.cfg.learning.depth) if estimator is None
                        else models.fit_predict(tr, te, estimator))
                 parts.append(got.withColumn("config", F.lit(n)))
             return reduce(DataFrame.unionByName, parts)

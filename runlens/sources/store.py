@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.spectra import get, wide_spectra
+from ..operators.spectra import method, wide_spectra
 from ..schema import KEYS, SpectrumConfig, fingerprint
 
 
@@ -29,7 +29,7 @@ def spectra_path(base: str, cfg: SpectrumConfig, split: str) -> str:
 
 def csv_name(cfg: SpectrumConfig, split: str) -> str:
     suffix = "" if cfg.scaling_mode == "global_mean" else "_scaler"
-    return f"{get(cfg.method).stem}_{split}{suffix}.csv"
+    return f"{method(cfg.method).export.file}_{split}{suffix}.csv"
 
 
 def write_spectra(spectra: DataFrame, base: str, cfg: SpectrumConfig, split: str) -> str:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from runlens.operators import spectra
 from runlens.plans import characterise as ch
 from runlens.plans.study import Study
-from runlens.schema import CHANNELS, PipelineConfig, SpectrumConfig, fingerprint
+from runlens.schema import CHANNELS, Numerics, PipelineConfig, SpectrumConfig, Window, fingerprint
 from runlens.sources import runs as rd
 from runlens.sources import store
 
@@ -45,7 +45,7 @@ def test_missing_spectra_name_the_step(spark, tmp_path):
 
 def test_fingerprint_sees_every_parameter():
     a = PipelineConfig((("raw",),))
-    assert fingerprint(a) != fingerprint(PipelineConfig((("raw",),), dpca_lags=3))
+    assert fingerprint(a) != fingerprint(PipelineConfig((("raw",),), numerics=Numerics(lags=3)))
     assert fingerprint(a) == fingerprint(PipelineConfig((("raw",),)))
 
 
@@ -96,7 +96,7 @@ def test_study_end_to_end(spark, tmp_path):
 def test_spectra_of_test_runs_are_computed_once(spark, tmp_path):
     df, _ = make_runs(spark, {(f, r): 40 for f in (0, 1) for r in range(1, 5)}, width=2)
     df = df.drop("t")
-    cfgs = [SpectrumConfig(m, pre_fault_cutoff=5, test_pre_fault_cutoff=5) for m in ("pca", "cva")]
+    cfgs = [SpectrumConfig(m, window=Window(5)) for m in ("pca", "cva")]
     for c in cfgs:
         store.write_spectra(ch.characterise(df, c, 2, dense=True)[0], str(tmp_path), c, "train")
     calls = []
