@@ -65,6 +65,22 @@ def v6_unit(spark, sf):
     return stats(spark, sf, ("ica", 2))
 
 
+def uncorrelated(spark, sf, spec, **kw):
+    """Largest correlation between two channels of a run, to three digits."""
+    y = run(spark, sf, spec, **kw)
+    k = len(projections.channel_names(spec))
+    pairs = [F.abs(F.corr(F.col("x")[i], F.col("x")[j])) for i in range(k) for j in range(i)]
+    return y.groupBy(*KEYS).agg(F.count("*").alias("n"), rnd(F.greatest(*pairs, F.lit(0.0)), 3).alias("most"))
+
+
+def v6_apart(spark, sf):
+    return uncorrelated(spark, sf, ("ica", 2))
+
+
+def v7_apart(spark, sf):
+    return uncorrelated(spark, sf, ("dycvda", 2, 3, 2, 4), numerics=Numerics(ridge=0.0))
+
+
 def v5(spark, sf):
     return run(spark, sf, ("dyca", 2, 3))
 
@@ -126,6 +142,8 @@ SELECT {K}, t - 1 AS t, {q('abs((p-m)/s)')} AS y FROM l JOIN m USING ({K}) WHERE
     "v5_project_dyca": (v5, None),
     "v6_project_ica": (v6_unit, R2(f"WITH {CUT} SELECT {K}, c AS channel, count(*) AS n, {q('count(*)/(count(*)-1.0)', 4)} AS variance, true AS positive_peak, count(*) - 1 AS last_t FROM cut, (VALUES (0),(1)) v(c) GROUP BY {K}, c")),
     "v7_project_dycvda": (v7, None),
+    "v6_ica_uncorrelated": (v6_apart, R2(f"WITH {CUT} SELECT {K}, count(*) AS n, 0.0::DOUBLE AS most FROM cut GROUP BY 1,2")),
+    "v7_dycvda_uncorrelated": (v7_apart, R2(f"WITH {CUT} SELECT {K}, count(*) - 3 AS n, 0.0::DOUBLE AS most FROM cut GROUP BY 1,2")),
     "v8_project_status": (v8_status, R2(f"WITH {CUT} SELECT 'ok' AS status, count(*) AS count FROM (SELECT DISTINCT {K} FROM cut)")),
     "v9_registered_projection": (v9, R2(f"WITH {CUT} SELECT {K}, t, {q('a-b')} AS h1, {q('a+b')} AS h2 FROM cut")),
 }

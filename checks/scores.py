@@ -143,7 +143,7 @@ pc AS (SELECT config, model, y_true, y_pred, count(*) AS n FROM p GROUP BY 1,2,3
 pa AS (SELECT config, model, y_true AS l, sum(n) AS sup, sum(CASE WHEN y_true=y_pred THEN n ELSE 0 END) AS tp FROM pc GROUP BY 1,2,3),
 pg AS (SELECT config, model, y_pred AS l, sum(n) AS gu FROM pc GROUP BY 1,2,3),
 ps AS (SELECT config, model, l, coalesce(sup,0) AS sup, coalesce(tp,0) AS tp, coalesce(gu,0) AS gu FROM pa FULL JOIN pg USING (config, model, l)),
-board AS (SELECT config, model, balanced_acc, macro_f1, cv_mean FROM (SELECT config, model, avg(CASE WHEN sup>0 THEN tp/sup END) AS balanced_acc,
+board AS (SELECT config, model, balanced_acc, macro_f1, cv_mean, cv_std FROM (SELECT config, model, avg(CASE WHEN sup>0 THEN tp/sup END) AS balanced_acc,
  avg(2.0*tp/(sup+gu)) AS macro_f1 FROM ps GROUP BY 1,2) LEFT JOIN ({cv}) USING (config, model))"""
 
 

@@ -13,6 +13,7 @@ from runlens.schema import Learning, PipelineConfig, Ranking, SpectrumConfig, Wi
 from runlens.session import checkpoint_dir
 from runlens.sources import store
 
+from .scores import BOARD_SQL, V
 from .spectra import CUT, K, SHARES
 from .views import feature_long, q, rnd, runs, vectors, with_views
 
@@ -97,11 +98,12 @@ def m7_fold(spark, sf):
 
 
 def m7_cv(spark, sf):
-    """Cross-validated nearest centroid, as a one-row table."""
+    """Test scores and cross-validation over three folds; models without class probabilities have none."""
     v = vectors(spark, sf)
     tr, te = v.where("split = 'train'"), v.where("split = 'test'")
     board = models.compare_models(tr, te, LABELS, "all", ["NearestCentroid", "GaussianMoments"], cv_folds=3)[1]
-    return reports.sort_leaderboard(board)
+    return reports.sort_leaderboard(board).select("config", "model", "status", *[rnd(c).alias(c) for c in (
+        "balanced_acc", "macro_f1", "cv_mean", "cv_std")])
 
 
 def characterise_cva(spark, sf):
@@ -157,7 +159,9 @@ QUERIES = {
     "m2_random_forest": (m2, None),
     "m3_compare_models": (m3, None),
     "m7_fold_column": (m7_fold, with_views("vec", "SELECT run_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY run_id) - 1) % 5 AS INTEGER) AS fold FROM vec WHERE split='train'")),
-    "m7_cross_validate": (m7_cv, None),
+    "m7_cross_validate": (m7_cv, V(BOARD_SQL + f""" SELECT config, CASE model WHEN 'bayes' THEN 'GaussianMoments' ELSE 'NearestCentroid' END AS model, 'ok' AS status,
+ {q('balanced_acc')} AS balanced_acc, {q('macro_f1')} AS macro_f1, {q("CASE WHEN model='bayes' THEN cv_mean END")} AS cv_mean,
+ {q("CASE WHEN model='bayes' THEN cv_std END")} AS cv_std FROM board WHERE config='all' AND model<>'majority'""")),
     "m9_confusion": (m9, None),
     "m10_study": (m10, None),
     "plan_characterise_cva": (characterise_cva, None),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from runlens.operators import spectra
 from runlens.plans import characterise as ch
 from runlens.plans.study import Study
-from runlens.schema import CHANNELS, Numerics, PipelineConfig, SpectrumConfig, Window, fingerprint
+from runlens.schema import CHANNELS, Learning, Numerics, PipelineConfig, Ranking, SpectrumConfig, Window, fingerprint
 from runlens.sources import runs as rd
 from runlens.sources import store
 
@@ -77,10 +77,11 @@ def test_study_end_to_end(spark, tmp_path):
         reads.append(split)
         return df.where("simulationRun <= 9" if split == "train" else "simulationRun > 9")
 
-    cfg = PipelineConfig((("raw",), ("pca", 1)), run_length=40, feature_set="minimal", top_k=4, cv_folds=2, labels=(0, 1))
+    cfg = PipelineConfig((("raw",), ("pca", 1)), run_length=40, feature_set="minimal", ranking=Ranking(top_k=4), learning=Learning(folds=2),
+                         labels=(0, 1))
 
     def study():
-        return Study(spark, cfg, read, str(tmp_path), ["a", "b", "c"], {"train": 21, "test": 21})
+        return Study(spark, cfg, read, str(tmp_path), ["a", "b", "c"], {"train": 21, "test": 21}, buckets=4, per_wave=2)
 
     board = study().summary(["NearestCentroid", "GaussianMoments"])
     assert {(r["config"], r["model"]) for r in board.collect()} == {(c, m) for c in ("raw", "pca_1") for m in
@@ -111,3 +112,20 @@ def test_spectra_of_test_runs_are_computed_once(spark, tmp_path):
     assert len(first["PCA+CVA"][0].first()["values"]) == 4
     assert ch.distribution(first).count() == 2
     assert spectra.success_counters(again["PCA"][0]).first()["runs"] == 8
+
+
+def test_quick_trial_and_failed_models_have_rows(spark):
+    cfg = PipelineConfig((("raw",),), numerics=Numerics(lags=3))
+    assert cfg.quick().ranking.top_k == 20 and cfg.quick().numerics.lags == 3 and cfg.quick().runs == 4
+    from runlens.operators import models
+
+    rows = [(i, i % 2, [float(i % 2), float(i)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "run_id bigint, label int, x array<double>")
+    models.PLAIN_MODELS["Broken"] = lambda train, test: 1 / 0
+    try:
+        _, board = models.compare_models(df, df, [0, 1], "c", ["NearestCentroid", "Broken"], cv_folds=0)
+    finally:
+        del models.PLAIN_MODELS["Broken"]
+    got = {r["model"]: (r["status"], r["error"], r["macro_f1"]) for r in board.collect()}
+    assert got["NearestCentroid"][0] == "ok" and got["Broken"][0] == "failed" and "ZeroDivision" in got["Broken"][1]
+    assert got["Broken"][2] is None
