@@ -54,9 +54,12 @@ ARTICLE = frozenset(("article", "main"))
 ENDS_P = BLOCK - {"body", "html", "br", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "legend", "summary"}
 ENDS_LIKE = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)),
              "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "option": ("option", ("select",))}
-ITEM = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                  r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+#: Within so many characters quotes hide a > from the end of a tag; beyond, a quote is taken for a stray one.
+MAX_TAG = 4096
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=?\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']*))", re.I)
+UNSEEN = re.compile(r"style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none", re.I)
 KINDS = tuple(sorted(BLOCK | INLINE)) + ("other",)
 KNOWN = frozenset(KINDS)
 #: Weights before any label, and how many counted items they are worth.
@@ -72,6 +75,8 @@ def excluded(name: str, attributes: str, in_article: bool, hints: bool = True) -
         return True
     if not attributes or name in ("body", "html"):
         return False
+    if UNSEEN.search(attributes):
+        return True
     for key, *values in NAMED.findall(attributes):
         value, key = "".join(values).lower(), key.lower()
         if key == "role" and value in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
@@ -81,41 +86,77 @@ def excluded(name: str, attributes: str, in_article: bool, hints: bool = True) -
     return False
 
 
+def tag_end(page: str, at: int) -> int:
+    """Place of the > that ends a tag: the first outside quotes, or the first at all when quotes do not close nearby."""
+    pos, limit = at, at + MAX_TAG
+    while found := STOP.search(page, pos, limit):
+        if found[0] == ">":
+            return found.start()
+        pos = page.find(found[0], found.end(), limit) + 1
+        if not pos:
+            break
+    return page.find(">", at)
+
+
+def declaration(page: str, at: int) -> tuple[str, int]:
+    """(text, end) of a comment, CDATA section, or other declaration; only CDATA has text. Unclosed ones reach the end."""
+    for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+        if page.startswith(start, at):
+            end = page.find(stop, at + len(start))
+            text = page[at + 9:end if end >= 0 else len(page)] if stop == "]]>" else ""
+            return text, end + len(stop) if end >= 0 else len(page)
+    return "", at + 1
+
+
 def items(page: str, hints: bool = True) -> list[tuple[str, str, bool, int]]:
     """(kind, text, excluded, mark): kind is 'word' for text, else '<name' or '</name'; mark is the number of the
     outermost <article> around it, minus that of <main> outside any article, or 0."""
     out: list[tuple[str, str, bool, int]] = []
     stack: list[tuple[str, bool, int]] = []  # name, excluded, mark
+    opened: Counter = Counter()  # names on the stack: a closing tag without its like costs nothing
+    endless: set[str] = set()  # raw elements that are never closed again
     at = marks = 0
 
     def top():
         return stack[-1] if stack else ("", False, 0)
 
     def close(name: str, upto: tuple = ()) -> None:
+        if not opened[name]:
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
+                opened.subtract(s[0] for s in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in upto:
                 return
 
     while at < len(page):
-        m = ITEM.match(page, at)
-        at, name = m.end(), (m[2] or "").lower()
         _, out_of, inside = top()
-        if not name:
-            if m[0][0] != "<" or m[0] == "<":
-                out.append(("word", m[0], out_of, inside))
-            elif m[0].startswith("<![CDATA["):
-                out.append(("word", m[0][9:-3], out_of, inside))
+        tag = TAG.match(page, at)
+        if tag is None:
+            if page.startswith(("<!", "<?"), at):
+                text, at = declaration(page, at)
+            else:
+                end = page.find("<", at + 1)
+                text, at = page[at:end if end >= 0 else len(page)], end if end >= 0 else len(page)
+            if text:
+                out.append(("word", text, out_of, inside))
             continue
+        end = tag_end(page, tag.end())
+        if end < 0:
+            out.append(("word", page[at:], out_of, inside))
+            break
+        name, attributes, at = tag[2].lower(), page[tag.end():end], end + 1
         kind = name if name in KNOWN else "other"
-        if m[1]:
+        if tag[1]:
             out.append(("</" + kind, "", out_of, inside))
             close(name)
             continue
         if name in RAW:  # nothing inside is markup or text
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if end is None:
+                endless.add(name)
             at = end.end() if end else (len(page) if name in ("script", "style") else at)
             out.append(("<other", "", True, inside))
             continue
@@ -125,16 +166,17 @@ def items(page: str, hints: bool = True) -> list[tuple[str, str, bool, int]]:
             close(name, ENDS_LIKE[name][1])
         if name in ARTICLE and out_of and not any(s[2] or s[0] in ("section", "div") and s[1] for s in stack):
             while stack and top()[1]:  # an article inside a menu or header: that one was never closed
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             _, out_of, inside = top()
-        drop = out_of or excluded(name, m[3], inside > 0, hints)
+        drop = out_of or excluded(name, attributes, inside > 0, hints)
         now = inside
         if name in ARTICLE and not drop and inside <= 0 and (name == "article" or not inside):
             marks += 1
             now = marks if name == "article" else -marks
         out.append(("<" + kind, "", drop, now))
-        if name not in VOID and not m[3].endswith("/"):
+        if name not in VOID and not attributes.endswith("/"):
             stack.append((name, drop, now))
+            opened[name] += 1
     return out
 
 
