@@ -7,7 +7,6 @@ values of all blocks add up, and ``finish_*`` turns the totals of a series into
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from itertools import permutations
 
 import numpy as np
@@ -39,11 +38,20 @@ def sizes(lags: int) -> dict:
 
 # ---- sums of one block --------------------------------------------------------------------------------------
 
-@lru_cache(maxsize=8)
+# Plain dictionaries: they travel with the task like the functions that use them.
+WAVES: dict = {}
+CODES: dict = {}
+
+
 def waves(t0: int, m: int, n: int):
-    turns = (np.arange(FFT)[:, None] * np.arange(t0, t0 + m)[None, :]) % n
-    angle = 2 * np.pi / n * turns
-    return np.cos(angle), np.sin(angle)
+    """Cosines and sines of a block; blocks of one place and runs of one length share them."""
+    if (t0, m, n) not in WAVES:
+        if len(WAVES) >= 8:
+            WAVES.clear()
+        turns = (np.arange(FFT)[:, None] * np.arange(t0, t0 + m)[None, :]) % n
+        angle = 2 * np.pi / n * turns
+        WAVES[t0, m, n] = np.cos(angle), np.sin(angle)
+    return WAVES[t0, m, n]
 
 
 def fft_sums(w, t0, n):
@@ -91,9 +99,10 @@ def head_sums(a, o, t0, n):
     return out.ravel()
 
 
-@lru_cache(maxsize=None)
 def pattern_codes(d: int):
-    return np.sort(np.array(list(permutations(range(d)))) @ (d ** np.arange(d)))
+    if d not in CODES:
+        CODES[d] = np.sort(np.array(list(permutations(range(d)))) @ (d ** np.arange(d)))
+    return CODES[d]
 
 
 def pattern_sums(a, o, m):

@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+FOLDERS: list = []
+
+
 def build_session(name: str = "runlens", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:
@@ -18,6 +21,8 @@ def build_session(name: str = "runlens", master: str | None = None, **conf) -> S
         # Feature batches are small in bytes and heavy in work: keep them spread over the cores.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoints of earlier steps go as soon as nothing refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -45,7 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        current = tempfile.mkdtemp(prefix="runlens-checkpoint-")
+        own = tempfile.TemporaryDirectory(prefix="runlens-checkpoint-", ignore_cleanup_errors=True)
+        FOLDERS.append(own)  # removed when the interpreter ends
+        current = own.name
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(current)
     return current
