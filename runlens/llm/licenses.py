@@ -24,7 +24,7 @@ from bisect import bisect_left, bisect_right, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import FOLD, extended, slices, table
+from runlens.llm.common import FOLD, extended, mapped, slices, table
 
 #: Base phrases, their labels and a word each cannot occur without (fixed values of the contract).
 BASE = (("under the mit license", "mit", "mit"), ("apache license version 2", "apache-2", "apache"),
@@ -178,11 +178,12 @@ class Scanner:
         self.base = [(f" {p} ".encode(), label) for p, label, _ in BASE]
         self.needs = [frozenset(k.encode() for k in r[2]) for r in self.rules]
 
-    def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
+    def scan(self, text: bytes) -> tuple:
+        """Values of COLUMNS for one text."""
         words = text.translate(FOLD).split()
         seen = self.gate.intersection(words)
         if not seen:
-            return len(words), 0, None, None, "", "", 0.0
+            return len(words), 0, None, None, "", "", 0.0, []
         line = b" " + b" ".join(words) + b" "
         starts, base = [], set()
         for phrase, label in self.base:
@@ -198,9 +199,11 @@ class Scanner:
         kept = suppress(found)
         labels = base | {label for *_, label in kept}
         score = max([-k[0] / 100 for k in kept] + [PRIORITY["alone"] / 100] * bool(base), default=0.0)
-        places = [line.count(b" ", 0, s + 1) - 1 for s in starts]
+        at = lambda char: line.count(b" ", 0, char + 1) - 1  # noqa: E731  number of the word behind a blank
+        places = [at(s) for s in starts]
+        spans = [{"label": label, "start": at(s), "stop": at(e), "score": -p / 100} for p, _, s, _, e, label in sorted(kept, key=lambda k: k[2])]
         return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
-                ",".join(sorted(labels)), score)
+                ",".join(sorted(labels)), score, spans)
 
 
 def suppress(found: list[tuple]) -> list[tuple]:
@@ -217,15 +220,17 @@ def suppress(found: list[tuple]) -> list[tuple]:
 
 
 COLUMNS = (("license_words", "bigint"), ("license_places", "bigint"), ("license_first", "bigint"), ("license_last", "bigint"),
-           ("license_base", "string"), ("license_labels", "string"), ("license_score", "double"))
+           ("license_base", "string"), ("license_labels", "string"), ("license_score", "double"),
+           ("license_spans", "array<struct<label:string,start:bigint,stop:bigint,score:double>>"))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the columns of COLUMNS."""
+    """`docs` with the columns of COLUMNS; spans are word ranges [start, stop) of the accepted detections, by start."""
     import pyarrow as pa
 
     texts = docs.columns.index(text_col)
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())])
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), COLUMNS[-1][1]: pa.list_(span)}
 
     def run(batches):
         scanner = Scanner()
@@ -235,7 +240,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 new = [pa.array(c, type=kinds[kind]) for c, (_, kind) in zip(zip(*rows), COLUMNS)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *(c for c, _ in COLUMNS)])
 
-    return docs.mapInArrow(run, extended(docs.schema, COLUMNS))
+    return mapped(docs, run, extended(docs.schema, COLUMNS))
 
 
 def op5_license_scan(spark, sf_dir):

@@ -93,6 +93,8 @@ def test_license_scan_base_and_labels(spark):
     labels = {r["doc_id"]: r["license_labels"] for r in got}
     assert labels[104] == "lgpl-2.1" and labels[105] == "all-rights-reserved" and labels[106] == "bsd-3"
     assert labels[103] == "mit" and labels[108] == "" and labels[1] == ""
+    spans = {r["doc_id"]: [(s["label"], s["start"], s["stop"]) for s in r["license_spans"]] for r in got}
+    assert spans[104] == [("lgpl-2.1", 0, 7)] and spans[1] == [] and spans[106] == [("bsd-3", 0, 6)]
     for r in got:
         assert set(filter(None, r["license_base"].split(","))) <= set(r["license_labels"].split(","))
         assert 0 <= r["license_score"] <= 1 and (r["license_score"] > 0) == (r["license_labels"] != "")
