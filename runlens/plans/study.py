@@ -127,6 +127,15 @@ class Study:
                                  estimator=repr(estimator))
 
     def confusion(self, refit: bool = False, estimator=None, trees: int = 100) -> tuple:
-        """(confusion counts, scores per config)."""
+        """(confusion counts, scores per config with the numbers of features and training runs behind them)."""
         cm = metrics.confusion_counts(self.predictions(refit, estimator, trees), self.cfg.labels)
-        return cm, metrics.scores(cm)
+        return cm, metrics.scores(cm).join(self.model_sizes(), "config")
+
+    def model_sizes(self) -> DataFrame:
+        """Per config the number of features and of training runs, stored."""
+        def build():
+            names = dict((name, spec) for spec, name in self._specs())
+            parts = [tr.agg(F.lit(n).alias("config"), F.lit(len(self.top_names(names[n], n))).alias("n_features"),
+                            F.count(F.lit(1)).alias("n_train")) for n, (tr, _) in self.matrices().items()]
+            return reduce(DataFrame.unionByName, parts)
+        return store.materialise(self.spark, self.base, "sizes", self.cfg, build)

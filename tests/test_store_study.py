@@ -91,7 +91,8 @@ def test_study_end_to_end(spark, tmp_path):
     views = study().compare(["NearestCentroid", "GaussianMoments"])
     assert reads == [] and views["best_per_config"].count() == 2 and views["gap"].count() == 2
     cm, scores = study().confusion(trees=5)
-    assert cm.count() == 2 * 4 and scores.count() == 2
+    assert cm.count() == 2 * 4
+    assert {(r["config"], r["n_features"], r["n_train"]) for r in scores.collect()} == {("raw", 4, 18), ("pca_1", 4, 18)}
 
 
 def test_spectra_of_test_runs_are_computed_once(spark, tmp_path):
