@@ -50,6 +50,20 @@ def stored(df: DataFrame, label: str, rows: int | None = None, per_file: int = 1
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that one Arrow batch may hold; a table of long texts would else fill an executor's memory.
+BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_ROWS rows (the session's setting is lowered to that, never raised)."""
+    conf = df.sparkSession.conf
+    now = int(conf.get(ARROW_ROWS))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 #: Rows of a few numbers that may be broadcast (some 30 MB as a hash table); beyond it the join shuffles.
 BROADCAST_ROWS = 1 << 19
 

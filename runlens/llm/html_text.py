@@ -29,7 +29,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import extended, slices, table
+from runlens.llm.common import extended, mapped, slices, table
 
 #: Elements by role in HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -262,7 +262,7 @@ def learn(pages: DataFrame, html_col: str = "html", smoothing: float = 1.0) -> d
             [pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.bool_()),
              pa.array([total[k] for k in keys], pa.int64())], names=["kind", "inside", "n"])
 
-    rows = (pages.select(F.col(html_col).alias("html")).mapInArrow(run, "kind string, inside boolean, n long")
+    rows = (mapped(pages.select(F.col(html_col).alias("html")), run, "kind string, inside boolean, n long")
             .groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect())
     seen = {(r["kind"], r["inside"]): r["n"] for r in rows}
     all_in, all_out = (sum(n for (_, i), n in seen.items() if i == side) for side in (True, False))
@@ -293,7 +293,7 @@ def extract(pages: DataFrame, html_col: str = "html", weights: dict[str, float]
                 new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *(c for c, _ in COLUMNS)])
 
-    return pages.mapInArrow(run, extended(pages.schema, COLUMNS))
+    return mapped(pages, run, extended(pages.schema, COLUMNS))
 
 
 def op4_html_text(spark, sf_dir):

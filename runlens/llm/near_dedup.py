@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import if_small, slices, stored, table
+from runlens.llm.common import if_small, mapped, slices, stored, table
 from runlens.llm.components import components
 
 WORDS = 5
@@ -175,7 +175,7 @@ def sketch(docs: DataFrame, sets: bool = False) -> DataFrame:
                      pa.array([b.tobytes() if f else None for b, f in zip(bytes_, full)], pa.binary()), *more],
                     names=["id", "n_shingles", "fp1", "fp2", "bands", "signature", *["shingles"] * sets])
 
-    return docs.mapInArrow(run, SKETCH + ", shingles binary" * sets)
+    return mapped(docs, run, SKETCH + ", shingles binary" * sets)
 
 
 def prune(pairs: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def prune(pairs: DataFrame) -> DataFrame:
             keep = pa.array(survivors(*sides, bounds))
             yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return mapped(pairs.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     side = lambda name: texts.select(F.col("id").alias(name), F.col("text").alias(f"t{name}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "u long, v long")
+    return mapped(both, run, "u long, v long")
 
 
 def compare_rest(rows: DataFrame) -> DataFrame:
@@ -271,8 +271,8 @@ def compare_rest(rows: DataFrame) -> DataFrame:
         if group:
             yield flush(group)
 
-    return (rows.select(columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "id")
-            .mapInArrow(run, "a long, b long"))
+    placed = rows.select(columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "id")
+    return mapped(placed, run, "a long, b long")
 
 
 def rest(members: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, tile: int = TILE,

@@ -33,7 +33,7 @@ from operator import add
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.common import extended, slices, table
+from runlens.llm.common import extended, mapped, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -139,7 +139,7 @@ class Transducer:
         self.parts = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]*" if not spans else r"(?s:.+)", re.S)
         self.accepted: dict[int, bool] = {}
         self.steps: dict[int, tuple | None] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def normalise(self, text: str) -> str:
         m = self.model
@@ -285,7 +285,7 @@ class Transducer:
         if len(part) <= 64:
             if len(known) >= MEMORY:
                 known.clear()
-            known[part] = ids
+            known[part] = tuple(ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -343,7 +343,7 @@ def encode(docs: DataFrame, model: Model | None = None, text_col: str = "text",
                     new.append(pa.array([None if i is None else machine.decode(i) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *(c for c, _ in columns)])
 
-    return docs.mapInArrow(run, extended(docs.schema, columns))
+    return mapped(docs, run, extended(docs.schema, columns))
 
 
 def decode(rows: DataFrame, ids_col: str = "piece_ids", model: Model | None = None) -> DataFrame:
@@ -359,7 +359,7 @@ def decode(rows: DataFrame, ids_col: str = "piece_ids", model: Model | None = No
             texts = [None if i is None else machine.decode(i) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, COLUMNS[2][0]])
 
-    return rows.mapInArrow(run, extended(rows.schema, COLUMNS[2:]))
+    return mapped(rows, run, extended(rows.schema, COLUMNS[2:]))
 
 
 def op8_sentencepiece(spark, sf_dir):

@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import extended, slices, table
+from runlens.llm.common import extended, mapped, slices, table
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -114,7 +114,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 new = [pa.array(c, type=kind) for c, (_, kind, _) in zip([*base, *votes], added)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *(a[0] for a in added)])
 
-    return docs.mapInArrow(run, extended(docs.schema, [(n, kind) for n, _, kind in added]))
+    return mapped(docs, run, extended(docs.schema, [(n, kind) for n, _, kind in added]))
 
 
 VOTES = (-1, 0, 1)

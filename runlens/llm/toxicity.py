@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import FOLD, extended, slices, table
+from runlens.llm.common import FOLD, extended, mapped, slices, table
 
 SEED = 23
 
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: i
                      pa.array([[c for _, c in b] for b in found], pa.list_(pa.int64()))],
                     names=["toxic", "words", "values", "counts"])
 
-    rows = chosen.mapInArrow(bags, "toxic int, words array<string>, values array<double>, counts array<long>")
+    rows = mapped(chosen, bags, "toxic int, words array<string>, values array<double>, counts array<long>")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: i
             yield pa.RecordBatch.from_pylist(kept, schema=pa.schema([
                 ("toxic", pa.int32()), ("i", pa.list_(pa.int32())), ("v", pa.list_(pa.float64())), ("m", pa.int64())]))
 
-    data = rows.mapInArrow(vectors, "toxic int, i array<int>, v array<double>, m long").collect()
+    data = mapped(rows, vectors, "toxic int, i array<int>, v array<double>, m long").collect()
     data.sort(key=lambda r: (r["toxic"], r["m"], r["i"], r["v"]))
     x = np.zeros((len(data), len(words)))
     for row, r in zip(x, data):
@@ -187,7 +187,7 @@ def grade_texts(docs: DataFrame, model: Ordinal, text_col: str = "text", prefix:
                        pa.array(above[:, 0], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *(prefix + c for c, _ in COLUMNS)])
 
-    return docs.mapInArrow(run, extended(docs.schema, [(prefix + n, kind) for n, kind in COLUMNS]))
+    return mapped(docs, run, extended(docs.schema, [(prefix + n, kind) for n, kind in COLUMNS]))
 
 
 def op9_toxicity(spark, sf_dir):

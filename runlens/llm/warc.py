@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.common import stored, stored_path, table
+from runlens.llm.common import mapped, stored, stored_path, table
 
 END = "\r\n\r\n"
 SCHEMA = ("archive string, start long, stop long, kind string, reason string, record_type string, record_id string, "
@@ -225,7 +225,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(parse, SCHEMA)
+    return mapped(files, parse, SCHEMA)
 
 
 def op10_warc_salvage(spark, sf_dir):
