@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import SPACE, table
+from runlens.llm.common import SPACE, if_small, stored, table
 
 WIDE = "decimal(38,0)"
 STEP = "18446744073709551616"  # 2^64
@@ -75,17 +75,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
+    """The rows of `docs` that stay, with all their columns.
+
+    Only groups of several rows are looked up, in a stored narrow table; the rows themselves are shuffled only if that table is
+    too large to broadcast."""
     columns = docs.columns
-    keep = winners(docs, id_col, text_col, salts).select(
+    keep = stored(winners(docs, id_col, text_col, salts).where("group_size > 1").select(
         F.col("__sha").alias("__ksha"), F.col("__check").alias("__kcheck"),
-        F.col("keep_id").alias("__keep"), F.col("group_size").alias("__rows"))
-    rows = normalised(docs, text_col)
-    stay = rows.join(keep, (F.col("__sha") == F.col("__ksha")) & (F.col("__check") == F.col("__kcheck"))
-                     & F.col(id_col).eqNullSafe(F.col("__keep")))
-    # Only groups of several rows can hold one id twice; of such rows the longest, then any one of equals, stays.
-    single = stay.where("__rows = 1").select(columns)
-    several = stay.where("__rows > 1")
+        F.col("keep_id").alias("__keep"), F.col("group_size").alias("__rows")), "exact-groups")
+    rows = normalised(docs, text_col).join(
+        if_small(keep), (F.col("__sha") == F.col("__ksha")) & (F.col("__check") == F.col("__kcheck")), "left")
+    single = rows.where("__rows is null").select(columns)
+    # A group can hold its winner's id twice; of such rows the longest, then any one of equals, stays.
+    several = rows.where(F.col("__rows").isNotNull() & F.col(id_col).eqNullSafe(F.col("__keep")))
     best = (several.groupBy("__sha", "__check").agg(F.max(F.struct("__n", *_sortable(several, columns))).alias("__row"))
             .select(*[F.col(f"__row.{_tick(c)}").alias(c) for c in _sortable(several, columns)]))
     missing = [c for c in columns if c not in best.columns]
