@@ -75,6 +75,12 @@ def rank_table(spark, sf):
     return ranking.rank_features(f, LABELS)
 
 
+def t1_blocks(spark, sf):
+    """False discoveries controlled in blocks of 20 features."""
+    rank = ranking.rank_features(feature_long(spark, sf), LABELS, block_cols=20)
+    return rank.select("feature", "n_significant", rnd("f_value", 5).alias("f_value"))
+
+
 def t1(spark, sf):
     return rank_table(spark, sf).select("feature", "n_significant", rnd("f_value", 5).alias("f_value"))
 
@@ -125,6 +131,11 @@ SELECT feature, value, count(*) AS n, min(k)::DOUBLE + (count(*)-1)/2 AS rank FR
     "a16_fdr_dependent": (a16_by, with_views("feat", f"WITH {PSEUDO}, {FDR.format(src='ps', b='', c=BY)} SELECT feature, label, relevant FROM fdr")),
     "a16_fdr_blocks": (a16_bh, with_views("feat", f"WITH {PSEUDO}, pb AS (SELECT *, CAST((dense_rank() OVER (ORDER BY feature)-1)//20 AS INTEGER) AS block FROM ps), {FDR.format(src='pb', b=', block', c='1.0')} SELECT feature, label, block, relevant FROM fdr")),
     "t1_rank_features": (t1, with_views("feat", f"{RANKED} SELECT feature, n_significant, {q('f_value', 5)} AS f_value FROM rt")),
+    "t1_rank_features_blocks": (t1_blocks, with_views("feat", f"""WITH {RANKS.format(src='feat')}, {TAIL},
+pb AS (SELECT *, CAST((dense_rank() OVER (ORDER BY feature)-1)//20 AS INTEGER) AS block FROM p),
+{FDR.format(src='pb', b=', block', c=BY.replace('label', 'label, block'))}, {ANOVA},
+rt AS (SELECT feature, CAST(sum(CAST(relevant AS INTEGER)) AS BIGINT) AS n_significant, max(f_value) AS f_value FROM fdr JOIN an USING (feature) GROUP BY 1)
+SELECT feature, n_significant, {q('f_value', 5)} AS f_value FROM rt""")),
     "t2_top_k_features": (t2, with_views("feat", f"{RANKED} SELECT feature, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY n_significant DESC, f_value DESC, feature) - 1 AS place FROM rt) WHERE place < 20")),
     "value_bins_quantiles": (f3_like_quantiles, with_views("feat", f"SELECT feature, {q('quantile_cont(value,0.1)')} AS q10, {q('quantile_cont(value,0.5)')} AS q50, {q('quantile_cont(value,0.9)')} AS q90 FROM feat GROUP BY 1")),
 }
