@@ -58,8 +58,9 @@ TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
 #: Within so many characters quotes hide a > from the end of a tag; beyond, a quote is taken for a stray one.
 MAX_TAG = 4096
-NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=?\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']*))", re.I)
-UNSEEN = re.compile(r"style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none", re.I)
+#: One attribute: a name and perhaps a value, quoted or not; a quote that never closes reaches the end of the tag.
+ATTRIBUTE = re.compile(r"([^\s/=][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|(\S*)))?")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 KINDS = tuple(sorted(BLOCK | INLINE)) + ("other",)
 KNOWN = frozenset(KINDS)
 #: Weights before any label, and how many counted items they are worth.
@@ -69,19 +70,27 @@ BELIEF = 50
 ABOUT = re.compile(r"\b(?:has|with|without|no|hide|show|is)[-_]+[a-z]+")
 
 
+def named(attributes: str) -> dict[str, str]:
+    """Values of the attributes of a tag by lower-case name; the first of a name counts, as in browsers."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
 def excluded(name: str, attributes: str, in_article: bool, hints: bool = True) -> bool:
     """Whether an element and all it holds is no main text."""
     if name in DROPPED or name == "header" and not in_article:
         return True
     if not attributes or name in ("body", "html"):
         return False
-    if UNSEEN.search(attributes):
+    given = named(attributes)
+    if ("hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in DROPPED_ROLES
+            or UNSEEN.search(given.get("style", ""))):
         return True
-    for key, *values in NAMED.findall(attributes):
-        value, key = "".join(values).lower(), key.lower()
-        if key == "role" and value in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if hints and key in ("class", "id") and not HINTS.isdisjoint(re.split(r"[^a-z]+", ABOUT.sub("", value))):
+    for key in ("class", "id"):
+        value = given.get(key, "").lower()
+        if hints and not HINTS.isdisjoint(re.split(r"[^a-z]+", ABOUT.sub("", value))):
             return name not in ARTICLE or "comment" in value or "teaser" in value or "related" in value
     return False
 

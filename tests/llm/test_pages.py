@@ -54,6 +54,23 @@ def test_extract_awkward_pages(spark):
     assert html_text.extract(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def plain_text(page, weights=None):
+    return html_text.main_text(page, weights or html_text.PRIOR)
+
+
+def test_attributes_count_by_their_whole_name():
+    want = "First words here\nlast words here"
+    for given in ('style="overflow:hidden"', 'data-hidden="false"', 'alt="the hidden valley"', "title='it is hidden'", 'href="/hidden-valley"',
+                  'href="/class/search-engines"', "href=/id/search", 'data-class="sidebar"', 'data-id=ad', 'title="role=navigation"',
+                  'title="style=display:none"', 'style="--display:none"', 'aria-hidden="false"', "title = 'a > hidden b' lang=en"):
+        assert plain_text(f"<div><p>First words here</p><p {given}>last words here</p></div>") == want, given
+        assert plain_text(f"<div {given}><p>First words here</p><p>last words here</p></div>") == want, given
+        assert plain_text(f"<p>First <a {given}>words</a> here<p>last words here") == want, given
+    for given in ("hidden", "lang=en HIDDEN", 'hidden=""', 'aria-hidden="true"', "role='navigation'", 'ROLE=banner', 'class="ad"', "class = 'ad'",
+                  'id=cookie-bar', 'style="color:red; display : none"', "style=display:none", 'href="/x"class="ad"', 'title="class=x" class="ad"'):
+        assert plain_text(f"<p>First words here</p><div {given}>gone</div><p>last words here</p>") == want, given
+
+
 def test_region_is_the_maximum():
     r = random.Random(2)
     for _ in range(200):
