@@ -3,14 +3,16 @@
 A page becomes a sequence of items: runs of words and tags. A word scores positive, a tag negative; a linear scan finds the
 contiguous region with the largest sum. How much each kind counts is learned: pages that mark their own article (exactly one
 <article>, or one <main> and no <article>) are labels, and the weight of an item kind is the log-odds of standing inside
-rather than outside the marked element (counts over all such pages; one row per kind, and kinds are a fixed list of
-tag names), drawn towards a prior weight where a kind is rare. Words are clipped to +0.2 .. +2 and tags to -3 .. -0.01, as
-the method wants.
-
-Parts that are never main text (menus, adverts, forms, reader comments ..., known by tag, role, class or id) and, on pages that
-mark an article, everything outside the largest one give no words, neither to the score nor to the text; their tags cost
-a little, so that the region may span an advert in mid-article. Inside the region, blocks are the runs of text between
-block-level tags; white space inside a block becomes one space, character references are decoded, blocks are joined
+rather than outside the marked element (counts over all items of such pages, those of menus, adverts and footers stand outside;
+one row per kind, and kinds are a fixed list of tag names), drawn towards a prior weight where a kind is rare. Words are
+clipped to +0.2 .. +2 and tags to -3 .. -0.01, as the method wants.
+
+The scan goes over the whole page, whether it marks an article or not: of several articles, and of articles beside other text, those
+parts are joined whose words outweigh the tags between them. The region then grows to the whole of the innermost <article>,
+<main>, <section>, <div> or <td> that holds it (an article is not divided), so that lists of few words at its ends or in its midst
+cost no text. Parts that are never main text (menus, adverts, forms, reader comments ..., known by tag, role, class or id)
+give no words, neither to the score nor to the text; their tags cost a little, so that the region may span an advert in
+mid-article. Inside the region, blocks are the runs of text between block-level tags; white space inside a block becomes one space, character references are decoded, blocks are joined
 by one line feed. Should class and id names rule out every word of a page, they are not believed.
 
 Defined cases: null or blank html gives an empty text; a page without any words outside excluded parts too; unclosed and
@@ -50,6 +52,8 @@ HINTS = frozenset(("ad ads adv advert adverts advertisement advertising adbox ad
                    "newsletter subscribe signup login share sharing social related recommended recommendations "
                    "teaser teasers tags tagcloud toolbar search skip copyright legal disclaimer paywall dialog form").split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements that hold text as a whole.
+HOLDERS = frozenset(("section", "div", "td"))
 #: Start tags that end an open paragraph; item tags end their like.
 ENDS_P = BLOCK - {"body", "html", "br", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "legend", "summary"}
 ENDS_LIKE = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)),
@@ -64,7 +68,7 @@ UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 KINDS = tuple(sorted(BLOCK | INLINE)) + ("other",)
 KNOWN = frozenset(KINDS)
 #: Weights before any label, and how many counted items they are worth.
-PRIOR = {"word": 1.0, "tag": -0.1, "dropped": -0.05}
+PRIOR = {"word": 1.0, "tag": -0.1, "dropped": -0.05, **dict.fromkeys(("<article", "</article", "<main", "</main"), -3.0)}
 BELIEF = 50
 #: Names like "has-sidebar" or "no-comments" speak of the page, not of the element.
 ABOUT = re.compile(r"\b(?:has|with|without|no|hide|show|is)[-_]+[a-z]+")
@@ -117,17 +121,20 @@ def declaration(page: str, at: int) -> tuple[str, int]:
     return "", at + 1
 
 
-def items(page: str, hints: bool = True) -> list[tuple[str, str, bool, int]]:
-    """(kind, text, excluded, mark): kind is 'word' for text, else '<name' or '</name'; mark is the number of the
-    outermost <article> around it, minus that of <main> outside any article, or 0."""
-    out: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, excluded, mark
+def items(page: str, hints: bool = True, parents: list[int] | None = None) -> list[tuple[str, str, bool, int, int]]:
+    """(kind, text, excluded, mark, holder): kind is 'word' for text, else '<name' or '</name'; mark is the number of the
+    outermost <article> around it, minus that of <main> outside any article, or 0; holder is the number of the innermost element
+    that holds text as a whole, 0 for the page. Holders are numbered as they begin; `parents` receives the holder around each."""
+    out: list[tuple[str, str, bool, int, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []  # name, excluded, mark, holder
+    parents = [] if parents is None else parents
+    parents.append(0)
     opened: Counter = Counter()  # names on the stack: a closing tag without its like costs nothing
     endless: set[str] = set()  # raw elements that are never closed again
     at = marks = 0
 
     def top():
-        return stack[-1] if stack else ("", False, 0)
+        return stack[-1] if stack else ("", False, 0, 0)
 
     def close(name: str, upto: tuple = ()) -> None:
         if not opened[name]:
@@ -141,7 +148,7 @@ def items(page: str, hints: bool = True) -> list[tuple[str, str, bool, int]]:
                 return
 
     while at < len(page):
-        _, out_of, inside = top()
+        _, out_of, inside, holder = top()
         tag = TAG.match(page, at)
         if tag is None:
             if page.startswith(("<!", "<?"), at):
@@ -150,16 +157,16 @@ def items(page: str, hints: bool = True) -> list[tuple[str, str, bool, int]]:
                 end = page.find("<", at + 1)
                 text, at = page[at:end if end >= 0 else len(page)], end if end >= 0 else len(page)
             if text:
-                out.append(("word", text, out_of, inside))
+                out.append(("word", text, out_of, inside, holder))
             continue
         end = tag_end(page, tag.end())
         if end < 0:
-            out.append(("word", page[at:], out_of, inside))
+            out.append(("word", page[at:], out_of, inside, holder))
             break
         name, attributes, at = tag[2].lower(), page[tag.end():end], end + 1
         kind = name if name in KNOWN else "other"
         if tag[1]:
-            out.append(("</" + kind, "", out_of, inside))
+            out.append(("</" + kind, "", out_of, inside, holder))
             close(name)
             continue
         if name in RAW:  # nothing inside is markup or text
@@ -167,7 +174,7 @@ def items(page: str, hints: bool = True) -> list[tuple[str, str, bool, int]]:
             if end is None:
                 endless.add(name)
             at = end.end() if end else (len(page) if name in ("script", "style") else at)
-            out.append(("<other", "", True, inside))
+            out.append(("<other", "", True, inside, holder))
             continue
         if name in ENDS_P and not (name == "p" and top()[0] != "p") and any(s[0] == "p" for s in stack[-4:]):
             close("p", tuple(BLOCK - {"p"}))
@@ -176,36 +183,25 @@ def items(page: str, hints: bool = True) -> list[tuple[str, str, bool, int]]:
         if name in ARTICLE and out_of and not any(s[2] or s[0] in ("section", "div") and s[1] for s in stack):
             while stack and top()[1]:  # an article inside a menu or header: that one was never closed
                 opened[stack.pop()[0]] -= 1
-            _, out_of, inside = top()
+            _, out_of, inside, holder = top()
         drop = out_of or excluded(name, attributes, inside > 0, hints)
         now = inside
         if name in ARTICLE and not drop and inside <= 0 and (name == "article" or not inside):
             marks += 1
             now = marks if name == "article" else -marks
-        out.append(("<" + kind, "", drop, now))
+        if now != inside or not now and name in HOLDERS:
+            parents.append(holder)
+            holder = len(parents) - 1
+        out.append(("<" + kind, "", drop, now, holder))
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, drop, now))
+            stack.append((name, drop, now, holder))
             opened[name] += 1
     return out
 
 
-def restricted(sequence: list[tuple[str, str, bool, int]]) -> list[tuple[str, str, bool]]:
-    """(kind, text, excluded): with words outside the largest marked article excluded as well."""
-    sizes: Counter = Counter()
-    for kind, text, drop, mark in sequence:
-        if kind == "word" and mark and not drop:
-            sizes[mark] += len(text.split())
-    marked = [m for m in sizes if m > 0 and sizes[m]] or [m for m in sizes if sizes[m]]
-    if not marked:
-        return [item[:3] for item in sequence]
-    keep = max(marked, key=lambda m: (sizes[m], -abs(m)))
-    inner = {keep} if keep > 0 else {m for m in sizes if m}
-    return [(kind, text, drop or mark not in inner) for kind, text, drop, mark in sequence]
-
-
 def scores(sequence, weights: dict[str, float]) -> list[float]:
     return [(0.0 if drop else weights["word"] * len(text.split())) if kind == "word"
-            else PRIOR["dropped"] if drop else weights.get(kind, PRIOR["tag"]) for kind, text, drop in sequence]
+            else PRIOR["dropped"] if drop else weights.get(kind, PRIOR.get(kind, PRIOR["tag"])) for kind, text, drop, *_ in sequence]
 
 
 def best_region(values: list[float]) -> tuple[int, int]:
@@ -220,11 +216,31 @@ def best_region(values: list[float]) -> tuple[int, int]:
     return region
 
 
+def widened(sequence, start: int, stop: int, parents: list[int]) -> tuple[int, int]:
+    """[start, stop) of the innermost holder of a region; a region that only the page holds stays as it is."""
+    a, b = sequence[start][4], sequence[stop - 1][4]
+    while a != b:  # a holder begins behind the one around it
+        a, b = (parents[a], b) if a > b else (a, parents[b])
+    if not a:
+        return start, stop
+    within = [False] * len(parents)
+    within[a] = True
+    for i in range(a + 1, len(parents)):
+        within[i] = within[parents[i]]
+    while start and within[sequence[start - 1][4]]:
+        start -= 1
+    while stop < len(sequence) and within[sequence[stop][4]]:
+        stop += 1
+    return start, stop
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     for hints in (True, False):
-        sequence = restricted(items(page, hints))
+        parents: list[int] = []
+        sequence = items(page, hints, parents)
         start, stop = best_region(scores(sequence, weights))
         if stop:
+            start, stop = widened(sequence, start, stop, parents)
             break
     blocks, held = [], []
 
@@ -234,7 +250,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if block:
             blocks.append(block)
 
-    for kind, text, drop in sequence[start:stop]:
+    for kind, text, drop, *_ in sequence[start:stop]:
         if kind == "word":
             if not drop:
                 held.append(text)
@@ -245,14 +261,16 @@ def main_text(page: str, weights: dict[str, float]) -> str:
 
 
 def counts(page: str) -> Counter:
-    """(kind, inside) counts of a page that marks exactly one article; nothing for others."""
+    """(kind, inside) counts of a page that marks exactly one article; nothing for others. Excluded parts and the tags of the
+    marked element itself stand outside."""
     lower = page.lower()
-    if lower.count("<article") + (lower.count("<main") if "<article" not in lower else 0) != 1:
+    one = "article" if "<article" in lower else "main"
+    if lower.count("<" + one) != 1:
         return Counter()
     out: Counter = Counter()
-    for kind, text, drop, mark in items(page):
-        if not drop:
-            out[kind, mark != 0] += len(text.split()) if kind == "word" else 1
+    for kind, text, drop, mark, _ in items(page):
+        inside = not drop and (mark > 0 if one == "article" else mark != 0) and kind.lstrip("</") != one
+        out[kind, inside] += len(text.split()) if kind == "word" else 1
     return out
 
 
@@ -280,7 +298,7 @@ def learn(pages: DataFrame, html_col: str = "html", smoothing: float = 1.0) -> d
         inside, outside = seen.get((kind, True), 0) + smoothing, seen.get((kind, False), 0) + smoothing
         odds = math.log(inside / (all_in + smoothing)) - math.log(outside / (all_out + smoothing))
         n = inside + outside
-        odds = (n * odds + BELIEF * PRIOR["word" if kind == "word" else "tag"]) / (n + BELIEF)
+        odds = (n * odds + BELIEF * PRIOR.get(kind, PRIOR["tag"])) / (n + BELIEF)
         weights[kind] = min(2.0, max(0.2, odds)) if kind == "word" else max(-3.0, min(-0.01, odds))
     return {"word": PRIOR["word"], **weights}
 

@@ -71,6 +71,27 @@ def test_attributes_count_by_their_whole_name():
         assert plain_text(f"<p>First words here</p><div {given}>gone</div><p>last words here</p>") == want, given
 
 
+def test_scan_chooses_over_the_whole_page(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet")
+    weights = html_text.learn(rows)
+    assert 0.2 < weights["word"] < 2.0 and weights["<li"] == weights["<article"] == -3.0 and weights["<p"] == -0.01
+    for r in rows.limit(60).collect():  # without the mark the scan finds the same text
+        bare = re.sub(r"<(/?)article>", r"<\1div>", r["html"])
+        assert html_text.main_text(bare, weights) == html_text.main_text(r["html"], weights) != ""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    nav = "<nav><ul>" + "<li><a href=/x>menu</a></li>" * 8 + "</ul></nav>"
+    a, b, c = words("a", 30), words("b", 25), words("c", 40)
+    parts = html_text.main_text(f"<body>{nav}<article><p>{a}</p></article><article><p>{b}</p></article><article><p>{c}</p></article>", weights)
+    assert parts == f"{a}\n{b}\n{c}"
+    cards = "".join(f"<article><a href=/t{i}>Teaser {i}</a></article>" for i in range(4))
+    links = "<ul>" + "".join(f"<li><a href=/l>link {i}</a></li>" for i in range(20)) + "</ul>"
+    listed = "\n".join(f"link {i}" for i in range(20))
+    assert html_text.main_text(f"<body>{nav}<div class=content><p>{c}</p><p>{a}</p></div>{cards}", weights) == f"{c}\n{a}"
+    assert html_text.main_text(f"<body>{nav}<ul><li>Up<li>Down</ul><p>{c}</p><ul><li>Top</ul>", weights) == c
+    for tag in ("article", "main", "div"):  # links inside the article cost no text of it
+        assert html_text.main_text(f"<body>{nav}<{tag}><p>{a}</p>{links}<p>{c}</p></{tag}>", weights) == f"{a}\n{listed}\n{c}"
+
+
 def test_region_is_the_maximum():
     r = random.Random(2)
     for _ in range(200):
