@@ -10,9 +10,12 @@ clipped to +0.2 .. +2 and tags to -3 .. -0.01, as the method wants.
 The scan goes over the whole page, whether it marks an article or not: of several articles, and of articles beside other text, those
 parts are joined whose words outweigh the tags between them. The region then grows to the whole of the innermost <article>,
 <main>, <section>, <div> or <td> that holds it (an article is not divided), so that lists of few words at its ends or in its midst
-cost no text. Parts that are never main text (menus, adverts, forms, reader comments ..., known by tag, role, class or id)
+cost no text. Parts that are never main text (menus, adverts, forms, reader comments ..., known by tag, by role or by an unambiguous class or id)
 give no words, neither to the score nor to the text; their tags cost a little, so that the region may span an advert in
-mid-article. Inside the region, blocks are the runs of text between block-level tags; white space inside a block becomes one space, character references are decoded, blocks are joined
+mid-article. Elements whose class or id only hints at a side matter (related, search, notice ...) score a little below zero outside a marked
+article and are left to the scan; inside one they are text like any other. A name counts if all its parts are
+such words or words of layout ("related-posts", not "related-work"); ids of headings, paragraphs and sections are titles and
+do not count, but for lists of comments. Inside the region, blocks are the runs of text between block-level tags; white space inside a block becomes one space, character references are decoded, blocks are joined
 by one line feed. Should class and id names rule out every word of a page, they are not believed.
 
 Defined cases: null or blank html gives an empty text; a page without any words outside excluded parts too; unclosed and
@@ -44,13 +47,26 @@ INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("nav footer aside form menu dialog button input select label fieldset search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
                           "toolbar tablist".split())
-#: Words in class or id that name parts which are not main text.
-HINTS = frozenset(("ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion "
-                   "nav navbar navigation navi menu menubar topbar breadcrumb breadcrumbs pagination pager toc sidebar side "
-                   "aside widget widgets rail footer foot masthead header topnav comment comments commentlist disqus reply "
-                   "replies respond discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-                   "newsletter subscribe signup login share sharing social related recommended recommendations "
+#: Words in class or id that name parts which are not main text: without doubt, or perhaps.
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+SURE = COMMENTS | frozenset(("ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsbygoogle cookie cookies consent "
+                             "gdpr share sharing").split())
+HINTS = frozenset(("banner sponsor sponsored promo promotion nav navbar navigation navi menu menubar topbar breadcrumb breadcrumbs "
+                   "pagination pager toc sidebar side aside widget widgets rail footer foot masthead header topnav reply "
+                   "replies respond discussion notice notices notification alert popup modal overlay "
+                   "newsletter subscribe signup login social related recommended recommendations "
                    "teaser teasers tags tagcloud toolbar search skip copyright legal disclaimer paywall dialog form").split())
+#: Words that say where or in what shape such a part stands; a name with any other word speaks of something else.
+LAYOUT = frozenset(("bar bars box boxes block blocks button buttons slot slots unit list lists item items link links area container wrapper wrap "
+                    "inner outer content section panel group row column col left right top bottom middle center main page site post posts "
+                    "article articles story stories news entry user reader google js the and this primary secondary global mobile desktop "
+                    "sticky fixed large small wide body icons icon thread div wp gpt dfp leaderboard skyscraper mpu zone space placeholder").split())
+#: Names of an <article> that is not the one of the page.
+OTHER = COMMENTS | {"teaser", "teasers", "related"}
+#: Elements whose id is a title of text.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+TITLED = HEADINGS | {"p", "section"}
+SUSPECT = 2
 ARTICLE = frozenset(("article", "main"))
 #: Elements that hold text as a whole.
 HOLDERS = frozenset(("section", "div", "td"))
@@ -68,7 +84,7 @@ UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 KINDS = tuple(sorted(BLOCK | INLINE)) + ("other",)
 KNOWN = frozenset(KINDS)
 #: Weights before any label, and how many counted items they are worth.
-PRIOR = {"word": 1.0, "tag": -0.1, "dropped": -0.05, **dict.fromkeys(("<article", "</article", "<main", "</main"), -3.0)}
+PRIOR = {"word": 1.0, "tag": -0.1, "dropped": -0.05, "suspect": -0.2, **dict.fromkeys(("<article", "</article", "<main", "</main"), -3.0)}
 BELIEF = 50
 #: Names like "has-sidebar" or "no-comments" speak of the page, not of the element.
 ABOUT = re.compile(r"\b(?:has|with|without|no|hide|show|is)[-_]+[a-z]+")
@@ -82,8 +98,23 @@ def named(attributes: str) -> dict[str, str]:
     return out
 
 
-def excluded(name: str, attributes: str, in_article: bool, hints: bool = True) -> bool:
-    """Whether an element and all it holds is no main text."""
+def hinted(name: str, given: dict[str, str], in_article: bool) -> int:
+    """What class and id say of an element: True (no main text), SUSPECT or False."""
+    found = 0
+    for key in ("class", "id"):
+        for value in ABOUT.sub(" ", given.get(key, "").lower()).split():
+            parts = frozenset(p for p in re.split(r"[^a-z]+", value) if p)
+            if not parts <= SURE | HINTS | LAYOUT or key == "id" and name in TITLED and not (name == "section" and parts & COMMENTS):
+                continue
+            if parts & (OTHER if name in ARTICLE else SURE):
+                return True
+            if parts & HINTS and not in_article and name not in ARTICLE | HEADINGS:
+                found = SUSPECT
+    return found
+
+
+def excluded(name: str, attributes: str, in_article: bool, hints: bool = True) -> int:
+    """Whether an element and all it holds is no main text: True, SUSPECT or False."""
     if name in DROPPED or name == "header" and not in_article:
         return True
     if not attributes or name in ("body", "html"):
@@ -92,11 +123,7 @@ def excluded(name: str, attributes: str, in_article: bool, hints: bool = True) -
     if ("hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in DROPPED_ROLES
             or UNSEEN.search(given.get("style", ""))):
         return True
-    for key in ("class", "id"):
-        value = given.get(key, "").lower()
-        if hints and not HINTS.isdisjoint(re.split(r"[^a-z]+", ABOUT.sub("", value))):
-            return name not in ARTICLE or "comment" in value or "teaser" in value or "related" in value
-    return False
+    return hints and hinted(name, given, in_article)
 
 
 def tag_end(page: str, at: int) -> int:
@@ -121,16 +148,18 @@ def declaration(page: str, at: int) -> tuple[str, int]:
     return "", at + 1
 
 
-def items(page: str, hints: bool = True, parents: list[int] | None = None) -> list[tuple[str, str, bool, int, int]]:
-    """(kind, text, excluded, mark, holder): kind is 'word' for text, else '<name' or '</name'; mark is the number of the
+def items(page: str, hints: bool = True, parents: list[int] | None = None) -> list[tuple[str, str, int, int, int]]:
+    """(kind, text, excluded, mark, holder): kind is 'word' for text, else '<name' or '</name'; excluded may be SUSPECT; mark is the number of the
     outermost <article> around it, minus that of <main> outside any article, or 0; holder is the number of the innermost element
     that holds text as a whole, 0 for the page. Holders are numbered as they begin; `parents` receives the holder around each."""
-    out: list[tuple[str, str, bool, int, int]] = []
-    stack: list[tuple[str, bool, int, int]] = []  # name, excluded, mark, holder
+    out: list[tuple[str, str, int, int, int]] = []
+    stack: list[tuple[str, int, int, int]] = []  # name, excluded, mark, holder
     parents = [] if parents is None else parents
     parents.append(0)
     opened: Counter = Counter()  # names on the stack: a closing tag without its like costs nothing
     endless: set[str] = set()  # raw elements that are never closed again
+    lower = page.lower()
+    lone = {name for name in ARTICLE if lower.count("<" + name) == 1}
     at = marks = 0
 
     def top():
@@ -180,11 +209,13 @@ def items(page: str, hints: bool = True, parents: list[int] | None = None) -> li
             close("p", tuple(BLOCK - {"p"}))
         if name in ENDS_LIKE:
             close(name, ENDS_LIKE[name][1])
-        if name in ARTICLE and out_of and not any(s[2] or s[0] in ("section", "div") and s[1] for s in stack):
-            while stack and top()[1]:  # an article inside a menu or header: that one was never closed
+        if name in ARTICLE and out_of is True and not any(s[2] or s[0] in ("section", "div") and s[1] is True for s in stack):
+            while stack and top()[1] is True:  # an article inside a menu or header: that one was never closed
                 opened[stack.pop()[0]] -= 1
             _, out_of, inside, holder = top()
-        drop = out_of or excluded(name, attributes, inside > 0, hints)
+        if name in lone and out_of == SUSPECT:  # a hint around the only article speaks of the page
+            out_of = False
+        drop = True if out_of is True else excluded(name, attributes, inside > 0, hints) or out_of
         now = inside
         if name in ARTICLE and not drop and inside <= 0 and (name == "article" or not inside):
             marks += 1
@@ -200,7 +231,8 @@ def items(page: str, hints: bool = True, parents: list[int] | None = None) -> li
 
 
 def scores(sequence, weights: dict[str, float]) -> list[float]:
-    return [(0.0 if drop else weights["word"] * len(text.split())) if kind == "word"
+    word = {False: weights["word"], True: 0.0, SUSPECT: PRIOR["suspect"]}
+    return [word[drop] * len(text.split()) if kind == "word"
             else PRIOR["dropped"] if drop else weights.get(kind, PRIOR.get(kind, PRIOR["tag"])) for kind, text, drop, *_ in sequence]
 
 
@@ -238,7 +270,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     for hints in (True, False):
         parents: list[int] = []
         sequence = items(page, hints, parents)
-        start, stop = best_region(scores(sequence, weights))
+        scanned = start, stop = best_region(scores(sequence, weights))
         if stop:
             start, stop = widened(sequence, start, stop, parents)
             break
@@ -250,7 +282,10 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if block:
             blocks.append(block)
 
-    for kind, text, drop, *_ in sequence[start:stop]:
+    for i in range(start, stop):
+        kind, text, drop, *_ = sequence[i]
+        if drop == SUSPECT and scanned[0] <= i < scanned[1]:
+            drop = False
         if kind == "word":
             if not drop:
                 held.append(text)

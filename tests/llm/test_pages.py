@@ -92,6 +92,29 @@ def test_scan_chooses_over_the_whole_page(spark):
         assert html_text.main_text(f"<body>{nav}<{tag}><p>{a}</p>{links}<p>{c}</p></{tag}>", weights) == f"{a}\n{listed}\n{c}"
 
 
+def test_names_that_only_hint_drop_no_article_text(spark):
+    weights = html_text.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+    first, mid, last = (" ".join(f"{name}{i}" for i in range(30)) for name in "fml")
+    want = f"{first}\n{mid}\n{last}"
+    hints = ('<section id="discussion">', '<section id="side-effects">', '<div id="related-work">', '<h2 id="search-algorithms">', '<h2 id="cookies">',
+             '<p class="legal-history">', '<div class="notice">', '<div class="market-share">', '<div id="ad-hoc">', '<p id="reply">', '<div class="form tags">')
+    sure = ('<div class="ad-slot">', '<div id="cookie-bar">', '<div class="share-bar">', '<ol class="comment-list">', '<section id="comments">', '<div class=ads>')
+    for around in ("article", "main", "div class=post"):
+        for tag in hints + sure:
+            part = f"{tag}{mid}</{tag[1:].split()[0]}>"
+            close = around.split()[0]
+            keeps = want if tag in hints else f"{first}\n{last}"
+            assert html_text.main_text(f"<{around}><p>{first}</p>{part}<p>{last}</p></{close}>", weights) == keeps, (around, tag)
+        if around == "article":  # at the end of a marked article too
+            for tag in hints:
+                assert html_text.main_text(f"<article><p>{first}</p>{tag}{mid}</{tag[1:].split()[0]}></article>", weights) == f"{first}\n{mid}", tag
+    side = "<div class=sidebar><p>Many side words stand here for you</p></div><div class='related posts'>More words to read on</div>"
+    assert html_text.main_text(f"{side}<article><p>{first}</p></article>{side}", weights) == first
+    assert html_text.main_text(f"<div>{side}<div><p>{first}</p></div>{side}</div>", weights) == first
+    assert html_text.main_text(f"<div class=page-sidebar><article><p>{first}</p></article></div><p>x y", weights) == first
+    assert html_text.main_text("<div class=sidebar><p>All is here</p></div>", weights) == "All is here"
+
+
 def test_region_is_the_maximum():
     r = random.Random(2)
     for _ in range(200):
