@@ -4,7 +4,8 @@ Writing: one record per row. Rows with equal payloads (SHA-1, a second hash and
 share one response, that of the largest id; the others become revisits that refer to it. The shared payloads are a stored
 table of digests: Spark broadcasts it if its file size allows, and else shuffles the pages by digest. Records are text, and Spark's
 text sink with the record terminator as line separator writes them, so archives appear through Spark's commit protocol in
-any file system it knows; `records` bounds the records of one archive.
+any file system it knows. An archive is read by one task: it holds at most so many records, and so many bytes unless it is a single
+record; records are written by classes of size, each with its own number per archive.
 
 Reading: one archive per row of Spark's binary source, parsed by `salvage`. It reads plain archives and gzip members. A
 record passes when its version line and headers parse, its length fits, the terminator follows and its payload digest
@@ -34,12 +35,22 @@ SCHEMA = ("archive string, start long, stop long, kind string, reason string, re
 URN = "urn:runlens:page:"
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-            revisit_from: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One row per page with `value`, the WARC record without its terminator."""
-    rows = (pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
+#: Bytes of a record besides url and payload, at most.
+FIXED = 1024
+
+
+def sized(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """(id, url, payload, bytes, size): bytes of the payload and, at most, of the record."""
+    return (pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
                          F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
             .withColumn("bytes", F.octet_length("payload").cast("long"))
+            .withColumn("size", F.col("bytes") + 3 * F.octet_length("url").cast("long") + FIXED))
+
+
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
+            revisit_from: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """One row per page with `value`, the WARC record without its terminator, and `size`, which its bytes do not exceed."""
+    rows = (sized(pages, id_col, url_col, payload_col)
             .withColumn("digest", F.sha1(F.col("payload").cast("binary")))
             .withColumn("second", F.xxhash64("payload")))
     key = ["digest", "second", "bytes"]
@@ -67,20 +78,32 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         .otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", length), F.lit("\r\n"))
-    return rows.select(F.concat(head, http, body).alias("value"))
-
-
-def write_archives(pages: DataFrame, path: str, records_per_archive: int = 2000, **options) -> None:
-    (records(pages, **options).write.option("lineSep", END).option("maxRecordsPerFile", records_per_archive)
-     .text(path))
+    return rows.select(F.concat(head, http, body).alias("value"), "size")
+
+
+def write_archives(pages: DataFrame, path: str, records_per_archive: int = 2000, bytes_per_archive: int = 64 << 20,
+                   **options) -> None:
+    numbers = [records_per_archive]
+    while numbers[-1] > 1:
+        numbers.append(max(1, numbers[-1] // 8))
+    # The class of a record: the first number of records of its size that fit an archive, else the last, one.
+    kind = F.lit(len(numbers) - 1)
+    for k in range(len(numbers) - 2, -1, -1):
+        kind = F.when(F.col("size") * numbers[k] <= bytes_per_archive, k).otherwise(kind)
+    columns = {k: v for k, v in options.items() if k.endswith("_col")}
+    present = sorted(r["kind"] for r in sized(pages, **columns).select(kind.alias("kind")).distinct().collect())
+    made = records(pages, **options)
+    for i, k in enumerate(present or [0]):
+        part = made.where(kind == k) if len(present) > 1 else made
+        (part.select("value").write.mode("append" if i else "error").option("lineSep", END)
+         .option("maxRecordsPerFile", numbers[k]).text(path))
 
 
 # ---- reading --------------------------------------------------------------------------------------------------
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
-MAX_HEAD = 1 << 16
-ONCE = frozenset((b"warc-type", b"warc-record-id", b"content-length", b"warc-payload-digest"))
+ONCE = frozenset((b"warc-type", b"warc-record-id", b"warc-date", b"warc-target-uri", b"content-length", b"warc-payload-digest"))
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
@@ -88,22 +111,23 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     terminator if the framing holds, else `at`."""
     if not VERSION.match(data, at):
         return None, at, "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + MAX_HEAD)
-    if stop < 0:
-        return None, at, "no end of headers"
     head: dict[bytes, bytes] = {}
-    for row in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = row.partition(b":")
-        name = name.strip().lower()
-        if not colon or not name or b"WARC/1." in value:
+    row = at + 10  # behind the version line
+    while (stop := data.find(b"\r\n", row)) != row:
+        if stop < 0 or VERSION.match(data, row):
+            return None, at, "no end of headers"
+        colon = data.find(b":", row, stop)
+        name = data[row:max(colon, row)].strip().lower()
+        if not name:
             return None, at, "bad header line"
         if name in ONCE and name in head:  # the headers of two records run together
             return None, at, "repeated header"
-        head[name] = value.strip()
+        head[name] = data[colon + 1:stop].strip()
+        row = stop + 2
     length = head.get(b"content-length", b"")
     if not length.isdigit():
         return None, at, "bad content length"
-    begin = stop + 4
+    begin = stop + 2
     end = begin + int(length)
     if data[end:end + 4] != b"\r\n\r\n":
         return None, at, "truncated" if end + 4 > len(data) else "no terminator"

@@ -224,3 +224,35 @@ def test_salvage_reads_damaged_files_through_spark(spark, tmp_path):
     rows = warc.read_archives(spark, str(tmp_path)).collect()
     assert sorted(number(r) for r in rows if r["kind"] == "record") == [0, 2, 3]
     assert [(r["start"], r["stop"]) for r in rows if r["kind"] == "gap"] == [(len(parts[0]), len(parts[0]) + 100)]
+
+
+def test_urls_of_any_content_come_back(spark, tmp_path):
+    big = "<p>" + "k" * 1500 + "</p>"
+    rows = [(1, "http://a/WARC/1.1", big), (2, "http://a/WARC/1.0/b", big), (9, "http://a/WARC/1.1", big), (3, "http://a/?q=" + "x" * 70000, "long"),
+            (4, "http://a/WARC/1.1\r\nWARC/1.0\r\n\r\n", "lines"), (5, "WARC/1.1", "plain"), (6, "u", "after"), (7, "http://b/" + " " * 40000, big + "7")]
+    path = str(tmp_path / "urls")
+    warc.write_archives(pages(spark, rows), path)
+    got = warc.read_archives(spark, path)
+    assert back(got) == truth(rows) and got.where("kind = 'gap'").count() == 0
+    urls = {r["record_id"]: r["url"] for r in got.collect()}
+    assert urls == {f"<{warc.URN}{i}>": re.sub(r"[\x00-\x20\x7f]", "%20", u) for i, u, _ in rows}
+
+
+def test_headers_that_run_together_are_a_gap():
+    first, second, third = (record(k, bytes([65 + k]) * 300) for k in range(3))
+    head = first.index(b"\r\n\r\n")
+    for cut in range(1, head + 2):
+        rows = list(warc.salvage(first[:cut] + second + third))
+        assert [number(r) for r in rows if r["kind"] == "record"] == [1, 2], cut
+        covered(first[:cut] + second + third, rows)
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "y" * (20000 if i % 10 == 0 else 300000 if i == 55 else 100)) for i in range(100)]
+    path = tmp_path / "sized"
+    warc.write_archives(pages(spark, rows).coalesce(1), str(path), records_per_archive=64, bytes_per_archive=100000)
+    assert back(warc.read_archives(spark, str(path))) == truth(rows)
+    for file in path.glob("part-*"):
+        found = [r for r in warc.salvage(file.read_bytes()) if r["kind"] == "record"]
+        assert len(found) == 1 or file.stat().st_size <= 100000 and len(found) <= 64
+    assert len(list(path.glob("part-*"))) < 20
