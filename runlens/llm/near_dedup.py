@@ -353,9 +353,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: one document of each component."""
-    gone = stored(near_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    return docs.join(if_small(gone), docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of `docs` that stay: those with the smallest id of their component. Of an id with several texts each has its own
+    place: such a table is grouped by a hash of id and text, so that no text goes, or links others, for another one's sake."""
+    ident, text = docs[id_col].cast("long"), docs[text_col]
+    texts = docs.select(ident.alias("id"), F.xxhash64(text).alias("hash")).where("id is not null")
+    if not texts.groupBy("id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").head(1):
+        gone = stored(near_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
+        return docs.join(if_small(gone), docs[id_col] == gone["__gone"], "left_anti")
+    node = F.when(ident.isNotNull(), F.xxhash64(ident, text))
+    rows = docs.select(node.alias("node"), ident.alias("id"), text.alias("text"))
+    groups = near_groups(rows, "node").where("node is not null").select("node", "component_id").distinct()
+    placed = stored(rows.select("node", "id").where("node is not null").distinct().join(groups, "node"), "placed")
+    least = stored(placed.groupBy("component_id").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+                   "least")
+    gone = stored(placed.join(if_small(least), "component_id").where("id <> least").select(F.col("node").alias("__gone")), "gone")
+    return docs.join(if_small(gone), node == gone["__gone"], "left_anti")
 
 
 def op1_near_dedup(spark, sf_dir):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -142,6 +143,20 @@ def test_near_empty_and_kept_rows(spark):
     assert out.columns == docs.columns
 
 
+def test_near_deduplicate_of_one_id_on_several_texts(spark):
+    a, b, c, d = (" ".join(words(150, 70 + k, 10**6)) for k in range(4))
+    rows = awkward() + crowd() + [
+        (5000, a, "s"), (5001, a, "s"), (5001, b, "s"),  # copy of another one, unique
+        (5002, c, "s"), (5003, c + " and more", "s"), (5003, d, "s"), (5004, d + " tail", "s"),  # near copy of another one, kept
+        (5005, a + " x", "s"), (5005, None, "s"), (None, a, "s"), (5003, d, "s")]
+    got = near_dedup.deduplicate(frame(spark, rows))
+    # One row of the truth stands for one text: they come with id and number of shingles.
+    left = Counter((i, n) for i, n, _, kept in near_truth(rows) if kept)
+    assert Counter((r["doc_id"], len(shingles(r["text"]))) for r in got.collect()) == left
+    texts = Counter((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"] and r["doc_id"] >= 5000)
+    assert texts == Counter({(5000, a): 1, (5001, b): 1, (5002, c): 1, (5003, d): 2, (5005, None): 1})
+
+
 def test_least_matches_is_the_posterior_bound():
     import numpy as np
 
