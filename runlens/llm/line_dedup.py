@@ -7,7 +7,7 @@ occurs later.
 1. Winnowing: the window of a line reaches from it to the first line by which `min_words` words are complete. Its minimal
    line hash is a fingerprint. Equal runs hold equal windows and so equal minima: every repeated run shares a
    fingerprint, and lines without a shared one are dropped here, after one count per fingerprint.
-2. Positions of shared fingerprints are joined, and each match is extended both ways: the window forward from a line
+2. In place of joining positions of shared fingerprints and extending each match, which makes pairs, the window forward from a line
    and the window backward to a line are keyed by all their line hashes (twice 64 bits per line, twice 64 per window). A
    maximal repeated run is the union of such windows, whatever the length of the run.
 3. Per key the earliest place is found by partial aggregation, not by gathering the places, and joined back; all
