@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-PARTS = ["near_dedup", "line_dedup", "quality", "html_text", "licenses", "mixing", "exact_dedup", "pieces", "toxicity", "warc"]
+PARTS = ["near_dedup", "line_dedup", "quality", "html_text", "licenses", "mixing", "exact_dedup", "pieces", "toxicity", "warc",
+         "top_search"]
 
 
 def registry() -> dict:
