@@ -3,7 +3,7 @@
 from importlib import import_module
 
 PARTS = ["near_dedup", "line_dedup", "quality", "html_text", "licenses", "mixing", "exact_dedup", "pieces", "toxicity", "warc",
-         "periodic", "top_search"]
+         "periodic", "top_search", "conversations"]
 
 
 def registry() -> dict:

@@ -83,12 +83,11 @@ def test_awkward_and_empty_tables(spark):
     found = periodic.with_runs(docs)
     assert found.columns == [*docs.columns, "runs"] and found.count() == len(rows)
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
-    want = sorted((str(i), str(t), str(truth(words(t)))) for i, t, _ in rows
+    want = sorted((str(i), str(t), str(truth(words(t)))) for i, t, _ in rows)
     assert want == sorted((str(x["doc_id"]), str(x["text"]), str([tuple(y) for y in x["runs"]])) for x in found.collect())
     short = periodic.collapse(docs)
     assert short.dtypes == docs.dtypes
-    want = sorted((str(i), str(t if not truth(words(t)) else " ".join(kept(words(t), truth(words(t)))))) for i, t, _ in rows
-                 
+    want = sorted((str(i), str(t if not truth(words(t)) else " ".join(kept(words(t), truth(words(t)))))) for i, t, _ in rows)
     assert want == sorted((str(x["doc_id"]), str(x["text"])) for x in short.collect())
     # The new column takes a free name, and an empty table stays empty.
     assert periodic.with_runs(docs.withColumnRenamed("rank", "Runs")).columns[-1] == "runs_2"
