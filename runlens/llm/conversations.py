@@ -137,6 +137,25 @@ def _batch(rows: list, fields: list, conv_type) -> pa.RecordBatch:
                                       [name for name, _ in fields])
 
 
+class Sink:
+    """Rows collected into batches of bounded rows and text."""
+
+    def __init__(self, fields: list, conv_type, rows: int = 512, text: int = 4 << 20):
+        self.fields, self.conv_type, self.most, self.text, self.rows, self.size = fields, conv_type, rows, text, [], 0
+
+    def put(self, row: tuple, size: int = 0):
+        """The batch that this row fills, if it does."""
+        self.rows.append(row)
+        self.size += size
+        if len(self.rows) >= self.most or self.size >= self.text:
+            yield from self.rest()
+
+    def rest(self):
+        if self.rows:
+            yield _batch(self.rows, self.fields, self.conv_type)
+        self.rows, self.size = [], 0
+
+
 def chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Stored chunks of the sorted rows (conv, turn, role, text): number (part, seq), rows, their faults as far as the partition
     tells, and the first rows of each text in the partition."""
@@ -149,7 +168,7 @@ def chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        seq, held, known, conv, size, kinds = 0, [], set(), None, 0, None
+        seq, held, known, conv, size, sink = 0, [], set(), None, 0, None
 
         def out():
             classes, firsts = [], []
@@ -166,13 +185,13 @@ def chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
             turns = [t for t, _, _ in held if t is not None]
             row = (part, seq, conv, [r for _, r, _ in held], [t for _, _, t in held], "".join(initial(r) for _, r, _ in held),
                    "".join(classes), turns[0] if turns else None, turns[-1] if turns else None, len(set(turns)), firsts)
-            return _batch([row], PARTS, kinds)
+            return sink.put(row, size)
 
         for batch in batches:
-            kinds = batch.column(0).type
+            sink = sink or Sink(PARTS, batch.column(0).type)
             for now, turn, role, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (now != conv or len(held) >= chunk or size >= CHUNK_BYTES):
-                    yield out()
+                    yield from out()
                     seq, held, size = seq + 1, [], 0
                 if now != conv:
                     known = set()
@@ -180,7 +199,8 @@ def chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 held.append((turn, role, text))
                 size += len(role) + len(text)
         if held:
-            yield out()
+            yield from out()
+            yield from sink.rest()
 
     return stored(mapped(ordered.select("conv", "turn", "role", "text"), run, ddl), "conversation-chunks")
 
@@ -276,6 +296,14 @@ def entries(links: DataFrame, costs: DataFrame) -> DataFrame:
         "part", "seq", F.coalesce("entry", F.lit(0)).alias("entry"))
 
 
+def worked(batch):
+    """(chunk as a dictionary, edits, repaired rows) of every row of a batch of chunks."""
+    for k in range(batch.num_rows):
+        c = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
+        edits, _ = trace(c["initials"], c["classes"], backward(c["initials"], c["classes"], c["used"]), c["entry"], c["last"])
+        yield c, edits, applied(edits, c["roles"], c["texts"], c["entry"])
+
+
 def sequences(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     return rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), blank(role_col).alias("role"),
@@ -308,12 +336,11 @@ class Repair:
 
         def run(batches):
             for batch in batches:
-                for part in range(batch.num_rows):
-                    c = {name: batch.column(i)[part].as_py() for i, name in enumerate(batch.schema.names)}
-                    edits, _ = trace(c["initials"], c["classes"], backward(c["initials"], c["classes"], c["used"]), c["entry"], c["last"])
-                    found = [(c["conv"], c["nth"], at, *row) for at, row in
-                             enumerate(applied(edits, c["roles"], c["texts"], c["entry"]))]
-                    yield _batch(found, fields, batch.schema.field("conv").type)
+                sink = Sink(fields, batch.schema.field("conv").type, 1 << 16)
+                for c, _, left in worked(batch):
+                    for at, row in enumerate(left):
+                        yield from sink.put((c["conv"], c["nth"], at, *row), len(row[1]))
+                yield from sink.rest()
 
         found = self.solved(run, f"conv {kind}, nth int, at long, role string, text string, edit string")
         # Places: rows of earlier chunks (one number per chunk), then the row's own.
@@ -330,21 +357,20 @@ class Repair:
 
         def run(batches):
             for batch in batches:
-                for k in range(batch.num_rows):
-                    c = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
-                    edits, _ = trace(c["initials"], c["classes"], backward(c["initials"], c["classes"], c["used"]), c["entry"], c["last"])
-                    left = applied(edits, c["roles"], c["texts"], c["entry"])
+                sink = Sink(fields, batch.schema.field("conv").type)
+                for c, edits, left in worked(batch):
                     lines = "\n".join(f"{r}:{t}" for r, t, _ in left) if left else None
-                    yield _batch([(c["conv"], c["part"], c["seq"], edits, lines)], fields, batch.schema.field("conv").type)
+                    yield from sink.put((c["conv"], c["part"], c["seq"], edits, lines), len(lines or ""))
+                yield from sink.rest()
 
         def join(batches):
-            audit, digest, conv, any_, kinds, started = [], hashlib.sha256(), None, False, None, False
+            audit, digest, conv, any_, sink, started = [], hashlib.sha256(), None, False, None, False
             out = [("conv", None), ("audit", pa.string()), ("repaired_sha256", pa.string())]
             for batch in batches:
-                kinds = batch.column(0).type
+                sink = sink or Sink(out, batch.column(0).type)
                 for now, _, _, edits, lines in zip(*(c.to_pylist() for c in batch.columns)):
                     if started and now != conv:
-                        yield _batch([(conv, "".join(audit), digest.hexdigest())], out, kinds)
+                        yield from sink.put((conv, "".join(audit), digest.hexdigest()), len(audit))
                         audit, digest, any_ = [], hashlib.sha256(), False
                     conv, started = now, True
                     audit.append(edits)
@@ -352,7 +378,8 @@ class Repair:
                         digest.update(("\n" if any_ else "").encode() + lines.encode())
                         any_ = True
             if started:
-                yield _batch([(conv, "".join(audit), digest.hexdigest())], out, kinds)
+                yield from sink.put((conv, "".join(audit), digest.hexdigest()))
+                yield from sink.rest()
 
         pieces = self.solved(run, f"conv {kind}, part int, seq long, audit string, lines string")
         ordered = pieces.repartition("conv").sortWithinPartitions("conv", "part", "seq")
