@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators import baselines, metrics, models, prep, reports, sets
+from runlens.operators import baselines, discriminants, metrics, models, neighbours, prep, reports, sets
 from runlens.session import checkpoint_dir
 
 from .views import feature_long, q, rnd, table, typed_series, vectors, with_views
@@ -171,6 +171,51 @@ def m6_knn(spark, sf):
     return baselines.k_nearest(m.where("split = 'train'"), m.where("split = 'test'"), 5, tile=128)
 
 
+def coarse(spark, sf):
+    """Three values rounded down to quarters: many equal rows and many equal distances."""
+    return vectors(spark, sf).withColumn("x", F.transform(F.slice("x", 1, 3), lambda v: F.floor(v * 8) / 8))
+
+
+def m6_knn_ties(spark, sf):
+    m = coarse(spark, sf)
+    return neighbours.nearest_rows(m.where("split = 'train'"), m.where("split = 'test'"), 7, tile=32).select(
+        "run_id", "near", "dist", "label", "place")
+
+
+PAIR_MODELS = {"linear": discriminants.linear_discriminant, "quadratic": discriminants.quadratic_discriminant}
+
+
+def pair(spark, sf):
+    return vectors(spark, sf).withColumn("x", F.slice("x", 1, 2))
+
+
+def m3_discriminants(spark, sf):
+    m = pair(spark, sf)
+    return reduce(DataFrame.unionByName, [
+        fit(m.where("split = 'train'"), m.where("split = 'test'")).withColumn("model", F.lit(n)) for n, fit in PAIR_MODELS.items()])
+
+
+def m7_discriminant_folds(spark, sf):
+    folded = models.fold_column(pair(spark, sf).where("split = 'train'"), FOLDS)
+    return reduce(DataFrame.unionByName, [
+        rounded(models.fold_scores(folded, fit, FOLDS, LABELS), "balanced_acc").withColumn("model", F.lit(n))
+        for n, fit in PAIR_MODELS.items()])
+
+
+# Per training set f: class moments, pooled moments, and both scores of every row asked.
+PAIR_SQL = f"""v2 AS (SELECT run_id, label, split, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM vec),
+pc AS (SELECT f, label, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a,b) AS ab FROM learn GROUP BY 1,2),
+pp AS (SELECT f, sum(n) AS t, sum(n*aa)/(sum(n)-count(*)) AS paa, sum(n*bb)/(sum(n)-count(*)) AS pbb, sum(n*ab)/(sum(n)-count(*)) AS pab FROM pc GROUP BY 1),
+ps AS (SELECT k.f, k.run_id, k.label, c.label AS cand, k.a-ma AS x, k.b-mb AS y, ln(n/t) AS p, paa, pbb, pab, n/(n-1)*aa AS qaa, n/(n-1)*bb AS qbb, n/(n-1)*ab AS qab
+ FROM ask k JOIN pc c ON c.f=k.f JOIN pp ON pp.f=k.f),
+pd AS (SELECT 'linear' AS model, f, run_id, label, cand, (pbb*x*x-2*pab*x*y+paa*y*y)/(paa*pbb-pab*pab)-2*p AS d FROM ps UNION ALL
+ SELECT 'quadratic', f, run_id, label, cand, (qbb*x*x-2*qab*x*y+qaa*y*y)/(qaa*qbb-qab*qab)+ln(qaa*qbb-qab*qab)-2*p FROM ps),
+pq AS (SELECT model, f, run_id, label AS y_true, cand AS y_pred FROM (SELECT *, row_number() OVER (PARTITION BY model, run_id ORDER BY d, cand) AS r FROM pd) WHERE r = 1)"""
+SPLIT_SQL = PAIR_SQL.replace("pc AS", "learn AS (SELECT 0 AS f, * FROM v2 WHERE split='train'), ask AS (SELECT 0 AS f, * FROM v2 WHERE split='test'),\npc AS", 1)
+FOLDS_SQL = PAIR_SQL.replace("pc AS", f"""fd AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY run_id) - 1) % {FOLDS} AS fold FROM v2 WHERE split='train'),
+learn AS (SELECT f, fd.* FROM fd, (SELECT unnest(range({FOLDS})) AS f) WHERE fold <> f), ask AS (SELECT fold AS f, fd.* FROM fd),\npc AS""", 1)
+
+
 def a5(spark, sf):
     return cm(spark, sf)
 
@@ -316,6 +361,12 @@ d AS (SELECT a.run_id, a.label AS y_true, b.run_id AS near, b.label, sum((a.v-b.
 k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY dist, near) AS r FROM d),
 v AS (SELECT run_id, y_true, label, count(*) AS c FROM k WHERE r <= 5 GROUP BY 1,2,3)
 SELECT run_id, y_true, label AS y_pred FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY c DESC, label) AS w FROM v) WHERE w = 1""")),
+    "m6_k_nearest_ties": (m6_knn_ties, V("""WITH sel AS (SELECT run_id, label, split, i, floor(CAST(embedding[i+1] AS DOUBLE)*8)/8 AS v FROM vec, (SELECT unnest(range(3)) AS i)),
+d AS (SELECT a.run_id, b.run_id AS near, b.label, sum((a.v-b.v)*(a.v-b.v)) AS dist FROM sel a JOIN sel b USING (i) WHERE a.split='test' AND b.split='train' GROUP BY 1,2,3)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY dist, near) AS INTEGER) AS place FROM d) WHERE place <= 7""")),
+    "m3_discriminants": (m3_discriminants, V("WITH " + SPLIT_SQL + " SELECT model, run_id, y_true, y_pred FROM pq")),
+    "m7_discriminant_folds": (m7_discriminant_folds, V("WITH " + FOLDS_SQL + f""" SELECT model, 'fold' || f AS config, {q('avg(r)')} AS balanced_acc FROM (
+SELECT model, f, y_true, avg(CASE WHEN y_true=y_pred THEN 1.0 ELSE 0.0 END) AS r FROM pq GROUP BY 1,2,3) GROUP BY 1,2""")),
     "a5_confusion_counts": (a5, V(CM_SQL + " SELECT * FROM cm")),
     "a5_confusion_square": (a5_square, V(CM_SQL + " SELECT config, y_true, " + ", ".join(
         f"CAST(sum(CASE WHEN y_pred={v} THEN n END) AS BIGINT) AS pred_{v}" for v in LABELS) + " FROM cm GROUP BY 1,2")),

@@ -1,122 +1,154 @@
-"""Classifiers that are plain aggregations: majority, nearest centroid, Gaussian naive Bayes, k nearest.
+"""Classifiers that are plain aggregations: majority, nearest centroid, Gaussian naive Bayes.
 
-Tables have run_id, label, x (array of doubles), split. Class moments are aggregated in Spark; what
-reaches the driver is classes x features numbers.
+Tables have run_id, label, x (array of doubles). A model is a table of class rows, cut into chunks of features and joined to the
+test rows by chunk, so no model passes through the driver or the plan. Everything comes from moments per class; moments of folds
+subtract, so the training moments of all k folds cost one aggregation of the rows (``by_folds``).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_MODEL_NUMBERS = 2_000_000
+from ..session import cut_lineage
+from .neighbours import k_nearest
+from .values import salted_join
 
+#: Features of one chunk of a model.
+CHUNK = 512
+#: Numbers of a model that may be broadcast (32 MB); a larger one is joined by shuffling.
+BROADCAST_NUMBERS = 1 << 22
+FOLD = "fold"
 
-def _matrix(rows) -> Column:
-    """Nested array literal from class-level numbers."""
-    text = ", ".join("array(" + ", ".join(f"{v!r}D" if np.isfinite(v) else "double('inf')" for v in row) + ")"
-                     for row in rows)
-    return F.expr(f"array({text})")
 
+def class_cells(train: DataFrame) -> DataFrame:
+    """Per fold, class and feature: rows, mean and population variance."""
+    long = train.select(FOLD, "label", F.posexplode_outer("x").alias("pos", "v"))
+    return long.groupBy(FOLD, "label", "pos").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
 
-def class_moments(train: DataFrame) -> list:
-    """Per class: rows, means and population variances (one list entry per class)."""
-    long = train.select("label", F.posexplode_outer("x").alias("pos", "v"))
-    cells = long.groupBy("label", "pos").agg(F.count("v").alias("n"), F.avg("v").alias("m"),
-                                             F.var_pop("v").alias("s"))
-    classes = cells.groupBy("label").agg(F.first("n").alias("n"),
-                                         F.sort_array(F.collect_list(F.struct("pos", "m", "s"))).alias("c"))
-    rows = sorted(classes.collect(), key=lambda r: r["label"])
-    if sum(len(r["c"]) for r in rows) > MAX_MODEL_NUMBERS:
-        raise ValueError("class model larger than the driver bound")
-    return [(r["label"], r["n"], [c["m"] for c in r["c"]], [c["s"] for c in r["c"]]) for r in rows]
 
+def leave_out(cells: DataFrame, k: int) -> DataFrame:
+    """Training cells of each of k folds: the moments of all rows less those of the fold."""
+    per = W.partitionBy("label", "pos")
+    n, m, s = F.col("n"), F.col("m"), F.col("s")
+    rows = cells.withColumn("_n", F.sum("n").over(per)).withColumn("_m", F.sum(n * m).over(per) / F.col("_n"))
+    rows = rows.withColumn("_s", F.sum(n * (s + (m - F.col("_m")) * (m - F.col("_m")))).over(per))
+    # A class need not be in every fold: one row per fold from the folds of (label, pos).
+    own = rows.groupBy("label", "pos", "_n", "_m", "_s").agg(F.map_from_entries(
+        F.collect_list(F.struct(F.col(FOLD), F.struct("n", "m", "s")))).alias("f"))
+    each = own.withColumn(FOLD, F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("f", F.col("f")[F.col(FOLD)])
+    n = F.coalesce("f.n", F.lit(0))
+    m, s = F.coalesce("f.m", F.lit(0.0)), F.coalesce("f.s", F.lit(0.0))
+    left = F.col("_n") - n
+    each = each.withColumn("n", left).where("n > 0").withColumn("m", (F.col("_n") * F.col("_m") - n_of("f") * m) / F.col("n"))
+    gap, own_gap = F.col("m") - F.col("_m"), m - F.col("_m")
+    rest = (F.col("_s") - n_of("f") * (s + own_gap * own_gap)) / F.col("n") - gap * gap
+    return each.select(FOLD, "label", "pos", "n", "m", F.greatest(rest, F.lit(0.0)).alias("s"))
 
-def majority_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Most frequent class of the training rows (smallest label on ties)."""
-    top = train.groupBy("label").count().orderBy(F.desc("count"), "label").first()
-    return test.select("run_id", F.col("label").alias("y_true"), F.lit(top["label"]).cast("int").alias("y_pred"))
 
+def n_of(struct: str) -> Column:
+    return F.coalesce(F.col(f"{struct}.n"), F.lit(0))
 
-def _argbest(labels, score: Column) -> Column:
-    """Label of the smallest score, smallest label on ties."""
-    pairs = F.arrays_zip(score.alias("s"), F.lit([int(v) for v in labels]).alias("l"))
-    return F.array_min(F.transform(pairs, lambda p: F.struct(p["s"].alias("s"), p["l"].alias("l"))))["l"].cast("int")
 
+def centroid_rows(cells: DataFrame) -> DataFrame:
+    """fold, label, pos, a, b and const: the score of a class is const + sum of (x - a)^2 / b."""
+    return cells.select(FOLD, "label", "pos", F.col("m").alias("a"), F.lit(1.0).alias("b"), F.lit(0.0).alias("const"))
 
-def nearest_centroid(train: DataFrame, test: DataFrame) -> DataFrame:
-    model = class_moments(train)
 
-    def distance(c):
-        return F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+def bayes_rows(cells: DataFrame, smoothing: float = 1e-9) -> DataFrame:
+    """Class priors and per-class normal densities; variances get a share of the largest one added."""
+    per = W.partitionBy(FOLD, "pos")
+    rows = cells.withColumn("_n", F.sum("n").over(per)).withColumn("_m", F.sum(F.col("n") * F.col("m")).over(per) / F.col("_n"))
+    gap = F.col("m") - F.col("_m")
+    rows = rows.withColumn("_s", F.sum(F.col("n") * (F.col("s") + gap * gap)).over(per) / F.col("_n"))
+    largest = rows.groupBy(FOLD).agg((F.max("_s") * smoothing).alias("_e"))
+    rows = rows.join(F.broadcast(largest), FOLD).withColumn("b", F.col("s") + F.col("_e"))  # one row per fold
+    # ln(2 pi b) of a feature belongs to that feature, so chunks add up; the prior goes with the first one.
+    prior = F.when(F.col("pos") == 0, -2.0 * F.log(F.col("n") / F.col("_n"))).otherwise(F.lit(0.0))
+    return rows.select(FOLD, "label", "pos", F.col("m").alias("a"), "b", (F.log(2.0 * F.pi() * F.col("b")) + prior).alias("const"))
 
-    rows = test.withColumn("s", F.transform(_matrix([m for _, _, m, _ in model]), distance))
-    return rows.select("run_id", F.col("label").alias("y_true"),
-                       _argbest([lab for lab, *_ in model], F.col("s")).alias("y_pred"))
 
+def square_score(x: str, row) -> Column:
+    part = F.zip_with(F.zip_with(x, row["a"], lambda v, a: (v - a) * (v - a)), row["b"], lambda v, b: v / b)
+    return row["const"] + F.aggregate(part, F.lit(0.0), lambda s, v: s + v)
 
-def gaussian_nb(train: DataFrame, test: DataFrame, smoothing: float = 1e-9) -> DataFrame:
-    """Class priors and per-class normal densities; variances get a share of the largest one added."""
-    model = class_moments(train)
-    n = np.array([c for _, c, _, _ in model], dtype=float)
-    mean = np.array([m for _, _, m, _ in model])
-    var = np.array([s for _, _, _, s in model])
-    grand = (n[:, None] * mean).sum(0) / n.sum()
-    overall = (n[:, None] * (var + (mean - grand) ** 2)).sum(0) / n.sum()
-    var = var + smoothing * overall.max()
-    const = -2.0 * np.log(n / n.sum()) + np.log(2.0 * np.pi * var).sum(1)
-    table = np.hstack([const[:, None], mean, var])
-    d = mean.shape[1]
-
-    def cost(row):
-        part = F.zip_with("x", F.slice(row, 2, d), lambda a, b: (a - b) * (a - b))
-        part = F.zip_with(part, F.slice(row, 2 + d, d), lambda a, b: a / b)
-        return row[0] + F.aggregate(part, F.lit(0.0), lambda s, v: s + v)
-
-    rows = test.withColumn("s", F.transform(_matrix(table.tolist()), cost))
-    return rows.select("run_id", F.col("label").alias("y_true"),
-                       _argbest([lab for lab, *_ in model], F.col("s")).alias("y_pred"))
-
-
-def k_nearest(train: DataFrame, test: DataFrame, k: int = 5, tile: int = 4096) -> DataFrame:
-    """Exact k nearest training rows by Euclidean distance, vote, smallest label on ties.
-
-    Both sides are cut into tiles of about ``tile`` rows; every pair of tiles meets in one task and
-    passes on the k best per test row only, so neither side is broadcast and no pair list is built.
-    """
-    n_train = max(1, -(-train.count() // tile))
-    n_test = max(1, -(-test.count() // tile))
-    own_r, own_t = F.expr(f"pmod(xxhash64(run_id), {n_train})"), F.expr(f"pmod(xxhash64(run_id), {n_test})")
-    left = test.select("run_id", "x", own_t.alias("tt"), F.explode_outer(F.sequence(F.lit(0), F.lit(n_train - 1))).alias("tr"))
-    right = train.select("run_id", "label", "x", own_r.alias("tr"),
-                         F.explode_outer(F.sequence(F.lit(0), F.lit(n_test - 1))).alias("tt"))
-    left = left.withColumns({"tt": F.col("tt").cast("int"), "tr": F.col("tr").cast("int")})
-    right = right.withColumns({"tt": F.col("tt").cast("int"), "tr": F.col("tr").cast("int")})
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"run_id": [], "near": [], "dist": [], "label": []})
-        xa, xb = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        ids, lab = b["run_id"].to_numpy(), b["label"].to_numpy()
-        out = []
-        for lo in range(0, len(xa), 256):
-            part = xa[lo:lo + 256]
-            d = ((part ** 2).sum(1)[:, None] - 2.0 * part @ xb.T + (xb ** 2).sum(1)[None, :])
-            for i, row in enumerate(d):
-                pick = np.argpartition(row, min(k + 4, len(row) - 1))[:k + 5]
-                exact = ((xb[pick] - part[i]) ** 2).sum(1)
-                order = np.lexsort((ids[pick], exact))[:k]
-                out.append(pd.DataFrame({"run_id": a["run_id"].iloc[lo + i], "near": ids[pick][order],
-                                         "dist": exact[order], "label": lab[pick][order]}))
-        return pd.concat(out, ignore_index=True)
-
-    near = left.groupBy("tt", "tr").cogroup(right.groupBy("tt", "tr")).applyInPandas(
-        best, "run_id bigint, near bigint, dist double, label int")
-    chosen = near.groupBy("run_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "near", "label"))), 1, k)
-                                        .alias("c"))
-    votes = chosen.select("run_id", F.explode_outer("c.label").alias("label")).groupBy("run_id", "label").count()
-    winner = votes.groupBy("run_id").agg(F.min(F.struct(-F.col("count"), "label")).alias("w")).select(
-        "run_id", F.col("w.label").alias("y_pred"))
-    return test.select("run_id", F.col("label").alias("y_true")).join(winner, "run_id")
+
+def linear_score(x: str, row) -> Column:
+    return row["const"] + F.aggregate(F.zip_with(x, row["a"], lambda v, a: v * a), F.lit(0.0), lambda s, v: s + v)
+
+
+def best_class(rows: DataFrame, test: DataFrame, width: int, score: Callable = square_score) -> DataFrame:
+    """Class of the smallest score of every test row (smallest label on ties): run_id, y_true, y_pred, fold."""
+    classes = rows.withColumn("chunk", F.expr(f"pos div {CHUNK}").cast("int")).groupBy(FOLD, "chunk", "label").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "a", "b"))).alias("c"), F.sum("const").alias("const"))
+    model = classes.groupBy(FOLD, "chunk").agg(F.sort_array(F.collect_list(F.struct(
+        "label", "const", F.col("c.a").alias("a"), F.col("c.b").alias("b")))).alias("classes"))
+    model = cut_lineage(model)
+    numbers = model.agg(F.sum(F.size("classes"))).first()[0] or 0
+    chunks = max(1, -(-width // CHUNK))
+    pieces = test.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn(
+        "_x", F.slice("x", F.col("chunk") * CHUNK + 1, F.lit(CHUNK))).select("run_id", "label", FOLD, "chunk", "_x")
+    small = numbers * 2 * CHUNK <= BROADCAST_NUMBERS
+    both = pieces.join(F.broadcast(model), [FOLD, "chunk"]) if small else salted_join(pieces, model, [FOLD, "chunk"], F.col("run_id"))
+    scored = both.withColumn("_s", F.transform("classes", lambda r: F.struct(score("_x", r).alias("s"), r["label"].alias("l"))))
+    if chunks > 1:
+        each = scored.select("run_id", "label", FOLD, F.explode("_s").alias("e"))
+        total = each.groupBy("run_id", "label", FOLD, F.col("e.l").alias("l")).agg(F.sum("e.s").alias("s"))
+        scored = total.groupBy("run_id", "label", FOLD).agg(F.collect_list(F.struct("s", "l")).alias("_s"))
+    return scored.select("run_id", F.col("label").alias("y_true"), F.array_min("_s")["l"].cast("int").alias("y_pred"), FOLD)
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """The rows as one fold."""
+    return df.select("run_id", "label", "x", F.lit(0).alias(FOLD))
+
+
+def width_of(train: DataFrame) -> int:
+    row = train.select(F.size("x").alias("w")).first()
+    if row is None:
+        raise ValueError("no training rows")
+    return row["w"]
+
+
+@dataclass(frozen=True)
+class CellModel:
+    """A classifier whose class rows come from per-feature moments."""
+
+    rows: Callable
+
+    def __call__(self, train: DataFrame, test: DataFrame) -> DataFrame:
+        return best_class(self.rows(class_cells(whole(train))), whole(test), width_of(train)).drop(FOLD)
+
+    def by_folds(self, folded: DataFrame, k: int) -> DataFrame:
+        """Every fold predicted from the other ones; the rows are aggregated once."""
+        return best_class(self.rows(leave_out(class_cells(folded), k)), folded, width_of(folded))
+
+
+nearest_centroid = CellModel(centroid_rows)
+gaussian_nb = CellModel(bayes_rows)
+
+
+class Majority:
+    """Most frequent class of the training rows (smallest label on ties)."""
+
+    def __call__(self, train: DataFrame, test: DataFrame) -> DataFrame:
+        top = train.groupBy("label").count().orderBy(F.desc("count"), "label").first()
+        return test.select("run_id", F.col("label").alias("y_true"), F.lit(top["label"]).cast("int").alias("y_pred"))
+
+    def by_folds(self, folded: DataFrame, k: int) -> DataFrame:
+        counts = folded.groupBy(FOLD, "label").count().collect()  # folds x classes rows
+        total: dict = {}
+        for r in counts:
+            total[r["label"]] = total.get(r["label"], 0) + r["count"]
+        held = {(r[FOLD], r["label"]): r["count"] for r in counts}
+        top = [min(total, key=lambda c: (held.get((i, c), 0) - total[c], c)) for i in range(k)]
+        return folded.select("run_id", F.col("label").alias("y_true"), F.lit(top)[F.col(FOLD)].cast("int").alias("y_pred"), FOLD)
+
+
+majority_baseline = Majority()
+
+__all__ = ["majority_baseline", "nearest_centroid", "gaussian_nb", "k_nearest", "class_cells", "leave_out", "best_class"]

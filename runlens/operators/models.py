@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import baselines, metrics
+from . import baselines, discriminants, metrics
 from .prep import nan_to_zero
 from .windows import with_position
 
@@ -53,10 +53,13 @@ def zoo(width: int, classes: int, seed: int = 42, trees: int = 100, depth: int =
 
 
 PLAIN_MODELS = {"MajorityClassifier": baselines.majority_baseline, "NearestCentroid": baselines.nearest_centroid,
-                "GaussianMoments": baselines.gaussian_nb, "KNeighborsClassifier": baselines.k_nearest}
+                "GaussianMoments": baselines.gaussian_nb, "KNeighborsClassifier": baselines.k_nearest,
+                "LinearDiscriminantAnalysis": discriminants.linear_discriminant,
+                "QuadraticDiscriminantAnalysis": discriminants.quadratic_discriminant}
 # Models that give class probabilities; the others get no cross-validation figures.
 WITH_PROBABILITY = {MAIN_MODEL, "DecisionTreeClassifier", "LogisticRegression", "GaussianNB", "MLPClassifier",
-                    "MajorityClassifier", "GaussianMoments", "KNeighborsClassifier"}
+                    "MajorityClassifier", "GaussianMoments", "KNeighborsClassifier", "LinearDiscriminantAnalysis",
+                    "QuadraticDiscriminantAnalysis"}
 
 
 def fit_predict(train: DataFrame, test: DataFrame, estimator) -> DataFrame:
@@ -81,26 +84,30 @@ def fold_column(df: DataFrame, k: int, block: int = 65536) -> DataFrame:
     return placed.withColumn("fold", F.expr(f"cast(_pos % {k} as int)")).drop("_pos")
 
 
-def cross_validate(train: DataFrame, estimator, k: int, labels) -> tuple:
-    """Mean and population deviation of balanced accuracy over k folds of the training rows."""
+def cross_validate(folded: DataFrame, estimator, k: int, labels) -> tuple:
+    """Mean and population deviation of balanced accuracy over the k folds of ``folded`` (rows with their fold)."""
     if not k:
         return None, None
-    folded = fold_column(train, k).cache()
-    try:
-        row = fold_scores(folded, estimator, k, labels).agg(F.avg("balanced_acc").alias("m"),
-                                                            F.stddev_pop("balanced_acc").alias("s")).first()
-    finally:
-        folded.unpersist()
+    row = fold_scores(folded, estimator, k, labels).agg(F.avg("balanced_acc").alias("m"),
+                                                        F.stddev_pop("balanced_acc").alias("s")).first()
     return row["m"], row["s"]
 
 
 def fold_scores(folded: DataFrame, estimator, k: int, labels) -> DataFrame:
-    """Balanced accuracy of every fold (config fold0..), each predicted by a model of the other folds."""
-    parts = []
-    for i in range(k):
-        got = fit_predict(folded.where(F.col("fold") != i), folded.where(F.col("fold") == i), estimator)
-        parts.append(got.withColumn("config", F.lit(f"fold{i}")))
-    return metrics.balanced_accuracy(metrics.confusion_counts(reduce(DataFrame.unionByName, parts), labels))
+    """Balanced accuracy of every fold (config fold0..), each predicted by a model of the other folds.
+
+    Models made of moments take those of all rows less those of the fold, so the rows are read once for all folds; other
+    models are fitted k times."""
+    if hasattr(estimator, "by_folds"):
+        got = estimator.by_folds(folded, k)
+        pred = got.select("run_id", "y_true", "y_pred", F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("config"))
+    else:
+        parts = []
+        for i in range(k):
+            one = fit_predict(folded.where(F.col("fold") != i), folded.where(F.col("fold") == i), estimator)
+            parts.append(one.withColumn("config", F.lit(f"fold{i}")))
+        pred = reduce(DataFrame.unionByName, parts)
+    return metrics.balanced_accuracy(metrics.confusion_counts(pred, labels))
 
 
 def compare_models(train: DataFrame, test: DataFrame, labels, config: str, models=None, cv_folds: int = 5,
@@ -114,20 +121,22 @@ def compare_models(train: DataFrame, test: DataFrame, labels, config: str, model
     width = len(train.select("x").first()["x"])
     table = {**zoo(width, max(labels) + 1, seed, trees, depth), **PLAIN_MODELS}
     train, test = train.cache(), test.cache()
+    folded = fold_column(train, cv_folds).cache() if cv_folds else None
     preds, cv_rows, failed = [], [], []
     try:
         for name in models or list(table):
             try:
                 got = cut_lineage(fit_predict(train, test, table[name]))
-                scores = cross_validate(train, table[name], cv_folds if name in WITH_PROBABILITY else 0, labels)
+                scores = cross_validate(folded, table[name], cv_folds if name in WITH_PROBABILITY else 0, labels)
             except Exception as exc:  # a model that cannot be fitted is a row of the summary
                 failed.append((config, name, "failed", f"{type(exc).__name__}: {str(exc)[:500]}"))
                 continue
             preds.append(got.withColumns({"config": F.lit(config), "model": F.lit(name)}))
             cv_rows.append((name, *scores))
     finally:
-        train.unpersist()
-        test.unpersist()
+        for df in (train, test, folded):
+            if df is not None:
+                df.unpersist()
     if not preds:
         raise RuntimeError(f"no model could be fitted for {config!r}")
     pred = reduce(DataFrame.unionByName, preds)

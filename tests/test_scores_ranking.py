@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions.special import fisher_two_sided, student_two_sided
-from runlens.operators import baselines, metrics, models, ranking, reports, sets
+from runlens.operators import baselines, discriminants, metrics, models, neighbours, ranking, reports, sets
 from runlens.operators.values import ordered_counts, quantiles, value_counts
 
 
@@ -142,3 +142,86 @@ def test_one_vs_rest_models(spark):
     m = matrix(spark)
     got = models.fit_predict(m, m, models.zoo(4, 3)["LinearSVC"])
     assert got.where("y_true = y_pred").count() > 80
+
+
+def test_k_nearest_with_many_equal_rows(spark):
+    """200 equal training rows, ids 0..4 of class 0: the five smallest ids vote."""
+    rows = [(i, int(i > 4), [1.0, 1.0]) for i in range(200)] + [(300 + i, 2, [1.0, 1.0 + i]) for i in range(1, 40)]
+    train = spark.createDataFrame(rows, "run_id bigint, label int, x array<double>")
+    test = spark.createDataFrame([(900, 0, [1.0, 1.0]), (901, 2, [1.0, 30.0]), (902, 0, [1.0, 1.5])], train.schema)
+    got = {r["run_id"]: r["y_pred"] for r in baselines.k_nearest(train, test, 5, tile=8).collect()}
+    assert got == {900: 0, 901: 2, 902: 0}
+    near = neighbours.nearest_rows(train, test, 3, tile=8).where("run_id = 902").orderBy("place").collect()
+    assert [r["near"] for r in near] == [0, 1, 2]
+
+
+def test_k_nearest_prunes_cells_and_stays_exact(spark):
+    rng = np.random.RandomState(3)
+    centres = rng.normal(size=(30, 3)) * 50
+    rows = [(i, i % 4, [float(v) for v in np.round(centres[i % 30] + rng.normal(size=3), 1)]) for i in range(900)]
+    train = spark.createDataFrame(rows, "run_id bigint, label int, x array<double>")
+    test = train.where("run_id % 9 = 0").withColumn("run_id", F.col("run_id") + 10000)
+    x = np.array([r[2] for r in rows])
+    got = neighbours.nearest_rows(train, test, 4, tile=16).collect()
+    for r in test.collect():
+        d = ((x - np.array(r["x"])) ** 2).sum(1)
+        want = np.lexsort((np.arange(900), d))[:4]
+        mine = sorted((g["place"], g["near"], g["dist"]) for g in got if g["run_id"] == r["run_id"])
+        assert [m[1] for m in mine] == want.tolist() and np.allclose([m[2] for m in mine], d[want])
+    cells = neighbours.Cells(x[:30], np.full(30, 30), np.full(30, 6.0))
+    assert len(cells.reached(x[0], 3.0)) < 5 and len(cells.first(x[0], 61)) == 3
+    none = train.where("run_id < 0")
+    assert neighbours.nearest_rows(none, test, 4).count() == 0 and neighbours.nearest_rows(train, none, 4).count() == 0
+
+
+def test_discriminants_by_closed_form(spark):
+    rng = np.random.RandomState(8)
+    n, width = 240, 3
+    label = np.arange(n) % 3
+    x = rng.normal(size=(n, width)) * (1 + label[:, None]) + label[:, None] * [2.0, -1.0, 0.5]
+    m = spark.createDataFrame([(i, int(c), [float(v) for v in r]) for i, (c, r) in enumerate(zip(label, x))],
+                              "run_id bigint, label int, x array<double>")
+    fold = np.arange(n) // 3 % 4  # position within the class modulo the folds
+
+    def scores(train, quadratic):
+        parts = [x[train & (label == c)] for c in range(3)]
+        pooled = sum(np.cov(p.T, bias=True) * len(p) for p in parts) / (train.sum() - 3)
+        out = []
+        for p in parts:
+            cov = np.cov(p.T) if quadratic else pooled
+            gap = x - p.mean(0)
+            out.append((gap @ np.linalg.inv(cov) * gap).sum(1) + (np.log(np.linalg.det(cov)) if quadratic else 0)
+                       - 2 * np.log(len(p) / train.sum()))
+        return np.argmin(out, axis=0)
+
+    for fit, quadratic in ((discriminants.linear_discriminant, False), (discriminants.quadratic_discriminant, True)):
+        got = {r["run_id"]: r["y_pred"] for r in fit(m.where("run_id < 150"), m.where("run_id >= 150")).collect()}
+        want = scores(np.arange(n) < 150, quadratic)
+        assert got == {i: want[i] for i in range(150, n)}
+        rows = fit.by_folds(models.fold_column(m, 4), 4).collect()
+        assert len(rows) == n
+        for f in range(4):
+            want = scores(fold != f, quadratic)
+            assert all(r["y_pred"] == want[r["run_id"]] for r in rows if r["fold"] == f) and \
+                {r["run_id"] for r in rows if r["fold"] == f} == set(np.flatnonzero(fold == f))
+
+
+def test_folds_by_subtraction_equal_refitting(spark):
+    m = matrix(spark, 150).where("label < 2 or run_id % 4 = 2")
+    folded = models.fold_column(m, 5).cache()
+    wide = folded.withColumn("x", F.flatten(F.array_repeat("x", 300)))  # more features than one chunk
+    for fit, rows in ((baselines.nearest_centroid, folded), (baselines.gaussian_nb, folded), (baselines.majority_baseline, folded),
+                      (baselines.nearest_centroid, wide)):
+        got = {r["run_id"]: r["y_pred"] for r in fit.by_folds(rows, 5).collect()}
+        assert len(got) == folded.count()
+        for f in range(5):
+            one = fit(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)).collect()
+            assert all(got[r["run_id"]] == r["y_pred"] for r in one) and one
+
+
+def test_a_class_inside_one_fold_is_not_learnt_there(spark):
+    m = matrix(spark, 60)
+    folded = m.withColumn("fold", F.when(F.col("label") == 2, 1).otherwise((F.col("run_id") % 2).cast("int")))
+    for fit in (baselines.nearest_centroid, baselines.gaussian_nb, discriminants.linear_discriminant):
+        rows = fit.by_folds(folded, 2).collect()
+        assert len(rows) == 60 and {r["y_pred"] for r in rows if r["fold"] == 1} <= {0, 1}
