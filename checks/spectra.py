@@ -72,6 +72,13 @@ def j6(spark, sf):
     return o.select("faultNumber", "pos", rnd("mean").alias("mean"), rnd("reference").alias("reference"))
 
 
+def d0_gapped(spark, sf):
+    """Runs whose every third sample is missing, cut by position to 25 (normal) and 15 (faulty) samples."""
+    cfg = SpectrumConfig("dpca", numerics=Numerics(lags=1), window=Window(21, 25, 15))
+    s = spectra.run_spectra(one(spark, sf).where("sample % 3 <> 0"), cfg, 1)
+    return s.select(*KEYS, "n", "status", rnd(F.col("values")[0]).alias("v1"))
+
+
 def d2(spark, sf):
     cfg = SpectrumConfig("dpca", numerics=Numerics(lags=1), window=Window(21))
     s = spectra.run_spectra(one(spark, sf), cfg, 1, dense=True)
@@ -178,6 +185,10 @@ SELECT c.label AS "faultNumber", max(n) AS n, {q('sum(s)')} AS trace, {q('max(x.
         f"{q(f'avg(v{i})')} AS lambda_{i}_mean, {q(f'stddev_samp(v{i})/avg(v{i})')} AS lambda_{i}_cv" for i in (1, 2)) + " FROM sh GROUP BY 1")),
     "j6_reference_overlay": (j6, R2(f"""WITH {SHARES}, ag AS (SELECT "faultNumber", pos, avg(v) AS m FROM shl GROUP BY 1,2)
 SELECT a."faultNumber", a.pos, {q('a.m')} AS mean, {q('r.m')} AS reference FROM ag a JOIN ag r ON r.pos=a.pos AND r."faultNumber"=0""")),
+    "d0_gapped_spectra": (d0_gapped, R2(f"""WITH {CUT}, g AS (SELECT *, row_number() {OVER} - 1 AS t FROM cut WHERE sample % 3 <> 0),
+h AS (SELECT * FROM g WHERE t < CASE WHEN "faultNumber" = 0 THEN 25 ELSE 15 END), l AS (SELECT {K}, a, lag(a) {OVER} AS p FROM h),
+m AS (SELECT {K}, count(*) AS n, var_pop(a) AS caa, covar_pop(a,p) AS cab, var_pop(p) AS cbb FROM l WHERE p IS NOT NULL GROUP BY 1,2)
+SELECT {K}, n, 'ok' AS status, {q('((caa+cbb)/2 + sqrt(((caa-cbb)/2)*((caa-cbb)/2) + cab*cab))/(caa+cbb)')} AS v1 FROM m""")),
     "d2_dpca_spectrum": (d2, R2(f"""WITH {CUT}, l AS (SELECT {K}, a, lag(a) {OVER} AS p FROM cut), m AS (SELECT {K}, count(*) AS n, var_pop(a) AS caa, covar_pop(a,p) AS cab, var_pop(p) AS cbb FROM l WHERE p IS NOT NULL GROUP BY 1,2),
 e AS (SELECT {K}, n, ((caa+cbb)/2 + sqrt(((caa-cbb)/2)*((caa-cbb)/2) + cab*cab))/(caa+cbb) AS v1 FROM m)
 SELECT {K}, n, {q('v1')} AS v1, {q('1-v1')} AS v2 FROM e""")),

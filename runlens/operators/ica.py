@@ -1,7 +1,9 @@
 """Independent components per run by symmetric fixed-point iteration (tanh contrast).
 
-The whitening comes from the run's moments. Runs of ordinary length are iterated inside one task;
-longer runs are iterated as Spark jobs, one aggregation over their blocks per step.
+The whitening comes from the run's moments. Samples move once, to (run, block), where they are whitened; a step needs only sums
+over blocks. A run of one block has its sums at hand and iterates where it lies; the whitened blocks of longer runs are stored,
+and each step reads them in place, adds up partial sums per task and run, and takes the small matrices along by broadcast
+(their size is checked; beyond the bound they are joined by shuffling).
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from ..functions import linalg
 from ..schema import KEYS
 from ..session import cut_lineage
 from .moments import moments, scaled
-from .windows import attach_per_run
+from .windows import attach_per_run, block_column
 
-# Samples of a run that one task may hold while iterating.
-LOCAL_SAMPLES = 65536
+#: Numbers of unmixing matrices that may be broadcast (32 MB).
+BROADCAST_NUMBERS = 1 << 22
 
 
 def decorrelate(w: np.ndarray) -> np.ndarray:
@@ -57,64 +59,67 @@ def kurtosis(s: np.ndarray) -> np.ndarray:
     return (c ** 4).mean(axis=0) / (c ** 2).mean(axis=0) ** 2 - 3.0
 
 
-def _local(rows: DataFrame, table: DataFrame, k: int, max_iter: int, tol: float, seed: int, block: int) -> DataFrame:
-    """Runs that fit one task: the group is bounded by LOCAL_SAMPLES."""
-    small = table.where(F.col("n") <= LOCAL_SAMPLES)
-    joined = attach_per_run(rows, small.select(*KEYS, "last_t", "kmat", "kcen"), KEYS, block)
+def _key_types(rows) -> str:
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return ", ".join(f"{c} {types[c]}" for c in KEYS)
+
+
+def result(w: np.ndarray, kurt: np.ndarray, base: np.ndarray):
+    """Kurtosis values and rows of the matrix on raw samples, largest kurtosis first."""
+    order = np.argsort(-np.abs(kurt), kind="stable")
+    return kurt[order].tolist(), (w @ base)[order].tolist()
+
+
+def whitened(rows: DataFrame, table: DataFrame, k: int, max_iter: int, tol: float, seed: int, block: int) -> DataFrame:
+    """One row per (run, block): the solution where that is the whole run, else the whitened samples (``white``)."""
+    joined = attach_per_run(rows, table.select(*KEYS, F.col("last_t").alias("_last"), "last_t", "kmat", "kcen"), KEYS, block,
+                            last="_last")
+    blk = block_column(block)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("t")["x"].to_numpy())
+        pdf = pdf.sort_values("t")
         base = np.stack(pdf["kmat"].iloc[0])
-        white = (x - np.asarray(pdf["kcen"].iloc[0])) @ base.T
+        white = (np.stack(pdf["x"].to_numpy()) - np.asarray(pdf["kcen"].iloc[0])) @ base.T
+        if pdf["last_t"].iloc[0] >= block:
+            return pd.DataFrame([[*key[:-1], None, None, None, white.tobytes()]], columns=[*KEYS, "values", "w", "converged", "white"])
         w, lim = start(k, seed), np.inf
         for _ in range(max_iter):
             w, lim = step(w, *step_sums(w, white), len(white))
             if lim < tol:
                 break
-        s = white @ w.T
-        kurt = kurtosis(s)
-        order = np.argsort(-np.abs(kurt), kind="stable")
-        return pd.DataFrame([[*key, kurt[order].tolist(), (w @ base)[order].tolist(), int(lim < tol)]],
-                            columns=[*KEYS, "values", "w", "converged"])
+        values, matrix = result(w, kurtosis(white @ w.T), base)
+        return pd.DataFrame([[*key[:-1], values, matrix, int(lim < tol), None]], columns=[*KEYS, "values", "w", "converged", "white"])
 
-    return joined.groupBy(*KEYS).applyInPandas(run, _solution(rows))
+    return joined.groupBy(*KEYS, blk).applyInPandas(
+        run, f"{_key_types(rows)}, values array<double>, w array<array<double>>, converged int, white binary")
 
 
-def _solution(rows) -> str:
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return ", ".join(f"{c} {types[c]}" for c in KEYS) + ", values array<double>, w array<array<double>>, converged int"
-
-
-def _distributed(rows: DataFrame, table: DataFrame, k: int, max_iter: int, tol: float, seed: int, block: int):
-    """Runs longer than LOCAL_SAMPLES: every step sums over (run, block) pieces and merges per run."""
-    long = table.where(F.col("n") > LOCAL_SAMPLES)
-    if long.isEmpty():
-        return None
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    key_types = ", ".join(f"{c} {types[c]}" for c in KEYS)
-    w0 = start(k, seed).tolist()
-    state = cut_lineage(long.select(*KEYS, "n", "last_t", "kmat", "kcen").withColumn("w", F.lit(w0)).withColumn(
+def by_steps(blocks: DataFrame, table: DataFrame, k: int, max_iter: int, tol: float, seed: int) -> DataFrame:
+    """Runs of several blocks, from their stored whitened blocks (keys, white): one pass of sums per step."""
+    key_types, cells = _key_types(blocks), k * k + k
+    state = cut_lineage(table.select(*KEYS, "n", "kmat").withColumn("w", F.lit(start(k, seed).tolist())).withColumn(
         "lim", F.lit(float("inf"))))
-    cells = k * k + k
+    small = state.count() * k * k <= BROADCAST_NUMBERS
 
     def pieces(frames):
-        """One partial sum per run and Arrow batch."""
+        """One partial sum per run and task."""
+        held: dict = {}
         for pdf in frames:
-            out = []
-            for key, part in pdf.groupby(list(KEYS), sort=False):
-                base, w = np.stack(part["kmat"].iloc[0]), np.stack(part["w"].iloc[0])
-                white = (np.stack(part["x"].to_numpy()) - np.asarray(part["kcen"].iloc[0])) @ base.T
+            for row in pdf.itertuples(index=False):
+                white, w = np.frombuffer(row.white).reshape(-1, k), np.stack(row.w)
                 gx, gp = step_sums(w, white)
                 s = white @ w.T
-                powers = np.concatenate([(s ** p).sum(axis=0) for p in (1, 2, 3, 4)])
-                out.append([*key, np.concatenate([gx.ravel(), gp, powers]).tolist()])
-            if out:
-                yield pd.DataFrame(out, columns=[*KEYS, "v"])
-
-    def sums(current, spread):
-        """Sum the partial vectors position by position (map-side combined), then one array per run."""
-        joined = attach_per_run(rows, current.select(*KEYS, "last_t", "kmat", "kcen", "w"), KEYS, block)
-        parts = joined.select(*KEYS, "x", "kmat", "kcen", "w").mapInPandas(pieces, f"{key_types}, v array<double>")
+                v = np.concatenate([gx.ravel(), gp, *[(s ** p).sum(axis=0) for p in (1, 2, 3, 4)]])
+                key = tuple(getattr(row, c) for c in KEYS)
+                held[key] = held[key] + v if key in held else v
+        if held:
+            yield pd.DataFrame([[*key, v.tolist()] for key, v in held.items()], columns=[*KEYS, "v"])
+
+    def sums(current):
+        """The partial vectors of every run added up position by position, as one array."""
+        matrices = current.select(*KEYS, "w")
+        joined = blocks.join(F.broadcast(matrices) if small else matrices, KEYS)
+        parts = joined.mapInPandas(pieces, f"{key_types}, v array<double>")
         total = parts.select(*KEYS, F.posexplode_outer("v").alias("pos", "v")).groupBy(*KEYS, "pos").agg(F.sum("v").alias("v"))
         return total.groupBy(*KEYS).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))),
                                                     lambda e: e["v"]).alias("v"))
@@ -123,24 +128,23 @@ def _distributed(rows: DataFrame, table: DataFrame, k: int, max_iter: int, tol:
         for pdf in frames:
             new, lims = [], []
             for r in pdf.itertuples(index=False):
+                if r.lim < tol:  # done; it keeps its matrix
+                    new.append([list(row) for row in r.w])
+                    lims.append(r.lim)
+                    continue
                 v = np.asarray(r.v)
                 w, lim = step(np.stack(r.w), v[:k * k].reshape(k, k), v[k * k:cells], r.n)
                 new.append(w.tolist())
                 lims.append(lim)
             yield pdf.drop(columns=["v"]).assign(w=new, lim=lims)
 
-    schema = f"{key_types}, n bigint, last_t bigint, kmat array<array<double>>, kcen array<double>, " \
-             "w array<array<double>>, lim double"
-    done = None
+    schema = f"{key_types}, n bigint, kmat array<array<double>>, w array<array<double>>, lim double"
+    columns = [*KEYS, "n", "kmat", "w", "lim"]
     for _ in range(max_iter):
-        moved = state.join(sums(state, None), KEYS).select(*KEYS, "n", "last_t", "kmat", "kcen", "w", "lim", "v")
-        state = cut_lineage(moved.mapInPandas(advance, schema))
-        ready = state.where(F.col("lim") < tol)
-        done = ready if done is None else done.unionByName(ready)
-        state = state.where(F.col("lim") >= tol)
-        if state.isEmpty():
+        going = state.where(F.col("lim") >= tol)
+        state = cut_lineage(state.join(sums(going), KEYS, "left").select(*columns, "v").mapInPandas(advance, schema))
+        if state.where(F.col("lim") >= tol).isEmpty():
             break
-    final = done.unionByName(state)
 
     def finish(frames):
         for pdf in frames:
@@ -149,13 +153,11 @@ def _distributed(rows: DataFrame, table: DataFrame, k: int, max_iter: int, tol:
                 s1, s2, s3, s4 = np.asarray(r.v)[cells:].reshape(4, k) / r.n
                 var = s2 - s1 ** 2
                 kurt = (s4 - 4 * s1 * s3 + 6 * s1 ** 2 * s2 - 3 * s1 ** 4) / var ** 2 - 3.0
-                order = np.argsort(-np.abs(kurt), kind="stable")
-                w = (np.stack(r.w) @ np.stack(r.kmat))[order]
-                out.append([*(getattr(r, c) for c in KEYS), kurt[order].tolist(), w.tolist(), int(r.lim < tol)])
+                out.append([*(getattr(r, c) for c in KEYS), *result(np.stack(r.w), kurt, np.stack(r.kmat)), int(r.lim < tol)])
             yield pd.DataFrame(out, columns=[*KEYS, "values", "w", "converged"])
 
-    return final.join(sums(final, None), KEYS).select(*KEYS, "n", "kmat", "w", "lim", "v").mapInPandas(
-        finish, _solution(rows))
+    return state.join(sums(state), KEYS).select(*columns, "v").mapInPandas(
+        finish, f"{key_types}, values array<double>, w array<array<double>>, converged int")
 
 
 def unmix(rows: DataFrame, width: int, k: int, mode: str, scaler, max_iter: int = 1000, tol: float = 1e-3,
@@ -186,10 +188,13 @@ def unmix(rows: DataFrame, width: int, k: int, mode: str, scaler, max_iter: int
 
     white = table.mapInPandas(whiten, schema)
     good = white.where("status = 'ok'")
-    solved = _local(rows, good, k, max_iter, tol, seed, block)
-    far = _distributed(rows, good, k, max_iter, tol, seed, block)
-    if far is not None:
-        solved = solved.unionByName(far)
+    parts = whitened(rows, good, k, max_iter, tol, seed, block)
+    longer = good.where(F.col("last_t") >= block)
+    solved = parts.drop("white")
+    if not longer.isEmpty():
+        parts = cut_lineage(parts)
+        far = by_steps(parts.where("white is not null").select(*KEYS, "white"), longer, k, max_iter, tol, seed)
+        solved = parts.where("white is null").drop("white").unionByName(far)
     return white.drop("kmat").join(solved, KEYS, "left")
 
 
