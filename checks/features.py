@@ -207,6 +207,26 @@ def rows_only(name, features, block=4000):
     QUERIES[name] = (run(features, 4, block), None)
 
 
+# Unit-root regression with one lagged step: two regressors and a constant, solved from centred products.
+ROOT = (f"us AS (SELECT {K}, v AS l, lead(v) OVER (PARTITION BY {K} ORDER BY t) - v AS d, v - lag(v) OVER (PARTITION BY {K} ORDER BY t) AS p FROM x), "
+        f"um AS (SELECT {K}, count(*) AS m, var_pop(l)*count(*) AS ll, var_pop(p)*count(*) AS pp, covar_pop(l,p)*count(*) AS lp, covar_pop(l,d)*count(*) AS ld, "
+        f"covar_pop(p,d)*count(*) AS pd, var_pop(d)*count(*) AS dd FROM us WHERE d IS NOT NULL AND p IS NOT NULL GROUP BY 1), "
+        "ub AS (SELECT *, (ld*pp-pd*lp)/(ll*pp-lp*lp) AS b, (pd*ll-ld*lp)/(ll*pp-lp*lp) AS c FROM um)")
+ROOTS = {feature("augmented_dickey_fuller", attr="teststat", lags=1): "any_value(CASE WHEN m > 3 THEN b/sqrt((dd-b*ld-c*pd)/(m-3)*pp/(ll*pp-lp*lp)) END)",
+         feature("augmented_dickey_fuller", attr="usedlag", lags=1): "any_value(CASE WHEN m > 3 THEN 1 END)"}
+add("f25_unit_root_one_lag", ROOTS, ROOT, "ub")
+add("f25_unit_root_one_lag_blocks", ROOTS, ROOT, "ub", block=50)
+add_long("f25_unit_root_one_lag_long", ROOTS, ROOT, "ub", digits=3)
+# Several families of the additive set on series of many blocks.
+TWO = f"{LAGGED}, tw AS (SELECT *, lead(v) OVER (PARTITION BY {K} ORDER BY t) AS y FROM lg)"
+add_long("f_additive_long", {feature("mean_abs_change"): "avg(abs(y-v))", feature("cid_ce", normalize=False): "sqrt(sum((y-v)*(y-v)))",
+                             **{feature("c3", lag=i): f"avg(v*l{i}*l{2 * i})" for i in (1, 2, 3)},
+                             **{feature("ratio_beyond_r_sigma", r=r): f"avg(CASE WHEN abs(v-mu) > {r}*sd THEN 1 ELSE 0 END)" for r in SIGMAS},
+                             **{feature("number_crossing_m", m=m): f"sum(CASE WHEN y IS NOT NULL AND (v>{m}) <> (y>{m}) THEN 1 ELSE 0 END)" for m in (0, -1, 1)},
+                             feature("count_above_mean"): "sum(CASE WHEN v>mu THEN 1 ELSE 0 END)",
+                             feature("count_below_mean"): "sum(CASE WHEN v<mu THEN 1 ELSE 0 END)"}, TWO, "tw", digits=2)
+
+
 rows_only("f13_ar_coefficient", family("ar_coefficient"))
 rows_only("f18_trend_p_value", [feature("linear_trend", attr="pvalue")])
 rows_only("f21_fft_all", family("fft_coefficient", "fft_aggregated"))

@@ -98,8 +98,9 @@ def _corridor(x, y, qs):
     return out
 
 
-def block_sums(families, a, o, m, t0, n, mu, var, mn, mx, sa, base, qs, edges=(), lags: int = 0) -> np.ndarray:
-    """Additive values of the own samples a[o:o+m]; the halo serves pairs that reach beyond them."""
+def block_sums(families, a, o, m, t0, n, mu, var, mn, mx, sa, base, qs, edges=(), lags=None) -> np.ndarray:
+    """Additive values of the own samples a[o:o+m]; the halo serves pairs that reach beyond them. ``lags`` are those of the
+    unit root, by default what the length n of the series asks for."""
     w = a[o:o + m]
     c = a - mu
 
@@ -109,10 +110,11 @@ def block_sums(families, a, o, m, t0, n, mu, var, mn, mx, sa, base, qs, edges=()
     def shifted(v, part, lag):
         return v[o + lag:o + lag + len(part)]
 
-    out: list = []
+    parts: list = []
     x, _ = ahead(a, 1)
     y = shifted(a, x, 1)
     for family in families:
+        out: list = []
         if family == "change":
             z0, _ = ahead(a, 2)
             d = y - x
@@ -147,17 +149,23 @@ def block_sums(families, a, o, m, t0, n, mu, var, mn, mx, sa, base, qs, edges=()
         elif family == "counts":
             out += [(w > mu).sum(), (w < mu).sum(), (w == mx).sum(), (w == mn).sum()]
         else:
-            out += ss.block_values(family, a, c, o, m, t0, n, np.asarray(edges, dtype=float), lags).tolist()
-    return np.asarray(out, dtype=float)
+            out = ss.block_values(family, a, c, o, m, t0, n, np.asarray(edges, dtype=float), lags)
+        parts.append(np.asarray(out, dtype=float))
+    return np.concatenate(parts) if parts else np.empty(0)
 
 
-def places(families, lags: int = 0) -> dict:
-    """family -> slice of its values in the concatenated vector."""
-    size = {**SIZES, **ss.sizes(lags)}
+def in_order(families) -> list:
+    """The unit root last: its numbers grow with the series."""
+    return [f for f in families if f != "adf"] + [f for f in families if f == "adf"]
+
+
+def places(families) -> dict:
+    """family -> slice of its values in the concatenated vector; the unit root has the rest of it."""
+    size = {**SIZES, **ss.SIZES}
     out, at = {}, 0
     for f in families:
-        out[f] = slice(at, at + size[f])
-        at += size[f]
+        out[f] = slice(at, None if f == "adf" else at + size[f])
+        at += size.get(f, 0)
     return out
 
 
@@ -194,9 +202,11 @@ def _trend(n, size, name, y, yy, iy, mu):
     return {"slope": slope, "intercept": shift + y / k - slope * (k - 1) / 2.0, "rvalue": r, "stderr": err}
 
 
-def finish(features, families, v: np.ndarray, st: dict, lags: int = 0) -> np.ndarray:
-    """Feature matrix (series x features) from summed block values and series statistics."""
-    at = places(families, lags)
+def finish(features, families, rows: list, st: dict) -> np.ndarray:
+    """Feature matrix (series x features) from summed block values (one vector per series) and series statistics."""
+    at = places(families)
+    common = at["adf"].start if "adf" in at else None
+    v = np.array([r[:common] for r in rows]).reshape(len(rows), -1)
     n, mu, var = st["n"], st["mu"], st["var"]
     sd = np.sqrt(var)
     acs = None
@@ -207,12 +217,12 @@ def finish(features, families, v: np.ndarray, st: dict, lags: int = 0) -> np.nda
         pacf_lag = max([f["lag"] for f in features if f.calculator == "partial_autocorrelation"], default=0)
         pacf = np.array([durbin_levinson([var[i], *acov[i, :pacf_lag]], pacf_lag) for i in range(len(n))]) if pacf_lag else None
     if "adf" in at:
-        roots = ss.finish_unit_root(v[:, at["adf"]], n, lags)
+        roots: dict = {}
         flat = st["mn"] == st["mx"]
     out = []
     for f in features:
         c, p = f.calculator, dict(f.params)
-        part = v[:, at[FAMILY[c]]] if c in FAMILY else None
+        part = v[:, at[FAMILY[c]]] if c in FAMILY and FAMILY[c] != "adf" else None
         if c == "absolute_sum_of_changes":
             got = part[:, 0]
         elif c == "mean_abs_change":
@@ -275,7 +285,10 @@ def finish(features, families, v: np.ndarray, st: dict, lags: int = 0) -> np.nda
         elif c in ("friedrich_coefficients", "max_langevin_fixed_point"):
             got = ss.finish_drift(part, p.get("coeff"))
         elif c == "augmented_dickey_fuller":
-            got = np.where(flat, np.nan, roots[:, ("teststat", "pvalue", "usedlag").index(p["attr"])])
+            lags = p.get("lags")
+            if lags not in roots:
+                roots[lags] = ss.finish_unit_root([r[common:] for r in rows], n, lags)
+            got = np.where(flat, np.nan, roots[lags][:, ("teststat", "pvalue", "usedlag").index(p["attr"])])
         elif c == "linear_trend":
             got = np.array([_slope_p(r, k) for r, k in zip(np.nan_to_num(st["rv"]), n)])
         out.append(got)

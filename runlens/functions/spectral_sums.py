@@ -7,7 +7,6 @@ values of all blocks add up, and ``finish_*`` turns the totals of a series into
 from __future__ import annotations
 
 import math
-from itertools import permutations
 
 import numpy as np
 
@@ -31,32 +30,44 @@ def most_lags(n: float) -> int:
     return min(math.ceil(12.0 * (n / 100.0) ** 0.25), int(n) // 2 - 2)
 
 
+# Numbers of each family; those of the unit root grow with the lags of the series and stand at the end of its vector.
+SIZES = {"fft": 2 * FFT, "welch": BINS + 1, "cwt": HEAD * len(WIDTHS), "perm": sum(math.factorial(d) for d in DIMENSIONS),
+         "ar": (ORDER + 2) ** 2, "drift": 3 * CELLS}
+
+
 def sizes(lags: int) -> dict:
-    return {"fft": 2 * FFT, "welch": BINS + 1, "cwt": HEAD * len(WIDTHS), "perm": sum(math.factorial(d) for d in DIMENSIONS),
-            "ar": (ORDER + 2) ** 2, "drift": 3 * CELLS, "adf": (lags + 3) ** 2 + lags + 2}
+    """All families for a series whose unit-root regression tries so many lags."""
+    return {**SIZES, "adf": 3 * (lags + 1) + 2}
 
 
 # ---- sums of one block --------------------------------------------------------------------------------------
 
 # Plain dictionaries: they travel with the task like the functions that use them.
 WAVES: dict = {}
-CODES: dict = {}
+HATS: dict = {}
 
 
-def waves(t0: int, m: int, n: int):
-    """Cosines and sines of a block; blocks of one place and runs of one length share them."""
-    if (t0, m, n) not in WAVES:
+def waves(m: int, n: int):
+    """Cosines and sines of the first m positions of runs of n samples; all blocks of a run share them."""
+    if n not in WAVES or WAVES[n][0].shape[1] < m:
         if len(WAVES) >= 8:
             WAVES.clear()
-        turns = (np.arange(FFT)[:, None] * np.arange(t0, t0 + m)[None, :]) % n
+        turns = (np.arange(FFT)[:, None] * np.arange(m)[None, :]) % n
         angle = 2 * np.pi / n * turns
-        WAVES[t0, m, n] = np.cos(angle), np.sin(angle)
-    return WAVES[t0, m, n]
+        WAVES[n] = np.cos(angle), np.sin(angle)
+    cos, sin = WAVES[n]
+    return cos[:, :m], sin[:, :m]
 
 
 def fft_sums(w, t0, n):
-    cos, sin = waves(t0, len(w), n)
-    return np.concatenate([cos @ w, -(sin @ w)])
+    if t0 == 0 and len(w) == n:
+        got = np.fft.fft(w)[np.arange(FFT) % n]
+        return np.concatenate([got.real, got.imag])
+    # The block as if it began the run, turned by the phase of its first position.
+    cos, sin = waves(len(w), n)
+    c, s = cos @ w, sin @ w
+    phase = 2 * np.pi / n * ((np.arange(FFT) * t0) % n)
+    return np.concatenate([np.cos(phase) * c - np.sin(phase) * s, -(np.sin(phase) * c + np.cos(phase) * s)])
 
 
 def welch_sums(a, o, m, t0, n):
@@ -81,9 +92,13 @@ def welch_sums(a, o, m, t0, n):
 
 def hat(points: int, width: float):
     """Mexican-hat wavelet."""
-    t = np.arange(points) - (points - 1) / 2.0
-    s = (t / width) ** 2
-    return 2.0 / (math.sqrt(3.0 * width) * math.pi ** 0.25) * (1.0 - s) * np.exp(-s / 2.0)
+    if (points, width) not in HATS:
+        if len(HATS) >= 256:
+            HATS.clear()
+        t = np.arange(points) - (points - 1) / 2.0
+        s = (t / width) ** 2
+        HATS[points, width] = 2.0 / (math.sqrt(3.0 * width) * math.pi ** 0.25) * (1.0 - s) * np.exp(-s / 2.0)
+    return HATS[points, width]
 
 
 def head_sums(a, o, t0, n):
@@ -99,24 +114,22 @@ def head_sums(a, o, t0, n):
     return out.ravel()
 
 
-def pattern_codes(d: int):
-    if d not in CODES:
-        CODES[d] = np.sort(np.array(list(permutations(range(d)))) @ (d ** np.arange(d)))
-    return CODES[d]
-
-
 def pattern_sums(a, o, m):
-    out = []
-    for d in DIMENSIONS:
-        part = a[o:min(o + m + d - 1, len(a))]
-        counts = np.zeros(math.factorial(d))
-        if len(part) >= d:
-            win = np.lib.stride_tricks.sliding_window_view(part, d)
-            ranks = np.argsort(np.argsort(win, axis=1, kind="stable"), axis=1, kind="stable")
-            at, found = np.unique(ranks @ (d ** np.arange(d)), return_counts=True)
-            counts[np.searchsorted(pattern_codes(d), at)] = found
-        out.append(counts)
-    return np.concatenate(out)
+    """Order patterns of 3..7 neighbours that start at own positions, counted by their number.
+
+    Digit j of a pattern's number (factorial base) tells how many of its first j values are not above value j, so the
+    numbers of one more neighbour extend those of the fewer."""
+    x = a[o:min(o + m + max(DIMENSIONS) - 1, len(a))]
+    above = [None] + [x[:-lag] <= x[lag:] for lag in range(1, max(DIMENSIONS)) if lag < len(x)]
+    code, out = np.zeros(len(x), dtype=np.int64), []
+    for j in range(1, max(DIMENSIONS)):
+        size = len(x) - j
+        if size > 0:
+            digit = sum(above[j - i][i:i + size].astype(np.int64) for i in range(j))
+            code = code[:size] + digit * math.factorial(j)
+        if j + 1 in DIMENSIONS:
+            out.append(np.bincount(code[:m], minlength=math.factorial(j + 1)) if size > 0 else np.zeros(math.factorial(j + 1)))
+    return np.concatenate(out).astype(float)
 
 
 def ar_sums(c, o, m, t0):
@@ -136,21 +149,53 @@ def drift_sums(x, y, edges, n):
     return out.ravel()
 
 
-def adf_sums(c, o, m, t0, n, lags):
-    """Products of (1, level, step, lagged steps) over own steps with all lags, and the first samples of the series."""
-    out, head = np.zeros((lags + 3, lags + 3)), np.zeros(lags + 2)
-    own = np.arange(t0, min(t0 + m, lags + 2))
-    head[own] = c[own - t0 + o]
-    most = most_lags(n)
-    if most >= 0:
-        at = np.arange(max(t0, most), min(t0 + m, n - 1)) - t0 + o  # step at -> at + 1
-        cols = [np.ones(len(at)), c[at], c[at + 1] - c[at]] + [c[at - k + 1] - c[at - k] for k in range(1, most + 1)]
-        rows = np.column_stack(cols)
-        out[:most + 3, :most + 3] = rows.T @ rows
-    return np.concatenate([out.ravel(), head])
-
-
-def block_values(family, a, c, o, m, t0, n, edges, lags):
+def adf_sums(c, o, m, t0, n, lags=None):
+    """Products of steps by lag, sums of levels and their squares, and the first and last lags + 1 samples of the series.
+
+    Step t leads from sample t to t + 1. The regression's table follows from these by corrections at both ends."""
+    most = max(0, most_lags(n)) if lags is None else lags
+    head, tail = np.zeros(most + 1), np.zeros(most + 1)
+    own = c[o:o + m]
+    at = np.arange(t0, min(t0 + m, most + 1))
+    head[at] = own[at - t0]
+    at = np.arange(max(t0, n - 1 - most), t0 + m)
+    tail[at - (n - 1 - most)] = own[at - t0]
+    end = min(m, n - 1 - t0)  # own steps
+    back = min(o, most)
+    steps = np.diff(c[o - back:o + end + 1])
+    steps = np.concatenate([np.zeros(most - back), steps])  # no steps before the series
+    now = steps[most:]
+    products = now @ np.lib.stride_tricks.sliding_window_view(steps, most + 1)[:, ::-1] if len(now) else np.zeros(most + 1)
+    return np.concatenate([products, [own.sum(), own @ own], head, tail])
+
+
+def adf_table(row: np.ndarray, most: int):
+    """(products of (1, level, step, lagged steps) over steps most .. n - 2, first samples) from the sums of a series."""
+    products, (total, square), head, tail = row[:most + 1], row[most + 1:most + 3], row[most + 3:2 * most + 4], row[2 * most + 4:]
+    first, last = np.diff(head), np.diff(tail)
+    t = np.empty((most + 1, most + 1))  # t[i, j]: steps i and j places back
+    for lag in range(most + 1):
+        j = np.arange(lag, most + 1)
+        i = j - lag
+        before = np.concatenate([[0.0], np.cumsum(first[lag:] * first[:most - lag])])
+        after = np.concatenate([[0.0], np.cumsum((last[lag:] * last[:most - lag])[::-1])])
+        t[i, j] = t[j, i] = products[lag] - before[most - j] - after[i]
+    k = np.arange(most + 1)
+    ends, begins = tail[most - k], head[most - k]
+    # Level times step telescopes: 2 c (c' - c) = c'^2 - c^2 - (c' - c)^2; a level is an earlier one and the steps between.
+    level = 0.5 * (ends ** 2 - begins ** 2 - np.diag(t)) + np.array([t[1:q + 1, q].sum() for q in k])
+    table = np.empty((most + 3, most + 3))
+    at = [2, *range(3, most + 3)]
+    table[np.ix_(at, at)] = t
+    table[0, 0] = 0.0
+    table[0, at] = table[at, 0] = ends - begins
+    table[1, at] = table[at, 1] = level
+    table[0, 1] = table[1, 0] = total - head[:most].sum() - tail[-1]
+    table[1, 1] = square - (head[:most] ** 2).sum() - tail[-1] ** 2
+    return table, head
+
+
+def block_values(family, a, c, o, m, t0, n, edges, lags=None):
     if family == "fft":
         return fft_sums(a[o:o + m], t0, n)
     if family == "welch":
@@ -274,19 +319,22 @@ def residuals(table, columns):
     return (1.0 - np.cumsum(part ** 2)) * table[2, 2]
 
 
-def unit_root(row, n, lags):
-    """(statistic, p, lags) of the unit-root regression with constant; the lags minimise AIC on a common sample."""
+def unit_root(row, n, lags=None):
+    """(statistic, p, lags) of the unit-root regression with constant; unless given, the lags minimise AIC on a common sample."""
     most = most_lags(n)
-    if most < 0:
+    if most < 0 or lags is not None and lags > most:
         return NAN, NAN, NAN
-    table, head = row[:(lags + 3) ** 2].reshape(lags + 3, lags + 3), row[(lags + 3) ** 2:]
-    columns = [0, 1, *range(3, most + 3)]
+    table, head = adf_table(row, most)
     count = n - 1 - most
-    rss = residuals(table[:most + 3, :most + 3], columns)
-    if rss is None or (rss[1:] <= 0).any():
-        return NAN, NAN, NAN
-    aic = [count * (math.log(2 * math.pi * r / count) + 1.0) + 2.0 * (k + 2) for k, r in enumerate(rss[1:])]
-    used = int(np.argmin(aic))
+    table[0, 0] = count
+    columns = [0, 1, *range(3, most + 3)]
+    used = lags
+    if used is None:
+        rss = residuals(table, columns)
+        if rss is None or (rss[1:] <= 0).any():
+            return NAN, NAN, NAN
+        aic = [count * (math.log(2 * math.pi * r / count) + 1.0) + 2.0 * (k + 2) for k, r in enumerate(rss[1:])]
+        used = int(np.argmin(aic))
     # Fewer lags allow more steps: those between `used` and `most` lie in the head of the series.
     at, step = np.arange(used, most), np.diff(head)
     rows = np.column_stack([np.ones(len(at)), head[at], step[at]] + [step[at - k] for k in range(1, used + 1)])
@@ -295,14 +343,16 @@ def unit_root(row, n, lags):
     square, cross = both[np.ix_(columns, columns)], both[columns, 2]
     dof = n - 1 - used - len(columns)
     scale = np.sqrt(np.diag(square))
+    if dof <= 0 or (scale <= 0).any():
+        return NAN, NAN, NAN
     inverse = np.linalg.pinv(square / np.outer(scale, scale)) / np.outer(scale, scale)
     beta = inverse @ cross
     left = both[2, 2] - beta @ cross
-    if dof <= 0 or left <= 0:
+    if left <= 0:
         return NAN, NAN, NAN
     stat = float(beta[1] / math.sqrt(left / dof * inverse[1, 1]))
     return stat, unit_root_p(stat), float(used)
 
 
-def finish_unit_root(v, n, lags):
-    return np.array([unit_root(row, int(count), lags) for row, count in zip(v, n)]).reshape(-1, 3)
+def finish_unit_root(rows, n, lags=None):
+    return np.array([unit_root(row, int(count), lags) for row, count in zip(rows, n)]).reshape(-1, 3)

@@ -52,7 +52,7 @@ def _needed(texts, table: dict) -> list:
 class Plan:
     """What a list of features needs: native formulas, additive families, calculators of one piece.
 
-    ``longest`` bounds the length of the series; the lags of the unit-root regression grow with it."""
+    ``longest`` bounds the length of the series: neighbouring blocks lend as many samples as its unit-root regression has lags."""
 
     def __init__(self, features, longest: int = BLOCK):
         features = list(dict.fromkeys(features))
@@ -65,7 +65,7 @@ class Plan:
         if unknown:
             raise ValueError(f"unknown calculators: {unknown[:5]}")
         self.order = self.native + self.summed + self.kernel
-        self.families = list(dict.fromkeys(pt.FAMILY[f.calculator] for f in self.summed if f.calculator in pt.FAMILY))
+        self.families = pt.in_order(dict.fromkeys(pt.FAMILY[f.calculator] for f in self.summed if f.calculator in pt.FAMILY))
         texts = [finals[f] for f in self.native]
         self.partial = {k: fs.NATIVE[k] for k in _needed(texts, fs.NATIVE)}
         inner = texts + [sql for sql, _ in self.partial.values()] + (["qs"] if "corridor" in self.families else []) + (
@@ -76,8 +76,7 @@ class Plan:
             used |= set(SUM_STATS)
         self.plain = [k for k in fs.PLAIN if k in used or k in ("n", "mu", "var", "mn", "mx")]
         self.blocks = bool(self.partial or self.whole or self.kernel or self.families or self.summed)
-        self.lags = max(0, most_lags(longest)) if "adf" in self.families else 0
-        self.halo = pt.halo(self.families, self.lags)
+        self.halo = pt.halo(self.families, max(0, most_lags(longest)) if "adf" in self.families else 0)
         self.finals = finals
         self.groups: list = []
         for f in self.kernel:
@@ -148,7 +147,7 @@ FOLD = ("aggregate({col}, named_struct('cur', 0L, 'best', 0L, 'pre', 0L, 'open',
 GROUP_OF_BLOCKS = 1024
 
 
-def merge_blocks(rows: DataFrame, plan: Plan, keys, sums: bool) -> DataFrame:
+def merge_blocks(rows: DataFrame, plan: Plan, keys) -> DataFrame:
     """Combine block results per series in two levels, so no task sees all blocks of a long series."""
     group = [*keys, "channel"]
     carried = [*plan.plain, *plan.public]
@@ -168,13 +167,7 @@ def merge_blocks(rows: DataFrame, plan: Plan, keys, sums: bool) -> DataFrame:
         return out.withColumns(folds) if folds else out
 
     first = level(rows.withColumn("_g", F.expr(f"{BLK} div {GROUP_OF_BLOCKS}")), [*group, "_g"], BLK)
-    done = level(first, group, "_ord").drop("_ord")
-    if sums:
-        cells = rows.select(*group, F.posexplode_outer("sums").alias("pos", "v")).groupBy(*group, "pos").agg(F.sum("v").alias("v"))
-        totals = cells.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))),
-                                                       lambda e: e["v"]).alias("sums"))
-        done = done.join(totals, group)
-    return done
+    return level(first, group, "_ord").drop("_ord")
 
 
 def _vector(v):
@@ -185,44 +178,93 @@ def _stats_frame(s: pd.DataFrame) -> dict:
     return {k: s[k].to_numpy(dtype=float) for k in SUM_STATS}
 
 
-def _sums_of(s: pd.DataFrame, families, lags: int) -> np.ndarray:
-    return np.array([pt.block_sums(families, _vector(r.a), int(r.o), int(r.m), int(r.t0), int(r.n), r.mu, r.var, r.mn,
-                                   r.mx, r.sa, r.base, r.qs, r.dq, lags) for r in s.itertuples(index=False)]).reshape(len(s), -1)
+def _sums_of(s: pd.DataFrame, families) -> list:
+    """The vector of every block row."""
+    return [pt.block_sums(families, _vector(r.a), int(r.o), int(r.m), int(r.t0), int(r.n), r.mu, r.var, r.mn, r.mx, r.sa,
+                          r.base, r.qs, r.dq) for r in s.itertuples(index=False)]
 
 
 def _slices(n: int):
     return [slice(at, at + SLICE) for at in range(0, n, SLICE)]
 
 
-def sums_udf(families, lags: int):
-    """Additive values of each block row."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(s: pd.DataFrame) -> pd.Series:
-        return pd.Series([row for at in _slices(len(s)) for row in _sums_of(s.iloc[at], families, lags)])
-    return run
+# Bytes of vectors that a task holds before it passes them on, and map tasks whose vectors of a series meet first.
+HELD_BYTES = 64 << 20
+TASKS_PER_GROUP = 128
 
 
-def finish_udf(features, families, lags: int):
+def series_sums(blocks: DataFrame, families, keys) -> DataFrame:
+    """Per series the total of its block vectors (column ``sums``): added up inside the task that computes them, then
+    over groups of tasks, then over all of them; one vector per task and series is all that moves."""
+    group = [*keys, "channel"]
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    schema = ", ".join(f"{k} {types[k]}" for k in group) + ", sums array<double>"
+
+    def out(held):
+        return pd.DataFrame([(*k, v) for k, v in held.items()], columns=[*group, "sums"])
+
+    def add(held, key, row):
+        if key in held:
+            held[key] += row
+        else:
+            held[key] = row
+
+    def partial(frames):
+        held, size = {}, 0
+        for pdf in frames:
+            for at in range(0, len(pdf), SLICE):
+                part = pdf.iloc[at:at + SLICE]
+                for key, row in zip(part[group].itertuples(index=False, name=None), _sums_of(part, families)):
+                    size += 0 if key in held else row.nbytes
+                    add(held, key, row)
+                if size > HELD_BYTES:
+                    yield out(held)
+                    held, size = {}, 0
+        if held:
+            yield out(held)
+
+    def combine(frames):
+        key, total = None, None
+        for pdf in frames:
+            ready = {}
+            for k, v in zip(pdf[group].itertuples(index=False, name=None), pdf["sums"]):
+                if k == key:
+                    total = total + v
+                    continue
+                if key is not None:
+                    ready[key] = total
+                key, total = k, np.array(v)
+            if ready:
+                yield out(ready)
+        if key is not None:
+            yield out({key: total})
+
+    got = blocks.select(*group, *INPUTS).mapInPandas(partial, schema)
+    near = got.withColumn("_g", F.expr(f"spark_partition_id() div {TASKS_PER_GROUP}")).repartition(*group, "_g") \
+        .sortWithinPartitions(*group, "_g").drop("_g").mapInPandas(combine, schema)
+    return near.repartition(*group).sortWithinPartitions(*group).mapInPandas(combine, schema)
+
+
+def finish_udf(features, families):
     """Features from summed values."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(sums: pd.Series, s: pd.DataFrame) -> pd.Series:
         out = []
         for at in _slices(len(s)):
             part = s.iloc[at]
-            v = np.array([_vector(x) for x in sums.iloc[at]]).reshape(len(part), -1)
-            out += list(pt.finish(features, families, v, _stats_frame(part), lags))
+            out += list(pt.finish(features, families, [_vector(x) for x in sums.iloc[at]], _stats_frame(part)))
         return pd.Series(out)
     return run
 
 
-def one_block_udf(features, families, groups, lags: int):
+def one_block_udf(features, families, groups):
     """Summed features and calculators of one piece for series that fit one block, in one pass."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(s: pd.DataFrame) -> pd.Series:
         out = []
         for at in _slices(len(s)):
             part = s.iloc[at]
-            got = pt.finish(features, families, _sums_of(part, families, lags), _stats_frame(part), lags) if features else \
+            got = pt.finish(features, families, _sums_of(part, families), _stats_frame(part)) if features else \
                 np.empty((len(part), 0))
             out += list(got) if not groups else [np.concatenate([g, series_features(_vector(a)[o:o + m], groups)])
                                                  for g, a, o, m in zip(got, part["a"], part["o"], part["m"])]
@@ -230,13 +272,15 @@ def one_block_udf(features, families, groups, lags: int):
     return run
 
 
-def _input(df: DataFrame, plan: Plan) -> Column:
-    """Struct handed to the block kernels."""
-    have = set(df.columns)
+#: What the block sums read, in this order.
+INPUTS = ["a", "o", "m", "t0", *SUM_STATS, "base", "qs", "dq"]
+
+
+def with_inputs(df: DataFrame) -> DataFrame:
+    """Adds the inputs of the block sums that a plan left out."""
     extra = {"base": F.lit(0.0), "qs": F.array(), "dq": F.array(), **{k: F.lit(0.0) for k in SUM_STATS}}
-    names = ["a", "o", "m", "t0", *SUM_STATS, "base", "qs", "dq"]
-    return F.struct(*[F.col(c).alias(c) if c in have else extra[c].cast(
-        "array<double>" if c in ("qs", "dq") else "double").alias(c) for c in names])
+    return df.withColumns({c: e.cast("array<double>" if c in ("qs", "dq") else "double")
+                           for c, e in extra.items() if c not in df.columns})
 
 
 def extract_wide(rows: DataFrame, channels: list, features, keys=KEYS, block: int = BLOCK,
@@ -267,7 +311,8 @@ def extract_wide(rows: DataFrame, channels: list, features, keys=KEYS, block: in
     table = table.withColumns({k: F.expr(sql) for k, (sql, _) in plan.partial.items()}) if plan.partial else table
     parts = [native] if plan.native else []
     if plan.summed or plan.kernel:
-        parts.append(one_block_udf(plan.summed, plan.families, plan.groups, plan.lags)(_input(table, plan)))
+        table = with_inputs(table)
+        parts.append(one_block_udf(plan.summed, plan.families, plan.groups)(F.struct(*INPUTS)))
     values = F.concat(*parts) if len(parts) > 1 else parts[0]
     out = table.select(*group, values.alias("values"))
     if long_runs:
@@ -283,13 +328,13 @@ def _long_part(far: DataFrame, plan: Plan, native: Column, keys) -> DataFrame:
         table = table.join(mass_before(far, keys), [*group, BLK])
     if plan.partial:
         table = table.withColumns({k: F.expr(sql) for k, (sql, _) in plan.partial.items()})
+    done = merge_blocks(table, plan, keys)
     if plan.families:
-        table = table.withColumn("sums", sums_udf(plan.families, plan.lags)(_input(table, plan)))
-    done = merge_blocks(table, plan, keys, bool(plan.families))
+        done = done.join(series_sums(with_inputs(table), plan.families, keys), group)
     parts = [native] if plan.native else []
     if plan.summed:
         sums = F.col("sums") if plan.families else F.array().cast("array<double>")
-        parts.append(finish_udf(plan.summed, plan.families, plan.lags)(sums, F.struct(*[F.col(k) for k in SUM_STATS])))
+        parts.append(finish_udf(plan.summed, plan.families)(sums, F.struct(*[F.col(k) for k in SUM_STATS])))
     if plan.kernel:
         names = sorted({f.calculator for f in plan.kernel})
         parts.append(F.array(F.raise_error(F.lit(f"a series is longer than one block; not defined for it: {names}")).cast("double")))
