@@ -219,6 +219,9 @@ def finish(features, families, rows: list, st: dict) -> np.ndarray:
     if "adf" in at:
         roots: dict = {}
         flat = st["mn"] == st["mx"]
+    powers = list(map(ss.power, v[:, at["welch"]], n)) if "welch" in at else None
+    ar = ss.finish_ar(v[:, at["ar"]], n, mu) if "ar" in at else None
+    drift = ss.finish_drift(v[:, at["drift"]]) if "drift" in at else None
     out = []
     for f in features:
         c, p = f.calculator, dict(f.params)
@@ -273,17 +276,18 @@ def finish(features, families, rows: list, st: dict) -> np.ndarray:
         elif c == "fft_coefficient":
             got = ss.finish_fft(part, n, p["attr"], p["coeff"])
         elif c == "spkt_welch_density":
-            got = ss.finish_welch(part, n, p["coeff"])
+            got = ss.finish_welch(powers, p["coeff"])
         elif c == "fourier_entropy":
-            got = ss.finish_fourier_entropy(part, n, p["bins"])
+            got = ss.finish_fourier_entropy(powers, p["bins"])
         elif c == "cwt_coefficients":
             got = ss.finish_wavelet(part, n, p["w"], p["coeff"])
         elif c == "permutation_entropy":
             got = ss.finish_patterns(part, p["dimension"])
         elif c == "ar_coefficient":
-            got = ss.finish_ar(part, n, mu, p["coeff"])
+            got = ar[:, p["coeff"]] if p["coeff"] <= ss.ORDER else np.full(len(n), np.nan)
         elif c in ("friedrich_coefficients", "max_langevin_fixed_point"):
-            got = ss.finish_drift(part, p.get("coeff"))
+            k = p.get("coeff", ss.DEGREE + 1)
+            got = drift[:, k] if c == "max_langevin_fixed_point" or k <= ss.DEGREE else np.full(len(n), np.nan)
         elif c == "augmented_dickey_fuller":
             lags = p.get("lags")
             if lags not in roots:

@@ -173,13 +173,13 @@ def adf_table(row: np.ndarray, most: int):
     """(products of (1, level, step, lagged steps) over steps most .. n - 2, first samples) from the sums of a series."""
     products, (total, square), head, tail = row[:most + 1], row[most + 1:most + 3], row[most + 3:2 * most + 4], row[2 * most + 4:]
     first, last = np.diff(head), np.diff(tail)
-    t = np.empty((most + 1, most + 1))  # t[i, j]: steps i and j places back
-    for lag in range(most + 1):
-        j = np.arange(lag, most + 1)
-        i = j - lag
-        before = np.concatenate([[0.0], np.cumsum(first[lag:] * first[:most - lag])])
-        after = np.concatenate([[0.0], np.cumsum((last[lag:] * last[:most - lag])[::-1])])
-        t[i, j] = t[j, i] = products[lag] - before[most - j] - after[i]
+    t = np.empty((most + 1, most + 1))  # t[i, j]: steps i and j places back; the range of one place more back lies one step earlier
+    t[0] = products
+    if most:
+        t[0, :-1] -= np.correlate(first, first, "full")[most - 1:]
+    for i in range(most):
+        t[i + 1, i + 1:] = t[i, i:-1] + first[most - 1 - i] * first[most - 1 - i::-1] - last[most - 1 - i] * last[most - 1 - i::-1]
+    t = np.triu(t) + np.triu(t, 1).T
     k = np.arange(most + 1)
     ends, begins = tail[most - k], head[most - k]
     # Level times step telescopes: 2 c (c' - c) = c'^2 - c^2 - (c' - c)^2; a level is an earlier one and the steps between.
@@ -225,16 +225,21 @@ def power(row, n):
     return row[:size // 2 + 1] / row[-1] if row[-1] else np.zeros(1)
 
 
-def finish_welch(v, n, k):
-    return np.array([p[k] if k < len(p) else NAN for p in map(power, v, n)])
+def finish_welch(powers, k):
+    return np.array([p[k] if k < len(p) else NAN for p in powers])
 
 
-def finish_fourier_entropy(v, n, bins):
+def finish_fourier_entropy(powers, bins):
+    """Entropy of the histogram of the power density over its largest value; ``powers`` has one density per series."""
     out = []
-    for p in map(power, v, n):
-        top = p.max()
-        share = np.histogram(p / top, bins=bins)[0] / len(p) if top > 0 else np.array([NAN])
-        share = share[~(share <= 0)]
+    for p in powers:
+        top, low = p.max(), p.min()
+        if not top > 0:
+            out.append(0.0)
+            continue
+        span = top - low
+        cell = np.minimum((p - low) / span * bins, bins - 1).astype(int) if span > 0 else np.full(len(p), bins // 2)
+        share = np.bincount(cell)[np.unique(cell)] / len(p)
         out.append(-(share * np.log(share)).sum())
     return np.array(out)
 
@@ -252,20 +257,16 @@ def finish_patterns(v, dimension):
     return np.where(total[:, 0] > 0, -terms.sum(axis=1), NAN)
 
 
-def finish_ar(v, n, mu, k):
-    """Coefficient k (0: intercept) of the autoregression, from the normal equations of the centred series."""
-    if k > ORDER:
-        return np.full(len(n), NAN)
-    out = []
-    for row, count, mean in zip(v, n, mu):
-        if count <= 2 * ORDER + 1:
-            out.append(NAN)
-            continue
-        table = row.reshape(ORDER + 2, ORDER + 2)
-        at = [0, *range(2, ORDER + 2)]
+def finish_ar(v, n, mu):
+    """Intercept and coefficients of the autoregression, from the normal equations of the centred series."""
+    out = np.full((len(n), ORDER + 1), NAN)
+    at = [0, *range(2, ORDER + 2)]
+    for i in np.flatnonzero(n > 2 * ORDER + 1):
+        table = v[i].reshape(ORDER + 2, ORDER + 2)
         beta = np.linalg.lstsq(table[np.ix_(at, at)], table[at, 1], rcond=None)[0]
-        out.append(beta[k] if k else beta[0] + mean * (1.0 - beta[1:].sum()))
-    return np.array(out)
+        out[i] = beta
+        out[i, 0] += mu[i] * (1.0 - beta[1:].sum())
+    return out
 
 
 def cell_polynomial(row):
@@ -275,17 +276,16 @@ def cell_polynomial(row):
     return np.polyfit(x[ok] / n[ok], d[ok] / n[ok], DEGREE) if ok.sum() > DEGREE else None
 
 
-def finish_drift(v, coeff=None):
-    """Coefficient of the drift polynomial, or (None) its largest real root."""
-    out = []
-    for row in v:
+def finish_drift(v):
+    """Coefficients of the drift polynomial and, in the last column, its largest real root."""
+    out = np.full((len(v), DEGREE + 2), NAN)
+    for i, row in enumerate(v):
         poly = cell_polynomial(row)
-        if coeff is not None:
-            out.append(poly[coeff] if poly is not None and coeff <= DEGREE else NAN)
-        else:
-            roots = np.roots(poly) if poly is not None else []
-            out.append(np.max(np.real(roots)) if len(roots) else NAN)
-    return np.array(out, dtype=float)
+        if poly is not None:
+            roots = np.roots(poly)
+            out[i, :-1] = poly
+            out[i, -1] = np.max(np.real(roots)) if len(roots) else NAN
+    return out
 
 
 # MacKinnon's (1994) response surface of the unit-root test with a constant.

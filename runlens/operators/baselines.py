@@ -1,7 +1,8 @@
 """Classifiers that are plain aggregations: majority, nearest centroid, Gaussian naive Bayes.
 
 Tables have run_id, label, x (array of doubles). A model is a table of class rows, cut into chunks of features and joined to the
-test rows by chunk, so no model passes through the driver or the plan. Everything comes from moments per class; moments of folds
+test rows by (chunk, salt): no model passes through the driver or the plan, and Spark broadcasts it only if it turns out small.
+Everything comes from moments per class; moments of folds
 subtract, so the training moments of all k folds cost one aggregation of the rows (``by_folds``).
 """
 
@@ -14,14 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .neighbours import k_nearest
 from .values import salted_join
 
 #: Features of one chunk of a model.
 CHUNK = 512
-#: Numbers of a model that may be broadcast (32 MB); a larger one is joined by shuffling.
-BROADCAST_NUMBERS = 1 << 22
 FOLD = "fold"
 
 
@@ -33,25 +31,24 @@ def class_cells(train: DataFrame) -> DataFrame:
 
 def leave_out(cells: DataFrame, k: int) -> DataFrame:
     """Training cells of each of k folds: the moments of all rows less those of the fold."""
-    per = W.partitionBy("label", "pos")
-    n, m, s = F.col("n"), F.col("m"), F.col("s")
-    rows = cells.withColumn("_n", F.sum("n").over(per)).withColumn("_m", F.sum(n * m).over(per) / F.col("_n"))
-    rows = rows.withColumn("_s", F.sum(n * (s + (m - F.col("_m")) * (m - F.col("_m")))).over(per))
-    # A class need not be in every fold: one row per fold from the folds of (label, pos).
-    own = rows.groupBy("label", "pos", "_n", "_m", "_s").agg(F.map_from_entries(
-        F.collect_list(F.struct(F.col(FOLD), F.struct("n", "m", "s")))).alias("f"))
-    each = own.withColumn(FOLD, F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("f", F.col("f")[F.col(FOLD)])
-    n = F.coalesce("f.n", F.lit(0))
-    m, s = F.coalesce("f.m", F.lit(0.0)), F.coalesce("f.s", F.lit(0.0))
-    left = F.col("_n") - n
-    each = each.withColumn("n", left).where("n > 0").withColumn("m", (F.col("_n") * F.col("_m") - n_of("f") * m) / F.col("n"))
-    gap, own_gap = F.col("m") - F.col("_m"), m - F.col("_m")
-    rest = (F.col("_s") - n_of("f") * (s + own_gap * own_gap)) / F.col("n") - gap * gap
-    return each.select(FOLD, "label", "pos", "n", "m", F.greatest(rest, F.lit(0.0)).alias("s"))
-
-
-def n_of(struct: str) -> Column:
-    return F.coalesce(F.col(f"{struct}.n"), F.lit(0))
+    zero = F.lit(0.0)
+    per = cells.groupBy("label", "pos").agg(F.collect_list(F.struct(FOLD, "n", "m", "s")).alias("f"))  # k entries
+    per = per.withColumn("_n", F.aggregate("f", F.lit(0).cast("bigint"), lambda a, e: a + e["n"]))
+    per = per.withColumn("_m", F.aggregate("f", zero, lambda a, e: a + e["n"] * e["m"]) / F.col("_n"))
+
+    def scatter(e):
+        return e["n"] * (e["s"] + (e["m"] - F.col("_m")) * (e["m"] - F.col("_m")))
+
+    per = per.withColumn("_s", F.aggregate("f", zero, lambda a, e: a + scatter(e)))
+    each = per.withColumn(FOLD, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    # A class need not be in every fold: then nothing is taken away.
+    own = F.get(F.filter("f", lambda e: e[FOLD] == F.col(FOLD)), F.lit(0))
+    each = each.withColumn("e", F.coalesce(own, F.struct(F.col(FOLD), F.lit(0).cast("bigint").alias("n"), zero.alias("m"), zero.alias("s"))))
+    each = each.withColumn("n", F.col("_n") - F.col("e.n")).where("n > 0")
+    each = each.withColumn("m", (F.col("_n") * F.col("_m") - F.col("e.n") * F.col("e.m")) / F.col("n"))
+    gap = F.col("m") - F.col("_m")
+    rest = (F.col("_s") - scatter(F.col("e"))) / F.col("n") - gap * gap
+    return each.select(FOLD, "label", "pos", "n", "m", F.greatest(rest, zero).alias("s"))
 
 
 def centroid_rows(cells: DataFrame) -> DataFrame:
@@ -87,13 +84,10 @@ def best_class(rows: DataFrame, test: DataFrame, width: int, score: Callable = s
         F.sort_array(F.collect_list(F.struct("pos", "a", "b"))).alias("c"), F.sum("const").alias("const"))
     model = classes.groupBy(FOLD, "chunk").agg(F.sort_array(F.collect_list(F.struct(
         "label", "const", F.col("c.a").alias("a"), F.col("c.b").alias("b")))).alias("classes"))
-    model = cut_lineage(model)
-    numbers = model.agg(F.sum(F.size("classes"))).first()[0] or 0
     chunks = max(1, -(-width // CHUNK))
     pieces = test.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn(
         "_x", F.slice("x", F.col("chunk") * CHUNK + 1, F.lit(CHUNK))).select("run_id", "label", FOLD, "chunk", "_x")
-    small = numbers * 2 * CHUNK <= BROADCAST_NUMBERS
-    both = pieces.join(F.broadcast(model), [FOLD, "chunk"]) if small else salted_join(pieces, model, [FOLD, "chunk"], F.col("run_id"))
+    both = salted_join(pieces, model, [FOLD, "chunk"], F.col("run_id"))
     scored = both.withColumn("_s", F.transform("classes", lambda r: F.struct(score("_x", r).alias("s"), r["label"].alias("l"))))
     if chunks > 1:
         each = scored.select("run_id", "label", FOLD, F.explode("_s").alias("e"))

@@ -25,8 +25,9 @@ from ..functions import partials as pt
 from ..functions.kernels import KERNELS, series_features
 from ..functions.spectral_sums import CELL_EDGES, most_lags
 from ..schema import BLOCK, KEYS
+from ..session import cut_lineage
 from . import feature_sql as fs
-from .values import ordered_counts, quantiles, value_counts
+from .values import at_quantiles, hit, ordered_counts, places, salted_join, value_counts
 from .windows import block_column, with_halo
 
 # Series whose block sums are held at once: the widest families have thousands of values.
@@ -115,21 +116,33 @@ def block_rows(rows: DataFrame, stats: DataFrame, plan: Plan, width: int, keys,
 
 def long_values(rows: DataFrame, keys, drift: bool = False) -> DataFrame:
     """Quantiles and repeated values of series with several blocks, from value counts; with ``drift`` also the borders of
-    the drift cells, quantiles of all values but the last one."""
+    the drift cells, quantiles of all values but the last one. One ordering serves them all."""
     group = [*keys, "channel"]
-    ordered = ordered_counts(value_counts(rows.select(*group, F.explode_outer("w").alias("value")), group), group)
-    repeated = F.col("n") > 1
-    more = ordered.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("ndist"), F.sum(repeated.cast("bigint")).alias("nreval"),
-        F.sum(F.when(repeated, F.col("n")).otherwise(0)).alias("nrepoint"),
-        F.sum(F.when(repeated, F.col("value")).otherwise(0.0)).alias("sreval"),
-        F.sum(F.when(repeated, F.col("value") * F.col("n")).otherwise(0.0)).alias("srepoint"))
-    out = quantiles(ordered, group, list(pt.PROBS), name="qs").join(more, group)
+    counts = value_counts(rows.select(*group, F.explode_outer("w").alias("value")), group)
+    ordered = ordered_counts(counts, group)
+    # One row per series: its length, last value, and the positions of its quantiles.
+    ends = rows.where(F.col("t0") + F.col("m") == F.col("n")).select(
+        *group, F.col("n").cast("bigint").alias("_t"), F.element_at("w", -1).alias("_last"))
+    ends = ends.withColumn("_at", places(list(pt.PROBS), F.col("_t")))
     if drift:
-        kept = F.when(F.col("t0") + F.col("m") == F.col("n"), F.slice("w", F.lit(1), F.col("m") - 1)).otherwise(F.col("w"))
-        counts = value_counts(rows.select(*group, F.explode(kept).alias("value")), group)
-        out = out.join(quantiles(ordered_counts(counts, group), group, list(CELL_EDGES), name="dq"), group)
-    return out
+        ends = ends.withColumn("_dat", places(list(CELL_EDGES), F.col("_t") - 1))
+    ordered = salted_join(ordered, ends, group, F.col("value"))
+    repeated, n, before = F.col("n") > 1, F.col("n"), F.col("before")
+    hits = {"_q": hit("_at", "value", before, n)}
+    aggs = [F.first("_t").alias("_t"), F.collect_list("_q").alias("_q"),
+            F.count(F.lit(1)).alias("ndist"), F.sum(repeated.cast("bigint")).alias("nreval"),
+            F.sum(F.when(repeated, n).otherwise(0)).alias("nrepoint"),
+            F.sum(F.when(repeated, F.col("value")).otherwise(0.0)).alias("sreval"),
+            F.sum(F.when(repeated, F.col("value") * n).otherwise(0.0)).alias("srepoint")]
+    out = [at_quantiles(F.col("_q"), list(pt.PROBS), F.col("_t")).alias("qs")]
+    if drift:
+        # Without the last value: its count is one less, and one row less stands before the larger values.
+        hits["_d"] = hit("_dat", "value", before - (F.col("value") > F.col("_last")).cast("bigint"),
+                         n - (F.col("value") == F.col("_last")).cast("bigint"))
+        aggs.append(F.collect_list("_d").alias("_d"))
+        out.append(at_quantiles(F.col("_d"), list(CELL_EDGES), F.col("_t") - 1).alias("dq"))
+    got = ordered.withColumns(hits).groupBy(*group).agg(*aggs)
+    return got.select(*group, "ndist", "nreval", "nrepoint", "sreval", "srepoint", *out)
 
 
 def mass_before(rows: DataFrame, keys) -> DataFrame:
@@ -303,6 +316,8 @@ def extract_wide(rows: DataFrame, channels: list, features, keys=KEYS, block: in
     if long_runs is None:
         long_runs = longest > block
     base = block_rows(rows, stats, plan, len(channels), keys, block)
+    if long_runs:  # several readers below: the gathered blocks are stored once
+        base = cut_lineage(base)
     fits = F.col("n") == F.col("m")
     short = base.where(fits if long_runs else fits | F.raise_error(F.lit("a run exceeds one block")).cast("boolean"))
     table = short.withColumn("sw", F.expr("array_sort(w)")) if plan.whole else short

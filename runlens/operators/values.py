@@ -1,17 +1,24 @@
 """Value-ordered work on groups of any size: exact quantiles and ranks.
 
-Equal values are counted before anything is sorted, and the counted values of a group are spread
-over equal-width bins whose number grows with the group. A sort therefore covers one bin, and only
-bin totals meet per group.
+Equal values are counted before anything is sorted. The counted values are dealt into ranges of (group, value) whose borders Spark
+samples, so ranges hold about equally many values however the values are spread; a sort covers one range, the counts before a
+value run up inside its range, and only one total per (group, range) meets per group. The ranges are stored, so that every later
+reader sees the same ones.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut_lineage
 
-ROWS_PER_BIN = 65536
 SALTS = 16
 
 
@@ -27,55 +34,89 @@ def finite(column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def _bin(value: str, lo: str, hi: str, bins: Column) -> Column:
-    """Equal-width bin of a value between two ends; grows with the value."""
-    share = (F.col(value) - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0))
-    place = F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) * bins).cast("double")
-    return F.least(bins - 1, place).cast("bigint")
+def _changes(batch, group) -> np.ndarray:
+    """Marks the rows of a sorted batch that begin a group."""
+    out = np.ones(batch.num_rows, dtype=bool)
+    out[1:] = False
+    for name in group:
+        c = batch.column(name)
+        now, before = c.slice(1), c.slice(0, batch.num_rows - 1)
+        differ = pc.fill_null(pc.not_equal(now, before), False).to_numpy(zero_copy_only=False)
+        out[1:] |= differ | (now.is_null().to_numpy(zero_copy_only=False) != before.is_null().to_numpy(zero_copy_only=False))
+    return out
 
 
-def ordered_counts(counts: DataFrame, group: list, value: str = "value", per_bin: int = ROWS_PER_BIN) -> DataFrame:
+def ordered_counts(counts: DataFrame, group: list, value: str = "value", per_bin: int | None = None) -> DataFrame:
     """Adds to (group, value, n, ..): ``before`` = rows of the group with a smaller value, ``total``.
 
-    ``counts`` holds one row per (group, value). Bin borders come from minimum and maximum, so a
-    recomputed partition gets the same bins. A bin that an outlier or a dense region left too full is
-    cut once more between its own ends.
+    ``counts`` holds one row per (group, value). There are as many ranges as shuffle partitions, or one per ``per_bin`` values.
     """
-    spans = counts.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                       F.sum("n").alias("total"), F.count(F.lit(1)).alias("_d"))
-    rows = salted_join(counts, spans, group, F.col(value))
-    bins = F.ceil(F.col("_d") / F.lit(float(per_bin))).cast("double")
-    rows = rows.withColumn("_b", _bin(value, "_lo", "_hi", bins)).drop("_lo", "_hi", "_d")
-    full = rows.groupBy(*group, "_b").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                          F.count(F.lit(1)).alias("_d")).where(F.col("_d") > 4 * per_bin)
-    rows = salted_join(rows, full, [*group, "_b"], F.col(value), "left")
-    rows = rows.withColumn("_c", F.when(F.col("_d").isNull(), F.lit(0).cast("bigint")).otherwise(
-        _bin(value, "_lo", "_hi", bins))).drop("_lo", "_hi", "_d")
-    cell = [*group, "_b", "_c"]
-    totals = rows.groupBy(*cell).agg(F.sum("n").alias("_s"))
-    earlier = W.partitionBy(*group).orderBy("_b", "_c").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*cell, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"))
-    inside = W.partitionBy(*cell).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_i", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return rows.join(offsets, cell).withColumn("before", F.col("_o") + F.col("_i")).drop("_b", "_c", "_o", "_i")
+    order = [*group, value]
+    ranged = counts.repartitionByRange(max(1, -(-counts.count() // per_bin)), *order) if per_bin else counts.repartitionByRange(*order)
+
+    def running(batches):
+        part, key, carried = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.flatnonzero(_changes(batch, group))
+            before = np.cumsum(n) - n
+            size = np.diff(np.append(starts, batch.num_rows))
+            inside = before - np.repeat(before[starts], size)
+            if [batch.column(c)[0].as_py() for c in group] == key:
+                inside[:size[0]] += carried
+            key = [batch.column(c)[-1].as_py() for c in group]
+            carried = int(inside[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(inside)],
+                                             [*batch.schema.names, "_p", "_i"])
+
+    schema = T.StructType([*counts.schema.fields, T.StructField("_p", T.IntegerType()), T.StructField("_i", T.LongType())])
+    rows = cut_lineage(ranged.sortWithinPartitions(*order).mapInArrow(running, schema))
+    totals = rows.groupBy(*group, "_p").agg(F.sum("n").alias("_s"))
+    earlier = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*group, "_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"),
+                            F.sum("_s").over(W.partitionBy(*group)).alias("total"))
+    return rows.join(offsets, [*group, "_p"]).withColumn("before", F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+
+
+def range_sizes(ordered: DataFrame) -> DataFrame:
+    """Rows per partition of a table of ordered counts."""
+    return ordered.groupBy(F.spark_partition_id().alias("part")).count()
+
+
+def places(qs: list, total: Column) -> Column:
+    """Positions (from 0) between which each quantile lies, ascending and without repeats."""
+    low = F.transform(F.lit([float(q) for q in qs]), lambda q: F.floor(q * (total - 1)))
+    return F.array_sort(F.array_distinct(F.concat(low, F.transform(low, lambda k: F.least(k + 1, total - 1)))))
+
+
+def hit(at: str, value: str, before: Column, n: Column) -> Column:
+    """What a row contributes to the quantiles: its value and those of the positions ``at`` that it holds; null for nearly all rows."""
+    held = F.filter(at, lambda k: (before <= k) & (k < before + n))
+    return F.when(F.size(held) > 0, F.struct(F.col(value).alias("v"), held.alias("k")))
+
+
+def at_quantiles(hits: Column, qs: list, total: Column) -> Column:
+    """Quantiles with linear interpolation from the collected hits of a group."""
+    def value(k):
+        return F.get(F.filter(hits, lambda h: F.array_contains(h["k"], k)), F.lit(0))["v"]
+
+    def between(q):
+        place = q * (total - 1)
+        low = value(F.floor(place))
+        return low + (value(F.least(F.floor(place) + 1, total - 1)) - low) * (place - F.floor(place))
+
+    return F.transform(F.lit([float(q) for q in qs]), between)
 
 
 def quantiles(ordered: DataFrame, group: list, qs: list, value: str = "value", name: str = "q") -> DataFrame:
     """Exact quantiles with linear interpolation as one array column per group."""
-    picks, total = [], F.col("total")
-    for i, share in enumerate(qs):
-        place = F.lit(float(share)) * (total - 1)
-        low = F.floor(place)
-        high = F.least(low + 1, total - 1)
-        for tag, k in (("l", low), ("h", high)):
-            hit = (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{tag}{i}"))
-    got = ordered.groupBy(*group).agg(F.first("total").alias("total"), *picks)
-    out = []
-    for i, share in enumerate(qs):
-        place = F.lit(float(share)) * (total - 1)
-        out.append(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (place - F.floor(place)))
-    return got.select(*group, F.array(*out).alias(name))
+    wanted = ordered.groupBy(*group).agg(F.first("total").alias("_t")).withColumn("_at", places(qs, F.col("_t")))
+    rows = salted_join(ordered.select(*group, value, "before", "n"), wanted, group, F.col(value))
+    got = rows.withColumn("_h", hit("_at", value, F.col("before"), F.col("n"))).where("_h is not null").groupBy(*group).agg(
+        F.first("_t").alias("_t"), F.collect_list("_h").alias("_h"))
+    return got.select(*group, at_quantiles(F.col("_h"), qs, F.col("_t")).alias(name))
 
 
 def value_counts(df: DataFrame, group: list, value: str = "value", *more: Column) -> DataFrame:
