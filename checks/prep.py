@@ -157,7 +157,7 @@ SELECT {KEY_SQL}, count(*) AS n, min(sample) AS first FROM runs4 WHERE sample >=
 WITH m AS (SELECT {KEY_SQL}, avg((x0+x1+x2+x3)/4) AS m FROM runs4 GROUP BY 1,2)
 SELECT {KEY_SQL}, sample, {", ".join(f"{q(f'x{i}-m', 4)} AS x{i}" for i in range(4))} FROM runs4 JOIN m USING ({KEY_SQL})""")),
     "p7_j5_scale_standard": (p7_j5_scale_standard, with_views("runs4", f"""
-WITH {_stats} SELECT {KEY_SQL}, sample, {", ".join(f"round((x{i}-m{i})/s{i}, 6) AS x{i}" for i in range(4))} FROM runs4, stats""")),
+WITH {_stats} SELECT {KEY_SQL}, sample, {", ".join(f"round((x{i}-m{i})/s{i}, 6) AS x{i}" for i in range(4))} FROM runs4 JOIN stats ON true""")),
     "a2_fit_scaler": (a2_fit_scaler, with_views("long4", """
 SELECT channel, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM long4 WHERE "faultNumber" = 0 GROUP BY 1""")),
     "p9_nan_to_zero": (p9_nan_to_zero, with_views("feat gaps", """

@@ -340,6 +340,12 @@ def j9(spark, sf):
     return rounded(both, "value")
 
 
+def j9_all(spark, sf):
+    f = feature_long(spark, sf)
+    both = sets.concat_configs({"low": f.where("feature < 'f32'"), "high": f.where("feature >= 'f32'")})
+    return rounded(both, "value")
+
+
 SETS_SQL = """WITH n AS (SELECT "faultNumber", "simulationRun", count(*) AS n, sum(v) AS s, max(v) AS m,
  CASE WHEN "simulationRun" % 5 = 0 THEN 'test' ELSE 'train' END AS split, "faultNumber"*4294967296+"simulationRun" AS run_id
  FROM series1c GROUP BY 1,2),
@@ -413,5 +419,6 @@ WHERE feature NOT IN (SELECT feature FROM feat WHERE feature <= 'f20')""")),
     "u4_same_sets": (u4, with_views("feat", """WITH a AS (SELECT DISTINCT feature FROM feat WHERE feature < 'f40'),
 b AS (SELECT DISTINCT feature FROM feat WHERE feature > 'f10'), oa AS (SELECT count(*) AS n FROM (FROM a EXCEPT FROM b)), ob AS (SELECT count(*) AS n FROM (FROM b EXCEPT FROM a))
 SELECT oa.n AS only_a, ob.n AS only_b, oa.n = 0 AND ob.n = 0 AS equal FROM oa, ob""")),
+    "j9_concat_configs_all": (j9_all, with_views("feat", f"SELECT run_id, CASE WHEN feature<'f32' THEN 'low__' ELSE 'high__' END || feature AS feature, {q('value')} AS value FROM feat")),
     "j9_concat_configs": (j9, with_views("feat", f"SELECT run_id, CASE WHEN feature<'f04' THEN 'low__' ELSE 'high__' END || feature AS feature, {q('value')} AS value FROM feat WHERE feature<'f04' OR feature>'f60'")),
 }

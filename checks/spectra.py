@@ -147,6 +147,38 @@ def d10(spark, sf):
     return s.select(*KEYS, "n", "status", rnd(F.col("values")[0]).alias("v1"))
 
 
+def d10_extra(spark, sf):
+    """A user-defined spectrum with two columns of its own: total variance and number of the strongest channel."""
+    import numpy as np
+
+    def solve(n, mean, cov, d, c):
+        v = np.diag(cov)
+        return np.array([v.max() / v.sum()]), {"total": float(v.sum()), "strongest": int(v.argmax())}
+
+    spectra.add_method("strongest_with", spectra.Method(
+        spectra.Request(lambda df, c: df.withColumn("z", F.col("x")), least=lambda c, d: 150), solve, spectra.Export("top_", "Top", "top"),
+        extra=(("total", "double"), ("strongest", "int"))))
+    s = spec(spark, sf, "strongest_with")
+    return s.select(*KEYS, "n", "status", rnd(F.col("values")[0]).alias("v1"), rnd("total").alias("total"), "strongest")
+
+
+def d10_export(spark, sf):
+    d10_extra(spark, sf)
+    cfg = SpectrumConfig("strongest_with", window=Window(21))
+    wide = spectra.wide_spectra(spectra.run_spectra(runs(spark, sf, two=True), cfg, 2, dense=True), cfg, 1)
+    return wide.select(*KEYS, rnd("top_1").alias("top_1"), rnd("total").alias("total"), "strongest")
+
+
+def a17_all(spark, sf):
+    """All 2,080 entries of the covariance of 64 channels, and all means."""
+    v = vectors(spark, sf).select(F.col("label").alias("faultNumber"), F.lit(1).alias("simulationRun"),
+                                  F.col("run_id").alias("t"), F.col("x").alias("z"))
+    m = mo.moments(v, 64)
+    cells = m.select("faultNumber", F.posexplode("cov").alias("at", "value"))
+    means = m.select("faultNumber", F.posexplode("mean").alias("at", "value")).withColumn("at", F.col("at") - 64)
+    return cells.unionByName(means).select("faultNumber", F.col("at").cast("bigint").alias("at"), rnd("value").alias("value"))
+
+
 def a13(spark, sf):
     df = user_series(spark, sf).drop("t")
     s = spectra.run_spectra(df, SpectrumConfig("dyca", window=Window(1), numerics=Numerics(linear=30, total=60)), 1, dense=True)
@@ -219,6 +251,15 @@ SELECT {K}, n, {q('n*n0/(n+n0)*(da*da*ss - 2*da*db*o + db*db*pp)/(pp*ss-o*o)', 5
 SELECT "simulationRun", coalesce(lead("simulationRun") OVER (ORDER BY "simulationRun"), (SELECT min("simulationRun") FROM r)) AS partner FROM r""")),
     "d9_estimate_dyca_mn": (d9, None),
     "d10_registered_spectrum": (d10, R2(f"WITH {CUT} SELECT {K}, n, CASE WHEN n<150 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN n>=150 THEN {q('greatest(caa,cbb)/(caa+cbb)')} END AS v1 FROM mom")),
+    "d10_extra_columns": (d10_extra, R2(f"""WITH {CUT} SELECT {K}, n, CASE WHEN n<150 THEN 'skipped' ELSE 'ok' END AS status,
+ CASE WHEN n>=150 THEN {q('greatest(caa,cbb)/(caa+cbb)')} END AS v1, CASE WHEN n>=150 THEN {q('caa+cbb')} END AS total,
+ CASE WHEN n>=150 THEN CASE WHEN cbb>caa THEN 1 ELSE 0 END END AS strongest FROM mom""")),
+    "d10_extra_export": (d10_export, R2(f"""WITH {CUT} SELECT {K}, {q('greatest(caa,cbb)/(caa+cbb)')} AS top_1, {q('caa+cbb')} AS total,
+ CASE WHEN cbb>caa THEN 1 ELSE 0 END AS strongest FROM mom WHERE n>=150""")),
+    "a17_moments_all": (a17_all, with_views("feat", f"""WITH f AS (SELECT *, CAST(substr(feature, 2) AS BIGINT) AS i FROM feat)
+SELECT a.label AS "faultNumber", a.i*64 - a.i*(a.i-1)//2 + b.i - a.i AS at, {q('covar_pop(a.value, b.value)')} AS value
+FROM f a JOIN f b ON a.run_id=b.run_id AND a.i<=b.i GROUP BY a.label, a.i, b.i UNION ALL
+SELECT label, i - 64, {q('avg(value)')} FROM f GROUP BY 1, i""")),
     "a13_success_counters": (a13, with_views("series1", f"WITH l AS (SELECT {K}, count(*) AS n FROM series1 GROUP BY 1,2) SELECT CASE WHEN n<65 THEN 'skipped' ELSE 'ok' END AS status, count(*) AS runs FROM l GROUP BY 1")),
     "t8_first_components": (t8_p14, R2(f"WITH {SHARES} SELECT {K}, {q('log10(greatest(v1,1e-12))')} AS logv, 1 AS k FROM sh")),
 }

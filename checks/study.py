@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from runlens.operators import metrics, models, prep, reports
+from runlens.operators import baselines, metrics, models, prep, reports
 from runlens.plans import characterise as ch
 from runlens.plans.study import Study
 from runlens.schema import Learning, PipelineConfig, Ranking, SpectrumConfig, Window
@@ -125,10 +125,10 @@ def classify_spectra(spark, sf):
     return metrics.scores(cm).join(board.groupBy("config").agg(F.max("macro_f1").alias("best_macro_f1")), "config")
 
 
-def study(spark, sf, configs=(("raw",), ("pca", 2))):
+def study(spark, sf, configs=(("raw",), ("pca", 2)), top_k=6):
     df = runs(spark, sf).drop("t")
     parts = {"train": df.where("simulationRun % 5 <> 0"), "test": df.where("simulationRun % 5 = 0")}
-    cfg = PipelineConfig(configs, run_length=None, feature_set="minimal", ranking=Ranking(top_k=6), learning=Learning(folds=0), labels=(0, 1, 2))
+    cfg = PipelineConfig(configs, run_length=None, feature_set="minimal", ranking=Ranking(top_k=top_k), learning=Learning(folds=0), labels=(0, 1, 2))
     return Study(spark, cfg, lambda s: parts[s], fresh(spark), ["q", "p", "d", "x"], {"train": 21, "test": 21}, buckets=4, per_wave=2)
 
 
@@ -147,6 +147,49 @@ def io9(spark, sf):
     return s.summary(["NearestCentroid", "MajorityClassifier"])
 
 
+def m9_centroid(spark, sf):
+    """Features of all runs, ranking (all 40 kept), predictions and confusion counts of the centroid model."""
+    cm, scores = study(spark, sf, (("raw",),), 40).confusion(estimator=baselines.nearest_centroid)
+    return cm.join(scores, "config").select("config", "y_true", "y_pred", "n", rnd("balanced_acc").alias("balanced_acc"),
+                                            rnd("macro_f1").alias("macro_f1"), "n_features", "n_train")
+
+
+def io9_centroid(spark, sf):
+    board = study(spark, sf, (("raw",),), 40).summary(["NearestCentroid", "MajorityClassifier"])
+    return board.select("config", "model", "status", rnd("balanced_acc").alias("balanced_acc"), rnd("macro_f1").alias("macro_f1"))
+
+
+def m10_centroid(spark, sf):
+    views = study(spark, sf, (("raw",),), 40).compare(["NearestCentroid", "MajorityClassifier"])
+    best = views["best_per_config"]
+    return best.select("config", "model", rnd("balanced_acc").alias("balanced_acc"), rnd("macro_f1").alias("macro_f1"))
+
+
+def io8_pruned(spark, sf):
+    """Rows stored by run bucket: a wave reads the folders of its buckets, and every run is in one of them."""
+    path = f"{fresh(spark)}/_rows"
+    rows = runs(spark, sf).withColumn("run_bucket", store.run_bucket(4))
+    rows.write.partitionBy("run_bucket").parquet(path)
+    first, second = (store.wave_rows(spark, path, w).groupBy(*KEYS).agg(F.count("*").alias("n")) for w in ([0, 2], [1, 3]))
+    return first.unionByName(second)
+
+
+# Raw channels less the run's mean, ten plain statistics each, class means of the training runs, nearest class of the others.
+STATS10 = ["sum(v)", "quantile_cont(v, 0.5)", "avg(v)", "count(*)", "stddev_pop(v)", "var_pop(v)", "sqrt(avg(v*v))", "max(v)", "max(abs(v))", "min(v)"]
+STUDY = f"""ct AS (SELECT * FROM runs4 WHERE sample >= 21), me AS (SELECT {K}, avg((x0+x1+x2+x3)/4) AS m FROM ct GROUP BY 1,2),
+lo AS ({" UNION ALL ".join(f"SELECT {K}, {c} AS ch, x{c} - m AS v FROM ct JOIN me USING ({K})" for c in range(4))}),
+st AS (SELECT {K}, ch, {", ".join(f"CAST({e} AS DOUBLE) AS s{i}" for i, e in enumerate(STATS10))} FROM lo GROUP BY 1,2,3),
+fe AS ({" UNION ALL ".join(f'SELECT "faultNumber" AS y, "simulationRun" AS r, ch*10+{i} AS p, s{i} AS v FROM st' for i in range(10))}),
+ce AS (SELECT y AS cand, p, avg(v) AS m FROM fe WHERE r % 5 <> 0 GROUP BY 1,2),
+di AS (SELECT y, r, cand, sum((v-m)*(v-m)) AS d FROM fe JOIN ce USING (p) WHERE r % 5 = 0 GROUP BY 1,2,3),
+ma AS (SELECT y AS top, count(*) AS n FROM fe WHERE p = 0 AND r % 5 <> 0 GROUP BY 1 ORDER BY n DESC, top LIMIT 1),
+pr AS (SELECT 'NearestCentroid' AS model, y, r, cand AS g FROM (SELECT *, row_number() OVER (PARTITION BY y, r ORDER BY d, cand) AS w FROM di) WHERE w = 1
+ UNION ALL SELECT 'MajorityClassifier', y, r, top FROM fe JOIN ma ON true WHERE p = 0 AND r % 5 = 0),
+la AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS l), mo AS (SELECT DISTINCT model FROM pr),
+cl AS (SELECT mo.model, l, count(CASE WHEN y=l THEN 1 END) AS sup, count(CASE WHEN g=l THEN 1 END) AS gu, count(CASE WHEN y=l AND g=l THEN 1 END) AS tp
+ FROM mo JOIN la ON true JOIN pr ON pr.model=mo.model GROUP BY 1,2),
+sc AS (SELECT model, avg(CASE WHEN sup>0 THEN tp/sup END) AS b, avg(CASE WHEN sup+gu>0 THEN 2.0*tp/(sup+gu) END) AS f FROM cl GROUP BY 1)"""
+
 R2 = "runs2"
 QUERIES = {
     "io5_io6_spectra_store": (io5_io6, with_views(R2, f"WITH {SHARES} SELECT {K}, {q('v1')} AS v1 FROM sh")),
@@ -163,6 +206,13 @@ QUERIES = {
  {q('balanced_acc')} AS balanced_acc, {q('macro_f1')} AS macro_f1, {q("CASE WHEN model='bayes' THEN cv_mean END")} AS cv_mean,
  {q("CASE WHEN model='bayes' THEN cv_std END")} AS cv_std FROM board WHERE config='all' AND model<>'majority'""")),
     "m9_confusion": (m9, None),
+    "m9_confusion_centroid": (m9_centroid, with_views("runs4", f"""WITH {STUDY}
+SELECT 'raw' AS config, a.l AS y_true, c.l AS y_pred, count(pr.y) AS n, any_value({q('b')}) AS balanced_acc, any_value({q('f')}) AS macro_f1,
+ CAST(40 AS INTEGER) AS n_features, any_value((SELECT count(*) FROM fe WHERE p = 0 AND r % 5 <> 0)) AS n_train
+FROM la a JOIN la c ON true JOIN sc ON model='NearestCentroid' LEFT JOIN pr ON pr.model='NearestCentroid' AND pr.y=a.l AND pr.g=c.l GROUP BY 2, 3""")),
+    "io9_summary_centroid": (io9_centroid, with_views("runs4", f"""WITH {STUDY} SELECT 'raw' AS config, model, 'ok' AS status, {q('b')} AS balanced_acc, {q('f')} AS macro_f1 FROM sc""")),
+    "m10_study_centroid": (m10_centroid, with_views("runs4", f"""WITH {STUDY} SELECT 'raw' AS config, model, {q('b')} AS balanced_acc, {q('f')} AS macro_f1 FROM sc ORDER BY f DESC, model LIMIT 1""")),
+    "io8_stored_buckets": (io8_pruned, with_views("runs4", f"SELECT {K}, count(*) AS n FROM runs4 GROUP BY 1,2")),
     "m10_study": (m10, None),
     "plan_characterise_cva": (characterise_cva, None),
     "plan_classify_spectra": (classify_spectra, None),

@@ -117,6 +117,9 @@ class CellModel:
     def __call__(self, train: DataFrame, test: DataFrame) -> DataFrame:
         return best_class(self.rows(class_cells(whole(train))), whole(test), width_of(train)).drop(FOLD)
 
+    def __repr__(self) -> str:
+        return self.rows.__name__  # names stored results, so it must not change from process to process
+
     def by_folds(self, folded: DataFrame, k: int) -> DataFrame:
         """Every fold predicted from the other ones; the rows are aggregated once."""
         return best_class(self.rows(leave_out(class_cells(folded), k)), folded, width_of(folded))

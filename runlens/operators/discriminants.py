@@ -148,6 +148,9 @@ class CovarianceModel:
         width = width_of(train)
         return self.best(class_moments(whole(train), width), whole(test), width).drop(FOLD)
 
+    def __repr__(self) -> str:
+        return self.best.__name__
+
     def by_folds(self, folded: DataFrame, k: int) -> DataFrame:
         """Every fold predicted from the other ones; the rows are aggregated once."""
         width = width_of(folded)

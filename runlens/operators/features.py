@@ -357,7 +357,7 @@ def _long_part(far: DataFrame, plan: Plan, native: Column, keys) -> DataFrame:
     return done.select(*group, values.alias("values"))
 
 
-def extract_features(rows: DataFrame, channels: list, features="efficient", keys=KEYS, block: int = BLOCK,
+def extract_features(rows: DataFrame, channels: list, features="additive", keys=KEYS, block: int = BLOCK,
                      long_runs: bool | None = None) -> DataFrame:
     """Long result: keys, feature (full name), value (null where undefined)."""
     wanted = fn.SETS[features]() if isinstance(features, str) else list(features)

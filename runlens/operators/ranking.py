@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import fisher_p, normal_p
-from ..session import cut_lineage
 from .values import finite, ordered_counts, quantiles, salted_join, value_counts
 
 
@@ -128,9 +127,9 @@ def rank_features(long: DataFrame, labels, alpha: float = 0.05, dependent: bool
                   block_cols: int | None = None, impute: bool = True) -> DataFrame:
     """Rank table: n_significant, then F, then name. Constant features drop out.
 
-    The imputed values feed the rank sums and the F test several times, so they are stored once.
+    The orderings behind medians and ranks are stored; the imputed values themselves are not, they are formed again for the F test.
     """
-    rows = cut_lineage(impute_range(long)) if impute else long
+    rows = impute_range(long) if impute else long
     table = relevance_table(rows, labels, alpha, dependent, block_cols)
     joined = table.join(anova_f(rows), "feature", "left").withColumn("f_value", F.coalesce("f_value", F.lit(0.0)))
     return joined.orderBy(F.desc("n_significant"), F.desc("f_value"), "feature")

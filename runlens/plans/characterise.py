@@ -57,14 +57,15 @@ def as_matrix(spectrum: DataFrame) -> DataFrame:
                            F.transform("values", lambda v: prep.nan_to_zero(v)).alias("x"))
 
 
-def classify_spectra(pairs: dict, labels=LABELS, names=None, cv_folds: int = 5, seed: int = 42, trees: int = 100):
+def classify_spectra(pairs: dict, labels=LABELS, names=None, cv_folds: int = 5, seed: int = 42, trees: int = 100,
+                     depth: int = 30):
     """Model comparison and random-forest confusion counts for every feature set."""
     summaries, preds = [], []
     for config, (train, test) in pairs.items():
         tr, te = as_matrix(train), as_matrix(test)
-        _, summary = models.compare_models(tr, te, labels, config, names, cv_folds, seed, trees)
+        _, summary = models.compare_models(tr, te, labels, config, names, cv_folds, seed, trees, depth)
         summaries.append(summary)
-        preds.append(models.random_forest(tr, te, seed, trees).withColumn("config", F.lit(config)))
+        preds.append(models.random_forest(tr, te, seed, trees, depth).withColumn("config", F.lit(config)))
     board = reports.sort_leaderboard(reduce(DataFrame.unionByName, summaries))
     return board, metrics.confusion_counts(reduce(DataFrame.unionByName, preds), labels)
 

@@ -54,11 +54,11 @@ class Study:
     def _extract(self, spec, name, split: str, how: Callable, **extra) -> DataFrame:
         channels = projections.channel_names(spec, self.channels)
 
-        def build(rows):
-            return how(projections.project(rows, spec, self.context), channels)
+        def projected():
+            return projections.project(self._rows(split), spec, self.context)
 
         path = f"{self.base}/features/{store.fingerprint(self.cfg, config=name, split=split, **extra)}"
-        return self._tag(store.extract_resumable(self.spark, lambda: self._rows(split), path, build, self.buckets,
+        return self._tag(store.extract_resumable(self.spark, projected, path, lambda rows: how(rows, channels), self.buckets,
                                                  self.per_wave), split)
 
     def train_features(self, spec, name) -> DataFrame:

@@ -122,7 +122,7 @@ class PipelineConfig:
     run_length: int | None = 480
     uniform: bool = True
     fix_signs: bool = True
-    feature_set: str = "efficient"
+    feature_set: str = "additive"
     numerics: Numerics = Numerics()
     ranking: Ranking = Ranking()
     learning: Learning = Learning()

@@ -76,20 +76,28 @@ def extract_resumable(spark: SparkSession, rows: DataFrame | Callable[[], DataFr
                       buckets: int = 64, per_wave: int = 16, keys=KEYS) -> DataFrame:
     """Run ``build`` over waves of run buckets; finished buckets are skipped after an interruption.
 
-    Each bucket is a folder of its own with a success mark. ``build`` keeps the run keys. ``rows`` may be
-    a function; it is called only when a bucket is missing.
+    The rows are computed once and stored by run bucket, so a wave reads its own buckets only and an interrupted job does not
+    compute them again; they go when every bucket is done. A wave writes its buckets in place (replacing what an
+    interruption left) and marks them afterwards. ``build`` keeps the run keys. ``rows`` may be a function; it is called only
+    when the stored rows are missing.
     """
-    todo = [b for b in range(buckets) if not stored(spark, f"{path}/run_bucket={b}")]
-    source = (rows() if callable(rows) else rows) if todo else None
+    marks, source = f"{path}/_done", f"{path}/_rows"
+    todo = [b for b in range(buckets) if not stored(spark, f"{marks}/{b}")]
+    if todo and not stored(spark, source):
+        given = rows() if callable(rows) else rows
+        given.withColumn("run_bucket", run_bucket(buckets, keys)).write.mode("overwrite").partitionBy("run_bucket").parquet(source)
+    if todo and not _folders(spark, source):
+        raise RuntimeError(f"no run to extract from for {path}")
     for lo in range(0, len(todo), per_wave):
         wave = todo[lo:lo + per_wave]
-        part = build(source.where(run_bucket(buckets, keys).isin(wave)))
+        part = build(wave_rows(spark, source, wave))
         marked = part.withColumn("run_bucket", run_bucket(buckets, keys))
-        staging = f"{path}/_wave_{wave[0]}"
-        marked.write.mode("overwrite").partitionBy("run_bucket").parquet(staging)
+        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_bucket").parquet(path)
         for b in wave:
-            _publish(spark, f"{staging}/run_bucket={b}", f"{path}/run_bucket={b}")
-        p, fs = _path(spark, staging)
+            mark, fs = _path(spark, f"{marks}/{b}/_SUCCESS")
+            fs.create(mark).close()
+    if todo:
+        p, fs = _path(spark, source)
         fs.delete(p, True)
     filled = [f"{path}/run_bucket={b}" for b in range(buckets) if _has_rows(spark, f"{path}/run_bucket={b}")]
     if not filled:
@@ -97,16 +105,14 @@ def extract_resumable(spark: SparkSession, rows: DataFrame | Callable[[], DataFr
     return spark.read.option("basePath", path).parquet(*filled)
 
 
-def _publish(spark, source: str, target: str) -> None:
-    """Move a finished bucket into place and mark it; an empty bucket is marked only."""
-    src, fs = _path(spark, source)
-    dst, _ = _path(spark, target)
-    if fs.exists(dst):
-        fs.delete(dst, True)
-    if fs.exists(src):
-        fs.rename(src, dst)
-    mark, _ = _path(spark, f"{target}/_SUCCESS")
-    fs.create(mark).close()
+def wave_rows(spark: SparkSession, source: str, wave: list) -> DataFrame:
+    """Stored rows of some run buckets: only their folders are read."""
+    return spark.read.parquet(source).where(F.col("run_bucket").isin([int(b) for b in wave])).drop("run_bucket")
+
+
+def _folders(spark, path: str) -> list:
+    p, fs = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
 
 
 def _has_rows(spark, path: str) -> bool:

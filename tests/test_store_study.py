@@ -67,6 +67,31 @@ def test_interrupted_extraction_goes_on(spark, tmp_path):
     assert out.count() == 40 and out.agg(F.sum("n")).first()[0] == 200
 
 
+def test_waves_read_their_buckets_only(spark, tmp_path):
+    """Stored rows are pruned by folder, not computed again after an interruption, and gone when all buckets are done."""
+    df, _ = make_runs(spark, {(0, r): 5 for r in range(40)})
+    calls, plans = [], []
+
+    def rows():
+        calls.append(1)
+        return df.withColumn("x", F.transform("x", lambda v: v + 1))
+
+    def build(part, fail=False):
+        plans.append(part._jdf.queryExecution().executedPlan().toString())
+        if fail and len(plans) == 2:
+            raise RuntimeError("executor gone")
+        return part.groupBy("faultNumber", "simulationRun").agg(F.count("*").alias("n"))
+
+    with pytest.raises(RuntimeError):
+        store.extract_resumable(spark, rows, str(tmp_path), lambda p: build(p, True), buckets=6, per_wave=2)
+    out = store.extract_resumable(spark, rows, str(tmp_path), build, buckets=6, per_wave=2)
+    assert len(calls) == 1 and len(plans) == 4 and out.count() == 40
+    assert all("PartitionFilters: [run_bucket" in p and "transform(" not in p for p in plans)
+    assert not (tmp_path / "_rows").exists()
+    with pytest.raises(RuntimeError, match="no run"):
+        store.extract_resumable(spark, df.where("simulationRun < 0"), str(tmp_path / "none"), build, buckets=2)
+
+
 def test_study_end_to_end(spark, tmp_path):
     lengths = {(f, r): 60 for f in (0, 1) for r in range(1, 13)}
     df, _ = make_runs(spark, lengths, width=3)
