@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlens.operators import ranking
-from runlens.operators.values import ordered_counts, quantiles, value_counts
+from runlens.operators.values import ordered_counts, quantiles, range_sizes, value_counts
 
-from .views import feature_long, q, rnd, with_gaps, with_views
+from .views import feature_long, q, rnd, vectors, with_gaps, with_views
 
 LABELS = list(range(10))
 
@@ -95,6 +95,33 @@ def f3_like_quantiles(spark, sf):
                                                                           enumerate(("q10", "q50", "q90"))])
 
 
+def products(spark, sf):
+    """2,080 derived features: products of two of the 64 values."""
+    pairs = F.expr("flatten(transform(sequence(0, 63), i -> transform(sequence(i, 63), j -> named_struct("
+                   "'feature', concat('p', lpad(cast(i as string), 2, '0'), '_', lpad(cast(j as string), 2, '0')), 'value', x[i] * x[j]))))")
+    return vectors(spark, sf).select("run_id", "label", "split", F.explode(pairs).alias("e")).select("run_id", "label", "split", "e.*")
+
+
+def t1_many(spark, sf):
+    rank = ranking.rank_features(products(spark, sf), LABELS)
+    return rank.select("feature", "n_significant", rnd("f_value", 5).alias("f_value"))
+
+
+def w9_tails(spark, sf):
+    """Ranks of exp(20 v): nearly all values lie in a tiny part of their range."""
+    rows = feature_long(spark, sf).withColumn("value", F.exp(20 * F.col("value")))
+    ranks = ordered_counts(value_counts(rows, ["feature"]), ["feature"], per_bin=2000)
+    return ranks.select("feature", rnd(F.log("value"), 4).alias("log_value"), "n", "before", "total")
+
+
+def w9_ranges(spark, sf):
+    """The largest range against the even share of all values."""
+    rows = feature_long(spark, sf).withColumn("value", F.exp(20 * F.col("value")))
+    counts = value_counts(rows, ["feature"])
+    sizes = range_sizes(ordered_counts(counts, ["feature"], per_bin=2000, keep_range=True))
+    return sizes.agg(F.sum("rows").cast("bigint").alias("rows"), (F.max("rows") < 2 * 2000).alias("even"))
+
+
 COARSE = """coarse AS (SELECT run_id, label, feature, CASE feature WHEN 'f63' THEN CASE WHEN value>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
  WHEN 'f62' THEN 0.0::DOUBLE ELSE floor(value*100)/100 END AS value FROM feat)"""
 RANKS = """rk AS (SELECT feature, label, value, rank() OVER (PARTITION BY feature ORDER BY value)
@@ -125,12 +152,20 @@ SELECT run_id, feature, {q("CASE WHEN value IS NULL OR isnan(value) THEN med WHE
     "a14_j7_anova_f": (a14_j7, with_views("feat", f"WITH {ANOVA} SELECT feature, {q('f_value', 5)} AS f_value FROM an")),
     "w9_rank_with_ties": (w9, with_views("feat", f"""WITH {COARSE}, r AS (SELECT feature, value, rank() OVER (PARTITION BY feature ORDER BY value) AS k FROM coarse)
 SELECT feature, value, count(*) AS n, min(k)::DOUBLE + (count(*)-1)/2 AS rank FROM r GROUP BY 1,2""")),
+    "w9_heavy_tails": (w9_tails, with_views("feat", f"""WITH r AS (SELECT feature, exp(20*value) AS v, value FROM feat),
+c AS (SELECT feature, v, count(*) AS n FROM r GROUP BY 1,2)
+SELECT feature, {q('ln(v)', 4)} AS log_value, n, CAST(sum(n) OVER (PARTITION BY feature ORDER BY v) - n AS BIGINT) AS before,
+ CAST(sum(n) OVER (PARTITION BY feature) AS BIGINT) AS total FROM c""")),
+    "w9_even_ranges": (w9_ranges, with_views("feat", "SELECT count(DISTINCT (feature, exp(20*value))) AS rows, true AS even FROM feat")),
     "a15_mann_whitney": (a15_u, with_views("feat", f"WITH {COARSE}, {RANKS.format(src='coarse')} SELECT feature, label, n1, u, {q('z')} AS z FROM zz")),
     "a15_relevance_table": (a15_relevance, None),
     "a15_relevance_values": (a15_plain, with_views("feat", f"WITH {RANKS.format(src='feat')}, {TAIL}, {FDR.format(src='p', b='', c=BY)} SELECT feature, CAST(sum(CAST(relevant AS INTEGER)) AS BIGINT) AS n_significant, {q('min(p)')} AS p_min FROM fdr GROUP BY 1")),
     "a16_fdr_dependent": (a16_by, with_views("feat", f"WITH {PSEUDO}, {FDR.format(src='ps', b='', c=BY)} SELECT feature, label, relevant FROM fdr")),
     "a16_fdr_blocks": (a16_bh, with_views("feat", f"WITH {PSEUDO}, pb AS (SELECT *, CAST((dense_rank() OVER (ORDER BY feature)-1)//20 AS INTEGER) AS block FROM ps), {FDR.format(src='pb', b=', block', c='1.0')} SELECT feature, label, block, relevant FROM fdr")),
     "t1_rank_features": (t1, with_views("feat", f"{RANKED} SELECT feature, n_significant, {q('f_value', 5)} AS f_value FROM rt")),
+    "t1_rank_many_features": (t1_many, with_views("vec", f"""WITH v64 AS (SELECT run_id, label, split, i, CAST(embedding[i+1] AS DOUBLE) AS v FROM vec, (SELECT unnest(range(64)) AS i)),
+feat AS (SELECT a.run_id, a.label, a.split, 'p' || lpad(CAST(a.i AS VARCHAR), 2, '0') || '_' || lpad(CAST(b.i AS VARCHAR), 2, '0') AS feature, a.v*b.v AS value
+ FROM v64 a JOIN v64 b ON a.run_id=b.run_id AND a.i<=b.i), {RANKED[5:]} SELECT feature, n_significant, {q('f_value', 5)} AS f_value FROM rt""")),
     "t1_rank_features_blocks": (t1_blocks, with_views("feat", f"""WITH {RANKS.format(src='feat')}, {TAIL},
 pb AS (SELECT *, CAST((dense_rank() OVER (ORDER BY feature)-1)//20 AS INTEGER) AS block FROM p),
 {FDR.format(src='pb', b=', block', c=BY.replace('label', 'label, block'))}, {ANOVA},

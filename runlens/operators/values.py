@@ -46,10 +46,12 @@ def _changes(batch, group) -> np.ndarray:
     return out
 
 
-def ordered_counts(counts: DataFrame, group: list, value: str = "value", per_bin: int | None = None) -> DataFrame:
+def ordered_counts(counts: DataFrame, group: list, value: str = "value", per_bin: int | None = None,
+                   keep_range: bool = False) -> DataFrame:
     """Adds to (group, value, n, ..): ``before`` = rows of the group with a smaller value, ``total``.
 
-    ``counts`` holds one row per (group, value). There are as many ranges as shuffle partitions, or one per ``per_bin`` values.
+    ``counts`` holds one row per (group, value). There are as many ranges as shuffle partitions, or one per ``per_bin`` values;
+    with ``keep_range`` the number of a row's range stays as ``range``.
     """
     order = [*group, value]
     ranged = counts.repartitionByRange(max(1, -(-counts.count() // per_bin)), *order) if per_bin else counts.repartitionByRange(*order)
@@ -77,12 +79,13 @@ def ordered_counts(counts: DataFrame, group: list, value: str = "value", per_bin
     earlier = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*group, "_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"),
                             F.sum("_s").over(W.partitionBy(*group)).alias("total"))
-    return rows.join(offsets, [*group, "_p"]).withColumn("before", F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+    out = rows.join(offsets, [*group, "_p"]).withColumn("before", F.col("_o") + F.col("_i")).drop("_i", "_o")
+    return out.withColumnRenamed("_p", "range") if keep_range else out.drop("_p")
 
 
 def range_sizes(ordered: DataFrame) -> DataFrame:
-    """Rows per partition of a table of ordered counts."""
-    return ordered.groupBy(F.spark_partition_id().alias("part")).count()
+    """Values per range of ordered counts that kept their range."""
+    return ordered.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def places(qs: list, total: Column) -> Column:
