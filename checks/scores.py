@@ -202,18 +202,40 @@ def m7_discriminant_folds(spark, sf):
         for n, fit in PAIR_MODELS.items()])
 
 
-# Per training set f: class moments, pooled moments, and both scores of every row asked.
-PAIR_SQL = f"""v2 AS (SELECT run_id, label, split, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM vec),
-pc AS (SELECT f, label, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a,b) AS ab FROM learn GROUP BY 1,2),
-pp AS (SELECT f, sum(n) AS t, sum(n*aa)/(sum(n)-count(*)) AS paa, sum(n*bb)/(sum(n)-count(*)) AS pbb, sum(n*ab)/(sum(n)-count(*)) AS pab FROM pc GROUP BY 1),
-ps AS (SELECT k.f, k.run_id, k.label, c.label AS cand, k.a-ma AS x, k.b-mb AS y, ln(n/t) AS p, paa, pbb, pab, n/(n-1)*aa AS qaa, n/(n-1)*bb AS qbb, n/(n-1)*ab AS qab
- FROM ask k JOIN pc c ON c.f=k.f JOIN pp ON pp.f=k.f),
-pd AS (SELECT 'linear' AS model, f, run_id, label, cand, (pbb*x*x-2*pab*x*y+paa*y*y)/(paa*pbb-pab*pab)-2*p AS d FROM ps UNION ALL
- SELECT 'quadratic', f, run_id, label, cand, (qbb*x*x-2*qab*x*y+qaa*y*y)/(qaa*qbb-qab*qab)+ln(qaa*qbb-qab*qab)-2*p FROM ps),
-pq AS (SELECT model, f, run_id, label AS y_true, cand AS y_pred FROM (SELECT *, row_number() OVER (PARTITION BY model, run_id ORDER BY d, cand) AS r FROM pd) WHERE r = 1)"""
-SPLIT_SQL = PAIR_SQL.replace("pc AS", "learn AS (SELECT 0 AS f, * FROM v2 WHERE split='train'), ask AS (SELECT 0 AS f, * FROM v2 WHERE split='test'),\npc AS", 1)
-FOLDS_SQL = PAIR_SQL.replace("pc AS", f"""fd AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY run_id) - 1) % {FOLDS} AS fold FROM v2 WHERE split='train'),
-learn AS (SELECT f, fd.* FROM fd, (SELECT unnest(range({FOLDS})) AS f) WHERE fold <> f), ask AS (SELECT fold AS f, fd.* FROM fd),\npc AS""", 1)
+def m3_compare(spark, sf):
+    """The leaderboard of both discriminants: test scores and cross-validation over three folds."""
+    m = pair(spark, sf)
+    board = models.compare_models(m.where("split = 'train'"), m.where("split = 'test'"), LABELS, "pair",
+                                  ["LinearDiscriminantAnalysis", "QuadraticDiscriminantAnalysis"], cv_folds=FOLDS)[1]
+    return rounded(board, "balanced_acc", "macro_f1", "cv_mean", "cv_std").drop("error")
+
+
+V2 = "v2 AS (SELECT run_id, label, split, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM vec)"
+
+
+def _pair_sql(p, learn, ask):
+    """Predictions {p}q of both discriminants: per training set f class moments, pooled moments, and the scores of every row asked."""
+    return f"""{p}learn AS ({learn}), {p}ask AS ({ask}),
+{p}c AS (SELECT f, label, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a,b) AS ab FROM {p}learn GROUP BY 1,2),
+{p}p AS (SELECT f, sum(n) AS t, sum(n*aa)/(sum(n)-count(*)) AS paa, sum(n*bb)/(sum(n)-count(*)) AS pbb, sum(n*ab)/(sum(n)-count(*)) AS pab FROM {p}c GROUP BY 1),
+{p}s AS (SELECT k.f, k.run_id, k.label, c.label AS cand, k.a-ma AS x, k.b-mb AS y, ln(n/t) AS p, paa, pbb, pab, n/(n-1)*aa AS qaa, n/(n-1)*bb AS qbb, n/(n-1)*ab AS qab
+ FROM {p}ask k JOIN {p}c c ON c.f=k.f JOIN {p}p r ON r.f=k.f),
+{p}d AS (SELECT 'linear' AS model, f, run_id, label, cand, (pbb*x*x-2*pab*x*y+paa*y*y)/(paa*pbb-pab*pab)-2*p AS d FROM {p}s UNION ALL
+ SELECT 'quadratic', f, run_id, label, cand, (qbb*x*x-2*qab*x*y+qaa*y*y)/(qaa*qbb-qab*qab)+ln(qaa*qbb-qab*qab)-2*p FROM {p}s),
+{p}q AS (SELECT model, f, run_id, label AS y_true, cand AS y_pred FROM (SELECT *, row_number() OVER (PARTITION BY model, run_id ORDER BY d, cand) AS r FROM {p}d) WHERE r = 1)"""
+
+
+SPLIT_SQL = _pair_sql("p", "SELECT 0 AS f, * FROM v2 WHERE split='train'", "SELECT 0 AS f, * FROM v2 WHERE split='test'")
+FOLDS_SQL = f"""fd AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY run_id) - 1) % {FOLDS} AS fold FROM v2 WHERE split='train'),
+""" + _pair_sql("g", f"SELECT f, fd.* FROM fd, (SELECT unnest(range({FOLDS})) AS f) WHERE fold <> f", "SELECT fold AS f, fd.* FROM fd") + """,
+gb AS (SELECT model, f, avg(r) AS b FROM (SELECT model, f, y_true, avg(CASE WHEN y_true=y_pred THEN 1.0 ELSE 0.0 END) AS r FROM gq GROUP BY 1,2,3) GROUP BY 1,2)"""
+PAIR_BOARD = f"""WITH {V2}, {SPLIT_SQL}, {FOLDS_SQL}, lb AS (SELECT CAST(unnest(range(10)) AS INTEGER) AS l), ml AS (SELECT DISTINCT model FROM pq),
+cl AS (SELECT ml.model, l, count(CASE WHEN y_true=l THEN 1 END) AS sup, count(CASE WHEN y_pred=l THEN 1 END) AS gu, count(CASE WHEN y_true=l AND y_pred=l THEN 1 END) AS tp
+ FROM ml JOIN lb ON true JOIN pq ON pq.model=ml.model GROUP BY 1,2)
+SELECT 'pair' AS config, CASE cl.model WHEN 'linear' THEN 'LinearDiscriminantAnalysis' ELSE 'QuadraticDiscriminantAnalysis' END AS model, 'ok' AS status,
+ {q('avg(CASE WHEN sup>0 THEN tp/sup END)')} AS balanced_acc, {q('avg(CASE WHEN sup+gu>0 THEN 2.0*tp/(sup+gu) END)')} AS macro_f1,
+ any_value({q('cm')}) AS cv_mean, any_value({q('cs')}) AS cv_std
+FROM cl JOIN (SELECT model, avg(b) AS cm, stddev_pop(b) AS cs FROM gb GROUP BY 1) c ON c.model=cl.model GROUP BY cl.model"""
 
 
 def a5(spark, sf):
@@ -370,9 +392,9 @@ SELECT run_id, y_true, label AS y_pred FROM (SELECT *, row_number() OVER (PARTIT
     "m6_k_nearest_ties": (m6_knn_ties, V("""WITH sel AS (SELECT run_id, label, split, i, floor(CAST(embedding[i+1] AS DOUBLE)*8)/8 AS v FROM vec, (SELECT unnest(range(3)) AS i)),
 d AS (SELECT a.run_id, b.run_id AS near, b.label, sum((a.v-b.v)*(a.v-b.v)) AS dist FROM sel a JOIN sel b USING (i) WHERE a.split='test' AND b.split='train' GROUP BY 1,2,3)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY dist, near) AS INTEGER) AS place FROM d) WHERE place <= 7""")),
-    "m3_discriminants": (m3_discriminants, V("WITH " + SPLIT_SQL + " SELECT model, run_id, y_true, y_pred FROM pq")),
-    "m7_discriminant_folds": (m7_discriminant_folds, V("WITH " + FOLDS_SQL + f""" SELECT model, 'fold' || f AS config, {q('avg(r)')} AS balanced_acc FROM (
-SELECT model, f, y_true, avg(CASE WHEN y_true=y_pred THEN 1.0 ELSE 0.0 END) AS r FROM pq GROUP BY 1,2,3) GROUP BY 1,2""")),
+    "m3_discriminants": (m3_discriminants, V(f"WITH {V2}, {SPLIT_SQL} SELECT model, run_id, y_true, y_pred FROM pq")),
+    "m3_compare_discriminants": (m3_compare, V(PAIR_BOARD)),
+    "m7_discriminant_folds": (m7_discriminant_folds, V(f"WITH {V2}, {FOLDS_SQL} SELECT model, 'fold' || f AS config, {q('b')} AS balanced_acc FROM gb")),
     "a5_confusion_counts": (a5, V(CM_SQL + " SELECT * FROM cm")),
     "a5_confusion_square": (a5_square, V(CM_SQL + " SELECT config, y_true, " + ", ".join(
         f"CAST(sum(CASE WHEN y_pred={v} THEN n END) AS BIGINT) AS pred_{v}" for v in LABELS) + " FROM cm GROUP BY 1,2")),
