@@ -1,7 +1,7 @@
 """Classifiers that are plain aggregations: majority, nearest centroid, Gaussian naive Bayes.
 
 Tables have run_id, label, x (array of doubles). A model is a table of class rows, cut into chunks of features and joined to the
-test rows by (chunk, salt): no model passes through the driver or the plan, and Spark broadcasts it only if it turns out small.
+test rows by chunk: no model passes through the driver or the plan, and it is broadcast only if classes times features are few.
 Everything comes from moments per class; moments of folds
 subtract, so the training moments of all k folds cost one aggregation of the rows (``by_folds``).
 """
@@ -20,6 +20,8 @@ from .values import salted_join
 
 #: Features of one chunk of a model.
 CHUNK = 512
+#: Numbers of a model that may be broadcast (32 MB); a larger one is joined by (chunk, salt).
+BROADCAST_NUMBERS = 1 << 22
 FOLD = "fold"
 
 
@@ -78,8 +80,11 @@ def linear_score(x: str, row) -> Column:
     return row["const"] + F.aggregate(F.zip_with(x, row["a"], lambda v, a: v * a), F.lit(0.0), lambda s, v: s + v)
 
 
-def best_class(rows: DataFrame, test: DataFrame, width: int, score: Callable = square_score) -> DataFrame:
-    """Class of the smallest score of every test row (smallest label on ties): run_id, y_true, y_pred, fold."""
+def best_class(rows: DataFrame, test: DataFrame, shape: tuple, score: Callable = square_score, folds: int = 1) -> DataFrame:
+    """Class of the smallest score of every test row (smallest label on ties): run_id, y_true, y_pred, fold.
+
+    ``shape`` has the numbers of features and classes: with the folds they bound the model."""
+    width, classes_ = shape
     classes = rows.withColumn("chunk", F.expr(f"pos div {CHUNK}").cast("int")).groupBy(FOLD, "chunk", "label").agg(
         F.sort_array(F.collect_list(F.struct("pos", "a", "b"))).alias("c"), F.sum("const").alias("const"))
     model = classes.groupBy(FOLD, "chunk").agg(F.sort_array(F.collect_list(F.struct(
@@ -87,7 +92,8 @@ def best_class(rows: DataFrame, test: DataFrame, width: int, score: Callable = s
     chunks = max(1, -(-width // CHUNK))
     pieces = test.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn(
         "_x", F.slice("x", F.col("chunk") * CHUNK + 1, F.lit(CHUNK))).select("run_id", "label", FOLD, "chunk", "_x")
-    both = salted_join(pieces, model, [FOLD, "chunk"], F.col("run_id"))
+    small = 2 * width * classes_ * folds <= BROADCAST_NUMBERS
+    both = pieces.join(F.broadcast(model), [FOLD, "chunk"]) if small else salted_join(pieces, model, [FOLD, "chunk"], F.col("run_id"))
     scored = both.withColumn("_s", F.transform("classes", lambda r: F.struct(score("_x", r).alias("s"), r["label"].alias("l"))))
     if chunks > 1:
         each = scored.select("run_id", "label", FOLD, F.explode("_s").alias("e"))
@@ -101,11 +107,12 @@ def whole(df: DataFrame) -> DataFrame:
     return df.select("run_id", "label", "x", F.lit(0).alias(FOLD))
 
 
-def width_of(train: DataFrame) -> int:
-    row = train.select(F.size("x").alias("w")).first()
-    if row is None:
+def shape_of(train: DataFrame) -> tuple:
+    """Numbers of features and classes."""
+    row = train.agg(F.max(F.size("x")).alias("w"), F.count_distinct("label").alias("c")).first()
+    if row["w"] is None:
         raise ValueError("no training rows")
-    return row["w"]
+    return row["w"], row["c"]
 
 
 @dataclass(frozen=True)
@@ -115,14 +122,14 @@ class CellModel:
     rows: Callable
 
     def __call__(self, train: DataFrame, test: DataFrame) -> DataFrame:
-        return best_class(self.rows(class_cells(whole(train))), whole(test), width_of(train)).drop(FOLD)
+        return best_class(self.rows(class_cells(whole(train))), whole(test), shape_of(train)).drop(FOLD)
 
     def __repr__(self) -> str:
         return self.rows.__name__  # names stored results, so it must not change from process to process
 
     def by_folds(self, folded: DataFrame, k: int) -> DataFrame:
         """Every fold predicted from the other ones; the rows are aggregated once."""
-        return best_class(self.rows(leave_out(class_cells(folded), k)), folded, width_of(folded))
+        return best_class(self.rows(leave_out(class_cells(folded), k)), folded, shape_of(folded), folds=k)
 
 
 nearest_centroid = CellModel(centroid_rows)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import unpack
-from .baselines import FOLD, best_class, linear_score, whole, width_of
+from .baselines import FOLD, best_class, linear_score, shape_of, whole
 from .moments import moments
 
 FLOOR = 1e-8
@@ -130,32 +130,32 @@ def quadratic_best(model: DataFrame, test: DataFrame, width: int) -> DataFrame:
         "run_id", F.col("label").alias("y_true"), F.col("w.cand").alias("y_pred"), FOLD)
 
 
-def _linear(table, test, width):
-    return best_class(linear_rows(table, width), test, width, linear_score)
+def _linear(table, test, shape, folds=1):
+    return best_class(linear_rows(table, shape[0]), test, shape, linear_score, folds)
 
 
-def _quadratic(table, test, width):
-    return quadratic_best(quadratic_rows(table, width), test, width)
+def _quadratic(table, test, shape, folds=1):
+    return quadratic_best(quadratic_rows(table, shape[0]), test, shape[0])
 
 
 @dataclass(frozen=True)
 class CovarianceModel:
-    """A classifier over class moments: ``best`` (training moments, test rows, width) -> predictions."""
+    """A classifier over class moments: ``best`` (training moments, test rows, numbers of features and classes, folds) -> predictions."""
 
     best: Callable
 
     def __call__(self, train: DataFrame, test: DataFrame) -> DataFrame:
-        width = width_of(train)
-        return self.best(class_moments(whole(train), width), whole(test), width).drop(FOLD)
+        shape = shape_of(train)
+        return self.best(class_moments(whole(train), shape[0]), whole(test), shape).drop(FOLD)
 
     def __repr__(self) -> str:
         return self.best.__name__
 
     def by_folds(self, folded: DataFrame, k: int) -> DataFrame:
         """Every fold predicted from the other ones; the rows are aggregated once."""
-        width = width_of(folded)
+        shape = shape_of(folded)
         rows = folded.select("run_id", F.col("label").cast("int").alias("label"), "x", F.col(FOLD).cast("int").alias(FOLD))
-        return self.best(leave_out(class_moments(rows, width), k, width), rows, width)
+        return self.best(leave_out(class_moments(rows, shape[0]), k, shape[0]), rows, shape, k)
 
 
 linear_discriminant = CovarianceModel(_linear)

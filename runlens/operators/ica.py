@@ -186,7 +186,7 @@ def unmix(rows: DataFrame, width: int, k: int, mode: str, scaler, max_iter: int
                     out.append([*(getattr(r, c) for c in KEYS), r.n, r.last_t, None, None, "failed", str(exc)])
             yield pd.DataFrame(out, columns=[*KEYS, "n", "last_t", "kmat", "kcen", "status", "error"])
 
-    white = table.mapInPandas(whiten, schema)
+    white = cut_lineage(table.mapInPandas(whiten, schema))  # one row per run, read by all that follows
     good = white.where("status = 'ok'")
     parts = whitened(rows, good, k, max_iter, tol, seed, block)
     longer = good.where(F.col("last_t") >= block)

@@ -225,3 +225,11 @@ def test_a_class_inside_one_fold_is_not_learnt_there(spark):
     for fit in (baselines.nearest_centroid, baselines.gaussian_nb, discriminants.linear_discriminant):
         rows = fit.by_folds(folded, 2).collect()
         assert len(rows) == 60 and {r["y_pred"] for r in rows if r["fold"] == 1} <= {0, 1}
+
+
+def test_large_models_are_joined_by_salt(spark, monkeypatch):
+    m = matrix(spark, 90)
+    train, test = m.where("run_id % 3 > 0"), m.where("run_id % 3 = 0")
+    small = {r["run_id"]: r["y_pred"] for r in baselines.nearest_centroid(train, test).collect()}
+    monkeypatch.setattr(baselines, "BROADCAST_NUMBERS", 0)
+    assert small == {r["run_id"]: r["y_pred"] for r in baselines.nearest_centroid(train, test).collect()} and len(small) == 30
