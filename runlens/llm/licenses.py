@@ -21,6 +21,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right, insort
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,13 +117,66 @@ TABLE = {
     "sspl": ("server", "server side public"),
     "commons-clause": ("clause", "commons clause"),
 }
-#: Names that say enough without a word like "licence" next to them.
-ALONE = ("apache-2", "gpl-2", "gpl-3", "lgpl-2", "lgpl-2.1", "lgpl-3", "agpl-3", "mpl-2", "cc0", "cc-by", "cc-by-sa",
-         "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "cc-by-long", "cc-by-sa-long", "cc-by-nd-long",
-         "cc-by-nc-long", "cc-by-nc-sa-long", "cc-by-nc-nd-long", "wtfpl", "odc-by", "pddl", "commons-clause")
-GRANT = ("(?:licensed|licenced|released|distributed|redistributed|available|published|provided|offered|covered|shared|"
-         "governed|used|made available) (?:under|by|according to|subject to|in accordance with) (?:the )?"
-         "(?:terms(?: and conditions)? of )?(?:the )?(?:a )?")
+#: Forms that say enough without a word like "licence" next to them: (label, keyword, regular expression). A short form has its
+#: version or another sign with it; "apache 2" or "cc by" alone have not.
+ALONE = (
+    ("apache-2", "apache", "apache(?: software)? (?:license|licence)(?: version| v)? ?2(?: 0)?"),
+    ("gpl-2", "public", "(?:gnu )?general public(?: license| licence)?(?: version| v)? ?2(?: 0)?(?: or (?:any )?later)?"),
+    ("gpl-3", "public", "(?:gnu )?general public(?: license| licence)?(?: version| v)? ?3(?: 0)?(?: or (?:any )?later)?"),
+    ("lgpl-2", "public", "(?:gnu )?(?:lesser|library) general public(?: license| licence)?(?: version| v)? ?2(?: 0)?"),
+    ("lgpl-2.1", "public", "(?:gnu )?(?:lesser|library) general public(?: license| licence)?(?: version| v)? ?2 1"),
+    ("lgpl-3", "public", "(?:gnu )?(?:lesser|library) general public(?: license| licence)?(?: version| v)? ?3(?: 0)?"),
+    ("agpl-3", "affero", "(?:gnu )?affero general public(?: license| licence)?(?: version| v)? ?3(?: 0)?"),
+    ("mpl-1.1", "mozilla", "mozilla public(?: license| licence)?(?: version| v)? ?1 1"),
+    ("mpl-2", "mozilla", "mozilla public(?: license| licence)?(?: version| v)? ?2(?: 0)?"),
+    ("epl-1", "eclipse", "eclipse public(?: license| licence)?(?: version| v)? ?1(?: 0)?"),
+    ("epl-2", "eclipse", "eclipse public(?: license| licence)?(?: version| v)? ?2(?: 0)?"),
+    ("gpl-2", "gpl", "(?:gnu )?gpl(?: version| v)? ?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "gpl", "(?:gnu )?gpl(?: version| v)? ?3(?: 0)?(?: only| or later)?"),
+    ("gpl-2", "gplv2", "(?:gnu )?gplv2(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "gplv3", "(?:gnu )?gplv3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2", "lgpl", "(?:gnu )?lgpl(?: version| v)? ?2(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl(?: version| v)? ?2 1(?: only| or later)?"),
+    ("lgpl-3", "lgpl", "(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2", "lgplv2", "(?:gnu )?lgplv2(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgplv2", "(?:gnu )?lgplv2 1(?: only| or later)?"),
+    ("lgpl-3", "lgplv3", "(?:gnu )?lgplv3(?: 0)?(?: only| or later)?"),
+    ("agpl-3", "agpl", "(?:gnu )?agpl(?: version| v)? ?3(?: 0)?(?: only| or later)?"),
+    ("agpl-3", "agplv3", "(?:gnu )?agplv3(?: 0)?(?: only| or later)?"),
+    ("mpl-1.1", "mpl", "mpl(?: version| v)? ?1 1"),
+    ("mpl-2", "mpl", "mpl(?: (?:version |v ?)2(?: 0)?| 2 0)"),
+    ("mpl-2", "mplv2", "mplv2(?: 0)?"),
+    ("epl-2", "epl", "epl(?: (?:version |v ?)2(?: 0)?| 2 0)"),
+    ("bsd-2", "bsd", "bsd 2 clause|2 clause bsd|simplified bsd"),
+    ("bsd-3", "bsd", "bsd 3 clause|3 clause bsd"),
+    ("bsd-4", "bsd", "bsd 4 clause|4 clause bsd"),
+    ("cc0", "cc0", "cc0 1 0(?: universal)?"),
+    ("cc-by", "cc", "cc by [1234] [05]"),
+    ("cc-by-sa", "cc", "cc by sa(?: [1234] [05])?"),
+    ("cc-by-nd", "cc", "cc by nd(?: [1234] [05])?"),
+    ("cc-by-nc", "cc", "cc by nc(?: [1234] [05])?"),
+    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1234] [05])?"),
+    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1234] [05])?"),
+    ("cc-by", "creative", "creative commons attribution(?: [1234] [05])?(?: international)?"),
+    ("cc-by-sa", "creative", "creative commons attribution share ?alike(?: [1234] [05])?(?: international)?"),
+    ("cc-by-nd", "creative", "creative commons attribution no ?deriv(?:atives|s)(?: [1234] [05])?"),
+    ("cc-by-nc", "creative", "creative commons attribution non ?commercial(?: [1234] [05])?(?: international)?"),
+    ("cc-by-nc-sa", "creative", "creative commons attribution non ?commercial share ?alike(?: [1234] [05])?"),
+    ("cc-by-nc-nd", "creative", "creative commons attribution non ?commercial no ?deriv(?:atives|s)(?: [1234] [05])?"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("odc-by", "commons", "open data commons attribution"),
+    ("pddl", "dedication", "public domain dedication"),
+    ("commons-clause", "clause", "commons clause"),
+)
+#: Names that are products, schools or people before they are licences: a grant names the licence with the word, or says that it licenses.
+VAGUE = frozenset("mit x11 apache bsl ruby php openssl curl postgresql vim w3c elastic llama libpng zlib artistic bsd gpl osl".split())
+VERBS = ("(?:licensed|licenced|released|distributed|redistributed|available|published|provided|offered|covered|shared|"
+         "governed|used|made available)")
+TERMS = "(?: (?:the )?terms(?: and conditions)? of)?(?: the)?(?: an?)? "
+#: "... under": enough before any name but vague ones; with "by" and the like, and before those, the word licence must follow.
+GRANT = f"{VERBS} (?:under|subject to|in accordance with){TERMS}"
+GRANT_BY = f"{VERBS} (?:under|by|according to|subject to|in accordance with){TERMS}"
+LICENSED = f"(?:licensed|licenced|released|redistributed) under{TERMS}"
 WORD_LICENSE = "(?:license|licence|licenses|lizenz|licencia|public license)"
 #: Web addresses, as their words.
 ADDRESSES = {
@@ -157,12 +211,13 @@ def rules() -> list[tuple[str, int, frozenset, str]]:
         out.append((label, PRIORITY["sentence"], frozenset({key}), text))
     for label, (key, *names) in TABLE.items():
         name = "(?:" + "|".join(names) + ")"
-        out.append((clean(label), PRIORITY["grant"], frozenset({key}), f"{GRANT}{name}(?: {WORD_LICENSE})?"))
+        start = LICENSED if label in VAGUE else GRANT
+        out.append((clean(label), PRIORITY["grant"], frozenset({key}), f"(?:{start}{name}|{GRANT_BY}{name} {WORD_LICENSE})"))
         out.append((clean(label), PRIORITY["spdx"], frozenset({key, "spdx"}), f"spdx license identifier {name}"))
         out.append((clean(label), PRIORITY["named"], frozenset({key}), f"{name} {WORD_LICENSE}"))
         out.append((clean(label), PRIORITY["tagged"], frozenset({key}), f"{WORD_LICENSE} (?:is )?(?:the )?{name}"))
-        if label in ALONE:
-            out.append((clean(label), PRIORITY["versioned" if "license" in name else "alone"], frozenset({key}), name))
+    for label, key, text in ALONE:
+        out.append((label, PRIORITY["versioned" if "license" in text else "alone"], frozenset({key}), f"(?:{text})"))
     for label, words in ADDRESSES.items():
         key = re.match(r"\w+", words)[0]
         out.append((label, PRIORITY["address"], frozenset({key, "org"}), words))
@@ -199,7 +254,8 @@ class Scanner:
         kept = suppress(found)
         labels = base | {label for *_, label in kept}
         score = max([-k[0] / 100 for k in kept] + [PRIORITY["alone"] / 100] * bool(base), default=0.0)
-        at = lambda char: line.count(b" ", 0, char + 1) - 1  # noqa: E731  number of the word behind a blank
+        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        at = lambda char: int(np.searchsorted(blanks, char))  # noqa: E731  number of the word behind a blank
         places = [at(s) for s in starts]
         spans = [{"label": label, "start": at(s), "stop": at(e), "score": -p / 100} for p, _, s, _, e, label in sorted(kept, key=lambda k: k[2])]
         return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),

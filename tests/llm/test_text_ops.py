@@ -107,6 +107,54 @@ def test_license_rules_are_hundreds_and_suppression_keeps_the_outermost():
     assert [k[-1] for k in licenses.suppress(found)] == ["mit", "lgpl", "x"]
 
 
+def license_labels(text):
+    """Every rule tried everywhere, without keywords; detections taken best first, each compared with all accepted ones."""
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    line = " " + " ".join(ws) + " "
+    found = sorted((-priority, m.start() - m.end(), m.start(), nth, m.end(), label)
+                   for nth, (label, priority, _, rule) in enumerate(licenses.rules())
+                   for m in re.finditer(f" {rule}(?= )", line))
+    kept = []
+    for d in found:
+        if not any(k[2] <= d[2] and d[4] <= k[4] for k in kept):
+            kept.append(d)
+    return ",".join(sorted({k[-1] for k in kept} | set(filter(None, license_base(text)[-1].split(",")))))
+
+
+def test_license_labels_on_short_forms_and_names_that_are_no_licence():
+    scanner = licenses.Scanner()
+    labels = lambda text: scanner.scan(text.encode())[5]
+    for text in ("used by Ruby developers", "Hosting provided by Apache httpd", "published by Elastic", "offered by MIT students",
+                 "released by Boost", "Apache 2 on port 80", "sent cc by mail", "available under Ruby 3.1", "the MPL 2 lines"):
+        assert labels(text) == "" == license_labels(text), text
+    for text, label in (("GPLv3", "gpl-3"), ("GNU GPL v2", "gpl-2"), ("LGPL-3.0-or-later", "lgpl-3"), ("MPL 2.0", "mpl-2"),
+                        ("BSD 3-Clause", "bsd-3"), ("BSD-2-Clause", "bsd-2"), ("LGPLv2.1+", "lgpl-2.1"), ("AGPL-3.0-only", "agpl-3"),
+                        ("CC BY 4.0", "cc-by"), ("Released under the MIT", "mit"), ("published by the Apache License", "apache"),
+                        ("licensed under Apache 2.0", "apache-2"), ("distributed under the terms of the Ruby licence", "ruby"),
+                        ("provided under the terms of the Boost Software License", "bsl"), ("available under GPL-2.0", "gpl-2"),
+                        ("Apache License 2.0", "apache-2"), ("Licence: Elastic", "elastic")):
+        assert labels(text) == label == license_labels(text), text
+
+
+def test_license_labels_equal_the_plain_version():
+    parts = [" ".join(p) for p in zip(words(300, 1), words(300, 2))] + [t for row in licenses.TABLE.values() for t in row[1:] if "(" not in t]
+    parts += ["licensed under the", "provided by", "license", "licence:", "spdx-license-identifier", "apache license version 2", "gpl 2", "lgpl 2.1",
+              "cc by nc", "under the mit license", "gnu lesser general public license v3", "creative commons attribution sharealike 4.0", "all rights reserved"]
+    rng = random.Random(5)
+    scanner = licenses.Scanner()
+    for _ in range(150):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))
+        got = scanner.scan(text.encode())
+        assert got[5] == license_labels(text) and got[:5] == license_base(text)
+        assert all(0 <= s["start"] < s["stop"] <= got[0] for s in got[7])
+
+
+def test_license_places_of_very_long_texts():
+    n = 200_000
+    got = licenses.Scanner().scan(b"x under the mit license " * n)
+    assert got[:4] == (5 * n, n, 1, 5 * n - 4) and got[7][-1]["stop"] == 5 * n
+
+
 # ---- toxicity -----------------------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_labels(spark):
