@@ -201,6 +201,13 @@ def test_salvage_goes_on_after_damage():
         covered(data, rows)
 
 
+def test_salvage_is_linear_in_damage():
+    for piece in (b"WARC/1.0\r\nbroken\r\n", b"\x1f\x8b\x08 no member at all, not even close to one ....."):
+        data = piece * 40_000
+        rows = list(warc.salvage(data + record(1, b"sound")))
+        assert [r["kind"] for r in rows] == ["gap", "record"] and rows[0]["stop"] == len(data) == rows[1]["start"]
+
+
 def test_salvage_gzip_members():
     parts = [gzip.compress(record(k, bytes([97 + k]) * 500)) for k in range(5)]
     whole = b"".join(parts)
