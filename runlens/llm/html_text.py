@@ -13,9 +13,10 @@ parts are joined whose words outweigh the tags between them. The region then gro
 cost no text. Parts that are never main text (menus, adverts, forms, reader comments ..., known by tag, by role or by an unambiguous class or id)
 give no words, neither to the score nor to the text; their tags cost a little, so that the region may span an advert in
 mid-article. Elements whose class or id only hints at a side matter (related, search, notice ...) score a little below zero outside a marked
-article and are left to the scan; inside one they are text like any other. A name counts if all its parts are
+article and are left to the scan; inside one those that name a box (newsletter, related, sidebar, sponsored ...; no headings, no
+sections) are left out, the others are text like any other. A name counts if all its parts are
 such words or words of layout ("related-posts", not "related-work"); ids of headings, paragraphs and sections are titles and
-do not count, but for lists of comments. Inside the region, blocks are the runs of text between block-level tags; white space inside a block becomes one space, character references are decoded, blocks are joined
+do not count, but for lists of comments. Inside the region, blocks are the runs of text between block-level tags (a script or label in mid-sentence ends none); white space inside a block becomes one space, character references are decoded, blocks are joined
 by one line feed. Should class and id names rule out every word of a page, they are not believed.
 
 Defined cases: null or blank html gives an empty text; a page without any words outside excluded parts too; unclosed and
@@ -38,7 +39,7 @@ from runlens.llm.common import extended, mapped, slices, table
 
 #: Elements by role in HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select head".split())
+RAW = frozenset("script style noscript template textarea title svg annotation annotation-xml iframe object canvas select head".split())
 BLOCK = frozenset(("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption "
                    "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search "
                    "section summary table tbody td tfoot th thead tr ul").split())
@@ -54,8 +55,10 @@ SURE = COMMENTS | frozenset(("ad ads adv advert adverts advertisement advertisem
 HINTS = frozenset(("banner sponsor sponsored promo promotion nav navbar navigation navi menu menubar topbar breadcrumb breadcrumbs "
                    "pagination pager toc sidebar side aside widget widgets rail footer foot masthead header topnav reply "
                    "replies respond discussion notice notices notification alert popup modal overlay "
-                   "newsletter subscribe signup login social related recommended recommendations "
+                   "newsletter newsletters subscribe signup login social responses related recommended recommendations "
                    "teaser teasers tags tagcloud toolbar search skip copyright legal disclaimer paywall dialog form").split())
+#: Those of them that name a box beside the text even inside a marked article.
+BOXES = frozenset("sponsor sponsored promo promotion sidebar newsletter newsletters subscribe signup related recommended recommendations".split())
 #: Words that say where or in what shape such a part stands; a name with any other word speaks of something else.
 LAYOUT = frozenset(("bar bars box boxes block blocks button buttons slot slots unit list lists item items link links area container wrapper wrap "
                     "inner outer content section panel group row column col left right top bottom middle center main page site post posts "
@@ -75,9 +78,8 @@ ENDS_P = BLOCK - {"body", "html", "br", "caption", "tbody", "td", "tfoot", "th",
 ENDS_LIKE = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)),
              "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "option": ("option", ("select",))}
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
-STOP = re.compile(r"[>\"']")
-#: Within so many characters quotes hide a > from the end of a tag; beyond, a quote is taken for a stray one.
-MAX_TAG = 4096
+#: What ends a tag, or begins a quoted value in it; other quotes inside tags mean nothing.
+STOP = re.compile(r">|=\s*([\"'])")
 #: One attribute: a name and perhaps a value, quoted or not; a quote that never closes reaches the end of the tag.
 ATTRIBUTE = re.compile(r"([^\s/=][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|(\S*)))?")
 UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
@@ -108,7 +110,11 @@ def hinted(name: str, given: dict[str, str], in_article: bool) -> int:
                 continue
             if parts & (OTHER if name in ARTICLE else SURE):
                 return True
-            if parts & HINTS and not in_article and name not in ARTICLE | HEADINGS:
+            if name in ARTICLE | HEADINGS:
+                continue
+            if in_article and parts & BOXES and name != "section":
+                return True
+            if parts & HINTS and not in_article:
                 found = SUSPECT
     return found
 
@@ -126,16 +132,20 @@ def excluded(name: str, attributes: str, in_article: bool, hints: bool = True) -
     return hints and hinted(name, given, in_article)
 
 
-def tag_end(page: str, at: int) -> int:
-    """Place of the > that ends a tag: the first outside quotes, or the first at all when quotes do not close nearby."""
-    pos, limit = at, at + MAX_TAG
-    while found := STOP.search(page, pos, limit):
-        if found[0] == ">":
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Place of the > that ends a tag, or -1: the first outside quoted values, however long they are. A quote that hides a > and
+    never closes, or closes right before more text (so it belongs to a later tag), is taken for a stray one; `last` holds the last
+    place of either quote, so that unclosed ones are not sought to the end of the page again and again."""
+    while found := STOP.search(page, at):
+        if not found[1]:
             return found.start()
-        pos = page.find(found[0], found.end(), limit) + 1
-        if not pos:
-            break
-    return page.find(">", at)
+        begin = found.end()
+        stop = page.find(found[1], begin) if begin <= last[found[1]] else -1
+        over = page.find(">", begin, stop if stop >= 0 else len(page))
+        if stop < 0 or over >= 0 and page[stop + 1:stop + 2].strip() not in ("", "/", ">"):
+            return over
+        at = stop + 1
+    return -1
 
 
 def declaration(page: str, at: int) -> tuple[str, int]:
@@ -160,6 +170,7 @@ def items(page: str, hints: bool = True, parents: list[int] | None = None) -> li
     endless: set[str] = set()  # raw elements that are never closed again
     lower = page.lower()
     lone = {name for name in ARTICLE if lower.count("<" + name) == 1}
+    last = {quote: page.rfind(quote) for quote in "\"'"}
     at = marks = 0
 
     def top():
@@ -188,7 +199,7 @@ def items(page: str, hints: bool = True, parents: list[int] | None = None) -> li
             if text:
                 out.append(("word", text, out_of, inside, holder))
             continue
-        end = tag_end(page, tag.end())
+        end = tag_end(page, tag.end(), last)
         if end < 0:
             out.append(("word", page[at:], out_of, inside, holder))
             break
@@ -289,7 +300,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if kind == "word":
             if not drop:
                 held.append(text)
-        elif kind.lstrip("</") in BLOCK or drop:
+        elif kind.lstrip("</") in BLOCK:
             flush()
     flush()
     return "\n".join(blocks)

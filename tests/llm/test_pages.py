@@ -115,6 +115,38 @@ def test_names_that_only_hint_drop_no_article_text(spark):
     assert html_text.main_text("<div class=sidebar><p>All is here</p></div>", weights) == "All is here"
 
 
+def test_dropped_parts_in_mid_sentence_end_no_block():
+    article = lambda inner: f"<html><body><article><p>{inner}</p></article></body></html>"
+    for part in ("<script>x()</script>", "<svg><text>v</text></svg>", "<label>l</label>", "<button>b</button>", "<span class=ad>buy</span>"):
+        assert plain_text(article(f"One two {part} three four")) == "One two three four", part
+    assert plain_text(article("with <math><mi>a</mi><mo>=</mo><mi>b</mi><annotation>tex</annotation></math> it holds")) == "with a=b it holds"
+    assert plain_text(article("One two<br>three")) == "One two\nthree"
+
+
+def test_attributes_of_any_length_and_stray_quotes():
+    article = lambda inner: f"<html><body><article><p>{inner}</p></article></body></html>"
+    for n in (10, 5000, 200_000):
+        assert plain_text(article(f"go <a title='{'y' * n} > z'>link</a> on <img src=\"data:image/svg+xml,<svg {'p' * n}>\" alt=x> end")) == "go link on end"
+    assert plain_text(article("it <a href=\"x>is</a> not <a href=\"y\">lost</a> here")) == "it is not lost here"
+    assert plain_text(article("it <b it's>is</b> don't")) == "it is don't"
+    assert plain_text(article("one <a title='never closed>two</a> three")) == "one two three"
+    many = "<a title='x>w</a> " * 20_000
+    assert plain_text(article(many)).count("w") == 20_000
+
+
+def test_boxes_inside_a_marked_article_go():
+    text = "<p>" + "some words of the story go on and on here " * 4 + "</p>"
+    want = " ".join(text[3:-4].split())
+    for name in ("newsletter", "newsletter-box", "related-posts", "sidebar", "sponsored", "sponsored-links", "promo"):
+        page = f'<html><body><article>{text}<div class="{name}">Off the story, sign up now</div>{text}</article></body></html>'
+        assert plain_text(page) == want + "\n" + want, name
+    for tag, name in (("section", 'id="related"'), ("h2", 'class="notice"'), ("div", 'class="related-work"'), ("div", 'class="discussion"')):
+        page = f'<html><body><article>{text}<{tag} {name}>Part of the story</{tag}>{text}</article></body></html>'
+        assert plain_text(page) == "\n".join((want, "Part of the story", want)), name
+    page = f'<html><body><article>{text}</article><div class="responses">{"<p>I liked that a lot</p>" * 6}</div></body></html>'
+    assert plain_text(page) == want
+
+
 def test_region_is_the_maximum():
     r = random.Random(2)
     for _ in range(200):
