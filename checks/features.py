@@ -217,6 +217,33 @@ ROOTS = {feature("augmented_dickey_fuller", attr="teststat", lags=1): "any_value
 add("f25_unit_root_one_lag", ROOTS, ROOT, "ub")
 add("f25_unit_root_one_lag_blocks", ROOTS, ROOT, "ub", block=50)
 add_long("f25_unit_root_one_lag_long", ROOTS, ROOT, "ub", digits=3)
+# Autoregressions of order one and two with a constant, from centred products.
+AUTO = (f"a0 AS (SELECT {K}, v AS y, lag(v) OVER (PARTITION BY {K} ORDER BY t) AS a, lag(v,2) OVER (PARTITION BY {K} ORDER BY t) AS b FROM x), "
+        f"a1 AS (SELECT {K}, count(*) AS n, regr_slope(y,a) AS s, regr_intercept(y,a) AS i FROM a0 GROUP BY 1), "
+        f"a2 AS (SELECT {K}, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a,a) AS aa, covar_pop(b,b) AS bb, covar_pop(a,b) AS ab, "
+        f"covar_pop(a,y) AS ay, covar_pop(b,y) AS bq FROM a0 WHERE b IS NOT NULL GROUP BY 1), "
+        f"a3 AS (SELECT *, (ay*bb-bq*ab)/(aa*bb-ab*ab) AS u, (bq*aa-ay*ab)/(aa*bb-ab*ab) AS w FROM a1 LEFT JOIN a2 USING ({K}))")
+AUTOS = {feature("ar_coefficient", coeff=0, k=1): "any_value(CASE WHEN n > 3 THEN i END)",
+         feature("ar_coefficient", coeff=1, k=1): "any_value(CASE WHEN n > 3 THEN s END)",
+         feature("ar_coefficient", coeff=2, k=1): "any_value(CASE WHEN n < 0 THEN s END)",
+         feature("ar_coefficient", coeff=0, k=2): "any_value(CASE WHEN n > 5 THEN my-u*ma-w*mb END)",
+         feature("ar_coefficient", coeff=1, k=2): "any_value(CASE WHEN n > 5 THEN u END)",
+         feature("ar_coefficient", coeff=2, k=2): "any_value(CASE WHEN n > 5 THEN w END)"}
+add("f13_autoregression_low_orders", AUTOS, AUTO, "a3", digits=3)
+add("f13_autoregression_low_orders_blocks", AUTOS, AUTO, "a3", digits=3, block=50)
+add_long("f13_autoregression_low_orders_long", AUTOS, AUTO, "a3", digits=3)
+# Drift line: mean step over the mean value of thirty cells with equal counts.
+DRIFT = (f"d0 AS (SELECT * FROM (SELECT {K}, v, lead(v) OVER (PARTITION BY {K} ORDER BY t) - v AS d FROM x) WHERE d IS NOT NULL), "
+         f"d1 AS (SELECT {K}, quantile_cont(v, [{', '.join(f'{i}/30.0::DOUBLE' for i in range(31))}]) AS e FROM d0 GROUP BY 1 HAVING count(*) >= 30), "
+         f"d2 AS (SELECT {K}, greatest(len(list_filter(e, lambda c: c < v)) - 1, 0) AS cell, avg(v) AS mv, avg(d) AS md "
+         f"FROM d0 JOIN d1 USING ({K}) WHERE len(list_distinct(e)) = 31 GROUP BY 1, 2), "
+         f"d3 AS (SELECT {K}, regr_slope(md, mv) AS s, regr_intercept(md, mv) AS i FROM d2 GROUP BY 1), "
+         f"d4 AS (SELECT {K}, d3.s AS s, d3.i AS i FROM g LEFT JOIN d3 USING ({K}))")
+DRIFTS = {feature("friedrich_coefficients", coeff=0, m=1, r=30): first("s"),
+          feature("friedrich_coefficients", coeff=1, m=1, r=30): first("i"),
+          feature("max_langevin_fixed_point", m=1, r=30): first("-i/s")}
+add("f24_drift_line", DRIFTS, DRIFT, "d4", digits=3)
+add("f24_drift_line_blocks", DRIFTS, DRIFT, "d4", digits=3, block=50)
 # Several families of the additive set on series of many blocks.
 TWO = f"{LAGGED}, tw AS (SELECT *, lead(v) OVER (PARTITION BY {K} ORDER BY t) AS y FROM lg)"
 add_long("f_additive_long", {feature("mean_abs_change"): "avg(abs(y-v))", feature("cid_ce", normalize=False): "sqrt(sum((y-v)*(y-v)))",

@@ -48,9 +48,9 @@ def supported(f) -> bool:
     """Parameter values with their own sums."""
     p = dict(f.params)
     return {"fft_coefficient": lambda: p["coeff"] < ss.FFT, "permutation_entropy": lambda: p["tau"] == 1 and p["dimension"] in ss.DIMENSIONS,
-            "cwt_coefficients": lambda: p["coeff"] < ss.HEAD and p["w"] in ss.WIDTHS, "ar_coefficient": lambda: p["k"] == ss.ORDER,
-            "friedrich_coefficients": lambda: (p["m"], p["r"]) == (ss.DEGREE, ss.CELLS),
-            "max_langevin_fixed_point": lambda: (p["m"], p["r"]) == (ss.DEGREE, ss.CELLS)}.get(f.calculator, lambda: True)()
+            "cwt_coefficients": lambda: p["coeff"] < ss.HEAD and p["w"] in ss.WIDTHS, "ar_coefficient": lambda: 1 <= p["k"] <= ss.ORDER,
+            "friedrich_coefficients": lambda: 0 < p["m"] < ss.CELLS and p["r"] == ss.CELLS,
+            "max_langevin_fixed_point": lambda: 0 < p["m"] < ss.CELLS and p["r"] == ss.CELLS}.get(f.calculator, lambda: True)()
 
 
 def _peaks(a, o, m):
@@ -220,8 +220,8 @@ def finish(features, families, rows: list, st: dict) -> np.ndarray:
         roots: dict = {}
         flat = st["mn"] == st["mx"]
     powers = list(map(ss.power, v[:, at["welch"]], n)) if "welch" in at else None
-    ar = ss.finish_ar(v[:, at["ar"]], n, mu) if "ar" in at else None
-    drift = ss.finish_drift(v[:, at["drift"]]) if "drift" in at else None
+    orders: dict = {}  # autoregressions by order
+    drifts: dict = {}  # drift polynomials by degree
     out = []
     for f in features:
         c, p = f.calculator, dict(f.params)
@@ -284,10 +284,14 @@ def finish(features, families, rows: list, st: dict) -> np.ndarray:
         elif c == "permutation_entropy":
             got = ss.finish_patterns(part, p["dimension"])
         elif c == "ar_coefficient":
-            got = ar[:, p["coeff"]] if p["coeff"] <= ss.ORDER else np.full(len(n), np.nan)
+            if p["k"] not in orders:
+                orders[p["k"]] = ss.finish_ar(part, n, mu, p["k"])
+            got = orders[p["k"]][:, p["coeff"]] if p["coeff"] <= p["k"] else np.full(len(n), np.nan)
         elif c in ("friedrich_coefficients", "max_langevin_fixed_point"):
-            k = p.get("coeff", ss.DEGREE + 1)
-            got = drift[:, k] if c == "max_langevin_fixed_point" or k <= ss.DEGREE else np.full(len(n), np.nan)
+            k, degree = p.get("coeff", p["m"] + 1), p["m"]
+            if degree not in drifts:
+                drifts[degree] = ss.finish_drift(part, degree)
+            got = drifts[degree][:, k] if c == "max_langevin_fixed_point" or k <= degree else np.full(len(n), np.nan)
         elif c == "augmented_dickey_fuller":
             lags = p.get("lags")
             if lags not in roots:

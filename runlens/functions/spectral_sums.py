@@ -32,7 +32,7 @@ def most_lags(n: float) -> int:
 
 # Numbers of each family; those of the unit root grow with the lags of the series and stand at the end of its vector.
 SIZES = {"fft": 2 * FFT, "welch": BINS + 1, "cwt": HEAD * len(WIDTHS), "perm": sum(math.factorial(d) for d in DIMENSIONS),
-         "ar": (ORDER + 2) ** 2, "drift": 3 * CELLS}
+         "ar": (ORDER + 2) ** 2 + ORDER, "drift": 3 * CELLS}
 
 
 def sizes(lags: int) -> dict:
@@ -133,10 +133,14 @@ def pattern_sums(a, o, m):
 
 
 def ar_sums(c, o, m, t0):
-    """Products of (1, c_t, c_(t-1) .. c_(t-10)) over own positions t >= 10."""
+    """Products of (1, c_t, c_(t-1) .. c_(t-10)) over own positions t >= 10, and the first 10 samples, which lower orders add."""
     at = np.arange(max(t0, ORDER), t0 + m) - t0 + o
     rows = np.column_stack([np.ones(len(at))] + [c[at - k] for k in range(ORDER + 1)])
-    return (rows.T @ rows).ravel()
+    head = np.zeros(ORDER)
+    own = min(t0 + m, ORDER)
+    if t0 < own:
+        head[t0:own] = c[o:o + own - t0]
+    return np.concatenate([(rows.T @ rows).ravel(), head])
 
 
 def drift_sums(x, y, edges, n):
@@ -257,30 +261,34 @@ def finish_patterns(v, dimension):
     return np.where(total[:, 0] > 0, -terms.sum(axis=1), NAN)
 
 
-def finish_ar(v, n, mu):
+def finish_ar(v, n, mu, order=ORDER):
     """Intercept and coefficients of the autoregression, from the normal equations of the centred series."""
-    out = np.full((len(n), ORDER + 1), NAN)
-    at = [0, *range(2, ORDER + 2)]
-    for i in np.flatnonzero(n > 2 * ORDER + 1):
-        table = v[i].reshape(ORDER + 2, ORDER + 2)
+    out = np.full((len(n), order + 1), NAN)
+    at = [0, *range(2, order + 2)]
+    for i in np.flatnonzero(n > 2 * order + 1):
+        table = v[i, :-ORDER].reshape(ORDER + 2, ORDER + 2)[:order + 2, :order + 2]
+        head = v[i, -ORDER:][:int(min(n[i], ORDER))]
+        # Positions from the order on up to 10, which the products leave out.
+        early = np.column_stack([np.ones(max(0, len(head) - order))] + [head[order - k:max(order, len(head)) - k] for k in range(order + 1)])
+        table = table + early.T @ early
         beta = np.linalg.lstsq(table[np.ix_(at, at)], table[at, 1], rcond=None)[0]
         out[i] = beta
         out[i, 0] += mu[i] * (1.0 - beta[1:].sum())
     return out
 
 
-def cell_polynomial(row):
+def cell_polynomial(row, degree=DEGREE):
     """Polynomial through the mean step over the cells, or None."""
     n, x, d = row.reshape(3, CELLS)
     ok = n > 0
-    return np.polyfit(x[ok] / n[ok], d[ok] / n[ok], DEGREE) if ok.sum() > DEGREE else None
+    return np.polyfit(x[ok] / n[ok], d[ok] / n[ok], degree) if ok.sum() > degree else None
 
 
-def finish_drift(v):
+def finish_drift(v, degree=DEGREE):
     """Coefficients of the drift polynomial and, in the last column, its largest real root."""
-    out = np.full((len(v), DEGREE + 2), NAN)
+    out = np.full((len(v), degree + 2), NAN)
     for i, row in enumerate(v):
-        poly = cell_polynomial(row)
+        poly = cell_polynomial(row, degree)
         if poly is not None:
             roots = np.roots(poly)
             out[i, :-1] = poly

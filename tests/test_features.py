@@ -194,3 +194,30 @@ def test_block_sums_add_up():
         total = total + partials.block_sums(fam, x[lo:hi], t0 - lo, m, t0, *st.values(), base, qs, edges, lags)
         base += np.abs(x[t0:t0 + m]).sum()
     assert np.allclose(whole, total)
+
+
+@pytest.mark.parametrize("block", [4000, 16])
+@pytest.mark.parametrize("length", [4, 9, 13, 120])
+def test_autoregression_and_drift_of_any_order(spark, block, length):
+    x = SERIES[:length]
+    orders, degrees = (1, 2, 3, 7, 10), (1, 2, 4)
+    which = [names.feature("ar_coefficient", coeff=c, k=k) for k in orders for c in range(k + 2)]
+    which += [names.feature("friedrich_coefficients", coeff=c, m=m, r=30) for m in degrees for c in range(m + 2)]
+    which += [names.feature("max_langevin_fixed_point", m=m, r=30) for m in degrees]
+    got = series_values(spark, x, which, block)
+    edges = np.quantile(x[:-1], np.linspace(0, 1, 31))
+    cell = np.clip(np.searchsorted(edges, x[:-1], side="left") - 1, 0, 29)
+    drifts = length > 30 and (np.diff(edges) > 0).all()
+    own = [c for c in range(30) if (cell == c).any()]
+    for f, v in got.items():
+        p = dict(f.params)
+        want = None
+        if f.calculator == "ar_coefficient":
+            k = p["k"]
+            if length > 2 * k + 1 and p["coeff"] <= k:
+                design = np.column_stack([np.ones(length - k)] + [x[k - j:length - j] for j in range(1, k + 1)])
+                want = np.linalg.lstsq(design, x[k:], rcond=None)[0][p["coeff"]]
+        elif drifts:
+            poly = np.polyfit([x[:-1][cell == c].mean() for c in own], [np.diff(x)[cell == c].mean() for c in own], p["m"])
+            want = np.real(np.roots(poly)).max() if "coeff" not in p else poly[p["coeff"]] if p["coeff"] <= p["m"] else None
+        assert (v is None) == (want is None) and (v is None or math.isclose(v, want, rel_tol=1e-5, abs_tol=1e-7)), (f, v, want)
