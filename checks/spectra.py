@@ -137,6 +137,20 @@ def d9(spark, sf):
     return spectra.estimate_dyca_mn(df, cfg, 4, prep.fit_scaler(df), dense=True)
 
 
+def d9_two(spark, sf):
+    """Two channels, one linear equation: both eigenvalues and the one singular value have closed forms."""
+    cfg = SpectrumConfig("dyca", numerics=Numerics(linear=1), scaling_mode="scaler")
+    df = runs(spark, sf, two=True)
+    s = spectra.estimate_dyca_mn(df, cfg, 2, prep.fit_scaler(df), near=0.005, clear=0.5, dense=True)
+    return s.select(*KEYS, "status", rnd(F.col("eigenvalues")[0], 5).alias("l1"), rnd(F.col("eigenvalues")[1], 5).alias("l2"),
+                    rnd(F.col("singular_values")[0], 4).alias("s1"), "m_hint", "extra_hint")
+
+
+def d4_two(spark, sf):
+    s = spec(spark, sf, "dyca", numerics=Numerics(linear=1, total=2), scaling_mode="scaler")
+    return s.select(*KEYS, "n", "status", rnd(F.col("values")[0], 5).alias("v1"), rnd(F.col("values")[1], 5).alias("v2"))
+
+
 def d10(spark, sf):
     """A user-defined spectrum: share of the strongest channel's variance."""
     import numpy as np
@@ -202,6 +216,21 @@ def R2(body):
     return with_views("runs2", body)
 
 
+STEP2 = "(coalesce(lead({c}) {o}, {c}) - coalesce(lag({c}) {o}, {c})) / (CASE WHEN lead({c}) {o} IS NULL OR lag({c}) {o} IS NULL THEN 1.0 ELSE 2.0 END) AS d{c}"
+# Eigenvalues of S1 S0^-1 S1' u = l S2 u for two scaled channels, and how far S0^-1 S1' u of the first stands off u.
+DYCA2 = f"""WITH st AS (SELECT avg(a) AS ua, stddev_pop(a) AS sa, avg(b) AS ub, stddev_pop(b) AS sb FROM runs2 WHERE "faultNumber"=0), {CUT},
+sc AS (SELECT {K}, sample, (a-ua)/sa AS a, (b-ub)/sb AS b FROM cut JOIN st ON true),
+dd AS (SELECT {K}, a, b, {STEP2.format(c='a', o=OVER)}, {STEP2.format(c='b', o=OVER)} FROM sc),
+s2 AS (SELECT {K}, count(*) AS n, avg(a*a) AS p, avg(a*b) AS q, avg(b*b) AS r, avg(da*a) AS e, avg(da*b) AS f, avg(db*a) AS g, avg(db*b) AS h,
+ avg(da*da) AS x, avg(da*db) AS y, avg(db*db) AS z FROM dd GROUP BY 1,2),
+aa AS (SELECT *, (e*e*r - 2*e*f*q + f*f*p)/(p*r-q*q) AS a11, (e*g*r - (e*h+f*g)*q + f*h*p)/(p*r-q*q) AS a12,
+ (g*g*r - 2*g*h*q + h*h*p)/(p*r-q*q) AS a22 FROM s2),
+tr AS (SELECT *, (z*a11 - 2*y*a12 + x*a22)/(x*z-y*y)/2 AS half, (a11*a22-a12*a12)/(x*z-y*y) AS det FROM aa),
+ll AS (SELECT *, half + sqrt(half*half-det) AS l1, half - sqrt(half*half-det) AS l2 FROM tr),
+uu AS (SELECT *, -(a12-l1*y) AS u1, a11-l1*x AS u2 FROM ll),
+vv AS (SELECT *, r*(e*u1+g*u2) - q*(f*u1+h*u2) AS v1, p*(f*u1+h*u2) - q*(e*u1+g*u2) AS v2 FROM uu),
+ev AS (SELECT *, abs(u1*v2-u2*v1)/sqrt((u1*u1+u2*u2)*(v1*v1+v2*v2)) AS s1 FROM vv)
+"""
 A17_SQL = R2(f"""SELECT {K}, count(*) AS n, CAST(max(sample)-1 AS BIGINT) AS last_t, {q('avg(a)')} AS m0, {q('avg(b)')} AS m1,
  {q('var_pop(a)')} AS c00, {q('covar_pop(a,b)')} AS c01, {q('var_pop(b)')} AS c11 FROM runs2 GROUP BY 1,2""")
 
@@ -250,6 +279,9 @@ SELECT {K}, n, {q('n*n0/(n+n0)*(da*da*ss - 2*da*db*o + db*db*pp)/(pp*ss-o*o)', 5
     "j4_pair_with_neighbour": (j4, with_views("runs4", """WITH r AS (SELECT DISTINCT "simulationRun" FROM runs4 WHERE "faultNumber"=0)
 SELECT "simulationRun", coalesce(lead("simulationRun") OVER (ORDER BY "simulationRun"), (SELECT min("simulationRun") FROM r)) AS partner FROM r""")),
     "d9_estimate_dyca_mn": (d9, None),
+    "d9_estimate_dyca_mn_two": (d9_two, R2(f"""{DYCA2} SELECT {K}, 'ok' AS status, {q('l1', 5)} AS l1, {q('l2', 5)} AS l2, {q('s1', 4)} AS s1,
+ (l1 >= 0.005)::INTEGER + (l2 >= 0.005)::INTEGER AS m_hint, (s1 >= 0.5)::INTEGER AS extra_hint FROM ev WHERE "faultNumber" = 0""")),
+    "d4_dyca_two_channels": (d4_two, R2(f"{DYCA2} SELECT {K}, n, 'ok' AS status, {q('l1', 5)} AS v1, {q('l2', 5)} AS v2 FROM ev")),
     "d10_registered_spectrum": (d10, R2(f"WITH {CUT} SELECT {K}, n, CASE WHEN n<150 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN n>=150 THEN {q('greatest(caa,cbb)/(caa+cbb)')} END AS v1 FROM mom")),
     "d10_extra_columns": (d10_extra, R2(f"""WITH {CUT} SELECT {K}, n, CASE WHEN n<150 THEN 'skipped' ELSE 'ok' END AS status,
  CASE WHEN n>=150 THEN {q('greatest(caa,cbb)/(caa+cbb)')} END AS v1, CASE WHEN n>=150 THEN {q('caa+cbb')} END AS total,
