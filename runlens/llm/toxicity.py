@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import FOLD, extended, mapped, slices, table
+from runlens.llm.common import FOLD, extended, mapped, slices, stored, table
 
 SEED = 23
 
@@ -119,7 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: i
                      pa.array([[c for _, c in b] for b in found], pa.list_(pa.int64()))],
                     names=["toxic", "words", "values", "counts"])
 
-    rows = mapped(chosen, bags, "toxic int, words array<string>, values array<double>, counts array<long>")
+    # Three jobs read them; texts are read and cut into words once.
+    rows = stored(mapped(chosen, bags, "toxic int, words array<string>, values array<double>, counts array<long>"), "toxicity-sample",
+                  2 * per_class, per_file=512)
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:

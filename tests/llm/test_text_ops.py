@@ -1,6 +1,7 @@
 """Quality rules, licences, toxicity, mixing and pieces against brute force, the reference library, or held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -195,6 +196,56 @@ def test_toxicity_awkward_rows(spark):
     assert toxicity.grade_texts(spark.createDataFrame([], SCHEMA), model).count() == 0
 
 
+def plain_features(text):
+    """Words and their beginnings with how often each occurs, and the number of words."""
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    return Counter(f for w in ws for f in [w + "$"] + [w[:k] for k in (3, 4, 6) if len(w) >= k]), len(ws)
+
+
+def plain_grade(text, model):
+    """(severity, grade, P(toxic)) of a text by the formulas of the cumulative-link model."""
+    counts, n = plain_features(text)
+    z = sum(w * counts[f] for f, w in zip(model.words, model.weights)) / (1 + n / 200) ** 0.5
+    above = [1 / (1 + math.exp(min(500, t - z))) for t in model.thresholds]
+    if not above:
+        return 0.0, 0, 0.0
+    mass = [hi - lo for hi, lo in zip([1.0, *above], [*above, 0.0])]
+    return sum(above), mass.index(max(mass)), above[0]
+
+
+def test_toxicity_equals_the_plain_version_on_whole_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    assert model.words and len(model.thresholds) >= 2
+    rows = {r["doc_id"]: r for r in toxicity.QUERIES["op9_toxicity"][0](spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    for i, text in texts.items():
+        severity, grade, p = plain_grade(text, model)
+        r = rows[i]
+        assert r["severity"] == pytest.approx(severity, abs=1e-9) and r["p_toxic"] == pytest.approx(p, abs=1e-9)
+        assert r["toxic"] == (p >= 0.5) or abs(p - 0.5) < 1e-9
+        assert r["grade"] == grade or severity == pytest.approx(round(severity * 2) / 2, abs=1e-6)
+    # The words of the model: the 512 largest z scores of document counts between the kinds, over every labelled text.
+    kind = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    kind = {i: k for i, k in kind.items() if i in texts and k in (0, 1)}
+    if max(Counter(kind.values()).values()) <= 3000:
+        size = Counter(kind.values())
+        seen = {0: Counter(), 1: Counter()}
+        for i, k in kind.items():
+            seen[k].update(set(plain_features(texts[i])[0]))
+        z = {}
+        for f in seen[0].keys() | seen[1].keys():
+            b, a = seen[0][f], seen[1][f]
+            if a + b >= 5:
+                z[f] = (a / size[1] - b / size[0]) / ((a + b) / (size[0] + size[1]) * (1 / size[0] + 1 / size[1])) ** 0.5
+        best = sorted(z, key=lambda f: (-abs(z[f]), f))[:512]
+        want = {f for f in best if abs(z[f]) >= 6}
+        last = min((abs(z[f]) for f in best), default=0)
+        assert want ^ set(model.words) <= {f for f in z if abs(abs(z[f]) - last) < 1e-9 or abs(abs(z[f]) - 6) < 1e-9}
+
+
 # ---- mixing -------------------------------------------------------------------------------------------------
 
 def target_truth(sizes):
