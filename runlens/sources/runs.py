@@ -5,9 +5,10 @@ from __future__ import annotations
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import prep, windows
-from ..schema import BLOCK, CHANNELS, CUTOFF, FILES, KEYS, sample_schema
+from ..schema import BLOCK, CHANNELS, CUTOFF, FILES, KEYS, known, sample_schema
 
 
 def read_runs(spark: SparkSession, path, channels=CHANNELS, runs_per_fault: int | None = None,
@@ -40,16 +41,20 @@ def read_split(spark: SparkSession, folder: str, split: str, channels=CHANNELS,
 
 
 def prepare_runs(df: DataFrame, split: str = "train", cutoff: int | None = None, uniform: bool = True,
-                 length: int | None = 480, dense: bool = False, block: int = BLOCK) -> DataFrame:
+                 length: int | None = 480, dense: bool = False, block: int = BLOCK, shorter: str = "stop") -> DataFrame:
     """Cut the pre-fault part, number the samples from 0 and cut to one length.
 
+    A run with fewer samples than ``length`` stops the job; with ``shorter="keep"`` it stays, with the samples it has.
+
     Samples are numbered by position. ``dense`` takes the sample numbers themselves, which saves the numbering shuffle;
     a run that turns out to have gaps then stops the job.
     """
+    known(shorter, ("stop", "keep"), "treatment of shorter runs")
     cutoff = CUTOFF[split] if cutoff is None else cutoff
     kept = prep.drop_pre_fault(df, cutoff, uniform)
     rows = (windows.dense_position(kept, prep.first_sample(cutoff, uniform)) if dense
             else windows.with_position(kept))
-    if length is not None:
+    if length is not None and shorter == "stop":
         return windows.fixed_length(rows, length, KEYS, block)
-    return windows.require_gap_free(rows, KEYS, block) if dense else rows
+    rows = windows.require_gap_free(rows, KEYS, block) if dense else rows
+    return rows if length is None else rows.where(F.col("t") < length)
