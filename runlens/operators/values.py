@@ -1,7 +1,7 @@
 """Value-ordered work on groups of any size: exact quantiles and ranks.
 
 Equal values are counted before anything is sorted. The counted values are dealt into ranges of (group, value) whose borders Spark
-samples, so ranges hold about equally many values however the values are spread; a sort covers one range, the counts before a
+samples, so ranges hold about equally many values however the values are spread; a sort covers one task, the counts before a
 value run up inside its range, and only one total per (group, range) meets per group. The ranges are stored, so that every later
 reader sees the same ones.
 """
@@ -50,14 +50,14 @@ def ordered_counts(counts: DataFrame, group: list, value: str = "value", per_bin
                    keep_range: bool = False) -> DataFrame:
     """Adds to (group, value, n, ..): ``before`` = rows of the group with a smaller value, ``total``.
 
-    ``counts`` holds one row per (group, value). There are as many ranges as shuffle partitions, or one per ``per_bin`` values;
-    with ``keep_range`` the number of a row's range stays as ``range``.
+    ``counts`` holds one row per (group, value). There are as many tasks as shuffle partitions, whatever the number of values; a
+    task's values are one range, or ranges of ``per_bin`` values. With ``keep_range`` the number of a row's range stays as ``range``.
     """
     order = [*group, value]
-    ranged = counts.repartitionByRange(max(1, -(-counts.count() // per_bin)), *order) if per_bin else counts.repartitionByRange(*order)
+    ranged = counts.repartitionByRange(*order)
 
     def running(batches):
-        part, key, carried = TaskContext.get().partitionId(), None, 0
+        part, key, carried, seen = TaskContext.get().partitionId(), None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -70,17 +70,20 @@ def ordered_counts(counts: DataFrame, group: list, value: str = "value", per_bin
                 inside[:size[0]] += carried
             key = [batch.column(c)[-1].as_py() for c in group]
             carried = int(inside[-1] + n[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(inside)],
-                                             [*batch.schema.names, "_p", "_i"])
-
-    schema = T.StructType([*counts.schema.fields, T.StructField("_p", T.IntegerType()), T.StructField("_i", T.LongType())])
+            added = [pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(inside)]
+            if keep_range:
+                added.append(pa.array((part << 32) + (seen + np.arange(len(n), dtype=np.int64)) // (per_bin or 1 << 62)))
+            seen += len(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *more])
+
+    more = ["_p", "_i", "range"] if keep_range else ["_p", "_i"]
+    schema = T.StructType([*counts.schema.fields, *[T.StructField(c, T.IntegerType() if c == "_p" else T.LongType()) for c in more]])
     rows = cut_lineage(ranged.sortWithinPartitions(*order).mapInArrow(running, schema))
     totals = rows.groupBy(*group, "_p").agg(F.sum("n").alias("_s"))
     earlier = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*group, "_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"),
                             F.sum("_s").over(W.partitionBy(*group)).alias("total"))
-    out = rows.join(offsets, [*group, "_p"]).withColumn("before", F.col("_o") + F.col("_i")).drop("_i", "_o")
-    return out.withColumnRenamed("_p", "range") if keep_range else out.drop("_p")
+    return rows.join(offsets, [*group, "_p"]).withColumn("before", F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
 
 
 def range_sizes(ordered: DataFrame) -> DataFrame:
@@ -115,8 +118,8 @@ def at_quantiles(hits: Column, qs: list, total: Column) -> Column:
 
 def quantiles(ordered: DataFrame, group: list, qs: list, value: str = "value", name: str = "q") -> DataFrame:
     """Exact quantiles with linear interpolation as one array column per group."""
-    wanted = ordered.groupBy(*group).agg(F.first("total").alias("_t")).withColumn("_at", places(qs, F.col("_t")))
-    rows = salted_join(ordered.select(*group, value, "before", "n"), wanted, group, F.col(value))
+    # Every row knows the total, so it tells by itself whether it holds a wanted position; only such rows are grouped.
+    rows = ordered.select(*group, value, "before", "n", F.col("total").alias("_t")).withColumn("_at", places(qs, F.col("_t")))
     got = rows.withColumn("_h", hit("_at", value, F.col("before"), F.col("n"))).where("_h is not null").groupBy(*group).agg(
         F.first("_t").alias("_t"), F.collect_list("_h").alias("_h"))
     return got.select(*group, at_quantiles(F.col("_h"), qs, F.col("_t")).alias(name))

@@ -233,3 +233,23 @@ def test_large_models_are_joined_by_salt(spark, monkeypatch):
     small = {r["run_id"]: r["y_pred"] for r in baselines.nearest_centroid(train, test).collect()}
     monkeypatch.setattr(baselines, "BROADCAST_NUMBERS", 0)
     assert small == {r["run_id"]: r["y_pred"] for r in baselines.nearest_centroid(train, test).collect()} and len(small) == 30
+
+
+def test_ranges_and_tasks_of_an_ordering(spark):
+    """Ranges hold at most per_bin values, and small ranges do not make as many tasks."""
+    df = spark.range(20000).select((F.col("id") % 3).cast("string").alias("feature"), F.exp(F.col("id") / 100.0).alias("value"))
+    o = ordered_counts(value_counts(df, ["feature"]), ["feature"], per_bin=10, keep_range=True)
+    assert o.groupBy("range").count().agg(F.max("count"), F.count("*")).first()[0] <= 10
+    assert o.agg(F.sum("n")).first()[0] == 20000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        o = ordered_counts(value_counts(df, ["feature"]), ["feature"], per_bin=10)
+        assert o.select(F.spark_partition_id()).distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for r in o.groupBy("feature").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.max("total").alias("t"),
+                                          F.countDistinct("before").alias("k")).collect():
+            assert (r["lo"], r["hi"], r["k"]) == (0, r["t"] - 1, r["t"])
+        for r in quantiles(o, ["feature"], [0.0, 0.5, 1.0]).collect():
+            x = np.exp(np.arange(int(r["feature"]), 20000, 3) / 100.0)
+            assert np.allclose(r["q"], np.quantile(x, [0, 0.5, 1]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
