@@ -8,7 +8,7 @@ from runlens.operators import prep, projections
 from runlens.schema import Numerics, PipelineConfig
 from runlens.sources.runs import prepare_runs
 
-from .views import q, rnd, runs, with_views
+from .views import q, rnd, run_values, runs, with_views
 
 K = '"faultNumber", "simulationRun"'
 KEYS = ["faultNumber", "simulationRun"]
@@ -21,7 +21,7 @@ def rows(spark, sf, two=False):
 
 def run(spark, sf, spec, two=False, scaling="scaler", **kw):
     df = rows(spark, sf, two)
-    scaler = prep.fit_scaler(runs(spark, sf, two=two)) if scaling == "scaler" else None
+    scaler = prep.fit_scaler(run_values(spark, sf, two=two)) if scaling == "scaler" else None
     ctx = projections.Context(PipelineConfig((spec,), scaling_mode=scaling, **kw), 2 if two else 4, scaler)
     return projections.project(df, spec, ctx)
 

@@ -15,7 +15,7 @@ from runlens.sources import store
 
 from .scores import BOARD_SQL, V
 from .spectra import CUT, K, SHARES
-from .views import feature_long, q, rnd, runs, vectors, with_views
+from .views import feature_long, q, rnd, run_values, runs, vectors, with_views
 
 LABELS = list(range(10))
 KEYS = ["faultNumber", "simulationRun"]
@@ -108,7 +108,7 @@ def m7_cv(spark, sf):
 
 def characterise_cva(spark, sf):
     cfg = SpectrumConfig("cva", window=Window(21), scaling_mode="scaler")
-    _, agg = ch.characterise(runs(spark, sf).drop("t"), cfg, 4, dense=True)
+    _, agg = ch.characterise(runs(spark, sf).drop("t"), cfg, 4, prep.fit_scaler(run_values(spark, sf)), dense=True)
     return agg
 
 

@@ -1,10 +1,14 @@
 """Queries on tables made to show what the given ones do not: short runs, many runs, many values."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from checks import registry
+from checks import registry, views
+from runlens.operators import ica, prep, projections
+from runlens.schema import PipelineConfig
 
-from helpers import by_sql, given_tables
+from helpers import by_sql, given_tables, make_runs
 
 
 def same(spark, folder, name, tables=("lineitem", "events")):
@@ -18,3 +22,42 @@ def same(spark, folder, name, tables=("lineitem", "events")):
 def test_short_runs_stay_as_in_sql(spark, tmp_path, name):
     """One run ends inside the window (149 of 150 samples, 20 of 38 events), one before it begins."""
     same(spark, given_tables(tmp_path, {("N", 1): 200, ("N", 2): 149, ("A", 1): 170, ("R", 1): 160, ("R", 2): 40}, {1: 60, 2: 20, 3: 1}), name)
+
+
+def test_runs_iterate_together_as_one_by_one():
+    rng = np.random.RandomState(5)
+    mixed = [rng.laplace(size=(n, 3)) @ rng.normal(size=(3, 3)) for n in (40, 41, 300, 120, 40)]
+    whites = [(x - x.mean(0)) @ ica.whitening(x.mean(0), np.cov(x.T, bias=True), len(x), 3).T for x in mixed]
+    for steps, tol in ((1, 1e-3), (200, 1e-6)):
+        for white, (w, lim) in zip(whites, ica.solve_together(whites, 3, steps, tol, 42)):
+            one, far = ica.start(3, 42), np.inf
+            for _ in range(steps):
+                one, far = ica.step(one, *ica.step_sums(one, white), len(white))
+                if far < tol:
+                    break
+            assert np.allclose(w, one, atol=1e-8) and np.isclose(lim, far, atol=1e-8)
+
+
+@pytest.mark.parametrize("spec", [("pca", 2), ("ica", 2), ("dyca", 1, 2)])
+def test_a_projection_prepares_its_rows_once(spark, spec):
+    df, data = make_runs(spark, {(0, 1): 60, (1, 1): 45}, width=2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = df.mapInPandas(passing, df.schema)
+    out = projections.project(rows, spec, projections.Context(PipelineConfig((spec,)), 2))
+    assert out.where("x[0] is not null").count() == 105
+    assert seen.value == 105
+
+
+def test_numbering_brings_fewer_counts_together_than_rows(spark, tmp_path):
+    folder = given_tables(tmp_path, {("N", 1): 300, ("A", 2): 300}, {1: 60})
+    li = views.run_values(spark, folder)
+    blocks = li.select("faultNumber", "simulationRun", F.expr(f"floor(datediff(l_shipdate, '1990-01-01') / {views.DAYS})")).distinct()
+    assert blocks.count() < li.count() / 8
+    a, b = prep.fit_scaler(li), prep.fit_scaler(views.runs(spark, folder))
+    assert np.allclose(a.mean, b.mean) and np.allclose(a.std, b.std)
