@@ -11,18 +11,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import fisher_p, normal_p
+from ..session import cut_lineage
 from .values import finite, ordered_counts, quantiles, salted_join, value_counts
 
 
 def impute_range(long: DataFrame) -> DataFrame:
-    """Per feature: +inf becomes the finite maximum, -inf the minimum, missing the median (0 if none)."""
-    good = long.where(finite("value"))
-    ordered = ordered_counts(value_counts(good, ["feature"]), ["feature"])
+    """Per feature: +inf becomes the finite maximum, -inf the minimum, missing the median (0 if none).
+
+    Only features with missing values are put in order: the others have no use for their median."""
+    v, good = F.col("value"), F.when(finite("value"), F.col("value"))
+    missing = v.isNull() | F.isnan(v)
+    ends = cut_lineage(long.groupBy("feature").agg(F.min(good).alias("_min"), F.max(good).alias("_max"), F.count_if(missing).alias("_gaps")))
+    gappy = salted_join(long.where(finite("value")), ends.where("_gaps > 0").select("feature"), ["feature"], F.col("run_id"))
+    ordered = ordered_counts(value_counts(gappy, ["feature"]), ["feature"])
     middle = quantiles(ordered, ["feature"], [0.5]).select("feature", F.col("q")[0].alias("_med"))
-    ends = good.groupBy("feature").agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
-    rows = salted_join(long, ends.join(middle, "feature"), ["feature"], F.col("run_id"), "left")
-    v = F.col("value")
-    filled = (F.when(v.isNull() | F.isnan(v), F.col("_med")).when(v == float("inf"), F.col("_max"))
+    rows = salted_join(long, ends.drop("_gaps").join(middle, "feature", "left"), ["feature"], F.col("run_id"), "left")
+    filled = (F.when(missing, F.col("_med")).when(v == float("inf"), F.col("_max"))
               .when(v == float("-inf"), F.col("_min")).otherwise(v))
     return rows.withColumn("value", F.coalesce(filled, F.lit(0.0))).drop("_min", "_max", "_med")
 

@@ -94,6 +94,24 @@ def test_impute_range(spark):
     assert got == {1: 1.0, 2: 2.0, 3: 4.0, 4: 1.0, 5: 4.0, 6: 2.0, 7: 0.0}
 
 
+def test_only_features_with_missing_values_are_ordered_for_medians(spark, monkeypatch):
+    ordered, asked = ranking.ordered_counts, []
+
+    def noted(counts, *more, **options):
+        asked.append({r["feature"] for r in counts.select("feature").distinct().collect()})
+        return ordered(counts, *more, **options)
+
+    monkeypatch.setattr(ranking, "ordered_counts", noted)
+    rows = [(1, "whole", 1.0), (2, "whole", 3.0), (1, "ends", float("inf")), (2, "ends", 5.0), (3, "ends", 4.0), (1, "gaps", None),
+            (2, "gaps", 1.0), (3, "gaps", 4.0), (1, "none", None), (2, "none", float("-inf"))]
+    df = spark.createDataFrame(rows, "run_id bigint, feature string, value double")
+    got = {(r["run_id"], r["feature"]): r["value"] for r in ranking.impute_range(df).collect()}
+    assert got == {**{(i, f): v for i, f, v in rows}, (1, "ends"): 5.0, (1, "gaps"): 2.5, (1, "none"): 0.0, (2, "none"): 0.0}
+    whole = df.where("feature = 'whole'")
+    assert sorted(r["value"] for r in ranking.impute_range(whole).collect()) == [1.0, 3.0]
+    assert asked == [{"gaps"}, set()]
+
+
 def test_ranking_prefers_separating_features_and_drops_constants(spark):
     rng = np.random.RandomState(5)
     rows = []
