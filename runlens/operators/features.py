@@ -11,6 +11,7 @@ piece are defined for series of one block. Only what the requested features need
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -259,29 +260,27 @@ def series_sums(blocks: DataFrame, families, keys) -> DataFrame:
 
 
 def finish_udf(features, families):
-    """Features from summed values."""
+    """Features from summed values; a task holds those of one slice of series at a time."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(sums: pd.Series, s: pd.DataFrame) -> pd.Series:
-        out = []
-        for at in _slices(len(s)):
-            part = s.iloc[at]
-            out += list(pt.finish(features, families, [_vector(x) for x in sums.iloc[at]], _stats_frame(part)))
-        return pd.Series(out)
+    def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        for sums, s in batches:
+            for at in _slices(len(s)):
+                yield pd.Series(list(pt.finish(features, families, [_vector(x) for x in sums.iloc[at]], _stats_frame(s.iloc[at]))))
     return run
 
 
 def one_block_udf(features, families, groups):
-    """Summed features and calculators of one piece for series that fit one block, in one pass."""
+    """Summed features and calculators of one piece for series that fit one block, in one pass; a task holds those of one
+    slice of series at a time, however many series an Arrow batch has."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(s: pd.DataFrame) -> pd.Series:
-        out = []
-        for at in _slices(len(s)):
-            part = s.iloc[at]
-            got = pt.finish(features, families, _sums_of(part, families), _stats_frame(part)) if features else \
-                np.empty((len(part), 0))
-            out += list(got) if not groups else [np.concatenate([g, series_features(_vector(a)[o:o + m], groups)])
-                                                 for g, a, o, m in zip(got, part["a"], part["o"], part["m"])]
-        return pd.Series(out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for s in batches:
+            for at in _slices(len(s)):
+                part = s.iloc[at]
+                got = pt.finish(features, families, _sums_of(part, families), _stats_frame(part)) if features else \
+                    np.empty((len(part), 0))
+                yield pd.Series(list(got) if not groups else [np.concatenate([g, series_features(_vector(a)[o:o + m], groups)])
+                                                              for g, a, o, m in zip(got, part["a"], part["o"], part["m"])])
     return run
 
 

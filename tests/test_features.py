@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from runlens.functions import kernels, names, partials, spectral_sums
@@ -221,3 +222,22 @@ def test_autoregression_and_drift_of_any_order(spark, block, length):
             poly = np.polyfit([x[:-1][cell == c].mean() for c in own], [np.diff(x)[cell == c].mean() for c in own], p["m"])
             want = np.real(np.roots(poly)).max() if "coeff" not in p else poly[p["coeff"]] if p["coeff"] <= p["m"] else None
         assert (v is None) == (want is None) and (v is None or math.isclose(v, want, rel_tol=1e-5, abs_tol=1e-7)), (f, v, want)
+
+
+def test_feature_batches_leave_in_slices():
+    """However many series an Arrow batch has, results are passed on slice by slice."""
+    rng, n, many = np.random.RandomState(3), 40, 2 * features.SLICE + 10
+    plan = features.Plan(names.efficient())
+    a = [np.cumsum(rng.normal(size=n)) for _ in range(many)]
+    st = {"n": n, "mu": [x.mean() for x in a], "var": [x.var() for x in a], "mn": [x.min() for x in a], "mx": [x.max() for x in a],
+          "sa": [np.abs(x).sum() for x in a], "ss": [x @ x for x in a], "rv": 0.5}
+    quantiles = [[float(q) for q in np.quantile(x, features.pt.PROBS)] for x in a]
+    s = pd.DataFrame({"a": a, "o": 0, "m": n, "t0": 0, **st, "base": 0.0, "qs": quantiles,
+                      "dq": [np.quantile(x[:-1], features.CELL_EDGES) for x in a]})
+    run = features.one_block_udf(plan.summed, plan.families, plan.groups).func
+    parts = list(run(iter([s])))
+    assert [len(p) for p in parts] == [features.SLICE, features.SLICE, 10]
+    whole = np.array([v for p in parts for v in p])
+    alone = np.array([v for i in (0, 300, many - 1) for v in next(iter(run(iter([s.iloc[[i]]]))))])
+    assert whole.shape == (many, len(plan.summed) + len(plan.kernel))
+    assert np.allclose(whole[[0, 300, many - 1]], alone.reshape(3, -1), equal_nan=True)
