@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators import baselines, discriminants, metrics, models, neighbours, prep, reports, sets
-from runlens.session import checkpoint_dir
+from runlens.session import checkpoint_dir, cut_lineage
 
 from .views import feature_long, q, rnd, table, typed_series, vectors, with_views
 
@@ -44,16 +44,19 @@ BOARDS: dict = {}
 
 def board(spark, sf) -> DataFrame:
     """Leaderboard of configs x models by ``summary_rows``; cross-validation over the training rows for all but the majority."""
-    preds_, cv = [], []
+    preds_, cv, kept = [], [], []
     for c in CONFIGS:
         folded = models.fold_column(matrix(spark, sf, c).where("split = 'train'"), FOLDS).cache()
+        kept.append(folded)
         for m, fit in MODELS.items():
             preds_.append(predict(spark, sf, c, m).withColumn("model", F.lit(m)))
-            scores = models.fold_scores(folded, fit, FOLDS, LABELS) if m != "majority" else None
-            row = scores.agg(F.avg("balanced_acc"), F.stddev_pop("balanced_acc")).first() if scores is not None else (None, None)
-            cv.append((c, m, row[0], row[1]))
+            mean, std = ((F.avg("balanced_acc"), F.stddev_pop("balanced_acc")) if m != "majority"
+                         else (F.lit(None).cast("double"), F.lit(None).cast("double")))
+            scores = models.fold_scores(folded, fit, FOLDS, LABELS) if m != "majority" else spark.range(1)
+            cv.append(scores.select(F.lit(c).alias("config"), F.lit(m).alias("model"), mean.alias("cv_mean"), std.alias("cv_std")))
+    table_ = cut_lineage(reduce(DataFrame.unionByName, cv))  # one job for all folds, configs and models
+    for folded in kept:
         folded.unpersist()
-    table_ = spark.createDataFrame(cv, "config string, model string, cv_mean double, cv_std double")
     return models.summary_rows(reduce(DataFrame.unionByName, preds_), table_, LABELS)
 
 

@@ -118,9 +118,9 @@ def compare_models(train: DataFrame, test: DataFrame, labels, config: str, model
     summary row with its status, the error text and no scores. Folds only ever see training rows. Predictions are
     stored before the cached inputs go, so the summary does not fit or pivot anything again.
     """
+    train, test = train.cache(), test.cache()
     width = len(train.select("x").first()["x"])
     table = {**zoo(width, max(labels) + 1, seed, trees, depth), **PLAIN_MODELS}
-    train, test = train.cache(), test.cache()
     folded = fold_column(train, cv_folds).cache() if cv_folds else None
     preds, cv_rows, failed = [], [], []
     try:
@@ -148,12 +148,15 @@ def compare_models(train: DataFrame, test: DataFrame, labels, config: str, model
 
 def summary_rows(pred: DataFrame, cv: DataFrame, labels) -> DataFrame:
     """One leaderboard row per config and model: scores, cross-validation, status and error. A model with a missing
-    prediction has the status ``incomplete`` and no scores."""
-    gaps = pred.groupBy("config", "model").agg(F.count_if(F.col("y_pred").isNull()).alias("gaps"))
+    prediction has the status ``incomplete`` and no scores.
+
+    The predictions are read once: their counts per config, model and pair of labels are stored, and all else comes from these."""
+    counts = cut_lineage(pred.groupBy("config", "model", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n")))
+    gaps = counts.groupBy("config", "model").agg(F.sum(F.when(F.col("y_pred").isNull(), F.col("n")).otherwise(0)).alias("gaps"))
     complete, rest = gaps.where("gaps = 0"), gaps.where("gaps > 0")
-    tagged = pred.join(F.broadcast(complete.select("config", "model")), ["config", "model"], "left_semi") \
-        .withColumn("key", F.concat_ws("\t", "config", "model"))
-    scored = metrics.scores(metrics.confusion_counts(tagged, labels, by="key"), by="key")
+    tagged = counts.join(F.broadcast(complete.select("config", "model")), ["config", "model"], "left_semi") \
+        .select(F.concat_ws("\t", "config", "model").alias("key"), "y_true", "y_pred", "n")
+    scored = metrics.scores(metrics.on_all_pairs(tagged, labels, by="key"), by="key")
     parts = F.split("key", "\t")
     by = [c for c in ("config", "model") if c in cv.columns]
     good = scored.select(parts[0].alias("config"), parts[1].alias("model"), "balanced_acc", "macro_f1").join(cv, by) \

@@ -271,3 +271,24 @@ def test_ranges_and_tasks_of_an_ordering(spark):
             assert np.allclose(r["q"], np.quantile(x, [0, 0.5, 1]))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scores_of_a_board_read_predictions_once_and_join_no_class_tables(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, i % 3, (i + (i % 5 == 0)) % 3, "all", m) for m in ("a", "b") for i in range(30)] + [(1, 0, None, "all", "gap"), (2, 7, 7, "all", "a")]
+    df = spark.createDataFrame(rows, "run_id bigint, y_true int, y_pred int, config string, model string")
+
+    def passing(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    cv = spark.createDataFrame([("all", m, 0.5, 0.1) for m in ("a", "b", "gap")], "config string, model string, cv_mean double, cv_std double")
+    board = models.summary_rows(df.mapInPandas(passing, df.schema), cv, [0, 1, 2])
+    got = {r["model"]: r for r in board.collect()}
+    assert seen.value == len(rows)
+    assert {m: r["status"] for m, r in got.items()} == {"a": "ok", "b": "ok", "gap": "incomplete"}
+    assert math.isclose(got["a"]["balanced_acc"], 0.8) and got["a"]["macro_f1"] == got["b"]["macro_f1"]
+    cm = metrics.confusion_counts(df.where("model = 'a'"), [0, 1, 2])
+    assert cm.count() == 9 and cm.agg({"n": "sum"}).first()[0] == 30
+    assert "Join" not in metrics.scores(cm)._jdf.queryExecution().optimizedPlan().toString()
