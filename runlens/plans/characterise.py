@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, models, prep, reports, sets, spectra
 from ..schema import KEYS, LABELS, TEST_WINDOW, SpectrumConfig, Window
+from ..session import cut_lineage
 from ..sources import store
 
 
@@ -17,10 +18,12 @@ def needs_scaler(cfgs) -> bool:
 
 
 def characterise(df: DataFrame, cfg: SpectrumConfig, width: int, scaler=None, dense: bool = False) -> tuple:
-    """(spectra, class statistics). The scaler is fitted on fault-free rows when the job needs one."""
+    """(spectra, class statistics). The scaler is fitted on fault-free rows when the job needs one.
+
+    The spectra, one row per run, are stored once: the check for success, their statistics and whoever writes them read the same rows."""
     if scaler is None and needs_scaler([cfg]):
         scaler = prep.fit_scaler(df)
-    per_run = spectra.run_spectra(df, cfg, width, scaler, dense)
+    per_run = cut_lineage(spectra.run_spectra(df, cfg, width, scaler, dense))
     spectra.require_success(per_run, strict=cfg.strict)
     return per_run, reports.aggregate_spectra(per_run.where("status = 'ok'"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from checks import registry, views
 from runlens.operators import ica, prep, projections
-from runlens.schema import PipelineConfig
+from runlens.plans import characterise
+from runlens.schema import PipelineConfig, SpectrumConfig, Window
 
 from helpers import by_sql, given_tables, make_runs
 
@@ -61,3 +62,19 @@ def test_numbering_brings_fewer_counts_together_than_rows(spark, tmp_path):
     assert blocks.count() < li.count() / 8
     a, b = prep.fit_scaler(li), prep.fit_scaler(views.runs(spark, folder))
     assert np.allclose(a.mean, b.mean) and np.allclose(a.std, b.std)
+
+
+def test_spectra_are_computed_once_for_check_statistics_and_store(spark, tmp_path):
+    df, _ = make_runs(spark, {(0, 1): 60, (1, 1): 85}, width=2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    per_run, by_class = characterise.characterise(df.mapInPandas(passing, df.schema), SpectrumConfig("pca", window=Window(21)), 2)
+    read = seen.value
+    per_run.write.parquet(f"{tmp_path}/spectra")
+    assert by_class.count() == 4 and per_run.count() == 2
+    assert read and seen.value == read
