@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, side_by_side
 from . import baselines, discriminants, metrics
 from .prep import nan_to_zero
 from .windows import with_position
@@ -116,21 +116,28 @@ def compare_models(train: DataFrame, test: DataFrame, labels, config: str, model
 
     ``models`` lists names of the zoo and of PLAIN_MODELS. A model whose fit fails, or that leaves predictions out, has a
     summary row with its status, the error text and no scores. Folds only ever see training rows. Predictions are
-    stored before the cached inputs go, so the summary does not fit or pivot anything again.
+    stored before the cached inputs go, so the summary does not fit or pivot anything again. Models are fitted side by side.
     """
     train, test = train.cache(), test.cache()
     width = len(train.select("x").first()["x"])
     table = {**zoo(width, max(labels) + 1, seed, trees, depth), **PLAIN_MODELS}
     folded = fold_column(train, cv_folds).cache() if cv_folds else None
     preds, cv_rows, failed = [], [], []
+
+    def one(name):
+        try:
+            got = cut_lineage(fit_predict(train, test, table[name]))
+            return got, cross_validate(folded, table[name], cv_folds if name in WITH_PROBABILITY else 0, labels)
+        except Exception as exc:  # a model that cannot be fitted is a row of the summary
+            return exc
+
     try:
-        for name in models or list(table):
-            try:
-                got = cut_lineage(fit_predict(train, test, table[name]))
-                scores = cross_validate(folded, table[name], cv_folds if name in WITH_PROBABILITY else 0, labels)
-            except Exception as exc:  # a model that cannot be fitted is a row of the summary
-                failed.append((config, name, "failed", f"{type(exc).__name__}: {str(exc)[:500]}"))
+        names = models or list(table)
+        for name, result in zip(names, side_by_side(train.sparkSession, one, names)):
+            if isinstance(result, Exception):
+                failed.append((config, name, "failed", f"{type(result).__name__}: {str(result)[:500]}"))
                 continue
+            got, scores = result
             preds.append(got.withColumns({"config": F.lit(config), "model": F.lit(name)}))
             cv_rows.append((name, *scores))
     finally:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, metrics, models, prep, projections, ranking, reports, sets
 from ..schema import CHANNELS, KEYS, PipelineConfig
+from ..session import side_by_side
 from ..sources import store
 from ..sources.runs import prepare_runs
 
@@ -84,13 +85,16 @@ class Study:
 
     def matrices(self) -> dict:
         """{config: (train, test)} as feature arrays over the runs common to all configs."""
-        parts = {}
-        for spec, name in self._specs():
+        def both(one):
+            spec, name = one
             wanted = self.top_names(spec, name)
             if not wanted:
                 raise RuntimeError(f"no feature of {name!r} separates any classes")
-            parts[name] = tuple(models.feature_matrix(df, wanted) for df in (
+            return tuple(models.feature_matrix(df, wanted) for df in (
                 self.train_features(spec, name), self.test_features(spec, name, wanted)))
+
+        # Configs share nothing before their common runs.
+        parts = dict(zip(self.names, side_by_side(self.spark, both, self._specs())))
         if not self.cfg.learning.common_runs:
             return parts
         seen = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("config"), "split", "run_id")
@@ -101,9 +105,11 @@ class Study:
     def summary(self, names=None, trees: int = 100) -> DataFrame:
         """Leaderboard of configs and models, stored."""
         def build():
-            boards = [models.compare_models(tr, te, self.cfg.labels, n, names, self.cfg.learning.folds,
-                                            self.cfg.learning.seed, trees, self.cfg.learning.depth)[1] for n, (tr, te) in self.matrices().items()]
-            return reduce(DataFrame.unionByName, boards)
+            def board(one):
+                n, (tr, te) = one
+                return models.compare_models(tr, te, self.cfg.labels, n, names, self.cfg.learning.folds,
+                                             self.cfg.learning.seed, trees, self.cfg.learning.depth)[1]
+            return reduce(DataFrame.unionByName, side_by_side(self.spark, board, self.matrices().items()))
         return store.materialise(self.spark, self.base, "summary", self.cfg, build, models=names, trees=trees)
 
     def compare(self, names=None, trees: int = 100) -> dict:

@@ -1,5 +1,6 @@
 import itertools
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -292,3 +293,24 @@ def test_scores_of_a_board_read_predictions_once_and_join_no_class_tables(spark)
     cm = metrics.confusion_counts(df.where("model = 'a'"), [0, 1, 2])
     assert cm.count() == 9 and cm.agg({"n": "sum"}).first()[0] == 30
     assert "Join" not in metrics.scores(cm)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_models_are_fitted_side_by_side(spark, monkeypatch):
+    """Each of two models waits until the other one is being fitted; their rows and a failed model keep their own results."""
+    rows = [(i, i % 2, [float(i % 2), float(i)]) for i in range(20)]
+    train = spark.createDataFrame(rows, "run_id bigint, label int, x array<double>")
+    meeting = threading.Barrier(2, timeout=20)
+
+    def model(right):
+        def fit(train, test):
+            meeting.wait()
+            return test.select("run_id", F.col("label").alias("y_true"), (F.col("label") if right else 1 - F.col("label")).alias("y_pred"))
+        return fit
+
+    def broken(train, test):
+        raise ValueError("not today")
+
+    monkeypatch.setattr(models, "PLAIN_MODELS", {"good": model(True), "bad": model(False), "broken": broken})
+    board = {r["model"]: r for r in models.compare_models(train, train, [0, 1], "c", ["good", "bad", "broken"], cv_folds=0)[1].collect()}
+    assert {m: (r["status"], r["balanced_acc"]) for m, r in board.items()} == {"good": ("ok", 1.0), "bad": ("ok", 0.0), "broken": ("failed", None)}
+    assert board["broken"]["error"] == "ValueError: not today"
