@@ -314,3 +314,25 @@ def test_models_are_fitted_side_by_side(spark, monkeypatch):
     board = {r["model"]: r for r in models.compare_models(train, train, [0, 1], "c", ["good", "bad", "broken"], cv_folds=0)[1].collect()}
     assert {m: (r["status"], r["balanced_acc"]) for m, r in board.items()} == {"good": ("ok", 1.0), "bad": ("ok", 0.0), "broken": ("failed", None)}
     assert board["broken"]["error"] == "ValueError: not today"
+
+
+def test_k_nearest_returns_few_rows_where_all_cells_are_asked(spark, monkeypatch):
+    """In 16 dimensions nearly every cell is asked; packs give back what lies within the bound, not k rows of every small tile."""
+    rng = np.random.RandomState(8)
+    x = rng.normal(size=(500, 16))
+    rows = spark.createDataFrame([(i, i % 3, [float(v) for v in x[i]]) for i in range(500)], "run_id bigint, label int, x array<double>")
+    seen, visit = [], neighbours.visit
+    monkeypatch.setattr(neighbours, "visit", lambda *a: seen.append(visit(*a).cache()) or seen[-1])
+    got = {(r["run_id"], r["place"]): r["near"] for r in neighbours.nearest_rows(rows.where("run_id >= 100"), rows.where("run_id < 100"), 3, tile=8).collect()}
+    for i in range(100):
+        want = 100 + np.lexsort((np.arange(400), ((x[100:] - x[i]) ** 2).sum(1)))[:3]
+        assert [got[i, place] for place in (1, 2, 3)] == want.tolist()
+    assert sum(df.count() for df in seen) < 100 * 3 * 8  # 100 * 3 * 50 with a group of its own for every tile
+
+
+def test_packs_hold_all_cells_and_no_more_than_their_rows():
+    rng = np.random.RandomState(5)
+    cells = neighbours.Cells(rng.normal(size=(40, 2)), rng.randint(0, 30, 40), np.ones(40))
+    pack = cells.packs(60)
+    held = np.bincount(pack, weights=cells.sizes)
+    assert len(pack) == 40 and held.max() <= 60 and len(held) < 40 and cells.packs(1).max() > len(held) - 1
