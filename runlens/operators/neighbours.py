@@ -195,8 +195,9 @@ def nearest_rows(train: DataFrame, test: DataFrame, k: int = 5, tile: int = 4096
     start = visit(asked.withColumn("within", F.lit(None).cast("double")), placed, parts, k, blocks)
     start = cut_lineage(start.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k))
     kth = start.where(F.col("place") == k).select("run_id", F.sqrt("dist").alias("within"))
-    more = asked.join(kth, "run_id", "left").withColumn(
-        "packs", F.array_except(reached("x", F.coalesce("within", F.lit(float("inf")))), "packs"))
+    # Stored, for the filter and both sides of the visit read the packs.
+    more = cut_lineage(asked.join(kth, "run_id", "left").withColumn(
+        "packs", F.array_except(reached("x", F.coalesce("within", F.lit(float("inf")))), "packs")))
     rest = visit(more.where(F.size("packs") > 0).select("run_id", "x", "packs", "within"), placed, parts, k, blocks)
     return start.drop("place").unionByName(rest).withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
