@@ -13,12 +13,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, side_by_side
+from ..session import checkpoint_dir, cut_lineage, side_by_side
 from . import baselines, discriminants, metrics
 from .prep import nan_to_zero
 from .windows import with_position
 
 MAIN_MODEL = "RandomForestClassifier"
+#: Deep trees are not sent to the tasks with every pass: each row keeps the number of its node (checkpointed). The trees are the same.
+DEEP = {"cacheNodeIds": True}
 
 
 def feature_matrix(long: DataFrame, names: list, keep=("run_id", "label", "split")) -> DataFrame:
@@ -41,8 +43,8 @@ def zoo(width: int, classes: int, seed: int = 42, trees: int = 100, depth: int =
         return OneVsRest(classifier=estimator, featuresCol="features", labelCol="target", parallelism=4)
 
     return {
-        MAIN_MODEL: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **io),
-        "DecisionTreeClassifier": DecisionTreeClassifier(maxDepth=depth, seed=seed, **io),
+        MAIN_MODEL: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **DEEP, **io),
+        "DecisionTreeClassifier": DecisionTreeClassifier(maxDepth=depth, seed=seed, **DEEP, **io),
         "LogisticRegression": LogisticRegression(maxIter=100, regParam=1e-3, **io),
         "GaussianNB": NaiveBayes(modelType="gaussian", **io),
         "MLPClassifier": MultilayerPerceptronClassifier(layers=[width, 2 * width, classes], seed=seed, maxIter=100, **io),
@@ -66,6 +68,7 @@ def fit_predict(train: DataFrame, test: DataFrame, estimator) -> DataFrame:
     """Standard scaling and the estimator, fitted on all training rows: run_id, y_true, y_pred."""
     if callable(estimator):
         return estimator(train, test)
+    checkpoint_dir(train.sparkSession)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     model = Pipeline(stages=[scaler, estimator]).fit(with_vector(train))
     return model.transform(with_vector(test)).select(
@@ -74,8 +77,8 @@ def fit_predict(train: DataFrame, test: DataFrame, estimator) -> DataFrame:
 
 def random_forest(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 100, depth: int = 30) -> DataFrame:
     """The fixed model of the main comparison."""
-    return fit_predict(train, test, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed,
-                                                           featuresCol="features", labelCol="target"))
+    return fit_predict(train, test, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features",
+                                                           labelCol="target", **DEEP))
 
 
 def fold_column(df: DataFrame, k: int, block: int = 65536) -> DataFrame:

@@ -336,3 +336,14 @@ def test_packs_hold_all_cells_and_no_more_than_their_rows():
     pack = cells.packs(60)
     held = np.bincount(pack, weights=cells.sizes)
     assert len(pack) == 40 and held.max() <= 60 and len(held) < 40 and cells.packs(1).max() > len(held) - 1
+
+
+def test_deep_trees_keep_node_numbers_and_stay_the_same(spark, monkeypatch):
+    m = matrix(spark).withColumn("label", F.expr("cast(pmod(xxhash64(run_id), 3) as int)")).coalesce(1)
+    assert all(models.zoo(4, 3)[name].getCacheNodeIds() for name in ("RandomForestClassifier", "DecisionTreeClassifier"))
+    built, forest = [], models.RandomForestClassifier
+    monkeypatch.setattr(models, "RandomForestClassifier", lambda **kw: built.append(forest(**kw)) or built[-1])
+    got = sorted(map(tuple, models.random_forest(m, m, trees=5).collect()))
+    monkeypatch.setattr(models, "DEEP", {})
+    assert got == sorted(map(tuple, models.random_forest(m, m, trees=5).collect()))
+    assert [e.getCacheNodeIds() for e in built] == [True, False]
