@@ -6,15 +6,16 @@ What reaches the driver is K feature names per config and the leaderboard.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, metrics, models, prep, projections, ranking, reports, sets
+from ..operators import features, metrics, models, prep, projections, ranking, reports, sets, windows
 from ..schema import CHANNELS, KEYS, PipelineConfig
-from ..session import side_by_side
+from ..session import release, side_by_side
 from ..sources import store
 from ..sources.runs import prepare_runs
 
@@ -34,15 +35,31 @@ class Study:
         self.channels, self.cutoff, self.dense = list(channels), cutoff, dense
         self.names = projections.validate(cfg.configs)
         self.scaler = prep.fit_scaler(read("train")) if cfg.scaling_mode == "scaler" else None
+        self.preparing = threading.Lock()
         self.context = projections.Context(cfg, len(self.channels), self.scaler, tuple(channels))
 
     def _specs(self):
         return list(zip(self.cfg.configs, self.names))
 
+    def _samples(self, name: str, split: str) -> str:
+        return f"{self.base}/{name}/{store.fingerprint(self.cfg, split=split, cutoff=self.cutoff, dense=self.dense)}"
+
     def _rows(self, split: str) -> DataFrame:
-        df = prep.first_runs(self.read(split), self.cfg.runs)
-        return prepare_runs(df, split, self.cutoff[split] if self.cutoff else None, self.cfg.uniform,
-                            self.cfg.run_length, self.dense, self.cfg.block)
+        """Prepared samples of a split, stored until all configs are extracted from them.
+
+        Reading, numbering and cutting move all samples: each is done once for all configs, one after the other, and its shuffle
+        files go before the next begins."""
+        with self.preparing:
+            ready, given = self._samples("samples", split), self._samples("read", split)
+            if not store.stored(self.spark, ready):
+                if not store.stored(self.spark, given):
+                    prep.first_runs(self.read(split), self.cfg.runs).write.mode("overwrite").parquet(given)
+                    release(self.spark)
+                prepare_runs(self.spark.read.parquet(given), split, self.cutoff[split] if self.cutoff else None, self.cfg.uniform,
+                             self.cfg.run_length, self.dense, self.cfg.block).write.mode("overwrite").parquet(ready)
+                store.drop(self.spark, given)
+                release(self.spark)
+        return windows.unplaced(self.spark.read.parquet(ready))
 
     def _long_runs(self):
         length = self.cfg.run_length
@@ -56,7 +73,7 @@ class Study:
         channels = projections.channel_names(spec, self.channels)
 
         def projected():
-            return projections.project(self._rows(split), spec, self.context)
+            return projections.project(self._rows(split), spec, self.context, stored=True)
 
         path = f"{self.base}/features/{store.fingerprint(self.cfg, config=name, split=split, **extra)}"
         return self._tag(store.extract_resumable(self.spark, projected, path, lambda rows: how(rows, channels), self.buckets,
@@ -95,6 +112,9 @@ class Study:
 
         # Configs share nothing before their common runs.
         parts = dict(zip(self.names, side_by_side(self.spark, both, self._specs())))
+        for split in ("train", "test"):
+            store.drop(self.spark, self._samples("samples", split))
+        release(self.spark)
         if not self.cfg.learning.common_runs:
             return parts
         seen = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("config"), "split", "run_id")

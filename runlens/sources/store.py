@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.spectra import method, wide_spectra
 from ..schema import KEYS, SpectrumConfig, fingerprint
+from ..session import release
 
 
 def _path(spark: SparkSession, path: str):
@@ -23,6 +24,12 @@ def stored(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a stored folder, if it is there."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def spectra_path(base: str, cfg: SpectrumConfig, split: str) -> str:
     return f"{base}/method={cfg.method}/scaling={cfg.scaling_mode}/split={split}"
 
@@ -77,7 +84,7 @@ def extract_resumable(spark: SparkSession, rows: DataFrame | Callable[[], DataFr
     """Run ``build`` over waves of run buckets; finished buckets are skipped after an interruption.
 
     The rows are computed once and stored by run bucket, so a wave reads its own buckets only and an interrupted job does not
-    compute them again; they go when every bucket is done. A wave writes its buckets in place (replacing what an
+    compute them again; they go when every bucket is done, shuffle files after every step. A wave writes its buckets in place (replacing what an
     interruption left) and marks them afterwards. ``build`` keeps the run keys. ``rows`` may be a function; it is called only
     when the stored rows are missing.
     """
@@ -86,6 +93,8 @@ def extract_resumable(spark: SparkSession, rows: DataFrame | Callable[[], DataFr
     if todo and not stored(spark, source):
         given = rows() if callable(rows) else rows
         given.withColumn("run_bucket", run_bucket(buckets, keys)).write.mode("overwrite").partitionBy("run_bucket").parquet(source)
+        del given
+        release(spark)
     if todo and not _folders(spark, source):
         raise RuntimeError(f"no run to extract from for {path}")
     for lo in range(0, len(todo), per_wave):
@@ -93,12 +102,13 @@ def extract_resumable(spark: SparkSession, rows: DataFrame | Callable[[], DataFr
         part = build(wave_rows(spark, source, wave))
         marked = part.withColumn("run_bucket", run_bucket(buckets, keys))
         marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_bucket").parquet(path)
+        del part, marked
+        release(spark)
         for b in wave:
             mark, fs = _path(spark, f"{marks}/{b}/_SUCCESS")
             fs.create(mark).close()
     if todo:
-        p, fs = _path(spark, source)
-        fs.delete(p, True)
+        drop(spark, source)
     filled = [f"{path}/run_bucket={b}" for b in range(buckets) if _has_rows(spark, f"{path}/run_bucket={b}")]
     if not filled:
         raise RuntimeError(f"no run produced a result under {path}")

@@ -155,3 +155,22 @@ def test_quick_trial_and_failed_models_have_rows(spark):
     got = {r["model"]: (r["status"], r["error"], r["macro_f1"]) for r in board.collect()}
     assert got["NearestCentroid"][0] == "ok" and got["Broken"][0] == "failed" and "ZeroDivision" in got["Broken"][1]
     assert got["Broken"][2] is None
+
+
+def test_configs_share_the_prepared_samples_of_a_split(spark, tmp_path):
+    """Every split is read, numbered and stored once for all configs; the samples go when all are extracted."""
+    df, _ = make_runs(spark, {(f, r): 45 for f in (0, 1) for r in range(1, 9)}, width=2)
+    df = df.drop("t").withColumn("x", F.when(F.col("faultNumber") == 1, F.transform("x", lambda v: v * 3)).otherwise(F.col("x")))
+    reads = []
+
+    def read(split):
+        reads.append(split)
+        return df.where("simulationRun <= 6" if split == "train" else "simulationRun > 6")
+
+    cfg = PipelineConfig((("raw",), ("pca", 1)), run_length=20, feature_set="minimal", ranking=Ranking(top_k=3), learning=Learning(folds=0),
+                         labels=(0, 1))
+    study = Study(spark, cfg, read, str(tmp_path), ["a", "b"], {"train": 21, "test": 21}, buckets=4, per_wave=2)
+    got = {n: (tr.count(), te.count()) for n, (tr, te) in study.matrices().items()}
+    assert got == {"raw": (12, 4), "pca_1": (12, 4)}
+    assert sorted(reads) == ["test", "train"]
+    assert not list(tmp_path.glob("samples/*")) and not list(tmp_path.glob("read/*"))
