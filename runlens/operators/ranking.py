@@ -6,26 +6,41 @@ Input is long: run_id, label, feature, value. Work is keyed by (feature, value b
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import fisher_p, normal_p
 from ..session import cut_lineage
-from .values import finite, ordered_counts, quantiles, salted_join, value_counts
+from .values import RANGE_ROWS, finite, ordered_counts, packed_values, quantiles, range_borders, salted_join, unplanes, value_counts
+
+#: Features whose ends may be broadcast (a few numbers each); more are joined by shuffling.
+BROADCAST_FEATURES = 1 << 16
 
 
 def impute_range(long: DataFrame) -> DataFrame:
     """Per feature: +inf becomes the finite maximum, -inf the minimum, missing the median (0 if none).
 
-    Only features with missing values are put in order: the others have no use for their median."""
+    Only features with missing values are put in order: the others have no use for their median. Rows move only if very many
+    features have something to fill in."""
     v, good = F.col("value"), F.when(finite("value"), F.col("value"))
     missing = v.isNull() | F.isnan(v)
-    ends = cut_lineage(long.groupBy("feature").agg(F.min(good).alias("_min"), F.max(good).alias("_max"), F.count_if(missing).alias("_gaps")))
-    gappy = salted_join(long.where(finite("value")), ends.where("_gaps > 0").select("feature"), ["feature"], F.col("run_id"))
+    ends = cut_lineage(long.groupBy("feature").agg(F.min(good).alias("_min"), F.max(good).alias("_max"), F.count_if(missing).alias("_gaps"),
+                                               F.count_if(missing | (F.abs(v) == float("inf"))).alias("_odd")))
+    n = ends.agg(F.count_if(F.col("_gaps") > 0).alias("gaps"), F.count_if(F.col("_odd") > 0).alias("odd")).first()
+
+    def meet(rows, side, how="inner"):
+        return rows.join(F.broadcast(side), "feature", how) if n["odd"] <= BROADCAST_FEATURES else \
+            salted_join(rows, side, ["feature"], F.col("run_id"), how)
+
+    gappy = meet(long.where(finite("value")), ends.where("_gaps > 0").select("feature")) if n["gaps"] else long.where(F.lit(False))
     ordered = ordered_counts(value_counts(gappy, ["feature"]), ["feature"])
     middle = quantiles(ordered, ["feature"], [0.5]).select("feature", F.col("q")[0].alias("_med"))
-    rows = salted_join(long, ends.drop("_gaps").join(middle, "feature", "left"), ["feature"], F.col("run_id"), "left")
+    if not n["odd"]:
+        return long.select("feature", *[c for c in long.columns if c != "feature"])
+    rows = meet(long, ends.where("_odd > 0").drop("_gaps", "_odd").join(middle, "feature", "left"), "left")
     filled = (F.when(missing, F.col("_med")).when(v == float("inf"), F.col("_max"))
               .when(v == float("-inf"), F.col("_min")).otherwise(v))
     return rows.withColumn("value", F.coalesce(filled, F.lit(0.0))).drop("_min", "_max", "_med")
@@ -55,20 +70,45 @@ def anova_f(long: DataFrame) -> DataFrame:
     return per.select("feature", F.coalesce(f, F.lit(0.0)).alias("f_value"))
 
 
-def rank_sums(long: DataFrame, labels) -> DataFrame:
-    """Per (feature, class): class size, rank sum with average ranks, tie term and number of values."""
+def rank_sums(long: DataFrame, labels, most: int = RANGE_ROWS) -> DataFrame:
+    """Per (feature, class): class size, rank sum with average ranks, tie term and number of values.
+
+    Values move once, packed to some eight bytes each; a task orders one feature, or a range of at most about ``most`` of its
+    values. Ranks start anew in every range: those of a class grow by the number of rows in earlier ranges."""
     labels = [int(v) for v in labels]
-    per_class = [F.sum((F.col("label") == v).cast("bigint")).alias(f"_c{v}") for v in labels]
-    counts = value_counts(long, ["feature"], "value", *per_class)
-    ordered = ordered_counts(counts, ["feature"])
-    rank = F.col("before") + (F.col("n") + 1) / 2.0
-    n = F.col("n").cast("double")
-    sums = [F.struct(F.lit(v).alias("label"), F.sum(f"_c{v}").alias("n1"),
-                     F.sum(F.col(f"_c{v}") * rank).alias("r1"),
-                     F.sum(F.when(F.col("before") == 0, F.col(f"_c{v}")).otherwise(0)).alias("low1")) for v in labels]
-    per = ordered.groupBy("feature").agg(
-        F.first("total").alias("n"), F.sum(n * n * n - n).alias("ties"), F.count(F.lit(1)).alias("values"),
-        F.sum(F.when(F.col("before") == 0, F.col("n")).otherwise(0)).alias("low"), F.array(*sums).alias("c"))
+    k = len(labels)
+
+    def order(group: pd.DataFrame) -> pd.DataFrame:
+        key = np.concatenate([unplanes(b, np.int64) for b in group["keys"]])
+        cls = np.concatenate([unplanes(b, np.int16) for b in group["classes"]])
+        count = np.concatenate([unplanes(c, np.int64) if len(c) else np.ones(len(b) // 8, dtype=np.int64)
+                                for b, c in zip(group["keys"], group["counts"])])
+        at = np.argsort(key, kind="stable")
+        key, cls, count = key[at], cls[at], count[at]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(starts, len(key)))
+        n = np.add.reduceat(count, starts)
+        rank = np.repeat(np.cumsum(n) - n + (n + 1) / 2.0, size)
+        one, low = cls >= 0, (cls >= 0) & (np.arange(len(key)) < size[0])
+        wide = n.astype(float)
+
+        def whole(rows):
+            return np.bincount(cls[rows], count[rows], k).astype(np.int64)
+
+        return pd.DataFrame({"feature": [group["feature"].iloc[0]], "range": [group["range"].iloc[0]], "n": [n.sum()],
+                             "ties": [(wide * wide * wide - wide).sum()], "values": [len(n)], "low": [n[0]], "n1": [whole(one)],
+                             "r1": [np.bincount(cls[one], count[one] * rank[one], k)], "low1": [whole(low)]})
+
+    packed = packed_values(long, labels, range_borders(long, most))
+    kind = long.schema["feature"].dataType.simpleString()
+    ranges = packed.groupBy("feature", "range").applyInPandas(
+        order, f"feature {kind}, range int, n bigint, ties double, values bigint, low bigint, n1 array<bigint>, r1 array<double>, low1 array<bigint>")
+    earlier = W.partitionBy("feature").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_o", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    sums = [F.struct(F.lit(v).alias("label"), F.sum(F.col("n1")[i]).alias("n1"), F.sum(F.col("r1")[i] + F.col("_o") * F.col("n1")[i]).alias("r1"),
+                     F.min_by(F.col("low1")[i], "range").alias("low1")) for i, v in enumerate(labels)]
+    per = ranges.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("ties").alias("ties"), F.sum("values").alias("values"),
+                                        F.min_by("low", "range").alias("low"), F.array(*sums).alias("c"))
     return per.select("feature", "n", "ties", "values", "low", F.explode_outer("c").alias("c")).select(
         "feature", "n", "ties", "values", "low", "c.*").where("n1 > 0 and n1 < n")
 

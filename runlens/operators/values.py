@@ -91,6 +91,103 @@ def range_sizes(ordered: DataFrame) -> DataFrame:
     return ordered.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def order_key(values: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """Integers in the order that Spark gives doubles: nulls first, NaN last, both zeros equal."""
+    v = np.asarray(values, dtype=np.float64) + 0.0
+    bits = v.view(np.int64)
+    key = bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+    key[np.isnan(v)] = np.iinfo(np.int64).max
+    key[missing] = np.iinfo(np.int64).min
+    return key
+
+
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of an array, all first bytes before all second ones: those of sorted numbers compress."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def unplanes(b: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+#: Rows that a task holds before it passes them on packed, and values of one feature that meet in one task.
+PACK_ROWS = 1 << 19
+RANGE_ROWS = 1 << 22
+
+
+def range_borders(long: DataFrame, most: int) -> dict:
+    """{feature: borders} of features with more than ``most`` values; borders of all of them are fewer than rows / ``most`` x 2."""
+    big = {r["feature"]: r["n"] for r in long.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()}
+    if not big:
+        return {}
+    pieces = {f: -(-n // most) for f, n in big.items()}
+    parts = max(pieces.values())
+    at = F.percentile_approx("value", F.lit([i / parts for i in range(1, parts)]), F.lit(max(10_000, 8 * parts)))
+    got = long.where(F.col("feature").isin(list(big))).groupBy("feature").agg(at.alias("b")).collect()
+    out = {}
+    for r in got:
+        step = max(1, parts // pieces[r["feature"]])
+        held = np.asarray((r["b"] or [])[step - 1::step], dtype=np.float64)
+        out[r["feature"]] = np.unique(order_key(held, np.zeros(len(held), dtype=bool)))
+    return out
+
+
+def packed_values(long: DataFrame, labels: list, borders: dict) -> DataFrame:
+    """(feature, range, keys, classes, counts): the values of many rows as one row of sorted, packed arrays. Equal values of a class
+    are counted; ``counts`` is empty where every value came once. ``classes`` are places in ``labels``, -1 for others."""
+    known = np.asarray(sorted(labels), dtype=np.int64)
+    place = np.asarray([labels.index(v) for v in known], dtype=np.int16)
+    kind = long.schema["feature"].dataType
+
+    def pack(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= PACK_ROWS:
+                yield from flush(held)
+                held, rows = [], 0
+        if rows:
+            yield from flush(held)
+
+    def flush(held):
+        table = pa.Table.from_batches(held)
+        coded = table.column("feature").combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        value, label = table.column("value"), table.column("label")
+        key = order_key(value.to_numpy(), value.is_null().to_numpy())
+        lab = pc.fill_null(label.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy()
+        where = np.minimum(np.searchsorted(known, lab), len(known) - 1)
+        cls = np.where(known[where] == lab, place[where], -1).astype(np.int16)
+        order = np.lexsort((cls, key, code))
+        code, key, cls = code[order], key[order], cls[order]
+        new = np.ones(len(code), dtype=bool)
+        new[1:] = (code[1:] != code[:-1]) | (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        starts = np.flatnonzero(new)
+        count = np.diff(np.append(starts, len(code)))
+        code, key, cls = code[starts], key[starts], cls[starts]
+        out = [[], [], [], [], []]
+        ends = np.flatnonzero(np.append(code[1:] != code[:-1], True)) + 1
+        for lo, hi in zip(np.append(0, ends[:-1]), ends):
+            cuts = borders.get(names[int(code[lo])].as_py())
+            inner = np.searchsorted(key[lo:hi], cuts) + lo if cuts is not None else np.empty(0, dtype=np.int64)
+            edges = [lo, *inner, hi]
+            for r, (a, b) in enumerate(zip(edges, edges[1:])):
+                if a < b:
+                    once = (count[a:b] == 1).all()
+                    for column, v in zip(out, (code[lo], r, planes(key[a:b]), planes(cls[a:b]), b"" if once else planes(count[a:b]))):
+                        column.append(v)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()),
+                                          *[pa.array(c, pa.binary()) for c in out[2:]]], ["feature", "range", "keys", "classes", "counts"])
+
+    schema = T.StructType([T.StructField("feature", kind), T.StructField("range", T.IntegerType()),
+                           *[T.StructField(c, T.BinaryType()) for c in ("keys", "classes", "counts")]])
+    return long.select("feature", F.col("value").cast("double").alias("value"), F.col("label").cast("bigint").alias("label")) \
+        .where("feature is not null").mapInArrow(pack, schema)
+
+
 def places(qs: list, total: Column) -> Column:
     """Positions (from 0) between which each quantile lies, ascending and without repeats."""
     low = F.transform(F.lit([float(q) for q in qs]), lambda q: F.floor(q * (total - 1)))

@@ -347,3 +347,26 @@ def test_deep_trees_keep_node_numbers_and_stay_the_same(spark, monkeypatch):
     monkeypatch.setattr(models, "DEEP", {})
     assert got == sorted(map(tuple, models.random_forest(m, m, trees=5).collect()))
     assert [e.getCacheNodeIds() for e in built] == [True, False]
+
+
+def test_ranks_move_packed_values_in_ranges_of_any_size(spark):
+    """Features without anything to fill in are not joined, and ranks do not depend on how values are cut into ranges."""
+    rng = np.random.RandomState(3)
+    rows = [(i, int(rng.randint(4)) if i % 9 else None, f, v) for i in range(300)
+            for f, v in (("a", float(rng.normal())), ("b", float(rng.randint(6))), ("c", -0.0 if i % 2 else 0.0),
+                         ("d", [None, float("nan"), float("inf"), 2.0, -1.5][i % 5]))]
+    long = spark.createDataFrame(rows, "run_id bigint, label int, feature string, value double")
+    plain = ranking.impute_range(long.where("feature < 'd'"))
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString() and plain.count() == 900
+    one = {(r["feature"], r["label"]): tuple(r) for r in ranking.rank_sums(long, [0, 1, 2, 3]).collect()}
+    many = {(r["feature"], r["label"]): tuple(r) for r in ranking.rank_sums(long, [0, 1, 2, 3], most=40).collect()}
+    assert one == many and len(one) == 16
+    for f in "abcd":
+        got = [(-np.inf if v is None else 1e308 if v != v else 1e307 if v == np.inf else v, lab) for _, lab, g, v in rows if g == f]
+        values = np.array([v for v, _ in got])
+        ranks = np.array([(values < v).sum() + ((values == v).sum() + 1) / 2 for v in values])
+        seen = np.unique(values, return_counts=True)[1].astype(float)
+        for c in range(4):
+            mine = np.array([lab == c for _, lab in got])
+            low = values == values.min()
+            assert one[f, c] == (f, 300, (seen ** 3 - seen).sum(), len(seen), low.sum(), c, mine.sum(), ranks[mine].sum(), (mine & low).sum())
