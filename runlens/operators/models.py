@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage, side_by_side
-from . import baselines, discriminants, metrics
+from . import baselines, discriminants, forest, metrics
 from .prep import nan_to_zero
 from .windows import with_position
 
 MAIN_MODEL = "RandomForestClassifier"
 #: Deep trees are not sent to the tasks with every pass: each row keeps the number of its node (checkpointed). The trees are the same.
 DEEP = {"cacheNodeIds": True}
+#: Training rows of trees that pyspark.ml grows: it keeps all nodes in the driver, and grown trees have nearly as many as rows.
+#: Beyond, ``forest`` grows them in the tasks.
+DRIVER_ROWS = 1 << 14
 
 
 def feature_matrix(long: DataFrame, names: list, keep=("run_id", "label", "split")) -> DataFrame:
@@ -70,6 +73,12 @@ def fit_predict(train: DataFrame, test: DataFrame, estimator) -> DataFrame:
         return estimator(train, test)
     checkpoint_dir(train.sparkSession)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
+    if isinstance(estimator, (RandomForestClassifier, DecisionTreeClassifier)) and train.count() > DRIVER_ROWS:
+        how = forest.Grown(estimator.getNumTrees() if isinstance(estimator, RandomForestClassifier) else 1, estimator.getMaxDepth(),
+                           estimator.getMaxBins(), estimator.getMinInstancesPerNode(), estimator.getSeed())
+        train = cut_lineage(train.select("label", "x"))  # read by the scaler, the borders and the bins
+        scaled = scaler.fit(with_vector(train))
+        return forest.grow_and_predict(scaled.transform(with_vector(train)), scaled.transform(with_vector(test)), how)
     model = Pipeline(stages=[scaler, estimator]).fit(with_vector(train))
     return model.transform(with_vector(test)).select(
         "run_id", F.col("label").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
