@@ -60,3 +60,19 @@ def test_borders_part_all_of_few_values_and_even_shares_of_many():
     drawn = forest.draws(np.arange(100_000), 3, forest.Grown(20, 30))
     assert np.allclose(np.bincount(drawn)[:4] / 100_000, [0.3679, 0.3679, 0.1839, 0.0613], atol=0.01)
     assert (drawn != forest.draws(np.arange(100_000), 4, forest.Grown(20, 30))).any()
+
+
+def no_driver_trees(monkeypatch):
+    monkeypatch.setattr(models, "DRIVER_ROWS", 10)
+    for estimator in models.zoo(6, 4).values():
+        if type(estimator).__name__ in ("DecisionTreeClassifier", "RandomForestClassifier"):
+            monkeypatch.setattr(type(estimator), "_fit", lambda *a: pytest.fail("grown in the driver"))
+
+
+def test_compared_trees_of_many_rows_grow_in_the_tasks(spark, rows, monkeypatch):
+    no_driver_trees(monkeypatch)
+    _, board = models.compare_models(*rows, [0, 1, 2, 3], "all", ["DecisionTreeClassifier", "NearestCentroid"], cv_folds=2)
+    got = {r["model"]: r for r in board.collect()}
+    tree = got["DecisionTreeClassifier"]
+    assert tree["status"] == "ok" and tree["balanced_acc"] > 0.7 and abs(tree["cv_mean"] - tree["balanced_acc"]) < 0.1
+    assert got["NearestCentroid"]["status"] == "ok"
