@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from runlens.operators import forest, models
+from runlens.plans import characterise
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +77,13 @@ def test_compared_trees_of_many_rows_grow_in_the_tasks(spark, rows, monkeypatch)
     tree = got["DecisionTreeClassifier"]
     assert tree["status"] == "ok" and tree["balanced_acc"] > 0.7 and abs(tree["cv_mean"] - tree["balanced_acc"]) < 0.1
     assert got["NearestCentroid"]["status"] == "ok"
+
+
+def test_forests_on_spectra_of_many_runs_grow_in_the_tasks(spark, monkeypatch):
+    no_driver_trees(monkeypatch)
+    rng = np.random.RandomState(4)
+    sets = [spark.createDataFrame([(f, r, [float(v) for v in rng.normal(size=3) + 4 * f]) for f in (0, 1, 2) for r in range(lo, lo + n)],
+                                  "faultNumber int, simulationRun int, values array<double>") for lo, n in ((1, 20), (30, 8))]
+    board, cm = characterise.classify_spectra({"PCA": tuple(sets)}, [0, 1, 2], ["NearestCentroid"], cv_folds=0, trees=5)
+    hits = sum(r["n"] for r in cm.collect() if r["y_true"] == r["y_pred"])
+    assert board.first()["status"] == "ok" and cm.count() == 9 and hits >= 22
