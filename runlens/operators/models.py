@@ -24,6 +24,7 @@ DEEP = {"cacheNodeIds": True}
 #: Training rows of trees that pyspark.ml grows: it keeps all nodes in the driver, and grown trees have nearly as many as rows.
 #: Beyond, ``forest`` grows them in the tasks.
 DRIVER_ROWS = 1 << 14
+TREES = (RandomForestClassifier, DecisionTreeClassifier)
 
 
 def feature_matrix(long: DataFrame, names: list, keep=("run_id", "label", "split")) -> DataFrame:
@@ -73,8 +74,8 @@ def fit_predict(train: DataFrame, test: DataFrame, estimator) -> DataFrame:
         return estimator(train, test)
     checkpoint_dir(train.sparkSession)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    if isinstance(estimator, (RandomForestClassifier, DecisionTreeClassifier)) and train.count() > DRIVER_ROWS:
-        how = forest.Grown(estimator.getNumTrees() if isinstance(estimator, RandomForestClassifier) else 1, estimator.getMaxDepth(),
+    if isinstance(estimator, TREES) and train.count() > DRIVER_ROWS:
+        how = forest.Grown(estimator.getNumTrees() if isinstance(estimator, TREES[0]) else 1, estimator.getMaxDepth(),
                            estimator.getMaxBins(), estimator.getMinInstancesPerNode(), estimator.getSeed())
         train = cut_lineage(train.select("label", "x"))  # read by the scaler, the borders and the bins
         scaled = scaler.fit(with_vector(train))

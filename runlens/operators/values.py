@@ -113,7 +113,7 @@ def unplanes(b: bytes, kind) -> np.ndarray:
 
 #: Rows that a task holds before it passes them on packed, and values of one feature that meet in one task.
 PACK_ROWS = 1 << 19
-RANGE_ROWS = 1 << 22
+RANGE_ROWS = 1 << 21
 
 
 def range_borders(long: DataFrame, most: int) -> dict:
